@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_files
-from .common import staging_path, table
+from . import bpe, tiff, token_files
+from .common import staged, staging_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 
 
+def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The media are written to the shared folder and read back."""
+    return tiff.media_digests(staged(tiff.store_texts(table(spark, sf_dir, "documents")), "op1-media"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staging_path(spark, "op2-tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path(VOCABULARY), END_ID)
@@ -26,6 +31,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_tiff": op1_tiff,
         "op2_token_files": op2_token_files,
         "op9_bpe": op9_bpe,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, tiff, token_files
+from . import bpe, jaccard_groups, mixing, tiff, token_files
 from .common import staged, staging_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -33,12 +33,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op10_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups.similar_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_tiff": op1_tiff,
         "op2_token_files": op2_token_files,
         "op8_mixing": op8_mixing,
         "op9_bpe": op9_bpe,
+        "op10_jaccard_groups": op10_jaccard_groups,
     }
 
 

@@ -31,23 +31,23 @@ def chunks(text: str) -> list[str]:
 
 
 class ChunkCodes:
-    """Codes (ids as little-endian unsigned 32-bit integers) of chunks, for a bounded number of chunks.
+    """Codes (for BPE: ids as little-endian unsigned 32-bit integers) of chunks, for a bounded number of chunks.
 
     encode gets the distinct chunks that are not known and returns a code for
     each. Two generations of at most `bound` chunks are held.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], bound: int = 400_000):
-        self.encode, self.bound = encode, bound
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, encode: Callable[[list], list[bytes]], bound: int = 400_000, split: Callable = chunks):
+        self.encode, self.bound, self.split = encode, bound, split
+        self.young: dict = {}
+        self.old: dict = {}
 
-    def of(self, texts: list[str]) -> list[bytes]:
+    def of(self, texts: list) -> list[bytes]:
         """The code of each text."""
         if len(self.young) > self.bound:
             self.old, self.young = self.young, {}
-        parts = [chunks(t) for t in texts]
-        new: set[str] = set()
+        parts = [self.split(t) for t in texts]
+        new: set = set()
         for p in parts:
             new.update(p)
         new.difference_update(self.young)

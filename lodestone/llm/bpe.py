@@ -26,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_rows, texts_of
+from .common import by_rows
 from .word_codes import ChunkCodes
 
 #: Fixed value: the byte-level pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ROWS = 4_000
+ROWS = 2_000
 
 
 def byte_alphabet() -> list[str]:
@@ -70,7 +70,7 @@ class PairIndexBpe:
         self.word_codes: dict[str, bytes] = {}
         self.codes = ChunkCodes(self.encode_chunks)
 
-    def encode_chunks(self, distinct: list[str], bound: int = 400_000) -> list[bytes]:
+    def encode_chunks(self, distinct: list[str], bound: int = 250_000) -> list[bytes]:
         """A code for each chunk."""
         if len(self.word_codes) > bound:
             self.word_codes = {}
@@ -151,7 +151,8 @@ class PairIndexBpe:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        return [np.frombuffer(c, "<u4") for c in self.codes.of(texts)]
+        flat, bounds = self.codes.of(pa.array(texts, pa.string()))
+        return [flat[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
@@ -171,9 +172,8 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(vocabulary_path)
         for batch in by_rows(batches, ROWS):
-            codes = model.codes.of(texts_of(batch.column(1)))
-            offsets = np.cumsum([0, *(len(c) // 4 for c in codes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(codes), "<i4")))
+            flat, bounds = model.codes.of(batch.column(1))
+            ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype("<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
 
     return source.mapInArrow(encode, f"id {source.schema[0].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
@@ -204,8 +204,9 @@ def round_trip_digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc
         model = vocabulary(vocabulary_path)
         for batch in by_rows(batches, ROWS):
             counts, encoded, decoded = [], [], []
-            for ids in model.encode(texts_of(batch.column(1))):
-                ids = ids.tolist()
+            flat, bounds = model.codes.of(batch.column(1))
+            for x, y in zip(bounds, bounds[1:], strict=False):
+                ids = flat[x:y].tolist()
                 counts.append(len(ids))
                 encoded.append(hashlib.sha256(",".join(map(model.decimal.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())

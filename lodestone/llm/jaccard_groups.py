@@ -31,13 +31,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_rows, staged, texts_of
+from .common import by_rows, staged
 from .components import component_labels
-from .word_codes import ChunkCodes
+from .word_codes import CodeCache
 
 #: Tokens that a linked pair's first tokens share at least (fewer for very small sets).
 HITS = 3
@@ -50,9 +51,9 @@ WORTH = 200
 
 
 @lru_cache(maxsize=1)
-def word_hashes() -> ChunkCodes:
+def word_hashes() -> CodeCache:
     """64-bit hashes of words; one table per Python worker."""
-    return ChunkCodes(lambda words: [xxhash.xxh3_64_digest(w) for w in words], split=lambda t: t.encode().lower().split())
+    return CodeCache(lambda words: [xxhash.xxh3_64_digest(w) for w in words])
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -60,9 +61,8 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def shingle_set(code: bytes, words: int) -> np.ndarray:
+def shingle_set(h: np.ndarray, words: int) -> np.ndarray:
     """The sorted distinct tokens of a document's word hashes."""
-    h = np.frombuffer(code, "<u8")
     if not len(h):
         return h
     n = min(words, len(h))
@@ -74,8 +74,20 @@ def shingle_set(code: bytes, words: int) -> np.ndarray:
     return x[np.r_[True, x[1:] != x[:-1]]]
 
 
-def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
-    return [shingle_set(c, words) for c in word_hashes().of(texts)]
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The token set of each text: lower-cased A-Z, words between white space of one byte."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    keys = cut.flatten().dictionary_encode()
+    distinct = keys.dictionary.to_pylist()
+    hashes = np.frombuffer(b"".join(word_hashes().of(distinct)), "<u8")
+    index, offsets = keys.indices.to_numpy(), cut.offsets.to_numpy()
+    bounds = (offsets - offsets[0]).tolist()
+    if "" in distinct:  # of white space at a text's ends
+        empty = index == distinct.index("")
+        bounds = (np.array(bounds) - np.r_[0, np.cumsum(empty)][bounds]).tolist()
+        index = index[~empty]
+    flat = hashes[index]
+    return [shingle_set(flat[x:y], words) for x, y in zip(bounds, bounds[1:], strict=False)]
 
 
 def least_overlap(n, percent: int):
@@ -101,7 +113,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
     def profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "doc_id", "n", "a", "b"]
         for batch in by_rows(batches, 10_000):
-            sets = shingle_sets(texts_of(batch.column(1)), words)
+            sets = shingle_sets(batch.column(1), words)
             digests = [set_digest(s) for s in sets]
             columns = [np.zeros(len(sets), np.int32), batch.column(0), np.array([len(s) for s in sets], np.int32), np.array([d[0] for d in digests], np.int64), np.array([d[1] for d in digests], np.int64)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
@@ -137,7 +149,7 @@ def _first_token_rows(docs: DataFrame, words: int, percent: int, frequent: np.nd
         seen: set[tuple[int, int]] = set()
         for batch in by_rows(batches, 2_000):
             nodes, sets = [], []
-            for s in shingle_sets(texts_of(batch.column(1)), words):
+            for s in shingle_sets(batch.column(1), words):
                 if len(s) and (d := set_digest(s)) not in seen:
                     seen.add(d)
                     nodes.append(d[1] if d[0] in clashes else d[0])
@@ -244,7 +256,7 @@ def open_groups(members: DataFrame, queries: DataFrame, texts: DataFrame, words:
         for batch in by_rows(batches, 1_000):
             found: list[tuple[int, int]] = []
             groups, tasks, roles, own = (batch.column(i).to_pylist() for i in range(4))
-            for g, k, role, node, q in zip(groups, tasks, roles, own, shingle_sets(texts_of(batch.column(4)), words), strict=True):
+            for g, k, role, node, q in zip(groups, tasks, roles, own, shingle_sets(batch.column(4), words), strict=True):
                 if node not in set_digest(q):
                     continue  # another text of a repeated id
                 if (g, k) != now:

@@ -23,31 +23,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_rows, texts_of
+from .common import by_rows
 from .word_codes import ChunkCodes
 
-ROWS = 4_000
+ROWS = 2_000
+#: Chunks that are encoded in one call.
+JOINED = 2_000
 #: Bits of pos that count the rows of one file's partition (monotonically_increasing_id's layout).
 ROW_BITS = 33
 
 
 @lru_cache(maxsize=2)
 def library_codes(path: str) -> ChunkCodes:
-    """The tokenizers library's codes of chunks; one per Python worker."""
+    """The tokenizers library's codes of chunks; one per Python worker.
+
+    Chunks that begin with their only space or newline are joined to long texts,
+    as they may be by where chunks are cut, and told apart again by the tokens
+    that begin with one; the rest are encoded one by one.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    begins = np.zeros(tokenizer.get_vocab_size(), bool)
+    #: How a byte-level vocabulary spells a space and a newline.
+    begins[[i for token, i in tokenizer.get_vocab().items() if token[0] in "\u0120\u010a"]] = True
+
+    def alone(group: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(group, add_special_tokens=False)]
 
     def encode(distinct: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(distinct), 2_000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(distinct[at : at + 2_000], add_special_tokens=False)]
+        for at in range(0, len(distinct), JOINED):
+            group = distinct[at : at + JOINED]
+            joined = "".join(group)
+            plain = joined.count(" ") + joined.count("\n") == len(group) and all(c[:1] in (" ", "\n") for c in group)
+            if plain:
+                ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+                starts = np.flatnonzero(begins[ids]) * 4
+                if len(starts) == len(group) and not starts[0]:
+                    code, cuts = ids.tobytes(), [*starts.tolist(), len(ids) * 4]
+                    out += [code[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+                    continue
+            out += alone(group)
+        return out
+
+    def ordered(distinct: list[str]) -> list[bytes]:
+        """Those that can't be joined come last."""
+        odd = [k for k, c in enumerate(distinct) if c[:1] not in (" ", "\n") or c.rfind(" ") > 0 or c.rfind("\n") > 0]
+        if not odd:
+            return encode(distinct)
+        apart = set(odd)
+        even = [k for k in range(len(distinct)) if k not in apart]
+        out: list[bytes] = [b""] * len(distinct)
+        for places in (even, odd):
+            for k, code in zip(places, encode([distinct[k] for k in places]), strict=True):
+                out[k] = code
         return out
 
-    return ChunkCodes(encode)
+    return ChunkCodes(ordered)
 
 
 def write_token_files(
@@ -67,15 +103,15 @@ def write_token_files(
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = library_codes(vocabulary_path)
         for batch in by_rows(batches, ROWS):
-            rows = [c + end for c in codes.of(texts_of(batch.column(1)))]
-            lengths = np.fromiter((len(c) // 4 for c in rows), np.int32, len(rows))
-            ids = pa.ListArray.from_arrays(pa.array(np.r_[np.int32(0), np.cumsum(lengths, dtype=np.int32)]), pa.array(np.frombuffer(b"".join(rows), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), ids], ["doc_id", "n_tokens", "ids"])
+            flat, bounds = codes.of(batch.column(1))
+            ended = np.insert(flat, bounds[1:], end_id).astype("<i4")
+            bounds = (bounds + np.arange(len(bounds))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ended))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), ids], ["doc_id", "n_tokens", "ids"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
     tokens = ordered.mapInArrow(encode, f"doc_id {kind}, n_tokens int, ids array<int>")

@@ -11,52 +11,86 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_CHUNK = re.compile(r"[ \n]?[^ \n]+")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_SPACE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]"
+#: Texts that are not cut at each space and newline: white space beside one, one at the end, or the mark of a text's beginning inside.
+_UNEVEN = rf"[ \n]{_SPACE}|{_SPACE}[ \n]|[ \n]\z|\x00"
 
 
 def chunks(text: str) -> list[str]:
     """The text cut before each single space or newline that has no white space beside it."""
-    if (
-        "  " in text
-        or "\n\n" in text
-        or " \n" in text
-        or "\n " in text
-        or text[-1:] in (" ", "\n")
-        or _OTHER_SPACE.search(text)
-    ):
-        return _CUT.split(text)
-    return _CHUNK.findall(text)
+    return _CUT.split(text) if text else []
 
 
-class ChunkCodes:
-    """Codes (for BPE: ids as little-endian unsigned 32-bit integers) of chunks, for a bounded number of chunks.
+def gather(pool: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a pool of pieces of these lengths, in the order of index; and where each ends."""
+    starts = np.cumsum(lengths) - lengths
+    count = lengths[index]
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat(starts[index] - (ends - count), count) + np.arange(total)], ends
+
 
-    encode gets the distinct chunks that are not known and returns a code for
-    each. Two generations of at most `bound` chunks are held.
-    """
+class CodeCache:
+    """Codes of keys, in two generations of at most `bound` keys; encode gets the distinct keys that are not known."""
 
-    def __init__(self, encode: Callable[[list], list[bytes]], bound: int = 400_000, split: Callable = chunks):
-        self.encode, self.bound, self.split = encode, bound, split
+    def __init__(self, encode: Callable[[list], list[bytes]], bound: int = 250_000):
+        self.encode, self.bound = encode, bound
         self.young: dict = {}
         self.old: dict = {}
 
-    def of(self, texts: list) -> list[bytes]:
-        """The code of each text."""
+    def of(self, distinct: list) -> list[bytes]:
+        """The code of each key."""
         if len(self.young) > self.bound:
             self.old, self.young = self.young, {}
-        parts = [self.split(t) for t in texts]
-        new: set = set()
-        for p in parts:
-            new.update(p)
-        new.difference_update(self.young)
-        if self.old:
-            found = new & self.old.keys()
-            self.young.update((c, self.old[c]) for c in found)
-            new -= found
-        if new:
-            distinct = list(new)
-            self.young.update(zip(distinct, self.encode(distinct), strict=True))
-        code = self.young.__getitem__
-        return [b"".join(map(code, p)) for p in parts]
+        out = list(map(self.young.get, distinct))
+        places = [k for k, code in enumerate(out) if code is None]
+        if places and self.old:
+            for k in places:
+                if (code := self.old.get(distinct[k])) is not None:
+                    out[k] = self.young[distinct[k]] = code
+            places = [k for k in places if out[k] is None]
+        if places:
+            new = [distinct[k] for k in places]
+            for k, code in zip(places, codes := self.encode(new), strict=True):
+                out[k] = code
+            self.young.update(zip(new, codes, strict=True))
+        return out
+
+
+class ChunkCodes:
+    """Ids (unsigned 32-bit integers) of texts; encode gives the ids of distinct chunks as little-endian bytes."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], bound: int = 250_000):
+        self.cache = CodeCache(encode, bound)
+
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the column's texts (null: none), one text after the other; and the places where texts begin, with the end."""
+        column = pc.fill_null(column, "")
+        uneven = np.flatnonzero(pc.match_substring_regex(column, _UNEVEN).to_numpy(zero_copy_only=False))
+        if not len(uneven):
+            return self._even(column)
+        flat, bounds = self._even(pc.if_else(pc.match_substring_regex(column, _UNEVEN), "", column))
+        parts = [flat[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
+        for k in uneven.tolist():
+            own = chunks(column[k].as_py())
+            distinct = list(dict.fromkeys(own))
+            codes = dict(zip(distinct, self.cache.of(distinct), strict=True))
+            parts[k] = np.frombuffer(b"".join([codes[c] for c in own]), "<u4")
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def _even(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For texts that are cut at each space and newline: the distinct chunks alone become Python objects."""
+        marked = pc.replace_substring(pc.binary_join_element_wise("\x00", column, ""), "\n", " \n")
+        cut = pc.split_pattern(marked, " ")
+        keys = cut.flatten().dictionary_encode()
+        distinct = [k if k[0] == "\n" else k[1:] if k[0] == "\x00" else " " + k for k in keys.dictionary.to_pylist()]
+        codes = self.cache.of(distinct)
+        lengths = np.fromiter(map(len, codes), np.int64, len(codes)) >> 2
+        flat, ends = gather(np.frombuffer(b"".join(codes), "<u4"), lengths, keys.indices.to_numpy())
+        offsets = cut.offsets.to_numpy()
+        return flat, np.r_[0, ends][offsets - offsets[0]]

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from lodestone.llm import bpe, token_files
@@ -44,13 +45,22 @@ def test_encode_equals_the_library():
     assert model.decode([200, 140]) == t.decode([200, 140], skip_special_tokens=False)
 
 
+def test_library_codes_equal_the_library():
+    texts = TEXTS + random_texts(2000)
+    ids, _ = expected(texts)
+    codes = token_files.library_codes(PATH)
+    for at in range(0, len(texts), 300):
+        flat, bounds = codes.of(pa.array(texts[at : at + 300]))
+        assert [flat[x:y].tolist() for x, y in zip(bounds, bounds[1:], strict=False)] == ids[at : at + 300]
+
+
 def test_cache_generations_do_not_change_results():
     texts = random_texts(300)
     ids, _ = expected(texts)
     model = bpe.PairIndexBpe(PATH)
-    model.codes.bound = 10
+    model.codes.cache.bound = 10
     for x, a in zip(texts, ids, strict=True):
-        assert model.codes.of([x]) == [np.array(a, "<u4").tobytes()]
+        assert model.encode([x])[0].tolist() == a
 
 
 def test_round_trip_query_and_columns(spark):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,5 +57,20 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+@contextmanager
+def one_blas_thread() -> Iterator[None]:
+    """numpy's matrix products in one thread: for many small ones, threads that wait for each other take longer."""
+    found = None
+    for path in Path(np.__file__).parent.with_name("numpy.libs").glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        found = getattr(library, "scipy_openblas_set_num_threads64_", None), getattr(library, "scipy_openblas_get_num_threads64_", None)
+    if not found or None in found:
+        yield
+        return
+    put, get = found
+    before = get()
+    put(1)
+    try:
+        yield
+    finally:
+        put(before)

@@ -7,8 +7,8 @@ joins its class; a class is cut into groups of bounded size. The matrix of token
 and groups then bounds, for each query node and each group of another class, how
 many tokens they can share. The bound has two steps: from the tokens that come
 first in a common order (a node linked with a member shares a known number of
-those with the group), and, where the group's union of tokens is at hand, from
-all tokens of the query. Only groups that reach the bound are opened, and their
+those with the group, at places that leave room for enough others), and, where
+the group's union of tokens is at hand, from all tokens of the query. Only groups that reach the bound are opened, and their
 members are compared exactly. Links and classes are united in components.
 
 The common order puts frequent tokens last. How frequent a token is only orders
@@ -27,67 +27,85 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_rows, staged
 from .components import component_labels
-from .word_codes import CodeCache
 
 #: Tokens that a linked pair's first tokens share at least (fewer for very small sets).
 HITS = 3
 #: Entries of the table of frequent tokens (8 bytes each, sent to every worker), and the documents of a batch in which a token stands before it is counted.
-FREQUENT, LOCAL_COUNT = 65_536, 3
+FREQUENT, LOCAL_COUNT = 131_072, 3
 #: Members of a group, queries that one task brings to a group, leaders that a node is compared with in a round, rounds.
 GROUP_SIZE, TASK_QUERIES, LEADERS, ROUNDS = 64, 4_096, 2, 3
 #: A next round of leaders is worth it if the last one linked so many nodes.
 WORTH = 200
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> CodeCache:
-    """64-bit hashes of words; one table per Python worker."""
-    return CodeCache(lambda words: [xxhash.xxh3_64_digest(w) for w in words])
-
-
 def _stir(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ x >> np.uint64(29)
 
 
-def shingle_set(h: np.ndarray, words: int) -> np.ndarray:
-    """The sorted distinct tokens of a document's word hashes."""
-    if not len(h):
-        return h
-    n = min(words, len(h))
-    with np.errstate(over="ignore"):
-        x = np.full(len(h) - n + 1, n if n < words else 0, np.uint64)
-        for k in range(n):
-            x = _stir(x + h[k : len(h) - n + 1 + k])
-    x.sort()
-    return x[np.r_[True, x[1:] != x[:-1]]]
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of the array's strings, eight bytes at a time over all of them."""
+    _, offsets, data = words.buffers()
+    if not len(words):
+        return np.empty(0, np.uint64)
+    offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    start, length = offsets[:-1], np.diff(offsets)
+    raw = np.concatenate([np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.empty(0, np.uint8), np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw.tobytes(), strides=(1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    start = start - offsets[0]
+    out = _stir(length.astype(np.uint64))
+    todo = np.flatnonzero(length)
+    while len(todo):
+        left = length[todo]
+        out[todo] = _stir(out[todo] ^ eight[start[todo]] & masks[np.minimum(left, 8)])
+        todo = todo[left > 8]
+        start[todo] += 8
+        length[todo] -= 8
+    return out
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
-    """The token set of each text: lower-cased A-Z, words between white space of one byte."""
+    """The sorted distinct tokens of each text: lower-cased A-Z, words between white space of one byte."""
     cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    keys = cut.flatten().dictionary_encode()
-    distinct = keys.dictionary.to_pylist()
-    hashes = np.frombuffer(b"".join(word_hashes().of(distinct)), "<u8")
-    index, offsets = keys.indices.to_numpy(), cut.offsets.to_numpy()
-    bounds = (offsets - offsets[0]).tolist()
-    if "" in distinct:  # of white space at a text's ends
-        empty = index == distinct.index("")
-        bounds = (np.array(bounds) - np.r_[0, np.cumsum(empty)][bounds]).tolist()
-        index = index[~empty]
-    flat = hashes[index]
-    return [shingle_set(flat[x:y], words) for x, y in zip(bounds, bounds[1:], strict=False)]
+    flat = cut.flatten()
+    offsets = cut.offsets.to_numpy()
+    bounds = offsets - offsets[0]
+    filled = pc.binary_length(flat).to_numpy() > 0
+    if not filled.all():  # white space at a text's ends
+        bounds = np.r_[0, np.cumsum(filled)][bounds]
+        flat = flat.filter(pa.array(filled))
+    h = word_hashes(flat)
+    with np.errstate(over="ignore"):
+        x = np.zeros(max(0, len(h) - words + 1), np.uint64)
+        for k in range(words):
+            x = _stir(x + h[k : k + len(x)])
+        out = []
+        bounds = bounds.tolist()
+        for first, last in zip(bounds, bounds[1:], strict=False):
+            n = last - first
+            if n >= words:
+                out.append(_distinct(x[first : last - words + 1]))
+            else:  # the whole sequence as one token, or none
+                y = np.full(min(n, 1), n, np.uint64)
+                for k in range(n):
+                    y = _stir(y + h[first + k : first + k + 1])
+                out.append(y)
+    return out
 
 
 def least_overlap(n, percent: int):
@@ -98,7 +116,7 @@ def least_overlap(n, percent: int):
 def first_tokens(n, percent: int):
     """(hits, length): sets that link share so many of their first tokens, in the common order."""
     overlap = least_overlap(n, percent)
-    hits = np.minimum(HITS, overlap)
+    hits = min(HITS, overlap)
     return hits, n - overlap + hits
 
 
@@ -140,36 +158,38 @@ def _first_token_rows(docs: DataFrame, words: int, percent: int, frequent: np.nd
     Copies inside one partition give their rows once.
     """
     ranked = np.argsort(frequent)
-    known = frequent[ranked]
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((known, ranked.astype(np.uint64), clashes))
+    sent = docs.sparkSession.sparkContext.broadcast((frequent[ranked], ranked, clashes))
+
+    def first(tokens: np.ndarray, length: int) -> np.ndarray:
+        """The tokens by their hash, then the frequent ones by their number."""
+        known, ranked, _ = sent.value
+        if not len(known):
+            return tokens[:length]
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        often = known[at] == tokens
+        out = tokens[~often][:length]
+        if len(out) < length:
+            more = np.sort(ranked[at[often]])[: length - len(out)]
+            out = np.r_[out, frequent[more]]
+        return out
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ranked, clashes = sent.value
+        clashes = sent.value[2]
         seen: set[tuple[int, int]] = set()
         for batch in by_rows(batches, 2_000):
-            nodes, sets = [], []
+            nodes, sizes, tokens = [], [], []
             for s in shingle_sets(batch.column(1), words):
                 if len(s) and (d := set_digest(s)) not in seen:
                     seen.add(d)
                     nodes.append(d[1] if d[0] in clashes else d[0])
-                    sets.append(s)
-            if not sets:
+                    sizes.append(len(s))
+                    tokens.append(first(s, first_tokens(len(s), percent)[1]))
+            if not tokens:
                 continue
-            size = np.array([len(s) for s in sets], np.int64)
-            token = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets)), size)
-            key = token >> np.uint64(1)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, token), len(known) - 1)
-                often = known[at] == token
-                key[often] = np.uint64(1 << 63) + ranked[at[often]]
-            order = np.lexsort((key, owner))
-            place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            _, length = first_tokens(size, percent)
-            first = place < np.repeat(length, size)
-            order, place, owner = order[first], place[first], owner[first]
-            yield pa.RecordBatch.from_arrays([pa.array(token[order].view(np.int64)), pa.array(np.array(nodes, np.int64)[owner]), pa.array(size[owner] << 32 | place)], ["token", "node", "place"])
+            lengths = np.array([len(t) for t in tokens])
+            place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            place |= np.repeat(np.array(sizes, np.int64) << 32, lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(place)], ["token", "node", "place"])
 
     return docs.mapInArrow(rows, "token long, node long, place long")
 
@@ -223,15 +243,18 @@ def _with_leader(rows: DataFrame, percent: int, turn: int) -> DataFrame:
                 t, n, v, c = (np.r_[h, x] for h, x in zip(head, (t, n, v, c), strict=True))
             new = np.r_[True, t[1:] != t[:-1]]
             first = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
-            small, large = np.minimum(v, v[first]) >> 32, np.maximum(v, v[first]) >> 32
-            keep = (c != c[first]) & (small * 100 >= large * percent)
+            size, rest = v >> 32, (v >> 32) - (v & 0xFFFFFFFF)
+            small, large = np.minimum(size, size[first]), np.maximum(size, size[first])
+            most = np.minimum(rest, rest[first]) + HITS - 1
+            keep = (c != c[first]) & (small * 100 >= large * percent) & (most * (100 + percent) >= percent * (small + large))
+            needed = np.minimum(HITS, (small * percent + 99) // 100)
             k = first[-1]
             head = (t[k], n[k], v[k], c[k])
-            yield pa.RecordBatch.from_arrays([pa.array(n[keep]), pa.array(n[first][keep])], ["node", "leader"])
+            yield pa.RecordBatch.from_arrays([pa.array(n[keep]), pa.array(n[first][keep]), pa.array(needed[keep])], ["node", "leader", "needed"])
 
     order = F.xxhash64("node", F.lit(turn))
     ordered = rows.select("token", "node", "place", "class").repartition("token").sortWithinPartitions("token", order)
-    pairs = ordered.mapInArrow(lead, "node long, leader long").groupBy("node", "leader").agg(F.count("*").alias("hits"))
+    pairs = ordered.mapInArrow(lead, "node long, leader long, needed long").groupBy("node", "leader").agg(F.count("*").alias("hits"), F.min("needed").alias("needed")).filter("hits >= needed")
     best = Window.partitionBy("node").orderBy(F.desc("hits"), "leader")
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= LEADERS).select("node", "leader")
 
@@ -310,14 +333,17 @@ def _remaining(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / GROUP_SIZE))
     nodes = nodes.select("node", "class", "n", "many", F.xxhash64("class", part).alias("group"))
     mixed = rows.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("token")
-    full = staged(rows.join(mixed, "token").select("token", "node").join(nodes, "node"), "jaccard-mixed")
+    full = staged(rows.join(mixed, "token").select("token", "node", F.expr("place & 4294967295").alias("at")).join(nodes, "node"), "jaccard-mixed")
     hits = F.least(F.lit(HITS), F.expr(f"(n * {percent} + 99) div 100"))
-    side = full.groupBy("token", "group", "class", "many").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min(hits).alias("least_hits"))
-    side = side.select("token", "group", F.col("class").alias("g_class"), F.col("many").alias("g_many"), "least_n", "most_n", "least_hits")
-    query = full.select("token", "node", "class", "many", "n", hits.alias("hits"))
+    # what a set can still share from a token on, against what a link asks for: the parts of that comparison that are each side's own
+    room = (F.col("n") - F.col("at") + HITS - 1) * (100 + percent)
+    side = full.groupBy("token", "group", "class", "many").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min(hits).alias("least_hits"), F.max(room - F.col("n") * percent).alias("g_room"))
+    side = side.select("token", "group", F.col("class").alias("g_class"), F.col("many").alias("g_many"), "least_n", "most_n", "least_hits", "g_room")
+    query = full.select("token", "node", "class", "many", "n", hits.alias("hits"), room.alias("room"))
     smaller = (F.col("many") < F.col("g_many")) | ((F.col("many") == F.col("g_many")) & (F.col("class") < F.col("g_class")))
     alike = (F.col("least_n") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("most_n") * 100)
-    pairs = query.join(side, "token").filter(smaller & alike)
+    enough = (F.col("room") >= (F.col("n") + F.col("least_n")) * percent) & (F.col("g_room") >= F.col("n") * percent)
+    pairs = query.join(side, "token").filter(smaller & alike & enough)
     pairs = pairs.groupBy("group", "node").agg(F.count("*").alias("shared"), F.min(F.least("hits", "least_hits")).alias("needed")).filter("shared >= needed")
     queries = staged(pairs.select("group", "node"), "jaccard-queries")
     members = nodes.select("group", "node").join(queries.select("group").distinct(), "group")

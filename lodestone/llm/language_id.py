@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_rows
+from .common import by_rows, one_blas_thread
 from .word_codes import CodeCache
 
 UNDETERMINED = "und"
@@ -117,6 +117,7 @@ class ByteGru:
             grads |= {f"U{d}": dU, f"B{d}": dB, f"X{d}": dX}
         return loss, grads
 
+    @one_blas_thread()
     def segment_sums(self, segments: list[str]) -> list[bytes]:
         """For each segment the sum over its positions of their distributions (zero without a letter), as little-endian floats."""
         C = len(self.languages)
@@ -148,6 +149,7 @@ class ByteGru:
         return labels
 
 
+@one_blas_thread()
 def train(pairs: list[tuple[str, str, int]], steps: int = STEPS, seed: int = SEED) -> ByteGru | None:
     """The network for (segment, language, count) triples; None if there is no language."""
     languages = sorted({lang for _, lang, _ in pairs})

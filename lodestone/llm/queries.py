@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_groups, language_id, mixing, tiff, token_files
+from . import bpe, exact_digest, jaccard_groups, language_id, mixing, tiff, token_files
 from .common import staged, staging_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -29,6 +29,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_digest.edit_likeness(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_tiff": op1_tiff,
         "op2_token_files": op2_token_files,
         "op4_language_id": op4_language_id,
+        "op6_exact_digest": op6_exact_digest,
         "op8_mixing": op8_mixing,
         "op9_bpe": op9_bpe,
         "op10_jaccard_groups": op10_jaccard_groups,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_digest, jaccard_groups, language_id, mixing, tiff, token_files
+from . import bpe, chat_windows, exact_digest, jaccard_groups, language_id, mixing, tiff, token_files
 from .common import staged, staging_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -29,6 +29,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows are written to the shared folder and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql("SELECT col1 AS conv_id, col2 AS turn, col3 AS role, :said AS text FROM VALUES (-1L, 0L, 'user'), (-1L, 1L, 'assistant')", args={"said": said})
+    return chat_windows.conversation_digests(staged(chat_windows.format_windows(turns.unionByName(extra)), "op5-windows"))
+
+
 def op6_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_digest.edit_likeness(table(spark, sf_dir, "documents"))
 
@@ -50,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_tiff": op1_tiff,
         "op2_token_files": op2_token_files,
         "op4_language_id": op4_language_id,
+        "op5_chat_windows": op5_chat_windows,
         "op6_exact_digest": op6_exact_digest,
         "op8_mixing": op8_mixing,
         "op9_bpe": op9_bpe,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_windows, exact_digest, jaccard_groups, language_id, mixing, tiff, token_files
+from . import bpe, chat_windows, exact_digest, jaccard_groups, language_id, licenses, mixing, tiff, token_files
 from .common import staged, staging_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -41,6 +41,10 @@ def op6_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_digest.edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_chat_windows": op5_chat_windows,
         "op6_exact_digest": op6_exact_digest,
+        "op7_licenses": op7_licenses,
         "op8_mixing": op8_mixing,
         "op9_bpe": op9_bpe,
         "op10_jaccard_groups": op10_jaccard_groups,
@@ -67,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_licenses": licenses.scan_sql()}

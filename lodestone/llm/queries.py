@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat_windows, exact_digest, jaccard_groups, language_id, licenses, mixing, tiff, token_files
+from . import bpe, chat_windows, compaction, exact_digest, jaccard_groups, language_id, licenses, mixing, tiff, token_files
 from .common import staged, staging_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -29,6 +30,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents in sixteen arrivals, compacted; every row is read back by the last manifest."""
+    store = compaction.compacted(table(spark, sf_dir, "documents"), staging_path(spark, "op3-store"), 16, F.coalesce(F.col("doc_id"), F.lit(0)))
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows are written to the shared folder and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -62,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_tiff": op1_tiff,
         "op2_token_files": op2_token_files,
         "op4_language_id": op4_language_id,
+        "op3_compaction": op3_compaction,
         "op5_chat_windows": op5_chat_windows,
         "op6_exact_digest": op6_exact_digest,
         "op7_licenses": op7_licenses,
@@ -72,4 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_licenses": licenses.scan_sql()}
+    return {
+        "op3_compaction": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+        "op7_licenses": licenses.scan_sql(),
+    }

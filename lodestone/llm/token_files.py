@@ -37,9 +37,9 @@ ROW_BITS = 33
 def library_codes(path: str) -> ChunkCodes:
     """The tokenizers library's codes of chunks; one per Python worker.
 
-    Chunks that begin with their only space or newline are joined to long texts,
-    as they may be by where chunks are cut, and told apart again by the tokens
-    that begin with one; the rest are encoded one by one.
+    Chunks that begin with their only space are joined to long texts, as they may
+    be by where chunks are cut, and told apart again by the tokens that begin with
+    a space; the rest are encoded one by one.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -48,42 +48,31 @@ def library_codes(path: str) -> ChunkCodes:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     begins = np.zeros(tokenizer.get_vocab_size(), bool)
-    #: How a byte-level vocabulary spells a space and a newline.
-    begins[[i for token, i in tokenizer.get_vocab().items() if token[0] in "\u0120\u010a"]] = True
+    #: Fixed value: how a byte-level vocabulary spells a space.
+    begins[[i for token, i in tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True
 
     def alone(group: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(group, add_special_tokens=False)]
 
+    def joined(group: list[str]) -> list[bytes]:
+        """The codes of chunks that each begin with their only space."""
+        ids = np.array(tokenizer.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.flatnonzero(begins[ids]) * 4).tolist()
+        if len(cuts) != len(group) or cuts[0]:
+            return alone(group)
+        code = ids.tobytes()
+        return [code[x:y] for x, y in zip(cuts, [*cuts[1:], len(code)], strict=True)]
+
     def encode(distinct: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(distinct), JOINED):
-            group = distinct[at : at + JOINED]
-            joined = "".join(group)
-            plain = joined.count(" ") + joined.count("\n") == len(group) and all(c[:1] in (" ", "\n") for c in group)
-            if plain:
-                ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-                starts = np.flatnonzero(begins[ids]) * 4
-                if len(starts) == len(group) and not starts[0]:
-                    code, cuts = ids.tobytes(), [*starts.tolist(), len(ids) * 4]
-                    out += [code[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
-                    continue
-            out += alone(group)
-        return out
-
-    def ordered(distinct: list[str]) -> list[bytes]:
-        """Those that can't be joined come last."""
-        odd = [k for k, c in enumerate(distinct) if c[:1] not in (" ", "\n") or c.rfind(" ") > 0 or c.rfind("\n") > 0]
-        if not odd:
-            return encode(distinct)
-        apart = set(odd)
-        even = [k for k in range(len(distinct)) if k not in apart]
-        out: list[bytes] = [b""] * len(distinct)
-        for places in (even, odd):
-            for k, code in zip(places, encode([distinct[k] for k in places]), strict=True):
-                out[k] = code
-        return out
-
-    return ChunkCodes(ordered)
+        spaced = np.fromiter((c[:1] == " " and c.rfind(" ") == 0 and c.rfind("\n") < 0 for c in distinct), bool, len(distinct))
+        out = np.empty(len(distinct), object)
+        for places, way in ((np.flatnonzero(spaced), joined), (np.flatnonzero(~spaced), alone)):
+            for at in range(0, len(places), JOINED):
+                some = places[at : at + JOINED]
+                out[some] = way([distinct[k] for k in some.tolist()])
+        return out.tolist()
+
+    return ChunkCodes(encode)
 
 
 def write_token_files(
@@ -112,6 +101,7 @@ def write_token_files(
             bounds = (bounds + np.arange(len(bounds))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ended))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), ids], ["doc_id", "n_tokens", "ids"])
+            pa.default_memory_pool().release_unused()
 
     kind = source.schema["doc_id"].dataType.simpleString()
     tokens = ordered.mapInArrow(encode, f"doc_id {kind}, n_tokens int, ids array<int>")

@@ -17,8 +17,11 @@ import pyarrow.compute as pc
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _SPACE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]"
-#: Texts that are not cut at each space and newline: white space beside one, one at the end, or the mark of a text's beginning inside.
-_UNEVEN = rf"[ \n]{_SPACE}|{_SPACE}[ \n]|[ \n]\z|\x00"
+_MARK = r"[^\s\p{L}\p{N}\p{Z}\x{85}\x{1c}-\x{1f}]"
+#: Texts that are not cut at each space and newline: white space beside one, one at the end, or the byte that marks the cuts.
+_UNEVEN = rf"[ \n]{_SPACE}|{_SPACE}[ \n]|[ \n]\z|\x01"
+#: Texts that are not cut before each full stop and comma as well: those above, and others with a mark or white space before one.
+_UNEVEN_STOPS = rf"{_UNEVEN}|{_MARK}[.,]|{_SPACE}[.,]"
 
 
 def chunks(text: str) -> list[str]:
@@ -38,7 +41,7 @@ def gather(pool: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np
 class CodeCache:
     """Codes of keys, in two generations of at most `bound` keys; encode gets the distinct keys that are not known."""
 
-    def __init__(self, encode: Callable[[list], list[bytes]], bound: int = 250_000):
+    def __init__(self, encode: Callable[[list], list[bytes]], bound: int = 150_000):
         self.encode, self.bound = encode, bound
         self.young: dict = {}
         self.old: dict = {}
@@ -65,31 +68,42 @@ class CodeCache:
 class ChunkCodes:
     """Ids (unsigned 32-bit integers) of texts; encode gives the ids of distinct chunks as little-endian bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], bound: int = 250_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], bound: int = 150_000):
         self.cache = CodeCache(encode, bound)
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the column's texts (null: none), one text after the other; and the places where texts begin, with the end."""
+        """All ids of the column's texts (null: none), one text after the other; and the places where texts begin, with the end.
+
+        Most texts can also be cut before full stops and commas, which leaves
+        fewer distinct chunks; those that can't be cut in either way go one by one.
+        """
         column = pc.fill_null(column, "")
-        uneven = np.flatnonzero(pc.match_substring_regex(column, _UNEVEN).to_numpy(zero_copy_only=False))
-        if not len(uneven):
-            return self._even(column)
-        flat, bounds = self._even(pc.if_else(pc.match_substring_regex(column, _UNEVEN), "", column))
-        parts = [flat[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
-        for k in uneven.tolist():
+        parts: list[np.ndarray] = [np.empty(0, "<u4")] * len(column)
+        rest = np.arange(len(column))
+        for pattern, stops in ((_UNEVEN_STOPS, True), (_UNEVEN, False)):
+            texts = column.take(pa.array(rest)) if len(rest) < len(column) else column
+            uneven = pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+            if not uneven.any() and len(rest) == len(column):
+                return self._even(texts, stops)
+            if not uneven.all():
+                flat, bounds = self._even(texts.filter(pa.array(~uneven)), stops)
+                for k, x, y in zip(rest[~uneven].tolist(), bounds, bounds[1:], strict=False):
+                    parts[k] = flat[x:y]
+            rest = rest[uneven]
+        for k in rest.tolist():
             own = chunks(column[k].as_py())
             distinct = list(dict.fromkeys(own))
             codes = dict(zip(distinct, self.cache.of(distinct), strict=True))
             parts[k] = np.frombuffer(b"".join([codes[c] for c in own]), "<u4")
-        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        return np.concatenate([np.empty(0, "<u4"), *parts]), np.cumsum([0, *map(len, parts)])
 
-    def _even(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """For texts that are cut at each space and newline: the distinct chunks alone become Python objects."""
-        marked = pc.replace_substring(pc.binary_join_element_wise("\x00", column, ""), "\n", " \n")
-        cut = pc.split_pattern(marked, " ")
+    def _even(self, column: pa.Array, stops: bool) -> tuple[np.ndarray, np.ndarray]:
+        """For texts that are cut at each such place: the distinct chunks alone become Python objects."""
+        for mark in (" ", "\n", *(".,") * stops):
+            column = pc.replace_substring(column, mark, "\x01" + mark)
+        cut = pc.split_pattern(column, "\x01")
         keys = cut.flatten().dictionary_encode()
-        distinct = [k if k[0] == "\n" else k[1:] if k[0] == "\x00" else " " + k for k in keys.dictionary.to_pylist()]
-        codes = self.cache.of(distinct)
+        codes = self.cache.of(keys.dictionary.to_pylist())
         lengths = np.fromiter(map(len, codes), np.int64, len(codes)) >> 2
         flat, ends = gather(np.frombuffer(b"".join(codes), "<u4"), lengths, keys.indices.to_numpy())
         offsets = cut.offsets.to_numpy()

@@ -13,7 +13,7 @@ from lodestone.llm.word_codes import chunks
 PATH = P.path("byte_bpe_50k.json")
 TEXTS = [
     "", None, " ", "\n", "a", " a", "a ", "  two  spaces ", "line\nline\n\nline\n", "tab\tand nbsp x \t y", "Ünïcödé ß ñandú 你好 🎉🎉",
-    "don't we'll I'm they're x's 's 'll", "aaaaaaaaaaaaaaaaaaaa", "abababababab " * 50, "<|endoftext|>", "x<|endoftext|> y <|endoftext|>", "1234567890 12 3",
+    "don't we'll I'm they're x's 's 'll", ".start, and.mid,dle. end.", "a..b ,c . d", "x\x01y.", "e.g. 1.5,2 (see p. 3.)", ", a", "aaaaaaaaaaaaaaaaaaaa", "abababababab " * 50, "<|endoftext|>", "x<|endoftext|> y <|endoftext|>", "1234567890 12 3",
     "a b   c", "\x1c a \x1d", "x" * 5000, "word " * 3000, "!!! ??? ...", "é" * 300, "\r\n mixed\r\n", "a\x00b",
 ]
 

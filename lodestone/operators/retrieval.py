@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.vector import dot, quantised, robust_scale, total
 
 
+#: Queries that are sent to every task at once; more of them go in blocks, each with a pass over the documents.
+QUERY_BLOCK = 4_096
+
+
+def in_blocks(queries: DataFrame, scored) -> DataFrame:
+    """The union of scored(block) over blocks of the queries (column query_id) of bounded size."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    return reduce(DataFrame.unionByName, [scored(F.broadcast(numbered.filter(F.col("_block") == b).drop("_block"))) for b in range(blocks)])
+
+
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, q, scale, q_sum): one byte's worth of information a dimension."""
     scaled = vectors.select(F.col(id_col), F.col(vector_col).alias("v"), robust_scale(F.col(vector_col)).alias("scale"))
@@ -22,18 +35,23 @@ def top_k(scores: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id
 
 
 def search_exact(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Inner products in double; the queries are a stated set that is sent to every task."""
-    q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")))
-    scores = docs.join(q).select("query_id", F.col("vec_id").alias("doc_id"), F.round(dot(F.col("qv"), F.col("embedding")), 6).alias("score"))
-    return top_k(scores, k)
+    """Inner products in double, of a stated set of queries with all documents."""
+
+    def scored(block: DataFrame) -> DataFrame:
+        return docs.join(block).select("query_id", F.col("vec_id").alias("doc_id"), F.round(dot(F.col("qv"), F.col("embedding")), 6).alias("score"))
+
+    return top_k(in_blocks(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), scored), k)
 
 
 def search_quantised(index: DataFrame, query_index: DataFrame, k: int) -> DataFrame:
     """Whole-number inner products of the biased queries, the bias taken out again by the documents' sums, then scaled."""
-    q = F.broadcast(query_index.select(F.col("vec_id").alias("query_id"), F.transform("q", lambda x: x + 128).alias("qq"), F.col("scale").alias("q_scale")))
+    queries = query_index.select(F.col("vec_id").alias("query_id"), F.transform("q", lambda x: x + 128).alias("qq"), F.col("scale").alias("q_scale"))
     plain = dot(F.col("qq"), F.col("q"), "int") - F.col("q_sum") * 128
-    scores = index.join(q).select("query_id", F.col("vec_id").alias("doc_id"), F.round(plain * F.col("q_scale") * F.col("scale"), 6).alias("score"))
-    return top_k(scores, k)
+
+    def scored(block: DataFrame) -> DataFrame:
+        return index.join(block).select("query_id", F.col("vec_id").alias("doc_id"), F.round(plain * F.col("q_scale") * F.col("scale"), 6).alias("score"))
+
+    return top_k(in_blocks(queries, scored), k)
 
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -46,6 +64,6 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 def score_noise(index: DataFrame, vectors: DataFrame, query_ids: str) -> DataFrame:
     """(n, mean_error, var_error) of quantised against exact inner products."""
     docs = vectors.join(index, "vec_id")
-    q = F.broadcast(docs.filter(query_ids).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("q").alias("qq"), F.col("scale").alias("q_scale")))
+    queries = docs.filter(query_ids).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("q").alias("qq"), F.col("scale").alias("q_scale"))
     error = dot(F.col("qq"), F.col("q"), "int") * F.col("q_scale") * F.col("scale") - dot(F.col("qv"), F.col("embedding"))
-    return docs.join(q).select(error.alias("e")).agg(F.count("*").alias("n"), F.round(F.avg("e"), 6).alias("mean_error"), F.round(F.var_pop("e"), 8).alias("var_error"))
+    return in_blocks(queries, lambda block: docs.join(block).select(error.alias("e"))).agg(F.count("*").alias("n"), F.round(F.avg("e"), 6).alias("mean_error"), F.round(F.var_pop("e"), 8).alias("var_error"))

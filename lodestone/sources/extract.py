@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import line_of
+
 SCHEMA = (
     "path string, record string, name string, qualified_name string, kind string, start_line int, end_line int, signature string, doc string, exported int,"
     " extends string, implements string, receiver string, enclosing string, line int, source string, specifiers array<string>, is_dynamic boolean"
@@ -164,7 +166,7 @@ def c_family(path: str, text: str, cpp: bool) -> Found:
         symbol(m[2], kind, m.start(), end, m[0].rstrip("{"), extends=m[3])
         if kind in ("namespace", "class"):
             spans.append((m.start(), end, m[2]))
-    for m in re.finditer(r"\btypedef\b[^;{}]*(?:\{[^{}]*\})?[^;{}]*?(\w+)[ \t]*;", code):
+    for m in re.finditer(r"\btypedef\b[^;{}]*(?:\{[^{}]*\})?[^;{}]*?\b(\w+)[ \t]*;", code):
         symbol(m[1], "type_alias", m.start(), m.end(), text[m.start() : m.end()].split("{")[0])
     for m in C_FUNCTION.finditer(code):
         name = m[2].split("::")[-1]
@@ -331,8 +333,7 @@ def extract_files(files: DataFrame) -> DataFrame:
     """One row per symbol, call and import (column record) of files (path, language, content)."""
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in re.sub(r"<[^>]*>", "", SCHEMA).split(", ")]
-        names = [n for part in names for n in [part]]
+        names = [f.split()[0] for f in SCHEMA.split(", ")]
         for batch in batches:
             out = []
             for path, language, content in zip(batch.path, batch.language, batch.content, strict=True):
@@ -351,7 +352,7 @@ def routes(files: DataFrame) -> DataFrame:
 
     def found(expression: str, condition: F.Column, method: F.Column, pattern: F.Column, handler: F.Column, framework: str) -> DataFrame:
         hits = files.filter(condition).select("path", "content", F.explode(F.regexp_extract_all(text, F.lit(f"(?m)({expression})"), 1)).alias("hit")).distinct()
-        line = F.length(F.substring_index("content", F.col("hit"), 1)) - F.length(F.replace(F.substring_index("content", F.col("hit"), 1), F.lit("\n"), F.lit(""))) + 1
+        line = line_of(text, F.position(F.col("hit"), text) - 1)
         return hits.select("path", method.alias("method"), pattern.alias("pattern"), handler.alias("handler"), line.cast("int").alias("line"), F.lit(framework).alias("framework"))
 
     part = lambda expression, k=1: F.regexp_extract("hit", expression, k)

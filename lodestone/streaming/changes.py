@@ -26,7 +26,7 @@ def debounced(events: DataFrame, gap: str, key: str, item: str, time: str = "ts"
 
 def debounce_stream(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, gap: str = "2 seconds", late: str = "10 minutes", key: str = "user_id", item: str = "event_type") -> StreamingQuery:
     """The same over a stream of Parquet files, written as Parquet; ends when all that is there is read."""
-    events = spark.readStream.schema(schema).parquet(source).withWatermark("ts", late)
+    events = spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     out = debounced(events, gap, key, item)
     return out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 

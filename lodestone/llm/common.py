@@ -14,6 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: glibc's malloc_trim, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,10 +50,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def by_rows(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Slices of at most so many rows, to bound the memory that one step takes."""
+    """Slices of at most so many rows, to bound the memory that one step takes; what a step freed goes back to the system."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+            pa.default_memory_pool().release_unused()
+            if _TRIM is not None:
+                _TRIM(0)
 
 
 def texts_of(column: pa.Array) -> list[str]:

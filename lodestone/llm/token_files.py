@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import by_rows
 from .word_codes import ChunkCodes
 
-ROWS = 2_000
+ROWS = 5_000
 #: Chunks that are encoded in one call.
 JOINED = 2_000
 #: Bits of pos that count the rows of one file's partition (monotonically_increasing_id's layout).
@@ -101,7 +101,6 @@ def write_token_files(
             bounds = (bounds + np.arange(len(bounds))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ended))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), ids], ["doc_id", "n_tokens", "ids"])
-            pa.default_memory_pool().release_unused()
 
     kind = source.schema["doc_id"].dataType.simpleString()
     tokens = ordered.mapInArrow(encode, f"doc_id {kind}, n_tokens int, ids array<int>")

@@ -41,7 +41,7 @@ def gather(pool: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np
 class CodeCache:
     """Codes of keys, in two generations of at most `bound` keys; encode gets the distinct keys that are not known."""
 
-    def __init__(self, encode: Callable[[list], list[bytes]], bound: int = 150_000):
+    def __init__(self, encode: Callable[[list], list[bytes]], bound: int = 200_000):
         self.encode, self.bound = encode, bound
         self.young: dict = {}
         self.old: dict = {}
@@ -68,7 +68,7 @@ class CodeCache:
 class ChunkCodes:
     """Ids (unsigned 32-bit integers) of texts; encode gives the ids of distinct chunks as little-endian bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], bound: int = 150_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], bound: int = 200_000):
         self.cache = CodeCache(encode, bound)
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

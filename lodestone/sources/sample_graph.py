@@ -64,7 +64,7 @@ def load(spark: SparkSession, sf_dir: str, dense: bool = False) -> Graph:
     nodes = _nodes(part, files)
     returned = lines.filter("l_returnflag = 'R'")
     calls = _pairs(returned if dense else returned.filter("l_quantity >= 25")).withColumn("kind", F.lit("calls"))
-    place = nodes.select("id", "file_id")
+    place = part.select("p_partkey", F.regexp_extract("p_brand", r"#(\d+)", 1).cast("long"))
     imports = _pairs(lines.filter("l_returnflag = 'A' AND l_quantity >= 25"))
     imports = imports.join(place.toDF("source_id", "source_file"), "source_id").join(place.toDF("target_id", "target_file"), "target_id").filter("source_file != target_file").select("source_id", "target_id", F.lit("imports").alias("kind"))
     edges = calls.unionByName(imports).select(_edge_id().alias("id"), "source_id", "target_id", "kind")

@@ -68,9 +68,9 @@ class PairIndexBpe:
             self.token_bytes[at] = token.encode()
         self.decimal = [str(i) for i in range(size)]
         self.word_codes: dict[str, bytes] = {}
-        self.codes = ChunkCodes(self.encode_chunks)
+        self.codes = ChunkCodes(self.encode_chunks, 100_000)
 
-    def encode_chunks(self, distinct: list[str], bound: int = 250_000) -> list[bytes]:
+    def encode_chunks(self, distinct: list[str], bound: int = 100_000) -> list[bytes]:
         """A code for each chunk."""
         if len(self.word_codes) > bound:
             self.word_codes = {}

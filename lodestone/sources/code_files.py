@@ -56,9 +56,29 @@ def ignored(path: Column, rules: list[IgnoreRule]) -> Column:
     return out
 
 
+def underscored(spark: SparkSession, root: str) -> list[str]:
+    """The directories under root whose names begin with an underscore; Spark's readers pass over them unless they are named."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    start = hadoop.Path(root)
+    fs = start.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    todo, out = [start], []
+    while todo:
+        for status in fs.listStatus(todo.pop()):
+            name = status.getPath().getName()
+            if status.isDirectory() and not name.startswith(".") and name not in ALWAYS:
+                todo.append(status.getPath())
+                if name.startswith("_"):
+                    out.append(status.getPath().toString())
+    return out
+
+
 def scan(spark: SparkSession, root: str, rules: list[IgnoreRule] | None = None) -> DataFrame:
-    """(path, language, hash, size, mtime, content) of the files in known languages under root; hidden ones are left out."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """(path, language, hash, size, mtime, content) of the files in known languages under root.
+
+    Hidden files are left out, and files whose own names begin with an underscore,
+    which Spark's readers take for their own.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([root, *underscored(spark, root)])
     base = re.sub(r"^[a-z]+:/*", "/", root).rstrip("/") + "/"
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(base), "")
     known = found.select(path.alias("path"), "length", "modificationTime", "content").filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*LANGUAGES))

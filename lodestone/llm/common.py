@@ -42,11 +42,35 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that deletes a query's shuffle files when the query has ended.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = staging_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written once to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    What the write shuffled is not needed any more when it has ended, so it is
+    deleted then, and not whenever the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    path = staging_path(spark, name)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def give_back() -> None:
+    """Gives memory that was freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def by_rows(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -54,9 +78,7 @@ def by_rows(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-            pa.default_memory_pool().release_unused()
-            if _TRIM is not None:
-                _TRIM(0)
+            give_back()
 
 
 def texts_of(column: pa.Array) -> list[str]:

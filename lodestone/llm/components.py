@@ -31,12 +31,14 @@ def component_labels(links: DataFrame, name: str = "components") -> DataFrame:
     diameter. Self links and repeated links change nothing.
     """
     links = staged(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), name)
-    mark = None
-    while True:
+    while not _is_forest_of_stars(links):
         links = staged(_stars(_stars(links, False), True), name)
-        now = links.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
-            break
-        mark = now
     roots = links.select(F.col("v").alias("node")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots.select("node", F.col("node").alias("label")))
+
+
+def _is_forest_of_stars(links: DataFrame) -> bool:
+    """Whether each node has one link downwards at most, and what it links to has none."""
+    several = links.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1")
+    chained = links.select(F.col("v").alias("u")).distinct().join(links, "u", "left_semi")
+    return not several.select("u").union(chained).limit(1).count()

@@ -43,8 +43,10 @@ HITS = 3
 FREQUENT, LOCAL_COUNT = 131_072, 3
 #: Members of a group, queries that one task brings to a group, leaders that a node is compared with in a round, rounds.
 GROUP_SIZE, TASK_QUERIES, LEADERS, ROUNDS = 64, 4_096, 2, 3
-#: A next round of leaders is worth it if the last one linked so many nodes.
-WORTH = 200
+#: Rows (some 40 bytes each) that are sent to every task to pick texts, instead of shuffling the texts.
+BROADCAST_ROWS = 500_000
+#: With more pairs of a node and a group left than this for each node, another round of leaders comes first.
+PAIRS_PER_NODE = 2
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -130,7 +132,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
 
     def profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "doc_id", "n", "a", "b"]
-        for batch in by_rows(batches, 10_000):
+        for batch in by_rows(batches, 4_000):
             sets = shingle_sets(batch.column(1), words)
             digests = [set_digest(s) for s in sets]
             columns = [np.zeros(len(sets), np.int32), batch.column(0), np.array([len(s) for s in sets], np.int32), np.array([d[0] for d in digests], np.int64), np.array([d[1] for d in digests], np.int64)]
@@ -231,7 +233,12 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _with_leader(rows: DataFrame, percent: int, turn: int) -> DataFrame:
-    """(node, leader): for each node the first nodes of its tokens, in an order of this round, that it shares most with; only where class and size allow a new link."""
+    """(node, leader): for each node the first nodes of its tokens, in an order of this round, that it shares most with; only where class and size allow a new link.
+
+    In the first round that is the node in which the token comes earliest: of
+    near copies the one with the fewest tokens of its own, which most others are
+    like. Later rounds draw another one.
+    """
 
     def lead(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None  # token, node, class and size of the open run's first row
@@ -252,26 +259,30 @@ def _with_leader(rows: DataFrame, percent: int, turn: int) -> DataFrame:
             head = (t[k], n[k], v[k], c[k])
             yield pa.RecordBatch.from_arrays([pa.array(n[keep]), pa.array(n[first][keep]), pa.array(needed[keep])], ["node", "leader", "needed"])
 
-    order = F.xxhash64("node", F.lit(turn))
-    ordered = rows.select("token", "node", "place", "class").repartition("token").sortWithinPartitions("token", order)
+    order = [F.xxhash64("node", F.lit(turn))] if turn else [F.expr("place & 4294967295"), F.xxhash64("node")]
+    ordered = rows.select("token", "node", "place", "class").repartition("token").sortWithinPartitions("token", *order)
     pairs = ordered.mapInArrow(lead, "node long, leader long, needed long").groupBy("node", "leader").agg(F.count("*").alias("hits"), F.min("needed").alias("needed")).filter("hits >= needed")
     best = Window.partitionBy("node").orderBy(F.desc("hits"), "leader")
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= LEADERS).select("node", "leader")
 
 
-def open_groups(members: DataFrame, queries: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def open_groups(members: DataFrame, queries: DataFrame, docs: DataFrame, owners: DataFrame, words: int, percent: int) -> DataFrame:
     """(u, v): links of query nodes with members of the groups they are brought to, one for each query and group at most.
 
-    members: (group, node); queries: (group, node); texts: (node, text). A group
-    has a bounded number of members; its queries are dealt to several tasks if
-    they are many. A task holds the members' tokens, sorted (their distinct values
-    are the group's row of the matrix), streams the queries past them, and opens
-    the group to those that have enough tokens in it.
+    members: (group, node); queries: (group, node); docs: (doc_id, text); owners:
+    (node, owner), the document that has a node's text. A group has a bounded
+    number of members; its queries are dealt to several tasks if they are many. A
+    task holds the members' tokens, sorted (their distinct values are the group's
+    row of the matrix), streams the queries past them, and opens the group to
+    those that have enough tokens in it.
     """
     dealt = queries.groupBy("group").agg(F.ceil(F.count("*") / TASK_QUERIES).alias("tasks"))
     left = members.join(dealt, "group").select("group", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("role"))
     right = queries.join(dealt, "group").select("group", "node", F.pmod(F.xxhash64("node"), "tasks").alias("task"), F.lit(1).alias("role"))
-    both = left.union(right).join(texts, "node").select("group", "task", "role", "node", "text")
+    placed = staged(left.union(right).join(owners, "node"), "jaccard-placed")
+    if placed.count() <= BROADCAST_ROWS:
+        placed = F.broadcast(placed)  # else both sides are shuffled
+    both = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("owner"))).select("group", "task", "role", "node", "text")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets = None, [], []
@@ -314,14 +325,16 @@ def open_groups(members: DataFrame, queries: DataFrame, texts: DataFrame, words:
     return both.repartition("group", "task").sortWithinPartitions("group", "task", "role", "node").mapInArrow(compare, "u long, v long")
 
 
-def _classes(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """(node, class) of all nodes."""
-    labels = component_labels(links, name)
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("class"))
+def _united(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, class) with the classes united that links (u, v) join; only links that are new go into it."""
+    other = classes.select(F.col("node").alias("v"), F.col("class").alias("c"))
+    between = links.join(classes.withColumnRenamed("node", "u"), "u").join(other, "v").select(F.col("class").alias("u"), F.col("c").alias("v"))
+    labels = component_labels(between, "jaccard-components").withColumnRenamed("node", "class")
+    return staged(classes.join(labels, "class", "left").select("node", F.coalesce("label", "class").alias("class")), "jaccard-classes")
 
 
-def _remaining(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(members, queries): the groups of other classes that nodes must still be brought to.
+def _remaining(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """(members, queries, their number): the groups of other classes that nodes must still be brought to.
 
     rows: (token, node, place, class) of the shared first tokens. The nodes of the
     smaller class (by the number of its nodes here) are the queries, the larger
@@ -335,19 +348,22 @@ def _remaining(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     mixed = rows.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("token")
     full = staged(rows.join(mixed, "token").select("token", "node", F.expr("place & 4294967295").alias("at")).join(nodes, "node"), "jaccard-mixed")
     hits = F.least(F.lit(HITS), F.expr(f"(n * {percent} + 99) div 100"))
-    # what a set can still share from a token on, against what a link asks for: the parts of that comparison that are each side's own
-    room = (F.col("n") - F.col("at") + HITS - 1) * (100 + percent)
+    # what a set can still share from its first shared token on, against what a link asks for: the parts of that comparison that are each side's own
+    room = (F.col("n") - F.col("at")) * (100 + percent)
     side = full.groupBy("token", "group", "class", "many").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min(hits).alias("least_hits"), F.max(room - F.col("n") * percent).alias("g_room"))
     side = side.select("token", "group", F.col("class").alias("g_class"), F.col("many").alias("g_many"), "least_n", "most_n", "least_hits", "g_room")
-    query = full.select("token", "node", "class", "many", "n", hits.alias("hits"), room.alias("room"))
+    query = full.select("token", "node", "class", "many", "n", room.alias("room"))
     smaller = (F.col("many") < F.col("g_many")) | ((F.col("many") == F.col("g_many")) & (F.col("class") < F.col("g_class")))
     alike = (F.col("least_n") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("most_n") * 100)
     enough = (F.col("room") >= (F.col("n") + F.col("least_n")) * percent) & (F.col("g_room") >= F.col("n") * percent)
-    pairs = query.join(side, "token").filter(smaller & alike & enough)
-    pairs = pairs.groupBy("group", "node").agg(F.count("*").alias("shared"), F.min(F.least("hits", "least_hits")).alias("needed")).filter("shared >= needed")
-    queries = staged(pairs.select("group", "node"), "jaccard-queries")
+    pairs = staged(query.join(side, "token").filter(smaller & alike & enough).select("group", "node").distinct(), "jaccard-pairs")
+    # of what is left, those that share enough first tokens: looked up for each pair, by equality
+    listed = pairs.join(full.select("node", "token", hits.alias("hits")), "node")
+    shared = listed.join(side.select("token", "group", "least_hits"), ["token", "group"])
+    counts = shared.groupBy("group", "node").agg(F.count("*").alias("shared"), F.min(F.least("hits", "least_hits")).alias("needed")).filter("shared >= needed")
+    queries = staged(counts.select("group", "node"), "jaccard-queries")
     members = nodes.select("group", "node").join(queries.select("group").distinct(), "group")
-    return members, queries
+    return members, queries, queries.count()
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
@@ -360,31 +376,35 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     clashes = {r.a for r in filled.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low != high").select("a").collect()}
     node = F.when(F.col("a").isin(*clashes), F.col("b")).otherwise(F.col("a")) if clashes else F.col("a")
     filled = filled.withColumn("node", node)
-    owners = filled.groupBy("node").agg(F.min("doc_id").alias("owner"))
+    owners = staged(filled.groupBy("node").agg(F.min("doc_id").alias("owner")), "jaccard-owners")
     rows = staged(_shared(_first_token_rows(source, words, percent, _frequent(profiles), clashes)), "jaccard-first")
     nodes = staged(rows.select("node").distinct(), "jaccard-nodes")
-    # the texts of nodes that share a first token with another one: all that is compared from here on
-    wanted = nodes.join(owners, "node")
-    texts = staged(source.join(wanted, F.col("doc_id").eqNullSafe(F.col("owner"))).select("node", "text"), "jaccard-texts")
-
-    links = None
     classes = nodes.select("node", F.col("node").alias("class"))
     for turn in range(ROUNDS):
         queries = staged(_with_leader(rows.join(classes, "node"), percent, turn).select(F.col("leader").alias("group"), "node"), "jaccard-queries")
         members = queries.select("group").distinct().select("group", F.col("group").alias("node"))
-        found = staged(open_groups(members, queries, texts, words, percent), "jaccard-links")
-        links = found if links is None else links.union(found)
-        many = found.count()
-        if many:
-            classes = staged(_classes(nodes, links, "jaccard-components"), "jaccard-classes")
-        if many < WORTH:
+        classes = _united(classes, staged(open_groups(members, queries, source, owners, words, percent), "jaccard-links"))
+        members, queries, pairs = _remaining(rows.join(classes, "node"), percent)
+        if pairs <= PAIRS_PER_NODE * nodes.count():
             break
-    members, queries = _remaining(rows.join(classes, "node"), percent)
-    last = staged(open_groups(members, queries, texts, words, percent), "jaccard-links")
-    classes = _classes(nodes, links.union(last), "jaccard-components")
+    classes = _united(classes, staged(open_groups(members, queries, source, owners, words, percent), "jaccard-links"))
     known = owners.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = known.groupBy("class").agg(F.min("owner").alias("component_id"))
     of_node = known.join(least, "class").select("node", "component_id")
     out = sets.withColumn("node", node).join(of_node, "node", "left")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), alone.alias("component_id"))
+
+
+def components_sql(words: int = 4, percent: int = 85) -> str:
+    """similar_components of the table documents, in DuckDB's SQL: all pairs that share a token, and what they reach."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i : i + {words - 1}], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+t AS (SELECT doc_id, unnest(s) AS t FROM s),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= {percent} * (p.n + q.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS d, doc_id AS m FROM documents UNION SELECT r.d, e.y FROM r JOIN e ON e.x = r.m)
+SELECT n.doc_id, n.n AS n_shingles, min(r.m) AS component_id FROM n JOIN r ON r.d = n.doc_id GROUP BY 1, 2"""

@@ -70,7 +70,9 @@ def hard_rows():
 
 @pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80)])
 def test_hard_rows(spark, words, percent, monkeypatch):
-    monkeypatch.setattr(jaccard_groups, "WORTH", 10)
+    monkeypatch.setattr(jaccard_groups, "PAIRS_PER_NODE", 0)
+    if words == 5:
+        monkeypatch.setattr(jaccard_groups, "BROADCAST_ROWS", 0)
     rows = hard_rows()
     R.shuffle(rows)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, node long").repartition(5)

@@ -122,3 +122,30 @@ def conversation_digests(windows: DataFrame) -> DataFrame:
         F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+def digests_sql(extra: tuple[tuple[int, int, str, str], ...]) -> str:
+    """conversation_digests(format_windows(...)) of the table conversations and the extra turns, in DuckDB's SQL."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(f"({c}, {t}, {quote(r)}, {quote(x)})" for c, t, r, x in extra)
+
+    def escaped(column: str) -> str:
+        for plain, other in ESCAPES:
+            column = f"replace({column}, {quote(plain)}, {quote(other)})"
+        return column
+
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations UNION ALL SELECT * FROM (VALUES {rows})),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body) AS k, {len(OPEN + AFTER_ROLE + CLOSE)} + length({escaped("role")}) + length({escaped("body")}) AS chars FROM t),
+s AS (SELECT *, CAST(ceil(chars / {CHARS_PER_TOKEN}.0) AS BIGINT) AS tokens, k = 1 AND role = '{SYSTEM}' AS is_system FROM k),
+p AS (SELECT *, coalesce(sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix,
+  greatest(1, ({BUDGET - HISTORY} - max(CASE WHEN is_system THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id)) // 2) AS room FROM s),
+o AS (SELECT *, floor(prefix / room) AS stretch, NOT is_system AND tokens > room AS long FROM p),
+f AS (SELECT *, CASE WHEN coalesce(lag(is_system) OVER w, true) THEN 0 WHEN stretch <> lag(stretch) OVER w OR long OR lag(long) OVER w THEN 1 ELSE 0 END AS opens FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+n AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY k) AS win FROM f),
+b AS (SELECT conv_id, win, min(prefix) AS begin FROM n WHERE NOT is_system AND win > 0 GROUP BY 1, 2),
+again AS (SELECT n.conv_id, sum(n.chars) AS chars FROM n JOIN b ON b.conv_id IS NOT DISTINCT FROM n.conv_id AND (n.is_system OR (n.win < b.win AND b.begin - n.prefix <= {HISTORY})) GROUP BY 1)
+SELECT n.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(body)) FILTER (role = '{TARGET}'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(body, '' ORDER BY k) FILTER (role = '{TARGET}'), '')) AS loss_sha256,
+  CAST(sum(n.chars) + coalesce(any_value(again.chars), 0) AS BIGINT) AS formatted_chars
+FROM n LEFT JOIN again ON again.conv_id IS NOT DISTINCT FROM n.conv_id GROUP BY 1"""

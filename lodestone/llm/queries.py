@@ -13,6 +13,7 @@ from .common import staged, staging_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
+SAID = "</s>[INST] ok [/INST]"
 
 
 def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +40,7 @@ def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows are written to the shared folder and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    extra = spark.sql("SELECT col1 AS conv_id, col2 AS turn, col3 AS role, :said AS text FROM VALUES (-1L, 0L, 'user'), (-1L, 1L, 'assistant')", args={"said": said})
+    extra = spark.sql("SELECT col1 AS conv_id, col2 AS turn, col3 AS role, :said AS text FROM VALUES (-1L, 0L, 'user'), (-1L, 1L, 'assistant')", args={"said": SAID})
     return chat_windows.conversation_digests(staged(chat_windows.format_windows(turns.unionByName(extra)), "op5-windows"))
 
 
@@ -82,5 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_compaction": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+        "op5_chat_windows": chat_windows.digests_sql(((-1, 0, "user", SAID), (-1, 1, "assistant", SAID))),
         "op7_licenses": licenses.scan_sql(),
+        "op10_jaccard_groups": jaccard_groups.components_sql(),
     }

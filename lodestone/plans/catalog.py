@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.vector import dot, rotated
-from lodestone.operators import analytics, classify, ranges, resolve, retrieval, search, traversal
+from lodestone.operators import analytics, classify, export, ranges, resolve, retrieval, search, traversal
 from lodestone.sources import sample_graph, storage
 from lodestone.streaming import changes
 
@@ -688,6 +688,106 @@ def last_n(spark, d):
     return read(spark, d, "orders").withColumn("k", F.row_number().over(order)).filter("k <= 3").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
 
 
+# joins and reports over accounts, orders and events
+
+
+@query("SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def joined_ordered(spark, d):
+    customers = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    urgent = read(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey", "o_totalprice")
+    return urgent.join(customers, "o_custkey").select("o_orderkey", "c_name", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+
+
+@query("SELECT s_suppkey, coalesce(n_name, CAST(s_nationkey AS VARCHAR)) AS nation FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON n_nationkey = s_nationkey")
+def name_or_id(spark, d):
+    known = read(spark, d, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    return read(spark, d, "supplier").join(known, "s_nationkey", "left").select("s_suppkey", F.coalesce("n_name", F.col("s_nationkey").cast("string")).alias("nation"))
+
+
+@query("SELECT r_name, n_name FROM region LEFT JOIN nation ON n_regionkey = r_regionkey")
+def hierarchy(spark, d):
+    children = read(spark, d, "nation").select(F.col("n_regionkey").alias("r_regionkey"), "n_name")
+    return read(spark, d, "region").join(children, "r_regionkey", "left").select("r_name", "n_name")
+
+
+@query("SELECT n_name, sum(c_acctbal::DECIMAL(18,2))::DOUBLE - coalesce(any_value(s.debt), 0) AS worth FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (SELECT s_nationkey, sum(s_acctbal::DECIMAL(18,2))::DOUBLE AS debt FROM supplier GROUP BY 1) s ON s.s_nationkey = n_nationkey GROUP BY n_name")
+def net_worth(spark, d):
+    money = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+    owned = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(money("c_acctbal").alias("owned"))
+    owed = read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(money("s_acctbal").alias("owed"))
+    nations = read(spark, d, "nation").select("n_nationkey", "n_name")
+    return nations.join(owned, "n_nationkey").join(owed, "n_nationkey", "left").select("n_name", (F.col("owned") - F.coalesce("owed", F.lit(0.0))).alias("worth"))
+
+
+@query("SELECT date_trunc('month', o_orderdate)::DATE AS month, floor(sum(o_totalprice::DECIMAL(18,2))::DOUBLE / count(DISTINCT o_orderdate::DATE) * 100 + 0.5) / 100 AS per_day, floor(sum(o_totalprice::DECIMAL(18,2))::DOUBLE / count(DISTINCT o_orderdate::DATE) * extract('day' FROM last_day(any_value(o_orderdate)::DATE)) * 100 + 0.5) / 100 AS projected FROM orders GROUP BY 1")
+def daily_projection(spark, d):
+    day = F.to_date("o_orderdate")
+    months = read(spark, d, "orders").groupBy(F.trunc(day, "month").alias("month")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("s"), F.countDistinct(day).alias("days"))
+    per_day = F.col("s") / F.col("days")
+    return months.select("month", T.half_up(per_day, 2).alias("per_day"), T.half_up(per_day * F.dayofmonth(F.last_day("month")), 2).alias("projected"))
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS INT) % 10 AS tag, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) % 10 IN (1, 3, 5) GROUP BY 1")
+def by_any_tag(spark, d):
+    tag = F.get_json_object("props", "$.k").cast("int") % 10
+    tagged = read(spark, d, "events").withColumn("tags", F.array(tag))
+    found = tagged.filter(F.arrays_overlap("tags", F.array(F.lit(1), F.lit(3), F.lit(5))))
+    return found.groupBy(F.col("tags")[0].alias("tag")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
+@query("SELECT o_orderkey, (o_orderdate::DATE + INTERVAL 30 DAY)::DATE AS next FROM orders WHERE (o_orderdate::DATE + INTERVAL 30 DAY)::DATE BETWEEN DATE '1996-06-01' AND DATE '1996-06-15'")
+def upcoming(spark, d):
+    due = F.date_add(F.to_date("o_orderdate"), 30)
+    return read(spark, d, "orders").select("o_orderkey", due.alias("next")).filter(F.col("next").between("1996-06-01", "1996-06-15"))
+
+
+@query("SELECT user_id, floor(avg(CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0 END) * 10000 + 0.5) / 10000 AS rate, count(*) AS n FROM events GROUP BY 1")
+def win_rate(spark, d):
+    won = F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0)
+    return read(spark, d, "events").groupBy("user_id").agg(T.half_up(F.avg(won), 4).alias("rate"), F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey % 5 = 0 THEN floor(c_acctbal + 0.5) ELSE floor(c_acctbal * 100 + 0.5) / 100 END AS rounded FROM customer")
+def money_rounding(spark, d):
+    whole = F.col("c_nationkey") % 5 == 0  # currencies without small units
+    x = F.col("c_acctbal")
+    return read(spark, d, "customer").select("c_custkey", F.when(whole, T.half_up(x)).otherwise(T.half_up(x, 2)).alias("rounded"))
+
+
+@query(INDEX + f" SELECT avg(hit) AS hit_rate FROM (SELECT t.query_id, max(CASE WHEN q.label = e.label THEN 1.0::DOUBLE ELSE 0 END) AS hit FROM ({topk_sql(EXACT)}) t JOIN embeddings q ON q.vec_id = t.query_id JOIN embeddings e ON e.vec_id = t.doc_id WHERE t.doc_id <> t.query_id GROUP BY 1)")
+def hit_rate(spark, d):
+    labels = read(spark, d, "embeddings").select("vec_id", "label")
+    found = topk_exact(spark, d).filter("doc_id != query_id").join(labels.toDF("query_id", "wanted"), "query_id").join(labels.toDF("doc_id", "got"), "doc_id")
+    hits = found.groupBy("query_id").agg(F.max(F.when(F.col("wanted") == F.col("got"), 1.0).otherwise(0.0)).alias("hit"))
+    return hits.agg(F.avg("hit").alias("hit_rate"))
+
+
+@query("SELECT bin, count(*) AS n, round(avg(value), 6) AS mean_value FROM (SELECT CAST(floor(least(value, 99.999) / 10) AS INT) AS bin, value FROM events) GROUP BY 1 HAVING count(*) > 5")
+def calibration_bins(spark, d):
+    binned = read(spark, d, "events").select(F.floor(F.least("value", F.lit(99.999)) / 10).cast("int").alias("bin"), "value")
+    return binned.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value")).filter("n > 5")
+
+
+@query(INDEX + " SELECT vec_id, list_min(list_transform(q, lambda x: x + 128)) AS low, list_max(list_transform(q, lambda x: x + 128)) AS high, round(sqrt(list_sum(list_transform(e, lambda x: x * x))) * sqrt(2 * ln(2 * len(e) / 0.01::DOUBLE) / len(e)), 6) AS coordinate_bound FROM idx")
+def query_bias(spark, d):
+    vectors = read(spark, d, "embeddings").select("vec_id", "embedding")
+    n = F.size("embedding")
+    bound = F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(F.ln(n * 2 / F.lit(0.01)) * 2 / n)
+    q = retrieval.build_index(vectors).select("vec_id", F.transform("q", lambda x: x + 128).alias("u"))
+    return vectors.join(q, "vec_id").select("vec_id", F.array_min("u").alias("low"), F.array_max("u").alias("high"), F.round(bound, 6).alias("coordinate_bound"))
+
+
+@query(BASE + ", f AS (SELECT id FROM nodes ORDER BY id LIMIT 200) SELECT e.id, e.kind FROM edges e WHERE source_id IN (SELECT id FROM f) AND target_id IN (SELECT id FROM f)")
+def export_gather(spark, d):
+    return export.gathered(graph(spark, d)).edges.select("id", "kind")
+
+
+@query("SELECT source, target, min(id) AS id FROM (SELECT l_partkey % 50 AS source, l_suppkey % 50 AS target, l_orderkey * 100 + l_linenumber AS id FROM lineitem) GROUP BY 1, 2")
+def edge_once(spark, d):
+    lines = read(spark, d, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 50).alias("source_id"), (F.col("l_suppkey") % 50).alias("target_id"), F.lit("calls").alias("kind"))
+    return storage.distinct_edges(lines).select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "id")
+
+
 # scalar functions
 
 

@@ -34,7 +34,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 BLOCK_WORDS = 128
 SHARD_SLOTS, MOST_SHARDS = 8_192, 4_096
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 SEED = 20_240
 
 

@@ -26,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_rows
+from .common import at_work, by_rows
 from .word_codes import ChunkCodes
 
 #: Fixed value: the byte-level pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ROWS = 2_000
+ROWS = 1_000
 
 
 def byte_alphabet() -> list[str]:
@@ -149,6 +149,11 @@ class PairIndexBpe:
         cuts = (np.searchsorted(kept, ends) * 4).tolist()
         return [code[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)]
 
+    def forget(self) -> None:
+        """Empties the caches; the vocabulary stays."""
+        self.word_codes = {}
+        self.codes.cache.young, self.codes.cache.old = {}, {}
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         flat, bounds = self.codes.of(pa.array(texts, pa.string()))
@@ -161,7 +166,7 @@ class PairIndexBpe:
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> PairIndexBpe:
-    """One per Python worker: read once, its cache lives on between tasks."""
+    """One per Python worker."""
     return PairIndexBpe(path)
 
 
@@ -171,6 +176,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(vocabulary_path)
+        at_work("bpe", model.forget)
         for batch in by_rows(batches, ROWS):
             flat, bounds = model.codes.of(batch.column(1))
             ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype("<i4")))
@@ -185,6 +191,7 @@ def decode_documents(encoded: DataFrame, vocabulary_path: str, id_col: str = "do
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(vocabulary_path)
+        at_work("bpe", model.forget)
         for batch in by_rows(batches, ROWS):
             texts = [model.decode(ids or ()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
@@ -202,6 +209,7 @@ def round_trip_digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(vocabulary_path)
+        at_work("bpe", model.forget)
         for batch in by_rows(batches, ROWS):
             counts, encoded, decoded = [], [], []
             flat, bounds = model.codes.of(batch.column(1))

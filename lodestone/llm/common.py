@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -66,6 +66,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The operator whose tasks this Python worker ran last, and how its caches are emptied.
+_AT_WORK: list = [None, None]
+
+
+def at_work(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """To be called where a task of an operator begins: caches that another operator has left in this worker go."""
+    last, empty = _AT_WORK
+    if last != operator and empty is not None:
+        empty()
+        give_back()
+    _AT_WORK[:] = operator, forget
+
+
 def give_back() -> None:
     """Gives memory that was freed back to the system."""
     pa.default_memory_pool().release_unused()

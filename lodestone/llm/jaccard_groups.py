@@ -34,13 +34,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_rows, staged
+from .common import at_work, by_rows, staged
 from .components import component_labels
 
 #: Tokens that a linked pair's first tokens share at least (fewer for very small sets).
 HITS = 3
 #: Entries of the table of frequent tokens (8 bytes each, sent to every worker), and the documents of a batch in which a token stands before it is counted.
-FREQUENT, LOCAL_COUNT = 131_072, 3
+FREQUENT, LOCAL_COUNT = 262_144, 2
 #: Members of a group, queries that one task brings to a group, leaders that a node is compared with in a round, rounds.
 GROUP_SIZE, TASK_QUERIES, LEADERS, ROUNDS = 64, 4_096, 2, 3
 #: Rows (some 40 bytes each) that are sent to every task to pick texts, instead of shuffling the texts.
@@ -131,8 +131,9 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
     """Rows of two kinds: 0, a document's set size and digest; 1, a token that several sets of a batch have, with their number."""
 
     def profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("jaccard")
         names = ["kind", "doc_id", "n", "a", "b"]
-        for batch in by_rows(batches, 4_000):
+        for batch in by_rows(batches, 2_000):
             sets = shingle_sets(batch.column(1), words)
             digests = [set_digest(s) for s in sets]
             columns = [np.zeros(len(sets), np.int32), batch.column(0), np.array([len(s) for s in sets], np.int32), np.array([d[0] for d in digests], np.int64), np.array([d[1] for d in digests], np.int64)]
@@ -151,7 +152,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
 def _frequent(profiles: DataFrame) -> np.ndarray:
     """The most frequent tokens, the most frequent last; at most FREQUENT of them."""
     counts = profiles.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT)
-    return np.array([r.a for r in counts.collect()][::-1], np.int64).view(np.uint64)
+    return np.concatenate([np.empty(0, np.int64), *(c.to_numpy() for c in counts.select("a").toArrow().column(0).chunks)])[::-1].copy().view(np.uint64)
 
 
 def _first_token_rows(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, clashes: set[int]) -> DataFrame:
@@ -178,7 +179,7 @@ def _first_token_rows(docs: DataFrame, words: int, percent: int, frequent: np.nd
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clashes = sent.value[2]
         seen: set[tuple[int, int]] = set()
-        for batch in by_rows(batches, 2_000):
+        for batch in by_rows(batches, 1_000):
             nodes, sizes, tokens = [], [], []
             for s in shingle_sets(batch.column(1), words):
                 if len(s) and (d := set_digest(s)) not in seen:
@@ -287,7 +288,7 @@ def open_groups(members: DataFrame, queries: DataFrame, docs: DataFrame, owners:
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets = None, [], []
         tokens = owners = sizes = None
-        for batch in by_rows(batches, 1_000):
+        for batch in by_rows(batches, 500):
             found: list[tuple[int, int]] = []
             groups, tasks, roles, own = (batch.column(i).to_pylist() for i in range(4))
             for g, k, role, node, q in zip(groups, tasks, roles, own, shingle_sets(batch.column(4), words), strict=True):

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_rows, one_blas_thread
+from .common import at_work, by_rows, one_blas_thread
 from .word_codes import CodeCache
 
 UNDETERMINED = "und"
@@ -36,6 +36,8 @@ HIDDEN = 16
 SEGMENT = 48
 SAMPLE_DOCS, MOST_PAIRS = 2_000, 60_000
 STEPS, BATCH, RATE, SEED = 900, 256, 0.01, 5
+#: Documents that are labelled together, and segments whose labels are kept; both bound a worker's memory.
+ROWS, CACHED = 1_000, 60_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -213,8 +215,9 @@ def predict(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text
     languages = model.languages if model else []
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = CodeCache(model.segment_sums) if model else None
-        for batch in by_rows(batches, 4_000):
+        at_work("language_id")
+        cache = CodeCache(model.segment_sums, CACHED) if model else None
+        for batch in by_rows(batches, ROWS):
             n = batch.num_rows
             best, score = np.full(n, -1), np.zeros(n)
             if cache is not None:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_rows, staged, texts_of
+from .common import at_work, by_rows, staged, texts_of
 
 #: Words: what is not a space or one of the controls from tab to carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -118,6 +118,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     kept = [f"_{k}" for k, _ in enumerate(keep)]
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("mixing")
         for batch in by_rows(batches, 2_000):
             sizes = pa.array([len(t.encode().split()) for t in texts_of(batch.column(2))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, *batch.columns[3:]], ["doc_id", "source", "size", *kept])

@@ -55,13 +55,13 @@ def _numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     return kept(df.orderBy(*order).withColumn(name, F.monotonically_increasing_id()))
 
 
-def index(spark: SparkSession, root: str, ignore_files: dict[str, str] | None = None) -> CodeGraph:
+def index(spark: SparkSession, root: str, ignore_files: dict[str, str] | None = None) -> CodeBase:
     """Scans, extracts, resolves and classifies the files under root."""
     rules = code_files.ignore_rules(ignore_files or {})
     return index_files(code_files.scan(spark, root, rules))
 
 
-def index_files(sources: DataFrame) -> CodeGraph:
+def index_files(sources: DataFrame) -> CodeBase:
     """The same for files (path, language, hash, size, mtime, content)."""
     files = _numbered(sources, "file_id", "path")
     found = kept(extract.extract_files(files))
@@ -93,11 +93,11 @@ def index_files(sources: DataFrame) -> CodeGraph:
     imports = resolve.import_edges(named, nodes).withColumn("kind", F.lit("imports"))
     edges = _numbered(resolved.unionByName(imports).distinct(), "id", "source_id", "target_id", "kind").select("id", "source_id", "target_id", "kind")
     classified = classify.roles(nodes, edges).drop("fan_in", "fan_out")
-    return CodeGraph(Graph(files.drop("content"), kept(classified), edges, refs), files.select("path", "content"), routes)
+    return CodeBase(Graph(files.drop("content"), kept(classified), edges, refs), files.select("path", "content"), routes)
 
 
 @dataclass
-class CodeGraph:
+class CodeBase:
     graph: Graph
     contents: DataFrame | None = None
     route_table: DataFrame | None = None
@@ -218,7 +218,7 @@ class CodeGraph:
         blocks = [f'subgraph {k}["{r.path}"]\n{r.body}\nend' for k, r in enumerate(analytics.mermaid(part).orderBy("path").collect())]  # of the first nodes
         return "\n".join(["graph LR", *blocks, *(r.line for r in analytics.mermaid_edges(part).collect())])
 
-    def merged_edges(self, more: DataFrame) -> CodeGraph:
+    def merged_edges(self, more: DataFrame) -> CodeBase:
         return replace(self, graph=replace(self.graph, edges=distinct_edges(self.edges.unionByName(more))))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import LANGUAGES, language_of
 
 #: Directories that are ignored always, and without any ignore file.
-ALWAYS = (".git", ".cgraph", "node_modules")
+ALWAYS = (".git", "node_modules")
 DEFAULTS = ("dist", "build", "out", "coverage", "vendor", "__pycache__", ".venv", "venv", "target", ".next")
 
 

@@ -31,7 +31,7 @@ from .word_codes import ChunkCodes
 
 #: Fixed value: the byte-level pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ROWS = 1_000
+ROWS = 2_000
 
 
 def byte_alphabet() -> list[str]:

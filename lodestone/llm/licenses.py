@@ -1,8 +1,14 @@
 """Licence scan: entire texts, made canonical, joined by digest to known licences.
 
-The canonical form lower-cases, drops copyright lines, writes equivalent spellings
+The canonical form drops copyright notices, lower-cases, writes equivalent spellings
 in one way, and keeps words only. A text is a licence if its form's digest is that
-of a known one. All of it is DataFrame expressions; the known licences are a small
+of a known one: the short texts and notices of KNOWN with their usual titles, and the
+entire texts in known_licenses, each also without what follows its terms.
+
+A line is a copyright notice only where a year, (c), a placeholder or a name follows
+the word, so that lines of a licence that is wrapped there stay. The SQL has KNOWN
+alone and drops every line that begins with the word: it differs where a text is one
+of the other licences or has such a line. All of it is DataFrame expressions; the known licences are a small
 table (a digest and a name for each), so the join moves no text.
 
 Defined results: null, empty and word-less texts have no licence and the digest of
@@ -13,10 +19,21 @@ columns are not read.
 
 from __future__ import annotations
 
+from functools import cache
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines that are dropped, and spellings that count as one (regular expressions that Java and RE2 read alike).
+#: What follows "copyright" at the start of a line of licence text; any other capitalised word there is a name.
+NO_NAMES = "and|are|as|by|disclaimers?|doctrines?|for|holders?|if|in|infringement|interests?|interfaces?|is|laws?|licen[cs]es?|materials?|notices?|of|on|or|owners?|ownership|permissions?|protection|resulting|statements?|that|this|to|treat(?:y|ies)|which|with|you|your"
+#: Fixed value: the lines that are dropped, in a text's own case.
+NOTICES = (
+    r"(?m)^[^\n\p{L}\p{N}(©]*(?:©|(?i:all rights reserved)|\([cC]\)[ \t]*(?:(?i:copyright)|©|[0-9]{4}|[<\[{])"
+    r"|(?i:copyright)[ \t]*[:,]?[ \t]*(?:\([cC]\)|©|[0-9]{4}|[<\[{])"
+    rf"|(?i:copyright)[ \t]*[:,]?[ \t]+(?i:by[ \t]+)?(?!(?i:{NO_NAMES})\b)\p{{Lu}})[^\n]*$"
+)
+#: Fixed values of the SQL: lines that are dropped, and spellings that count as one (regular expressions that Java and RE2 read alike).
 COPYRIGHT_LINES = r"(?m)^[^\n\p{L}\p{N}(©]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 SPELLINGS = (
     (r"licence", "license"),
@@ -75,11 +92,37 @@ KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
 )
+#: The usual titles of the short texts, and notices besides those of KNOWN.
+TITLED = (
+    ("MIT", MIT, ("The MIT License (MIT)", "MIT License (MIT)")),
+    ("0BSD", ZERO_BSD, ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD License")),
+    ("ISC", ISC, ("The ISC License", "ISC License (ISC)")),
+    ("BSD-2-Clause", BSD_2, ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "The BSD 2-Clause License")),
+    ("BSD-3-Clause", BSD_3, ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "The BSD 3-Clause License")),
+    ("Zlib", ZLIB, ("zlib License", "The zlib License", "The zlib/libpng License", "zlib/libpng license")),
+)
+MORE_NOTICES = (
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+)
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+@cache
+def known_licenses() -> tuple[tuple[str, str], ...]:
+    """(name, text) of every known licence, title and notice."""
+    found = [*KNOWN, *MORE_NOTICES]
+    found += [(name, f"{title}\n\n{text}") for name, text, titles in TITLED for title in titles]
+    for file in resources.files(__package__).joinpath("known_licenses").iterdir():
+        name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+        terms, end, _ = text.partition(END_OF_TERMS)
+        found += [(name, text)] + ([(name, terms), (name, terms + end)] if end else [])
+    return tuple(found)
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null counts as empty."""
-    form = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINES, "")
+    form = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), NOTICES, ""))
     for spelling, one in SPELLINGS:
         form = F.regexp_replace(form, spelling, one)
     return F.btrim(F.regexp_replace(form, WORDS_ONLY, " "))
@@ -89,13 +132,13 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known_digests(like: DataFrame, known=KNOWN) -> DataFrame:
-    """(digest, license_id): one row per known form, made by the same expression as the documents'."""
-    rows = like.sparkSession.createDataFrame([(n, t) for n, t in known], "license_id string, text string")
+def known_digests(like: DataFrame, known=None) -> DataFrame:
+    """(digest, license_id): one row per known form (of known_licenses() if none are given), made by the same expression as the documents'."""
+    rows = like.sparkSession.createDataFrame([(n, t) for n, t in known or known_licenses()], "license_id string, text string")
     return rows.select(digest(F.col("text")).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=KNOWN) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=None) -> DataFrame:
     """(id, digest, license_id) of every whole text; license_id is null if it is no known licence."""
     rows = docs.select(F.col(id_col), digest(F.col(text_col)).alias("digest"))
     # the driver made the table of known licences from its own list, so it is small enough to send

@@ -6,9 +6,10 @@ distribution over the languages; it starts anew at each segment, so each distinc
 segment of a batch is evaluated once and every position of the whole text has its
 label. A document's distribution is the mean over the positions of its segments
 that have a letter. The network is trained here, in numpy, by backpropagation
-through time, on a bounded sample: the MOST_PAIRS most frequent (segment,
-language) pairs of at most SAMPLE_DOCS documents, the same number for each
-language.
+through time, on a bounded sample: of at most SAMPLE_DOCS documents, the same
+number for each language, the most frequent (segment, language) pairs, at most
+MOST_PAIRS, of which each language has an equal share. Every language of the
+sample has a pair in it if any of its segments has a letter.
 
 Defined results: a text that is null or has no letter is `und` with score 0; so
 are all texts if nothing can be learned from. Rows without an id or a language are
@@ -203,7 +204,9 @@ def sample_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = [r.key for r in keyed.select("lang", "key").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(1, SAMPLE_DOCS // languages)).select("key").distinct().collect()]
     words = keyed.filter(F.col("key").isin(keys)).select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("segment"))
     counts = words.filter(F.col("segment").rlike(r"\p{L}")).groupBy("segment", "lang").agg(F.count("*").alias("n"))
-    return [(r.segment, r.lang, r.n) for r in counts.orderBy(F.desc("n"), "segment", "lang").limit(MOST_PAIRS).collect()]
+    frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "segment")
+    ranked = counts.withColumn("rank", F.row_number().over(frequent)).filter(F.col("rank") <= max(1, MOST_PAIRS // languages))
+    return [(r.segment, r.lang, r.n) for r in ranked.collect()]
 
 
 def predict(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()) -> DataFrame:

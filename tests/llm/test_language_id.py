@@ -80,3 +80,13 @@ def test_accepted_keeps_columns_and_clean_documents(spark):
     assert kept.columns == docs.columns
     lettered = {r.doc_id for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")}
     assert len(lettered - {r.doc_id for r in kept.collect()}) <= 0.01 * len(lettered)
+
+
+def test_every_language_has_its_share_of_the_pairs(spark, monkeypatch):
+    rows = [(k, " ".join(f"aa{k}x{j}" for j in range(40)), "en") for k in range(8)] + [(k, f"一段没有空格的文字{'甲乙丙丁戊己庚辛'[k % 8]}", "zh") for k in range(100, 108)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "MOST_PAIRS", 60)
+    pairs = language_id.sample_pairs(docs)
+    known = {(r[1], r[2]) for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    assert sum(p[1] == "en" for p in pairs) == 30
+    assert {p[0] for p in pairs if p[1] == "zh"} == {t for t, lang in known if lang == "zh"} != set()

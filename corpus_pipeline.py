@@ -23,11 +23,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more): the one with the group's least doc_id."""
-    groups = jaccard_groups.similar_components(docs, words=5, percent=80)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
-    return rows.dropDuplicates(["doc_id"])
+    """One row of each class of near copies (five-word shingles, similarity of 0.8 or more), whatever its doc_id is.
+
+    It is the row with the class's least doc_id; a row without one remains only where
+    no row of its class has one. Ties go to the least hash of the whole row.
+    Rows without words are like nothing else and all remain.
+    """
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_hash", F.xxhash64(*docs.columns)), "pipeline-rows")
+    groups = jaccard_groups.similar_components(rows, id_col="_row", words=5, percent=80)
+    rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_hash", "_row")
+    least = groups.join(rows.select("_row", "doc_id", "_hash"), "_row").groupBy("component_id").agg(F.min(rank).alias("first"))
+    return rows.join(least.select("first._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

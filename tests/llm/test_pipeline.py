@@ -91,3 +91,12 @@ def test_hard_documents(spark):
         for name, stage in corpus_pipeline.STAGES:
             docs = staged(stage(spark, docs, SF), f"test-{name}")
         assert bool(docs.count()) == bool(some)
+
+
+def test_near_copies_keep_a_row_of_each_class_whatever_its_id(spark):
+    a, b, c, d = ("one two three four five six seven", "a text of some other words without an id", "more words that no other row has at all", "what is left has one more text of words")
+    ids = [(None, a), (None, b), (None, b), (7, c), (7, d), (3, d), (7, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in ids], table(spark, SF, "documents").schema)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(7, a), (None, b), (7, c), (3, d)])

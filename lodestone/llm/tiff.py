@@ -7,9 +7,12 @@ stores bytes losslessly as 8-bit grey samples, 576 to a row, over as many pages
 as are needed.
 
 Defined results: null media has no page rows; media that cannot be read has one
-row with page -1 (or the number of the page that failed) and the reason in
-`error`, null pixels; the pages before it stand. A chain of directories that
-turns back on itself ends with such a row. Repeated rows give repeated pages; an
+row with page -1 (or the number of the directory that can't be read) and the
+reason in `error`, null pixels; the pages before it stand. A chain of directories
+that turns back on itself ends with such a row. A page whose samples can't be
+decoded has such a row in its place, and the pages after it follow. Samples are of
+1 (one byte each in pixels), 8 or 16 bits, together or in planes of their own;
+others, predictors but the horizontal one, and other compressions are such errors. Repeated rows give repeated pages; an
 empty table gives an empty table; other columns are not read.
 """
 
@@ -41,7 +44,9 @@ TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4,
 TYPE_CODE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC, DESCRIPTION = 256, 257, 258, 259, 262, 270
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
+TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS, FILL_ORDER = 322, 323, 324, 325, 266
+#: What a directory or page that is not as it should be raises.
+BAD = (ValueError, struct.error, zlib.error, IndexError, TypeError, MemoryError)
 
 
 class Page(NamedTuple):
@@ -235,9 +240,12 @@ class _Reader:
         if not width or not height:
             raise ValueError("no width or height")
         samples, bits, scheme, predictor = one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-        if bits not in (8, 16) or one(PLANAR, 1) != 1 or len(set(tags.get(BITS, (bits,)))) > 1:
-            raise ValueError(f"{bits} bits a sample, planes {one(PLANAR, 1)}")
-        kind = np.dtype("u1") if bits == 8 else np.dtype(self.order + "u2")
+        planar = one(PLANAR, 1)
+        if bits not in (1, 8, 16) or planar not in (1, 2) or len(set(tags.get(BITS, (bits,)))) > 1:
+            raise ValueError(f"{bits} bits a sample, planes {planar}")
+        if bits == 1 and (one(FILL_ORDER, 1) != 1 or predictor != 1):
+            raise ValueError(f"1 bit a sample, fill order {one(FILL_ORDER, 1)}, predictor {predictor}")
+        kind = np.dtype(self.order + "u2") if bits == 16 else np.dtype("u1")
         out = np.empty((height, width, samples), kind.newbyteorder("="))
         tiled = TILE_OFFSETS in tags
         across, down = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
@@ -245,22 +253,28 @@ class _Reader:
             raise ValueError("a tile or strip without extent")
         offsets, counts = (tags.get(TILE_OFFSETS), tags.get(TILE_COUNTS)) if tiled else (tags.get(STRIP_OFFSETS), tags.get(STRIP_COUNTS))
         per_row = -(-width // across)
-        needed = per_row * -(-height // down)
+        of_plane = per_row * -(-height // down)
+        planes, together = (samples, 1) if planar == 2 else (1, samples)
+        needed = of_plane * planes
+        row_bytes = -(-across * together // 8) if bits == 1 else across * together * kind.itemsize
         if offsets is None or counts is None or min(len(offsets), len(counts)) < needed:
             raise ValueError("too few strips or tiles")
         for k in range(needed):
-            y, x = k // per_row * down, k % per_row * across
+            plane, place = divmod(k, of_plane)
+            y, x = place // per_row * down, place % per_row * across
             rows = down if tiled else min(down, height - y)
-            raw = decompress(self.data[offsets[k] : offsets[k] + counts[k]], scheme, rows * across * samples * kind.itemsize)
-            block = undo_predictor(np.frombuffer(raw, kind).astype(out.dtype, copy=False).reshape(rows, across, samples), predictor)
-            out[y : y + rows, x : x + across] = block[: height - y, : width - x]
+            raw = np.frombuffer(decompress(self.data[offsets[k] : offsets[k] + counts[k]], scheme, rows * row_bytes), kind)
+            if bits == 1:
+                raw = np.unpackbits(raw.reshape(rows, row_bytes), axis=1)[:, : across * together]
+            block = undo_predictor(raw.astype(out.dtype, copy=False).reshape(rows, across, together), predictor)
+            out[y : y + rows, x : x + across, plane : plane + together] = block[: height - y, : width - x]
         text = tags.get(DESCRIPTION)
         description = text.split(b"\0")[0].decode("utf-8", "replace") if isinstance(text, bytes) else None
         return Page(number, width, height, samples, bits, scheme, predictor, description, out.tobytes(), None)
 
 
 def read_pages(data: bytes) -> Iterator[Page]:
-    """The pages, in the order of their directories; ends with an error's row if there is one."""
+    """The pages, in the order of their directories, an error's row for each that can't be decoded; ends with one if the chain can't be followed."""
     number, bad = -1, (0, 0, 0, 0, 0, 0, None, None)
     try:
         reader = _Reader(data)
@@ -271,8 +285,12 @@ def read_pages(data: bytes) -> Iterator[Page]:
                 raise ValueError("the chain of directories turns back")
             seen.add(at)
             tags, at = reader.directory(at)
-            yield reader.page(number, tags)
-    except (ValueError, struct.error, zlib.error, IndexError, TypeError, MemoryError) as error:
+            try:
+                page = reader.page(number, tags)
+            except BAD as error:
+                page = Page(number, *bad, f"{type(error).__name__}: {error}"[:200])
+            yield page
+    except BAD as error:
         yield Page(number, *bad, f"{type(error).__name__}: {error}"[:200])
 
 
@@ -394,8 +412,9 @@ def media_digests(media: DataFrame, id_col: str = "doc_id", media_col: str = "me
             rows = []
             for data in batch.column(1).to_pylist():
                 pages = list(read_pages(data or b""))
-                if pages[-1].error:
-                    rows.append((None, None, None, None, len(data or b""), hashlib.sha256(data or b"").hexdigest(), pages[-1].error, len(pages) - 1))
+                errors = [p.error for p in pages if p.error]
+                if errors:
+                    rows.append((None, None, None, None, len(data or b""), hashlib.sha256(data or b"").hexdigest(), errors[0], len(pages) - len(errors)))
                     continue
                 payload = b"".join(p.pixels for p in pages)
                 said = re.fullmatch(r"bytes=(\d+)", pages[0].description or "")

@@ -85,3 +85,44 @@ def test_documents(spark):
     assert pages.filter("doc_id = 5").count() == -(-200_000 // (576 * 64)) and pages.filter("error IS NOT NULL").count() == 0
     assert tiff.tiff_pages(spark.createDataFrame([(1, None), (2, b"junk")], "doc_id long, media binary")).select("doc_id", "page").collect() == [(2, -1)]
     assert tiff.media_digests(media.limit(0)).count() == 0
+
+
+def chained(pages):
+    """A medium of directories, each a list of (tag, values) and its strips."""
+    out, link = bytearray(b"II*\0\0\0\0\0"), 4
+    for tags, strips in pages:
+        places = []
+        for strip in strips:
+            places.append(len(out))
+            out += strip + b"\0" * (len(strip) % 2)
+        entries = b""
+        for tag, values in sorted([*tags, (273, places), (279, [len(x) for x in strips])]):
+            at = values[0] if len(values) == 1 else len(out)
+            if len(values) > 1:
+                out += struct.pack(f"<{len(values)}I", *values)
+            entries += struct.pack("<HHII", tag, 4, len(values), at)
+        struct.pack_into("<I", out, link, len(out))
+        out += struct.pack("<H", len(entries) // 12) + entries + b"\0" * 4
+        link = len(out) - 4
+    return bytes(out)
+
+
+def test_pages_after_one_that_fails(spark):
+    grey = ([(256, [2]), (257, [2]), (258, [8]), (278, [2])], [b"abcd"])
+    odd = ([(256, [2]), (257, [2]), (258, [4]), (278, [2])], [b"ab"])
+    data = chained([grey, odd, grey, odd, grey])
+    pages = list(tiff.read_pages(data))
+    assert [(p.page, p.pixels, bool(p.error)) for p in pages] == [(0, b"abcd", False), (1, None, True), (2, b"abcd", False), (3, None, True), (4, b"abcd", False)]
+    row = tiff.media_digests(spark.createDataFrame([(1, data)], "doc_id long, media binary")).first()
+    assert row.payload_sha256 is None and row.n_pages == 3 and "4 bits" in row.feature
+
+
+def test_single_bits_and_planes():
+    bits = np.array([R.choices((0, 1), k=11) for _ in range(5)], np.uint8)
+    packed = np.packbits(bits, axis=1)
+    one = ([(256, [11]), (257, [5]), (259, [tiff.PACKBITS]), (278, [3])], [tiff.packbits_encode(packed[:3].tobytes()), tiff.packbits_encode(packed[3:].tobytes())])
+    colours = np.array([[[R.randrange(256) for _ in range(3)] for _ in range(4)] for _ in range(3)], np.uint8)
+    planes = ([(256, [4]), (257, [3]), (258, [8, 8, 8]), (277, [3]), (278, [2]), (284, [2])], [colours[a : a + 2, :, k].tobytes() for k in range(3) for a in (0, 2)])
+    first, second = tiff.read_pages(chained([one, planes]))
+    assert (first.error, first.bits, first.pixels) == (None, 1, bits.tobytes())
+    assert (second.error, second.samples, second.pixels) == (None, 3, colours.tobytes())

@@ -802,6 +802,13 @@ def scalar_text(spark, d):
     return docs.select("doc_id", T.token_estimate(F.col("text")).alias("tokens"), F.md5("text").alias("md5"), T.line_of(F.col("text"), F.length("text")).cast("long").alias("lines"), T.identifier(F.substring("text", 1, 40)).alias("ident"))
 
 
+@query("SELECT doc_id, length(text) AS length, md5(regexp_replace(text, '[^a-zA-Z0-9_]', '_', 'g')) AS ident_md5 FROM documents")
+def scalar_identifiers(spark, d):
+    """The identifiers of whole texts, by digest; scalar_text has those of their first 40 characters."""
+    ident = T.identifier(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.length(ident).cast("long").alias("length"), F.md5(ident).alias("ident_md5"))
+
+
 @query(BASE + " SELECT path, regexp_extract(path, '[^/]*$') AS base, regexp_replace(path, '/?[^/]*$', '') AS dir, split_part(path, '/', 1) AS top, split_part(path, '/', 1) || '/lib/' || regexp_extract(path, '[^/]*$') AS sibling FROM files")
 def scalar_paths(spark, d):
     p = F.col("path")

@@ -14,11 +14,11 @@ QUERY_PUNCTUATION = r"[_\-./:\\(){}\[\]<>,;'\"=+]"
 TEST_PATH = r"(?i)(\.(test|spec|e2e)\.(ts|tsx|js|jsx|py)$|__tests?__/)"
 #: Languages by extension.
 LANGUAGES = {
-    "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx",
-    "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx",
-    "py": "python", "pyw": "python",
-    "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp",
-    "sh": "shell", "bash": "shell",
+    "js": "javascript", "jsx": "jsx", "mjs": "javascript", "cjs": "javascript",
+    "ts": "typescript", "tsx": "tsx",
+    "py": "python", "pyi": "python",
+    "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp",
+    "sh": "shell", "bash": "shell", "zsh": "shell",
     "ps1": "powershell", "psm1": "powershell", "psd1": "powershell",
 }
 
@@ -134,3 +134,9 @@ def segment_glob(pattern: str) -> str:
         return lead + one + expression(at + 1)
 
     return f"^{expression(0)}$"
+
+
+def iso_timestamp(millis: Column) -> Column:
+    """Milliseconds since 1970 as a time in UTC, whatever the session's time zone: 2024-01-02T03:04:05.678Z."""
+    utc = F.timestamp_add("MILLISECOND", millis, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))

@@ -11,9 +11,10 @@ from lodestone.functions.text import base_name, half_up, is_test_path, segment_g
 from lodestone.operators.classify import degrees, roles
 from lodestone.sources.storage import Graph
 
-#: Directory names of layered and of component styles.
-LAYERED = ("controllers", "services", "models", "repositories", "routes", "middleware", "domain", "infrastructure")
-COMPONENTS = ("components", "pages", "views", "widgets", "features")
+#: Directory names of layered and of component styles, and the labels of styles.
+LAYERED = ("services", "controllers", "models", "routes", "middleware", "handlers", "repositories")
+COMPONENTS = ("components", "pages", "features", "views", "screens", "widgets")
+STYLES = ("layered (MVC / service-oriented)", "component-based", "monolith", "modular")
 
 
 def status(graph: Graph, classified: DataFrame) -> DataFrame:
@@ -56,25 +57,39 @@ def file_coupling(graph: Graph) -> DataFrame:
     return both.withColumn("coupling", F.col("imports_from") + F.col("imported_by"))
 
 
-def suggestions(nodes: DataFrame, edges: DataFrame, limit: int | None = 30) -> DataFrame:
-    """(type, id, priority) of refactorings, high before medium before low."""
+def suggestions(nodes: DataFrame, edges: DataFrame, limit: int | None = 30, symbol: str | None = None, path: str | None = None) -> DataFrame:
+    """(type, id, name, path, line, reason, priority) of refactorings, high before medium before low, then by id.
+
+    symbol and path: only of the symbols of that name, of that file. Of rows with
+    one type, name and file the first by id counts.
+    """
     d = degrees(nodes, edges).withColumn("body", F.col("end_line") - F.col("start_line") + 1)
+    chosen = d
+    if symbol is not None:
+        chosen = chosen.filter(F.col("name") == symbol)
+    if path is not None:
+        chosen = chosen.filter(F.col("path") == path)
     place = nodes.select("id", "path")
     calls = edges.filter("kind = 'calls'").join(place.toDF("source_id", "from"), "source_id").join(place.toDF("target_id", "to"), "target_id")
-    outside = calls.filter("from != to").groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("outside"))
-    d = d.join(outside, "id", "left").fillna(0, ["outside"]).withColumn("inside", F.col("fan_in") - F.col("outside"))
+    by_file = calls.filter("from != to").groupBy(F.col("target_id").alias("id"), "from").agg(F.count("*").alias("n"), F.min(F.col("id")).alias("first"))
+    outside = by_file.groupBy("id").agg(F.sum("n").alias("outside"), F.max(F.struct("n", (-F.col("first")).alias("m"), "from")).alias("top"))
+    d = chosen.join(outside, "id", "left").fillna(0, ["outside"]).withColumn("inside", F.col("fan_in") - F.col("outside"))
+    rule = lambda when, type_, level, reason: F.when(F.expr(when), F.struct(F.lit(type_).alias("type"), level.alias("level"), F.concat(*(F.lit(x) if isinstance(x, str) else x for x in reason)).alias("reason")))
+    above = lambda c, most: F.when(F.col(c) > most, 0).otherwise(1)
+    c = F.col
     rules = F.array(
-        F.when(F.expr("body > 50 AND fan_out >= 5"), F.struct(F.lit("extract").alias("type"), F.when(F.col("body") > 100, 0).otherwise(1).alias("level"))),
-        F.when(F.expr("fan_in = 1 AND fan_out <= 2 AND body <= 10 AND kind = 'function'"), F.struct(F.lit("inline").alias("type"), F.lit(2).alias("level"))),
-        F.when(F.expr("fan_in >= 2 AND outside > inside AND outside >= 2"), F.struct(F.lit("move").alias("type"), F.when(F.col("outside") >= 4, 0).otherwise(1).alias("level"))),
-        F.when(F.expr("fan_in = 0 AND fan_out = 0 AND exported = 0"), F.struct(F.lit("dead").alias("type"), F.lit(1).alias("level"))),
-        F.when(F.expr("fan_out >= 10"), F.struct(F.lit("split").alias("type"), F.when(F.col("fan_out") >= 15, 0).otherwise(1).alias("level"))),
+        rule("body > 50 AND fan_out >= 5", "extract", above("body", 100), (c("body"), " lines, ", c("fan_out"), " outgoing calls: consider smaller functions")),
+        rule("fan_in = 1 AND fan_out <= 2 AND body <= 10 AND kind = 'function'", "inline", F.lit(2), ("only 1 caller, ", c("body"), " lines: may be inlined")),
+        rule("fan_in >= 2 AND outside > inside AND outside >= 2", "move", above("outside", 3), (c("outside"), "/", c("fan_in"), " callers are in other files; most from ", c("top.from"), " (", c("top.n"), " calls)")),
+        rule("fan_in = 0 AND fan_out = 0 AND exported = 0", "dead", F.lit(1), ("no callers, no callees, not exported: safe to remove",)),
+        rule("fan_out >= 10", "split", above("fan_out", 14), (c("fan_out"), " outgoing calls: consider splitting what it does")),
     )
-    found = d.select("id", F.explode(F.array_compact(rules)).alias("r")).select("r.type", "id", "r.level")
+    found = d.select("id", "name", "path", F.col("start_line").alias("line"), F.explode(F.array_compact(rules)).alias("r"))
+    first = found.groupBy("r.type", "name", "path").agg(F.min(F.struct("id", "line", "r.reason", "r.level")).alias("f")).select("type", "name", "path", "f.*")
     names = F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), F.col("level") + 1)
     if limit:
-        found = found.orderBy("level", "id", "type").limit(limit)
-    return found.select("type", "id", names.alias("priority"))
+        first = first.orderBy("level", "id", "type").limit(limit)
+    return first.select("type", "id", "name", "path", "line", "reason", names.alias("priority"))
 
 
 def file_context(nodes: DataFrame, edges: DataFrame, path: str, most: int = 5) -> DataFrame:
@@ -93,6 +108,19 @@ def file_context(nodes: DataFrame, edges: DataFrame, path: str, most: int = 5) -
     return out.fillna("", ["callers", "callees"])
 
 
+def file_stats(classified: DataFrame, edges: DataFrame, path: str) -> DataFrame:
+    """(item, key, n) of a file: its symbols in all, the exported ones, those of each role, and the files that it imports from or is imported by."""
+    own = classified.filter(F.col("path") == path)
+    count = lambda item, n: own.agg(n.alias("n")).select(F.lit(item).alias("item"), F.lit("").alias("key"), "n")
+    out = count("total", F.count("*")).unionByName(count("exported", F.count_if(F.col("exported") == 1)))
+    out = out.unionByName(own.filter("role IS NOT NULL").groupBy("role").agg(F.count("*").alias("n")).select(F.lit("role").alias("item"), F.col("role").alias("key"), "n"))
+    imports, place = edges.filter("kind = 'imports'"), classified.select("id", F.col("path").alias("key"))
+    for item, mine, other in (("imports_from", "source_id", "target_id"), ("imported_by", "target_id", "source_id")):
+        far = imports.join(own.select(F.col("id").alias(mine)), mine).select(F.col(other).alias("id")).join(place, "id").filter(F.col("key") != path)
+        out = out.unionByName(far.select(F.lit(item).alias("item"), "key", F.lit(1).cast("long").alias("n")).distinct())
+    return out
+
+
 def tests_of(nodes: DataFrame, path: str) -> DataFrame:
     """(path) of test files whose path has the file's name without its extension."""
     stem = path.rsplit("/", 1)[-1].split(".")[0]
@@ -163,11 +191,12 @@ def health(graph: Graph, classified: DataFrame | None = None, cycles: int = 0) -
 
 
 def style(files: DataFrame) -> DataFrame:
-    """(style) by directory names: layered, component-based, monolith or modular."""
-    parts = files.select(F.explode(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))).alias("d")).distinct()
-    tops = files.filter(F.col("path").contains("/")).select(F.substring_index("path", "/", 1).alias("t")).distinct().agg(F.count("*").alias("tops"))
-    counts = parts.agg(F.count_if(F.col("d").isin(*LAYERED)).alias("layers"), F.count_if(F.col("d").isin(*COMPONENTS)).alias("components")).crossJoin(tops)
-    return counts.select(F.when(F.col("layers") >= 2, "layered").when(F.col("components") >= 2, "component-based").when(F.col("tops") <= 2, "monolith").otherwise("modular").alias("style"))
+    """(style) by the names of the folders that hold files (in any case), then by the number of first path parts; a file at the root counts as one of those."""
+    holder = F.lower(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1))
+    seen = files.agg(F.collect_set(F.when(holder.isin(*LAYERED, *COMPONENTS), holder)).alias("names"), F.count_distinct(F.substring_index("path", "/", 1)).alias("tops"))
+    score = lambda names: F.size(F.array_intersect("names", F.array(*map(F.lit, names))))
+    layered, components, monolith, modular = map(F.lit, STYLES)
+    return seen.select(F.when(score(LAYERED) >= 2, layered).when(score(COMPONENTS) >= 2, components).when(F.col("tops") <= 2, monolith).otherwise(modular).alias("style"))
 
 
 def risk_of(impacted: int) -> str:
@@ -193,3 +222,15 @@ def mermaid_edges(graph: Graph, most: int = 200) -> DataFrame:
 
 def stem(path: F.Column) -> F.Column:
     return F.regexp_replace(base_name(path), r"\..*$", "")
+
+
+def summary(graph: Graph, classified: DataFrame, cycles: int) -> str:
+    """One paragraph about a code base: its size, style, health, cycles, dead symbols and hubs."""
+    languages = language_shares(graph.files).orderBy(F.desc("n"), "language").first()
+    h, kind = health(graph, classified, cycles).first(), style(graph.files).first().style
+    dead, hubs = classified.filter("role = 'dead'").count(), key_hubs(graph.nodes, graph.edges).count()
+    return (
+        f"{languages.language if languages else 'unknown'}-dominant code base with {graph.files.count()} files, {classified.count()} symbols and {graph.edges.count()} edges. Style: {kind}. "
+        f"Health: modularity {h.modularity}, dead code {h.dead}, test coverage {h.coverage}, complexity {h.complexity}, overall {h.overall} of 100. "
+        f"{cycles} cycles, {dead} dead symbols, {hubs} hubs."
+    )

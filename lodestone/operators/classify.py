@@ -94,6 +94,13 @@ def dead_code(classified: DataFrame, kind: str | None = None, path: str | None =
     return dead.filter(F.col("path").contains(path)) if path else dead
 
 
+def dead_totals(dead: DataFrame) -> DataFrame:
+    """(by, key, n): dead symbols in all, by kind and by file."""
+    one = lambda by, key: dead.groupBy(key.alias("key")).agg(F.count("*").alias("n")).select(F.lit(by).alias("by"), "key", "n")
+    total = dead.agg(F.count("*").alias("n")).select(F.lit("total").alias("by"), F.lit("").alias("key"), "n")
+    return total.unionByName(one("kind", F.col("kind"))).unionByName(one("file", F.col("path")))
+
+
 def two_cycles(edges: DataFrame, kind: str = "calls") -> DataFrame:
     """(a, b) with a < b that lead to each other."""
     e = edges.filter(F.col("kind") == kind).select("source_id", "target_id")
@@ -108,38 +115,46 @@ def three_cycles(edges: DataFrame, kind: str = "calls") -> DataFrame:
     return paths.join(e.toDF("c", "a"), ["c", "a"]).select("a", "b", "c")
 
 
-def cyclic_core(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """The edges that remain when nodes without a way in or out are taken away again and again: all cycles, and paths between them."""
-    e = kept(edges.select("id", "source_id", "target_id").filter("source_id != target_id"))
+def leading_to_cycles(edges: DataFrame, most_rounds: int = 20) -> DataFrame:
+    """edges (id, source_id, target_id, ...) without the nodes that lead to no cycle, as far as most_rounds tell.
+
+    A node without a way out is taken away again and again. What is left has all
+    cycles and all that leads into them; a depth-first search enters the cycles in
+    the same order as in the whole graph, as nodes that lead nowhere only come and
+    go. More rounds leave less, not something else.
+    """
+    e = kept(edges)
     before = e.count()
     for _ in range(most_rounds):
-        ends = e.select(F.col("source_id").alias("n")).intersect(e.select(F.col("target_id").alias("n")))
-        e = kept(e.join(ends, F.col("source_id") == F.col("n"), "left_semi").join(ends, F.col("target_id") == F.col("n"), "left_semi"))
+        e = kept(e.join(e.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi").select(*edges.columns))
         now = e.count()
-        if now == before:
+        if now > 0.9 * before:
             break
         before = now
     return e
 
 
 def search_cycles(edges: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
-    """(cycle, path, length): a cycle for each back edge of a depth-first search in order of ids, at most `most`.
+    """(cycle, path, length, files): a cycle for each back edge of a depth-first search, at most `most`.
 
-    The search is one ordered walk, so it runs in one task; what it is given is
-    the cyclic core alone. two_cycles and three_cycles are the forms for graphs
-    whose core is large.
+    The search starts at the nodes in order of their ids and follows a node's calls,
+    then its imports, each by edge id. It is one ordered walk, so it runs in one
+    task; what it is given are the edges that may lead to cycles. two_cycles and
+    three_cycles are the forms for graphs in which those are many.
     """
-    names = nodes.select(F.col("id").alias("source_id"), "qualified_name")
-    core = cyclic_core(edges).join(names, "source_id").withColumn("one", F.lit(1))
+    place = nodes.select(F.col("id").alias("source_id"), "qualified_name", "path")
+    rows = leading_to_cycles(edges.select("id", "source_id", "target_id", "kind")).join(place, "source_id").withColumn("one", F.lit(1))
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
+        rows = rows.assign(late=rows.kind != "calls").sort_values(["late", "id"])
         after: dict[int, list[int]] = {}
-        for s, t in zip(rows.source_id, rows.target_id, strict=True):
+        for s, t in zip(rows.source_id.tolist(), rows.target_id.tolist(), strict=True):
             after.setdefault(s, []).append(t)
         name = dict(zip(rows.source_id, rows.qualified_name, strict=True))
+        path = dict(zip(rows.source_id, rows.path, strict=True))
         done: set[int] = set()
-        found: list[tuple[str, ...]] = []
+        known: set[tuple[str, ...]] = set()
+        found: list[tuple] = []
         for root in sorted(after):
             if root in done or len(found) >= most:
                 continue
@@ -153,14 +168,16 @@ def search_cycles(edges: DataFrame, nodes: DataFrame, most: int = 50) -> DataFra
                     del place[node]
                     done.add(node)
                 elif to in place:
-                    cycle = [name[n] for n, _ in stack[place[to] :]]
+                    way = [n for n, _ in stack[place[to] :]]
+                    cycle = [name[n] for n in way]
                     k = cycle.index(min(cycle))
                     turned = tuple(cycle[k:] + cycle[:k])
-                    if turned not in found:
-                        found.append(turned)
+                    if turned not in known:
+                        known.add(turned)
+                        found.append((len(found), [*turned, turned[0]], len(turned), list(dict.fromkeys(path[n] for n in way))))
                 elif to not in done and to in after:
                     place[to] = len(stack)
                     stack.append((to, iter(after[to])))
-        return pd.DataFrame([(k, [*c, c[0]], len(c)) for k, c in enumerate(found)], columns=["cycle", "path", "length"])
+        return pd.DataFrame(found, columns=["cycle", "path", "length", "files"])
 
-    return core.groupBy("one").applyInPandas(walk, "cycle int, path array<string>, length int")
+    return rows.groupBy("one").applyInPandas(walk, "cycle int, path array<string>, length int, files array<string>")

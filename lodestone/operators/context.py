@@ -5,25 +5,29 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import TEST_PATH, lines_between, token_estimate
 from lodestone.operators import ranges, search, traversal
 from lodestone.operators.analytics import risk_of
+from lodestone.operators.classify import search_cycles
 from lodestone.sources.storage import Graph, kept
 
 #: Depth and nodes by kind of answer, before they are adapted.
-BASE_LIMITS = {"context": (3, 50), "explore": (2, 50), "callers": (3, 50), "callees": (3, 50), "impact": (4, 50), "affected": (5, 50), "trace": (7, 50)}
+BASE_LIMITS = {
+    "callers": (3, 40), "callees": (3, 40), "impact": (4, 80), "trace": (8, 2_000),
+    "context": (2, 30), "explore": (3, 60), "affected": (6, 500), "node": (1, 15),
+}
 SNIPPET_LINES, SNIPPETS = 30, 20
 MOST_SECTION_CHARS = 6_000
 
 
-def limits(tool: str, nodes: int, degree: int | None = None, depth: int | None = None, most: int | None = None) -> tuple[int, int]:
-    """(depth, nodes) for a graph of so many nodes and a start with that degree; given ones are kept as they are."""
+def limits(tool: str, nodes: int, degree: float | None = None, depth: int | None = None, most: int | None = None) -> tuple[int, int]:
+    """(depth, nodes) for a graph of so many nodes and a name whose symbols have that mean degree; given ones count instead, within the clamps unless both are given."""
     if depth is not None and most is not None:
         return depth, most
-    d, n = BASE_LIMITS.get(tool, (3, 50))
+    d, n = BASE_LIMITS[tool]
     if nodes < 200:
         d, n = d + 1, n + 20
     elif nodes > 2_000:
@@ -49,17 +53,22 @@ class Context:
 
 
 def build_context(graph: Graph, task: str, contents: DataFrame | None = None, max_nodes: int = 50, max_depth: int = 3) -> Context:
-    """The neighbourhood of what a task's words find: up to ten seeds, each followed two steps at most."""
+    """The neighbourhood of what a task's words find: up to ten seeds, each followed two steps at most and to twenty symbols."""
     seeds = [r.id for r in search.symbol_search(graph.nodes, task, 10).select("id").collect()]
+    walks = _walks(graph, seeds, min(max_depth, 2), 20)
     found: dict[int, int] = {}
-    edges = graph.edges.limit(0)
+    reached: dict[int, list[int]] = {}
     for seed in seeds:
         if len(found) >= max_nodes:
             break
-        walk = traversal.traverse(graph.edges, seed, min(max_depth, 2), max(1, min(max_nodes - len(found), 20)), "both", None)
-        for r in walk.nodes.orderBy("ord").collect():  # twenty at most
+        rows = walks.get(seed, [])[: max(1, min(max_nodes - len(found), 20))]
+        reached[seed] = [r.node for r in rows]
+        for r in rows:
             found.setdefault(r.node, r.depth)
-        edges = edges.unionByName(walk.edges)
+    pairs = [(s, n) for s, ns in reached.items() for n in ns]
+    own = F.broadcast(graph.edges.sparkSession.createDataFrame(pairs, "seed long, n long"))  # at most ten times twenty
+    inside = graph.edges.join(own.select("seed", F.col("n").alias("source_id")), "source_id").join(own.select(F.col("seed").alias("s"), F.col("n").alias("target_id")), "target_id").filter("seed = s")
+    edges = inside.select(*graph.edges.columns)
     symbols = graph.edges.sparkSession.createDataFrame([(k, n, d) for k, (n, d) in enumerate(found.items())], "k int, id long, depth int")
     own = kept(graph.nodes.join(F.broadcast(symbols), "id"))
     files = own.groupBy("path").agg(F.count("*").alias("n"))
@@ -75,10 +84,9 @@ def explore(graph: Graph, query: str, contents: DataFrame, max_files: int = 12,
     """(path, score, first, last, section): source ranges of the files that a query and its neighbourhood touch, within a budget per file."""
     entries = [r.id for r in search.symbol_search(graph.nodes, query, 30).select("id").collect()]
     found = dict.fromkeys(entries, 10)
+    walks = _walks(graph, entries[:8], max_depth, max_nodes)
     for seed in entries[:8]:
-        if len(found) >= 200:
-            break
-        for r in traversal.traverse(graph.edges, seed, max_depth, max_nodes, "both", None).nodes.orderBy("ord").collect():
+        for r in walks.get(seed, []):
             if len(found) < 200:
                 found.setdefault(r.node, 1)
     hits = graph.edges.sparkSession.createDataFrame(list(found.items()), "id long, weight int")
@@ -90,57 +98,84 @@ def explore(graph: Graph, query: str, contents: DataFrame, max_files: int = 12,
     return cut.join(best, "path").select("path", "score", F.col("start_line").alias("first"), F.col("end_line").alias("last"), "section")
 
 
-def plan_risk(graph: Graph, names: list[str] = (), files: list[str] = (), depth: int = 3, most: int = 50) -> dict:
-    """What a change to these symbols and files touches, its tests, and how risky that makes it."""
+def _walks(graph: Graph, seeds: list[int], depth: int, most: int) -> dict[int, list]:
+    """For each seed what it reaches in both directions over all kinds of edges, in order; so many seeds times `most` rows come to the driver."""
+    out: dict[int, list] = {}
+    if seeds:
+        walks, _ = traversal.traverse_each(graph.edges, graph.edges.sparkSession.createDataFrame([(s,) for s in seeds], "seed long"), depth, most, "both", None)
+        for r in walks.orderBy("ord").collect():
+            out.setdefault(r.seed, []).append(r)
+    return out
+
+
+#: Callers from which on a symbol is worth a warning, and cycles that are looked at.
+MANY_CALLERS, RISK_CYCLES = 5, 10
+
+
+@dataclass
+class PlanRisk:
+    """What a change touches, as tables that may be large, and the risk."""
+
+    targets: DataFrame  # id, name
+    impacted: DataFrame  # id, name, path, depth
+    files: DataFrame  # path
+    affected_tests: DataFrame  # path
+    warnings: DataFrame  # id, warning
+    cycle_risks: DataFrame  # cycle, risk
+    score: int
+
+    @property
+    def risk(self) -> str:
+        return risk_of(self.score)
+
+
+def plan_risk(graph: Graph, names: list[str] = (), files: list[str] = (), depth: int = 3, most: int = 50) -> PlanRisk:
+    """What a change to these symbols and files touches, its tests, and how risky that makes it.
+
+    Every target is followed, all at once, each to at most `most` symbols; an
+    impacted symbol keeps the depth of the first target (by id) that reaches it.
+    """
     chosen = graph.nodes.filter(F.col("name").isin(*names) | F.col("path").isin(*files)) if names or files else graph.nodes.limit(0)
-    found: dict[int, int] = {}
-    warnings = []
-    for seed in [r.id for r in chosen.orderBy("id").select("id").limit(most).collect()]:
-        walk = traversal.traverse(graph.edges, seed, depth, most, "backward", traversal.CALLS_AND_IMPORTS)
-        if walk.truncated:
-            warnings.append(f"more than {most} symbols depend on {seed}")
-        direct = 0
-        for r in walk.nodes.orderBy("ord").collect():
-            direct += r.depth == 1
-            found.setdefault(r.node, r.depth)
-        if direct >= 5:
-            warnings.append(f"{direct} direct dependants of {seed}")
-    tests = []
-    if found:
-        paths = graph.nodes.filter(F.col("id").isin(*found)).select("path").distinct().filter(F.col("path").rlike(TEST_PATH))
-        tests = sorted(r.path for r in paths.collect())
-    return {"risk": risk_of(len(found)), "score": len(found), "impacted": sorted(found.items(), key=lambda x: x[1]), "affected_tests": tests, "warnings": warnings}
+    targets = kept(chosen.select("id", "name", "qualified_name"))
+    walks, cut = traversal.traverse_each(graph.edges, targets.select(F.col("id").alias("seed")), depth, most)
+    first = walks.groupBy("node").agg(F.min(F.struct("seed", "depth")).alias("f")).select(F.col("node").alias("id"), F.col("f.depth").alias("depth"))
+    impacted = kept(graph.nodes.select("id", "name", "path").join(first, "id"))
+    paths = impacted.select("path").distinct()
+    callers = graph.edges.filter("kind = 'calls'").join(targets.select(F.col("id").alias("target_id")), "target_id", "left_semi").groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("n"))
+    many = callers.filter(F.col("n") >= MANY_CALLERS).join(targets, "id").select("id", F.concat("name", F.lit(" has "), "n", F.lit(" callers: high-impact change")).alias("warning"))
+    truncated = cut.withColumnRenamed("seed", "id").join(targets, "id").select("id", F.concat(F.lit("the impact of "), "name", F.lit(" was cut: large blast radius")).alias("warning"))
+    cycles = search_cycles(graph.edges.filter(F.col("kind").isin(*traversal.CALLS_AND_IMPORTS)), graph.nodes, RISK_CYCLES)
+    passed = cycles.select("cycle", "path", F.explode(F.array_distinct("path")).alias("qualified_name")).join(targets, "qualified_name")
+    risks = passed.groupBy("cycle").agg(F.min(F.struct("id", F.concat("name", F.lit(" is in a cycle: "), F.array_join("path", " -> ")).alias("risk"))).alias("r")).select("cycle", "r.risk")
+    return PlanRisk(targets.select("id", "name"), impacted, paths, paths.filter(F.col("path").rlike(TEST_PATH)), truncated.unionByName(many), risks, impacted.count())
+
+
+def node_trail(nodes: DataFrame, edges: DataFrame, node: int, trail: int = 15) -> DataFrame:
+    """(side, rank, id, name, path): the first callers and callees of a node, by edge id, each once."""
+    calls = edges.filter("kind = 'calls'")
+
+    def near(side: str, own: str, other: str) -> DataFrame:
+        first = calls.filter(F.col(own) == node).groupBy(F.col(other).alias("id")).agg(F.min("id").alias("e")).orderBy("e").limit(trail)
+        return first.select(F.lit(side).alias("side"), F.row_number().over(Window.orderBy("e")).alias("rank"), "id")  # of `trail` rows
+
+    both = near("callers", "target_id", "source_id").unionByName(near("callees", "source_id", "target_id"))
+    return both.join(nodes.select("id", "name", "path"), "id").select("side", "rank", "id", "name", "path")
 
 
 def node_detail(graph: Graph, name: str, contents: DataFrame | None = None, trail: int = 15, snippet_lines: int = 60) -> dict | None:
-    """The first symbol of that name with its first callers and callees, by edge id."""
+    """The first symbol of that name with its first callers and callees."""
     node = graph.nodes.filter(F.col("name") == name).orderBy("id").first()
     if node is None:
         return None
-    calls = graph.edges.filter("kind = 'calls'")
-    names = graph.nodes.select(F.col("id").alias("other"), "name")
-
-    def near(own: str, other: str) -> list[str]:
-        first = calls.filter(F.col(own) == node.id).orderBy("id").limit(trail).select(F.col("id").alias("e"), F.col(other).alias("other"))
-        return [r.name for r in first.join(names, "other").orderBy("e").collect()]
-
-    detail = {"id": node.id, "name": node.name, "path": node.path, "callers": near("target_id", "source_id"), "callees": near("source_id", "target_id")}
+    near: dict[str, list[str]] = {"callers": [], "callees": []}
+    for r in node_trail(graph.nodes, graph.edges, node.id, trail).orderBy("rank").collect():
+        near[r.side].append(r.name)
+    detail = {"id": node.id, "name": node.name, "path": node.path, **near}
     if contents is not None:
         row = contents.filter(F.col("path") == node.path).select(lines_between(F.col("content"), F.lit(node.start_line), F.lit(node.end_line), snippet_lines).alias("s")).first()
         detail["snippet"] = row.s if row else None
     return detail
 
 
-def shrunk(payload, most: int = 10):
-    """A payload with arrays cut to `most` entries and a marker, and without empty properties."""
-    if isinstance(payload, dict):
-        smaller = {k: shrunk(v, most) for k, v in payload.items()}
-        return {k: v for k, v in smaller.items() if v is not None and v != "" and v != []}
-    if isinstance(payload, list):
-        out = [shrunk(v, most) for v in payload[:most]]
-        return [*out, f"... {len(payload) - most} more"] if len(payload) > most else out
-    return payload
-
-
 def tokens_of(text: str) -> int:
     return math.ceil(len(text) / 4)

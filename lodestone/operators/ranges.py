@@ -28,6 +28,11 @@ def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_totals(rows: DataFrame, size: int) -> DataFrame:
+    """(total, pages): the rows, and the pages of that size that they fill."""
+    return rows.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size))
+
+
 def overlapping(rows: DataFrame, hunks: DataFrame, key: str = "path") -> DataFrame:
     """rows (start_line, end_line) that a hunk (start, end) of the same key touches."""
     touched = rows.join(hunks, key).filter((F.col("start_line") <= F.col("end")) & (F.col("end_line") >= F.col("start")))

@@ -1,24 +1,84 @@
-"""Dense-vector retrieval: quantised index, inner-product top-k, recall."""
+"""Dense-vector retrieval: quantised index, inner-product top-k, recall, noise."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.vector import dot, quantised, robust_scale, total
-
-
-#: Queries that are sent to every task at once; more of them go in blocks, each with a pass over the documents.
-QUERY_BLOCK = 4_096
-
-
-def in_blocks(queries: DataFrame, scored) -> DataFrame:
-    """The union of scored(block) over blocks of the queries (column query_id) of bounded size."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    return reduce(DataFrame.unionByName, [scored(F.broadcast(numbered.filter(F.col("_block") == b).drop("_block"))) for b in range(blocks)])
+from lodestone.functions.vector import dot, hadamard, quantised, robust_scale, rotated, total
+
+#: Queries, and bytes of their vectors, that are sent to every task at once; more of them go in blocks, each with a pass over the documents.
+QUERY_BLOCK, QUERY_BYTES = 4_096, 32 << 20
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists of numbers as doubles, one row a list."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if not len(column):
+        return values.reshape(0, 0)
+    if len(values) % len(column) or set(np.diff(column.offsets.to_numpy()).tolist()) - {len(values) // len(column)}:
+        raise ValueError("vectors differ in length")
+    return values.reshape(len(column), -1)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score): the k best of each row of scores, ties to the lower id."""
+    if scores.shape[1] > k:
+        kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+        row, at = np.nonzero(scores >= kth[:, None])
+    else:
+        row, at = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((ids[at], -scores[row, at], row))
+    row, at = row[order], at[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, at = row[place < k], at[place < k]
+    return row, ids[at], scores[row, at]
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int, score: Callable[[dict, np.ndarray, list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """(query_id, rank, doc_id, score): for each query its k best documents, scored as blocks of matrices.
+
+    docs: (id, vector, further numbers); queries: (id, vector, further numbers), a
+    stated set whose blocks are bounded in rows and bytes. A task keeps k rows a
+    query, and only those are shuffled. Rows without a vector are left out.
+    """
+    id_col, vector = docs.columns[:2]
+    docs, queries = docs.filter(F.col(vector).isNotNull()), queries.filter(F.col(queries.columns[1]).isNotNull())
+    width = queries.agg(F.max(F.size(queries.columns[1]))).first()[0] or 1
+    blocks = max(1, -(-queries.count() // max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * width)))))
+    part = F.pmod(F.xxhash64(queries.columns[0]), F.lit(blocks))
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = []
+    for b in range(blocks):
+        block = queries.filter(part == b).toArrow().combine_chunks()
+        sent = {"id": block.column(0).to_numpy(), "v": matrix(block.column(1).combine_chunks()), "more": [c.to_numpy() for c in block.columns[2:]]}
+
+        def best(batches: Iterable[pa.RecordBatch], sent: dict = sent) -> Iterator[pa.RecordBatch]:
+            n, held = len(sent["id"]), None
+            for batch in batches:
+                if not batch.num_rows or not n:
+                    continue
+                scores = score(sent, matrix(batch.column(1)), [c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]])
+                row, ids, s = _best(scores, batch.column(0).to_numpy(), k)
+                if held is not None:
+                    row, ids, s = (np.r_[a, x] for a, x in zip(held, (row, ids, s), strict=True))
+                    order = np.lexsort((ids, -s, row))
+                    row, ids, s = row[order], ids[order], s[order]
+                    top = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, ids, s = row[top], ids[top], s[top]
+                held = row, ids, s
+            if held is not None:
+                row, ids, s = held
+                yield pa.RecordBatch.from_arrays([pa.array(sent["id"][row]), pa.array(ids), pa.array(s)], ["query_id", "doc_id", "score"])
+
+        found.append(docs.mapInArrow(best, f"query_id {kind}, doc_id {kind}, score double"))
+    return top_k(reduce(DataFrame.unionByName, found), k)
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -36,22 +96,18 @@ def top_k(scores: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id
 
 def search_exact(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Inner products in double, of a stated set of queries with all documents."""
-
-    def scored(block: DataFrame) -> DataFrame:
-        return docs.join(block).select("query_id", F.col("vec_id").alias("doc_id"), F.round(dot(F.col("qv"), F.col("embedding")), 6).alias("score"))
-
-    return top_k(in_blocks(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), scored), k)
+    return search(docs.select("vec_id", "embedding"), queries.select("vec_id", "embedding"), k, lambda q, d, _: np.round(q["v"] @ d.T, 6))
 
 
 def search_quantised(index: DataFrame, query_index: DataFrame, k: int) -> DataFrame:
     """Whole-number inner products of the biased queries, the bias taken out again by the documents' sums, then scaled."""
-    queries = query_index.select(F.col("vec_id").alias("query_id"), F.transform("q", lambda x: x + 128).alias("qq"), F.col("scale").alias("q_scale"))
-    plain = dot(F.col("qq"), F.col("q"), "int") - F.col("q_sum") * 128
 
-    def scored(block: DataFrame) -> DataFrame:
-        return index.join(block).select("query_id", F.col("vec_id").alias("doc_id"), F.round(plain * F.col("q_scale") * F.col("scale"), 6).alias("score"))
+    def score(q: dict, d: np.ndarray, more: list[np.ndarray]) -> np.ndarray:
+        scale, q_sum = more
+        plain = (q["v"] + 128) @ d.T - q_sum * 128.0  # whole numbers far below 2^53
+        return np.round(plain * q["more"][0][:, None] * scale, 6)
 
-    return top_k(in_blocks(queries, scored), k)
+    return search(index.select("vec_id", "q", "scale", "q_sum"), query_index.select("vec_id", "q", "scale"), k, score)
 
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -61,9 +117,84 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return by_query.agg(F.round(F.avg("share"), 6).alias("recall"))
 
 
+def in_blocks(queries: DataFrame, scored) -> DataFrame:
+    """The union of scored(block) over blocks of the queries (column query_id) of bounded size."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    return reduce(DataFrame.unionByName, [scored(F.broadcast(numbered.filter(F.col("_block") == b).drop("_block"))) for b in range(blocks)])
+
+
 def score_noise(index: DataFrame, vectors: DataFrame, query_ids: str) -> DataFrame:
     """(n, mean_error, var_error) of quantised against exact inner products."""
     docs = vectors.join(index, "vec_id")
     queries = docs.filter(query_ids).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("q").alias("qq"), F.col("scale").alias("q_scale"))
     error = dot(F.col("qq"), F.col("q"), "int") * F.col("q_scale") * F.col("scale") - dot(F.col("qv"), F.col("embedding"))
     return in_blocks(queries, lambda block: docs.join(block).select(error.alias("e"))).agg(F.count("*").alias("n"), F.round(F.avg("e"), 6).alias("mean_error"), F.round(F.var_pop("e"), 8).alias("var_error"))
+
+
+def noise_bounds(vectors: DataFrame, is_query: Column, t: float) -> DataFrame:
+    """(vec_id, tail, noise) of each vector.
+
+    tail: a bound of the chance that a rotated unit vector has a coordinate above t.
+    noise: the variance of a quantised score as two terms predict it, the
+    document's steps against the queries' mean square length and the other way round.
+    """
+    n, norm2, step = F.size("embedding"), dot(F.col("embedding"), F.col("embedding")), robust_scale(F.col("embedding")) * 2
+    own = vectors.select("vec_id", n.alias("n"), norm2.alias("norm2"), (step * step).alias("step2"), is_query.alias("is_query"))
+    q = own.filter("is_query").agg(F.avg("norm2").alias("q_norm2"), F.avg("step2").alias("q_step2"))
+    tail = F.least(F.lit(1.0), F.col("n") * 2 * F.exp(-F.col("n") * t * t / 2))
+    noise = F.col("q_norm2") * F.col("step2") / 12 + F.col("norm2") * F.col("q_step2") / 12
+    return own.crossJoin(F.broadcast(q)).select("vec_id", F.round(tail, 8).alias("tail"), F.round(noise, 12).alias("noise"))
+
+
+def flip_probability(gap: Column, noise: Column) -> Column:
+    """The chance that noise of that variance on both scores turns two items whose true scores differ by gap: the normal distribution below -gap / sqrt(2 noise)."""
+
+    @F.pandas_udf("double")
+    def below(z: pd.Series) -> pd.Series:
+        from math import erfc, sqrt
+
+        return z.map(lambda x: None if x is None else erfc(x / sqrt(2)) / 2)
+
+    return below(gap / F.sqrt(noise * 2))
+
+
+def rotation_table(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(method, mse, recall): what quantisation loses as it is, after the plain Hadamard transform, and after the randomised one."""
+
+    @F.pandas_udf("array<double>")
+    def transformed(v: pd.Series) -> pd.Series:
+        return pd.Series(list(hadamard(np.stack(v.to_numpy())))) if len(v) else v
+
+    truth = search_exact(vectors, queries, k)
+    ids = queries.select("vec_id")
+    out = None
+    for method, turned in (("none", F.col("embedding")), ("hadamard", transformed(F.col("embedding"))), ("randomised", rotated(F.col("embedding")))):
+        own = vectors.select("vec_id", turned.alias("embedding"))
+        index = build_index(own)
+        loss = own.join(index, "vec_id").select(F.aggregate(F.zip_with("embedding", "q", lambda x, q: (x.cast("double") - q * F.col("scale")) ** 2), F.lit(0.0), lambda a, x: a + x).alias("e")).agg(F.round(F.avg("e"), 9).alias("mse"))
+        hit = recall(search_quantised(index, index.join(ids, "vec_id", "left_semi"), k), truth, k)
+        row = loss.crossJoin(hit).select(F.lit(method).alias("method"), "mse", "recall")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def gaussian_clusters(spark: SparkSession, n: int, width: int, centres: int = 20, sigma: float = 0.5, seed: int = 1234) -> DataFrame:
+    """(vec_id, label, embedding): n vectors of length one around so many centres; a row depends on its id and the seed alone."""
+    block = 1_024
+
+    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle = np.random.default_rng(seed).standard_normal((centres, width))
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for b in np.unique(ids // block).tolist():
+                random = np.random.default_rng([seed, b])
+                label = random.integers(0, centres, block)
+                x = middle[label] + sigma * random.standard_normal((block, width))
+                x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+                own = ids[ids // block == b]
+                at = own - b * block
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * width), pa.array(x[at].ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(label[at].astype(np.int32)), lists], ["vec_id", "label", "embedding"])
+
+    return spark.range(n).mapInArrow(draw, "vec_id long, label int, embedding array<float>")

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import TEST_PATH
+from lodestone.functions.text import TEST_PATH, loose_glob
 from lodestone.sources.storage import kept
 
 CALLS, CALLS_AND_IMPORTS = ("calls",), ("calls", "imports")
@@ -64,6 +64,31 @@ def traverse(edges: DataFrame, start: int, max_depth: int = 3, max_nodes: int =
     return Traversal(emitted, edges.join(leaving.select(F.col("edge").alias("id")).distinct(), "id", "left_semi"), truncated)
 
 
+def traverse_each(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, max_nodes: int = 50, direction: str = "backward", kinds: tuple[str, ...] | None = CALLS_AND_IMPORTS) -> tuple[DataFrame, DataFrame]:
+    """(seed, node, depth, ord) and (seed): traverse from each seed (column seed) by itself, all of them level by level at once; and the seeds that found more than max_nodes.
+
+    For each seed that is what traverse gives: the first max_nodes in the order of
+    their discovery, so a smaller max_nodes gives a prefix. A level's new nodes are
+    cut to max_nodes a seed before they are numbered.
+    """
+    steps = directed(edges, direction, kinds)
+    seen = kept(seeds.select(F.col("seed").cast("long").alias("seed")).distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("ord")))
+    order = Window.partitionBy("seed").orderBy("by")
+    for depth in range(1, max_depth + 1):
+        counts = seen.groupBy("seed").agg(F.count("*").alias("so_far")).filter(F.col("so_far") <= max_nodes)
+        frontier = seen.filter(F.col("depth") == depth - 1).join(counts.select("seed"), "seed", "left_semi")
+        found = frontier.join(steps, "node").join(seen.select("seed", F.col("node").alias("other")), ["seed", "other"], "left_anti")
+        first = found.groupBy("seed", "other").agg(F.min(F.struct("ord", "dir_rank", "kind_rank", "edge")).alias("by"))
+        ranked = first.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= max_nodes + 1).join(counts, "seed")
+        placed = ranked.select("seed", F.col("other").alias("node"), F.lit(depth).alias("depth"), (F.col("so_far") + F.col("k") - 1).cast("long").alias("ord"))
+        fresh = kept(placed.filter(F.col("ord") <= max_nodes))
+        if not fresh.limit(1).count():
+            break
+        seen = seen.unionByName(fresh)
+    cut = seen.filter(F.col("ord") >= max_nodes).select("seed").distinct()
+    return seen.filter(F.col("ord") < max_nodes), cut
+
+
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int, direction: str = "backward", kinds: tuple[str, ...] = CALLS_AND_IMPORTS) -> DataFrame:
     """(node, depth): all nodes within max_depth of any start (column node), without a cap."""
     steps = directed(edges, direction, kinds).select("node", "other")
@@ -113,11 +138,14 @@ def impact(nodes: DataFrame, edges: DataFrame, target: str, depth: int = 3, most
     if not seeds:
         seeds = [r.id for r in nodes.filter(F.col("path") == target).orderBy("id").select("id").limit(most).collect()]
     found: dict[int, int] = {}
-    for seed in seeds:
-        if len(found) >= most:
-            break
-        for r in traverse(edges, seed, depth, most - len(found), "backward", CALLS_AND_IMPORTS).nodes.orderBy("ord").collect():  # at most `most` rows
-            found.setdefault(r.node, r.depth)
+    if seeds:
+        walks, _ = traverse_each(edges, edges.sparkSession.createDataFrame([(s,) for s in seeds], "seed long"), depth, most)
+        by_seed: dict[int, list] = {}
+        for r in walks.orderBy("ord").collect():  # at most `most` rows for each of at most `most` seeds
+            by_seed.setdefault(r.seed, []).append(r)
+        for seed in seeds:
+            for r in by_seed[seed][: most - len(found)]:
+                found.setdefault(r.node, r.depth)
     rows = [(n, d, k) for k, (n, d) in enumerate(found.items())]
     return edges.sparkSession.createDataFrame(rows, "node long, depth int, ord int")
 
@@ -150,8 +178,9 @@ def trace(nodes: DataFrame, edges: DataFrame, source: str, target: str, max_hops
     return best
 
 
-def affected_tests(nodes: DataFrame, edges: DataFrame, paths: list[str], depth: int = 5, pattern: str = TEST_PATH) -> DataFrame:
-    """(path) of the test files that depend on the files."""
+def affected_tests(nodes: DataFrame, edges: DataFrame, paths: list[str], depth: int = 5, pattern: str | None = None) -> DataFrame:
+    """(path) of the test files that depend on the files, those of them that are tests themselves included; pattern: a loose glob for what a test is."""
     seeds = nodes.filter(F.col("path").isin(*paths)).select(F.col("id").alias("node"))
     found = reach(edges, seeds, depth).select(F.col("node").alias("id"))
-    return nodes.join(found, "id", "left_semi").select("path").distinct().filter(F.col("path").rlike(pattern)).filter(~F.col("path").isin(*paths))
+    is_test = F.col("path").rlike(TEST_PATH if pattern is None else loose_glob(pattern))
+    return nodes.filter(is_test).join(found, "id", "left_semi").select("path").distinct()

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.vector import dot, rotated
-from lodestone.operators import analytics, classify, export, ranges, resolve, retrieval, search, traversal
+from lodestone.operators import analytics, classify, context, export, ranges, reports, resolve, retrieval, search, traversal
+from lodestone.plans import engine
 from lodestone.sources import sample_graph, storage
 from lodestone.streaming import changes
 
@@ -71,6 +72,18 @@ def files_by_language(spark, d):
     return graph(spark, d).files.groupBy("language").agg(F.count("*").alias("n"))
 
 
+EXTENSIONS = [*T.LANGUAGES, "txt", "JS", ""]
+EXTENSION_SQL = "CASE p_partkey % " + str(len(EXTENSIONS)) + " " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(EXTENSIONS)) + " END"
+LANGUAGE_SQL = "CASE x " + " ".join(f"WHEN '{x}' THEN '{lang}'" for x, lang in T.LANGUAGES.items()) + " WHEN 'JS' THEN 'javascript' END"
+
+
+@query(f"SELECT path, {LANGUAGE_SQL} AS language FROM (SELECT {EXTENSION_SQL} AS x, 'src/a.b/f' || p_partkey || '.' || {EXTENSION_SQL} AS path FROM part)")
+def language_map(spark, d):
+    x = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("p_partkey") % len(EXTENSIONS) + 1).cast("int"))
+    paths = read(spark, d, "part").select(F.concat(F.lit("src/a.b/f"), F.col("p_partkey").cast("string"), F.lit("."), x).alias("path"))
+    return paths.select("path", T.language_of(F.col("path")).alias("language"))
+
+
 @query(BASE + " SELECT id, path, kind, qualified_name FROM nodes")
 def scan_nodes(spark, d):
     return graph(spark, d).nodes.select("id", "path", "kind", "qualified_name")
@@ -201,6 +214,14 @@ def dead_code(spark, d):
     return classify.dead_code(classify.roles(g.nodes, g.edges), path="mod").select("id", "kind", "path")
 
 
+@query(
+    BASE + ROLES + ", dead AS (SELECT kind, path FROM roles WHERE role = 'dead') SELECT 'total' AS by, '' AS key, count(*) AS n FROM dead UNION ALL SELECT 'kind', kind, count(*) FROM dead GROUP BY 2 UNION ALL SELECT 'file', path, count(*) FROM dead GROUP BY 2"
+)
+def dead_totals(spark, d):
+    g = graph(spark, d)
+    return classify.dead_totals(classify.dead_code(classify.roles(g.nodes, g.edges)))
+
+
 @query(BASE + ROLES + " SELECT 'files' AS item, '' AS key, count(*) AS n FROM files UNION ALL SELECT 'nodes', '', count(*) FROM nodes UNION ALL SELECT 'edges', '', count(*) FROM edges UNION ALL SELECT 'language', language, count(*) FROM files GROUP BY 2 UNION ALL SELECT 'role', role, count(*) FROM roles GROUP BY 2")
 def status(spark, d):
     g = graph(spark, d)
@@ -292,10 +313,10 @@ def trace_len(spark, d):
     return spark.createDataFrame([(len(traversal.trace(g.nodes, g.edges, "red_widget", "blue_bolt")),)], "total_hops long")
 
 
-@query(BASE + f", walk AS (SELECT id AS node, 0 AS depth FROM nodes WHERE path IN ('src/mod1/brand_1.py', 'src/mod2/brand_2.c') UNION SELECT e.source_id, w.depth + 1 FROM walk w JOIN edges e ON e.target_id = w.node WHERE w.depth < 3) SELECT DISTINCT path FROM walk JOIN nodes n ON n.id = node WHERE {TEST}")
+@query(BASE + f", walk AS (SELECT id AS node, 0 AS depth FROM nodes WHERE path IN ('src/mod1/brand_1.py', 'src/mod2/brand_2.c', 'src/__tests__/brand_5.test.ts') UNION SELECT e.source_id, w.depth + 1 FROM walk w JOIN edges e ON e.target_id = w.node WHERE w.depth < 3) SELECT DISTINCT path FROM walk JOIN nodes n ON n.id = node WHERE {TEST}")
 def affected_tests(spark, d):
     g = graph(spark, d)
-    return traversal.affected_tests(g.nodes, g.edges, ["src/mod1/brand_1.py", "src/mod2/brand_2.c"], 3)
+    return traversal.affected_tests(g.nodes, g.edges, ["src/mod1/brand_1.py", "src/mod2/brand_2.c", "src/__tests__/brand_5.test.ts"], 3)
 
 
 def near_sql(own: str, other: str) -> str:
@@ -308,6 +329,59 @@ def auto_context(spark, d):
     return analytics.file_context(g.nodes, g.edges, "src/mod1/brand_1.py")
 
 
+PLAN = ", targets AS (SELECT id FROM nodes WHERE name = 'red_widget')"
+
+
+@query(BASE + PLAN + ", walk AS (SELECT id AS node, 0 AS depth FROM targets UNION SELECT e.source_id, w.depth + 1 FROM walk w JOIN edges e ON e.target_id = w.node WHERE w.depth < 3) SELECT DISTINCT n.id, n.path FROM walk JOIN nodes n ON n.id = node")
+def plan_impacted(spark, d):
+    """All that a change touches; the limit of each target's walk is beyond what any of them reaches."""
+    return context.plan_risk(graph(spark, d), ["red_widget"], most=1_000_000).impacted.select("id", "path")
+
+
+@query(BASE + " SELECT target_id AS id, count(*) AS n FROM calls WHERE target_id IN (SELECT id FROM nodes WHERE path IN ('src/mod1/brand_1.py', 'src/mod2/brand_2.c')) GROUP BY 1 HAVING count(*) >= 5")
+def plan_warnings(spark, d):
+    warned = context.plan_risk(graph(spark, d), files=["src/mod1/brand_1.py", "src/mod2/brand_2.c"], most=1_000_000).warnings
+    return warned.select("id", F.regexp_extract("warning", r"has (\d+) callers", 1).cast("long").alias("n"))
+
+
+@query()
+def plan_risk(spark, d):
+    """(item, key, n): the parts of the risk of a change, with the limits of its kind of answer."""
+    p = context.plan_risk(graph(spark, d), ["red_widget"], ["src/mod1/brand_1.py"])
+    part = lambda item, df, key: df.select(F.lit(item).alias("item"), key.cast("string").alias("key"), F.lit(1).cast("long").alias("n"))
+    out = spark.createDataFrame([("risk", p.risk, p.score)], "item string, key string, n long")
+    out = out.unionByName(p.impacted.select(F.lit("impacted").alias("item"), F.col("id").cast("string").alias("key"), F.col("depth").cast("long").alias("n")))
+    for item, df, key in (("file", p.files, F.col("path")), ("test", p.affected_tests, F.col("path")), ("warning", p.warnings, F.col("warning")), ("cycle", p.cycle_risks, F.col("risk"))):
+        out = out.unionByName(part(item, df, key))
+    return out
+
+
+def trail_sql(side: str, own: str, other: str) -> str:
+    return f"SELECT '{side}' AS side, CAST(row_number() OVER (ORDER BY e.id) AS INT) AS rank, n.id, n.name, n.path FROM edges e JOIN nodes n ON n.id = e.{other} WHERE e.kind = 'calls' AND e.{own} = {MOST_OUT} QUALIFY rank <= 15"
+
+
+@query(BASE + DEGREES + f" SELECT * FROM ({trail_sql('callers', 'target_id', 'source_id')}) UNION ALL SELECT * FROM ({trail_sql('callees', 'source_id', 'target_id')})")
+def node_trail(spark, d):
+    g = graph(spark, d)
+    return context.node_trail(g.nodes, g.edges, seed(g, "fan_out"))
+
+
+@query(BASE + DEGREES + f", ends AS (SELECT count(*)::DOUBLE / (SELECT count(*) FROM nodes WHERE name = 'red_widget') AS degree FROM edges e JOIN nodes n ON n.name = 'red_widget' AND n.id IN (e.source_id, e.target_id)), t AS (SELECT (SELECT count(*) FROM nodes) AS n, degree FROM ends) SELECT greatest(1, least(10, 4 + CASE WHEN n < 200 THEN 1 WHEN n > 2000 THEN -1 ELSE 0 END + CASE WHEN degree > 20 THEN -1 WHEN degree < 5 THEN 1 ELSE 0 END))::INT AS depth, greatest(5, least(2000, 80 + CASE WHEN n < 200 THEN 20 WHEN n > 2000 THEN 30 ELSE 0 END + CASE WHEN degree > 20 THEN 20 ELSE 0 END))::INT AS nodes FROM t")
+def adaptive_limits(spark, d):
+    return spark.createDataFrame([engine.CodeBase(graph(spark, d)).limits("impact", "red_widget")], "depth int, nodes int")
+
+
+@query(
+    BASE
+    + ROLES
+    + ", own AS (SELECT * FROM roles WHERE path = 'src/mod1/brand_1.py'), far AS (SELECT 'imports_from' AS item, t.path AS key FROM edges e JOIN own o ON o.id = e.source_id JOIN nodes t ON t.id = e.target_id WHERE e.kind = 'imports' UNION SELECT 'imported_by', s.path FROM edges e JOIN own o ON o.id = e.target_id JOIN nodes s ON s.id = e.source_id WHERE e.kind = 'imports')"
+    " SELECT 'total' AS item, '' AS key, count(*) AS n FROM own UNION ALL SELECT 'exported', '', count(*) FILTER (exported = 1) FROM own UNION ALL SELECT 'role', role, count(*) FROM own GROUP BY 2 UNION ALL SELECT item, key, 1 FROM far WHERE key <> 'src/mod1/brand_1.py'"
+)
+def file_stats(spark, d):
+    g = graph(spark, d)
+    return analytics.file_stats(classify.roles(g.nodes, g.edges), g.edges, "src/mod1/brand_1.py")
+
+
 # resolution and changes
 
 REFS = ", refs AS (SELECT c.source_id * 16777216 + c.target_id AS ref_id, s.file_id, s.qualified_name AS source_qname, t.name AS target_name, c.source_id FROM calls c JOIN nodes s ON s.id = c.source_id JOIN nodes t ON t.id = c.target_id)"
@@ -398,16 +472,19 @@ def file_coupling(spark, d):
 @query(
     BASE
     + DEGREES
-    + ", d AS (SELECT f.*, end_line - start_line + 1 AS body, coalesce(x.c, 0) AS outside FROM fans f LEFT JOIN (SELECT c.target_id, count(*) AS c FROM calls c JOIN nodes s ON s.id = c.source_id JOIN nodes t ON t.id = c.target_id WHERE s.path <> t.path GROUP BY 1) x ON x.target_id = f.id)"
-    " SELECT 'extract' AS type, id, CASE WHEN body > 100 THEN 'high' ELSE 'medium' END AS priority FROM d WHERE body > 50 AND fan_out >= 5"
-    " UNION ALL SELECT 'inline', id, 'low' FROM d WHERE fan_in = 1 AND fan_out <= 2 AND body <= 10 AND kind = 'function'"
-    " UNION ALL SELECT 'move', id, CASE WHEN outside >= 4 THEN 'high' ELSE 'medium' END FROM d WHERE fan_in >= 2 AND outside > fan_in - outside AND outside >= 2"
-    " UNION ALL SELECT 'dead', id, 'medium' FROM d WHERE fan_in = 0 AND fan_out = 0 AND exported = 0"
-    " UNION ALL SELECT 'split', id, CASE WHEN fan_out >= 15 THEN 'high' ELSE 'medium' END FROM d WHERE fan_out >= 10"
+    + ", ext AS (SELECT c.target_id AS id, s.path AS src, count(*) AS n, min(c.source_id) AS first FROM calls c JOIN nodes s ON s.id = c.source_id JOIN nodes t ON t.id = c.target_id WHERE s.path <> t.path GROUP BY 1, 2),"
+    " x AS (SELECT id, sum(n) AS outside, max(n) AS most, arg_max(src, n * 16777216 - first) AS top FROM ext GROUP BY 1),"
+    " d AS (SELECT f.*, end_line - start_line + 1 AS body, coalesce(x.outside, 0)::BIGINT AS outside, x.most, x.top FROM fans f LEFT JOIN x ON x.id = f.id),"
+    " r AS (SELECT 'extract' AS type, id, name, path, CASE WHEN body > 100 THEN 'high' ELSE 'medium' END AS priority, body || ' lines, ' || fan_out || ' outgoing calls: consider smaller functions' AS reason FROM d WHERE body > 50 AND fan_out >= 5"
+    " UNION ALL SELECT 'inline', id, name, path, 'low', 'only 1 caller, ' || body || ' lines: may be inlined' FROM d WHERE fan_in = 1 AND fan_out <= 2 AND body <= 10 AND kind = 'function'"
+    " UNION ALL SELECT 'move', id, name, path, CASE WHEN outside >= 4 THEN 'high' ELSE 'medium' END, outside || '/' || fan_in || ' callers are in other files; most from ' || top || ' (' || most || ' calls)' FROM d WHERE fan_in >= 2 AND outside > fan_in - outside AND outside >= 2"
+    " UNION ALL SELECT 'dead', id, name, path, 'medium', 'no callers, no callees, not exported: safe to remove' FROM d WHERE fan_in = 0 AND fan_out = 0 AND exported = 0"
+    " UNION ALL SELECT 'split', id, name, path, CASE WHEN fan_out >= 15 THEN 'high' ELSE 'medium' END, fan_out || ' outgoing calls: consider splitting what it does' FROM d WHERE fan_out >= 10)"
+    " SELECT type, id, priority, reason FROM r QUALIFY row_number() OVER (PARTITION BY type, name, path ORDER BY id) = 1"
 )
 def suggest(spark, d):
     g = graph(spark, d)
-    return analytics.suggestions(g.nodes, g.edges, limit=None)
+    return analytics.suggestions(g.nodes, g.edges, limit=None).select("type", "id", "priority", "reason")
 
 
 @query(BASE + " SELECT s.qualified_name AS subject, t.qualified_name AS detail FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id WHERE starts_with(s.path, 'src/mod0/') AND starts_with(t.path, 'src/mod1/')")
@@ -434,22 +511,45 @@ def lint_totals(spark, d):
 @query(
     BASE
     + ROLES
-    + f", c AS (SELECT count(*) AS n, count(*) FILTER (role = 'dead') AS dead, count(*) FILTER (fan_out >= 10) AS god FROM roles), f AS (SELECT count(*) FILTER ({TEST}) AS t, count(*) FILTER (NOT {TEST}) AS s FROM files),"
-    " h AS (SELECT 100 AS modularity, CAST(greatest(0, least(100, 100 - floor(dead * 200 / greatest(n, 1)::DOUBLE + 0.5))) AS INT) AS dead, CAST(CASE WHEN s = 0 THEN 0 ELSE greatest(0, least(100, floor(t * 100 / greatest(s, 1)::DOUBLE + 0.5))) END AS INT) AS coverage, CAST(greatest(0, least(100, 100 - floor(god * 1000 / greatest(n, 1)::DOUBLE + 0.5))) AS INT) AS complexity FROM c, f)"
-    " SELECT modularity, dead, coverage, complexity, CAST(floor((modularity + dead + coverage + complexity) / 4.0 + 0.5) AS INT) AS overall FROM h"
+    + f", c AS (SELECT count(*) AS n, count(*) FILTER (role = 'dead') AS dead, count(*) FILTER (fan_out >= 10) AS god FROM roles), f AS (SELECT count(*) FILTER ({TEST}) AS t, count(*) FILTER (NOT {TEST}) AS s FROM files)"
+    " SELECT CAST(greatest(0, least(100, 100 - floor(dead * 200 / greatest(n, 1)::DOUBLE + 0.5))) AS INT) AS dead, CAST(CASE WHEN s = 0 THEN 0 ELSE greatest(0, least(100, floor(t * 100 / greatest(s, 1)::DOUBLE + 0.5))) END AS INT) AS coverage, CAST(greatest(0, least(100, 100 - floor(god * 1000 / greatest(n, 1)::DOUBLE + 0.5))) AS INT) AS complexity FROM c, f"
 )
+def dna_scores(spark, d):
+    """The scores that need no cycle search."""
+    return analytics.health(graph(spark, d)).select("dead", "coverage", "complexity")
+
+
+@query()
 def dna_health(spark, d):
-    # the SQL has no cycle search: its modularity is always 100, and its overall follows from that
     g = graph(spark, d)
     cycles = classify.search_cycles(g.edges.filter(F.col("kind").isin("calls", "imports")), g.nodes)
     return analytics.health(g, cycles=cycles.count())
 
 
-@query("SELECT 'monolith' AS style")
+def style_sql(rows: str) -> str:
+    score = lambda names: "len(list_intersect(names, [" + ", ".join(f"'{n}'" for n in names) + "]))"
+    layered, components, monolith, modular = analytics.STYLES
+    return (
+        f"{rows}, s AS (SELECT list(DISTINCT lower(list_reverse(string_split(path, '/'))[2])) FILTER (contains(path, '/')) AS names, count(DISTINCT string_split(path, '/')[1]) AS tops FROM paths)"
+        f" SELECT CASE WHEN {score(analytics.LAYERED)} >= 2 THEN '{layered}' WHEN {score(analytics.COMPONENTS)} >= 2 THEN '{components}' WHEN tops <= 2 THEN '{monolith}' ELSE '{modular}' END AS style FROM s"
+    )
+
+
+@query(style_sql(BASE + ", paths AS (SELECT path FROM files)"))
 def dna_style(spark, d):
     return analytics.style(graph(spark, d).files)
 
 
+FOLDERS = ("Handlers", "services", "lib", "models")
+
+
+@query(style_sql("WITH paths AS (SELECT 'app' || (p_partkey % 3) || '/' || CASE p_partkey % 4 WHEN 0 THEN 'Handlers' WHEN 1 THEN 'services' WHEN 2 THEN 'lib' ELSE 'models' END || '/f' || p_partkey || '.py' AS path FROM part)"))
+def dna_style_layers(spark, d):
+    folder = F.element_at(F.array(*map(F.lit, FOLDERS)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    paths = read(spark, d, "part").select(F.concat(F.lit("app"), (F.col("p_partkey") % 3).cast("string"), F.lit("/"), folder, F.lit("/f"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"))
+    return analytics.style(paths)
+
+
 @query(BASE + DEGREES + " SELECT id, fan_in, fan_out, fan_in + fan_out AS total FROM fans WHERE fan_in >= 3 OR fan_out >= 5 ORDER BY total DESC, id LIMIT 10")
 def key_hubs(spark, d):
     g = graph(spark, d)
@@ -738,6 +838,80 @@ def by_any_tag(spark, d):
     return found.groupBy(F.col("tags")[0].alias("tag")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
+@query(
+    "WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, coalesce(sum(o_totalprice::DECIMAL(18,2)) FILTER (o_orderstatus = 'F'), 0)::DOUBLE AS income, coalesce(sum(o_totalprice::DECIMAL(18,2)) FILTER (o_orderstatus = 'O'), 0)::DOUBLE AS expense FROM orders GROUP BY 1)"
+    " SELECT month, income - expense AS savings, CASE WHEN income > 0 THEN floor((income - expense) / income * 100 * 100 + 0.5) / 100 ELSE 0 END AS rate FROM m"
+)
+def savings_rate(spark, d):
+    orders = read(spark, d, "orders").select(F.trunc("o_orderdate", "month").alias("month"), F.col("o_totalprice").cast("decimal(18,2)").alias("x"), "o_orderstatus")
+    return reports.savings(orders, "month", F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O", "x").select("month", "savings", "rate")
+
+
+@query(
+    "WITH o AS (SELECT * FROM orders WHERE date_trunc('month', o_orderdate) = DATE '1996-03-01'), g AS (SELECT o_orderpriority AS key, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS amount FROM o GROUP BY 1)"
+    " SELECT 'income' AS item, '' AS key, coalesce(sum(o_totalprice::DECIMAL(18,2)) FILTER (o_orderstatus = 'F'), 0)::DOUBLE AS amount FROM o UNION ALL SELECT 'expense', '', coalesce(sum(o_totalprice::DECIMAL(18,2)) FILTER (o_orderstatus = 'O'), 0)::DOUBLE FROM o"
+    " UNION ALL SELECT * FROM (SELECT 'top', key, amount FROM g ORDER BY amount DESC, key LIMIT 5) UNION ALL SELECT 'alert', key, amount FROM g WHERE amount >= 0.8::DOUBLE * 1e6"
+)
+def finance_summary(spark, d):
+    month = read(spark, d, "orders").filter(F.trunc("o_orderdate", "month") == "1996-03-01").select("o_orderpriority", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("x"))
+    return reports.summary(month, F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O", "o_orderpriority", "x", 1e6)
+
+
+RULES_SQL = "SELECT o_orderkey AS id, o_orderdate::DATE AS last, CASE o_orderkey % 5 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' WHEN 2 THEN 'biweekly' WHEN 3 THEN 'monthly' ELSE 'yearly' END AS frequency, (o_orderkey % 3 + 1)::INT AS every, CASE WHEN o_orderkey % 7 = 0 THEN o_orderdate::DATE + 10 END AS until FROM orders"
+NEXT_SQL = "CASE frequency WHEN 'daily' THEN last + every WHEN 'weekly' THEN last + 7 * every WHEN 'biweekly' THEN last + 14 * every ELSE (date_trunc('month', last)::DATE + to_months(CASE frequency WHEN 'monthly' THEN every ELSE 12 * every END))::DATE + (day(last) - 1)::INT END"
+
+
+def recurring_rules(spark, d):
+    k = F.col("o_orderkey")
+    frequency = F.element_at(F.array(*map(F.lit, reports.FREQUENCIES)), (k % 5 + 1).cast("int"))
+    day = F.to_date("o_orderdate")
+    return read(spark, d, "orders").select(k.alias("id"), day.alias("last"), frequency.alias("frequency"), (k % 3 + 1).cast("int").alias("every"), F.when(k % 7 == 0, F.date_add(day, 10)).alias("until"))
+
+
+@query(f"SELECT id, next::DATE AS next FROM (SELECT *, {NEXT_SQL} AS next FROM ({RULES_SQL})) WHERE (until IS NULL OR until >= DATE '1996-06-01') AND next <= DATE '1996-06-01'")
+def recurring_due(spark, d):
+    return reports.due(recurring_rules(spark, d), F.lit("1996-06-01").cast("date")).select("id", "next")
+
+
+@query(f"SELECT id, next::DATE AS next, (next::DATE - DATE '1996-06-01')::INT AS days FROM (SELECT *, {NEXT_SQL} AS next FROM ({RULES_SQL})) WHERE (until IS NULL OR until >= DATE '1996-06-01') AND next::DATE - DATE '1996-06-01' BETWEEN 0 AND 30")
+def recurring_upcoming(spark, d):
+    return reports.upcoming(recurring_rules(spark, d), F.lit("1996-06-01").cast("date"), 30).select("id", "next", "days")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM events")
+def iso_timestamps(spark, d):
+    return read(spark, d, "events").select("event_id", T.iso_timestamp(F.unix_millis(F.col("ts").cast("timestamp"))).alias("iso"))
+
+
+@query("SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM orders")
+def page_totals(spark, d):
+    return ranges.page_totals(read(spark, d, "orders").select("o_orderkey"), 50)
+
+
+@query(
+    INDEX
+    + ", b AS (SELECT vec_id, len(e) AS n, list_sum(list_transform(e, lambda x: x * x)) AS norm2, scale FROM idx), q AS (SELECT avg(norm2) AS norm2, avg(4 * scale * scale) AS step2 FROM b WHERE vec_id % 50 = 0)"
+    " SELECT vec_id, round(least(1.0::DOUBLE, 2 * n * exp(-n * 0.3::DOUBLE * 0.3::DOUBLE / 2)), 8) AS tail, round(q.norm2 * 4 * scale * scale / 12 + b.norm2 * q.step2 / 12, 12) AS noise FROM b, q"
+)
+def vector_bounds(spark, d):
+    vectors = read(spark, d, "embeddings").select("vec_id", "embedding")
+    return retrieval.noise_bounds(vectors, F.col("vec_id") % 50 == 0, 0.3)
+
+
+@query()
+def rotation_table(spark, d):
+    """(method, mse, recall): quantisation without rotation, and after the plain and the randomised rotation."""
+    vectors = read(spark, d, "embeddings").select("vec_id", "embedding")
+    return retrieval.rotation_table(vectors, vectors.filter("vec_id % 50 = 0"), 10)
+
+
+@query()
+def gaussian_clusters(spark, d):
+    """The shape of synthetic vectors around centres."""
+    v = retrieval.gaussian_clusters(spark, 2_000, 64)
+    return v.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm"))
+
+
 @query("SELECT o_orderkey, (o_orderdate::DATE + INTERVAL 30 DAY)::DATE AS next FROM orders WHERE (o_orderdate::DATE + INTERVAL 30 DAY)::DATE BETWEEN DATE '1996-06-01' AND DATE '1996-06-15'")
 def upcoming(spark, d):
     due = F.date_add(F.to_date("o_orderdate"), 30)

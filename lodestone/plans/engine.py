@@ -9,10 +9,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import TEST_PATH, language_of, loose_glob, segment_glob
+from lodestone.functions.text import language_of, loose_glob, segment_glob
 from lodestone.operators import analytics, classify, context, export, resolve, search, traversal
 from lodestone.sources import code_files, extract
-from lodestone.sources.storage import Graph, distinct_edges, kept, latest_nodes
+from lodestone.sources.storage import Graph, change_tiers, distinct_edges, kept, latest_nodes
 
 RULES = ("deny-dependency", "max-fan-out", "max-file-symbols", "no-cycles")
 
@@ -21,7 +21,7 @@ RULES = ("deny-dependency", "max-fan-out", "max-file-symbols", "no-cycles")
 class Config:
     """Settings from a JSON file: known keys of the right type are taken, all else is ignored."""
 
-    ignore: list[str] = field(default_factory=list)
+    ignore: list[str] = field(default_factory=lambda: list(code_files.DEFAULTS))
     extensions: list[str] = field(default_factory=list)
     max_depth: int = 3
     max_nodes: int = 50
@@ -55,45 +55,107 @@ def _numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     return kept(df.orderBy(*order).withColumn(name, F.monotonically_increasing_id()))
 
 
-def index(spark: SparkSession, root: str, ignore_files: dict[str, str] | None = None) -> CodeBase:
-    """Scans, extracts, resolves and classifies the files under root."""
-    rules = code_files.ignore_rules(ignore_files or {})
-    return index_files(code_files.scan(spark, root, rules))
+def index(spark: SparkSession, root: str, config: Config | None = None) -> CodeBase:
+    """Scans, extracts, resolves and classifies the files under root, by the tree's own ignore files and the settings."""
+    return index_files(sources_of(spark, root, config or Config()))
+
+
+def sources_of(spark: SparkSession, root: str, config: Config) -> DataFrame:
+    found = code_files.scan(spark, root, ignore_folders=config.ignore)
+    return found.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*config.extensions)) if config.extensions else found
+
+
+COLUMNS = ["path", "name", "qualified_name", "kind", "start_line", "end_line", "signature", "doc", "exported"]
+
+
+def _after(df: DataFrame | None, name: str) -> int:
+    """The first id beyond those of a table."""
+    most = None if df is None else df.agg(F.max(name)).first()[0]
+    return 0 if most is None else most + 1
+
+
+@dataclass
+class Parsed:
+    """What files (file_id, path, language, content) have, before it is linked; ids begin where they are told to."""
+
+    nodes: DataFrame
+    refs: DataFrame
+    imports: DataFrame  # file_id, name, target_path
+    routes: DataFrame
+
+    @staticmethod
+    def of(files: DataFrame, first_node: int = 0, first_ref: int = 0) -> Parsed:
+        found = kept(extract.extract_files(files))
+        ids = files.select("path", "file_id")
+        symbols = found.filter("record = 'symbol'").select(*COLUMNS, "extends", "implements")
+        routes = kept(extract.routes(files))
+        title, route_name = F.concat_ws(" ", "method", "pattern"), F.concat(F.col("path"), F.lit("::route:"), F.col("pattern"))
+        fixed = {"name": title, "qualified_name": route_name, "kind": F.lit("route"), "start_line": F.col("line"), "end_line": F.col("line"), "signature": title, "doc": F.lit(None).cast("string"), "exported": F.lit(1)}
+        route_rows = routes.select("path", *(fixed[c].alias(c) for c in COLUMNS[1:]))
+        everything = _numbered(symbols.select(*COLUMNS).unionByName(route_rows).join(ids, "path"), "id", "path", "start_line", "qualified_name").withColumn("id", F.col("id") + first_node)
+        none = F.lit(None).cast("string").alias("receiver")
+        calls = found.filter("record = 'call'").select("path", F.lit("call").alias("kind"), F.col("enclosing").alias("source_qname"), F.col("name").alias("target_name"), "receiver", "line")
+        handled = routes.select("path", F.lit("call").alias("kind"), route_name.alias("source_qname"), F.col("handler").alias("target_name"), none, "line")
+        late = extract.registration_calls(found).select("path", F.lit("call").alias("kind"), "source_qname", "target_name", none, "line")
+        refs = calls.unionByName(handled).unionByName(late)
+        for c in ("extends", "implements"):
+            refs = refs.unionByName(symbols.filter(F.col(c).isNotNull()).select("path", F.lit(c).alias("kind"), F.col("qualified_name").alias("source_qname"), F.explode(F.split(c, r"\s*,\s*")).alias("target_name"), none, F.col("start_line").alias("line")))
+        refs = _numbered(refs.filter("source_qname IS NOT NULL").join(ids, "path"), "id", "path", "line", "target_name").withColumn("id", F.col("id") + first_ref)
+        named = found.filter("record = 'import' AND source IS NOT NULL").join(ids, "path").select("file_id", F.explode("specifiers").alias("name"), resolve.module_path(F.col("path"), F.col("source")).alias("target_path")).filter("target_path IS NOT NULL").distinct()
+        return Parsed(latest_nodes(everything), refs, kept(named), routes)
+
+
+def _linked(files: DataFrame, nodes: DataFrame, refs: DataFrame, imports: DataFrame, routes: DataFrame) -> CodeBase:
+    """All references resolved to edges, and roles from those."""
+    resolved = resolve.resolve_edges(refs, nodes, imports)
+    imported = resolve.import_edges(imports, nodes).withColumn("kind", F.lit("imports"))
+    edges = _numbered(resolved.unionByName(imported).distinct(), "id", "source_id", "target_id", "kind").select("id", "source_id", "target_id", "kind")
+    classified = classify.roles(nodes, edges).drop("fan_in", "fan_out")
+    return CodeBase(Graph(files.drop("content"), kept(classified), edges, refs), files.select("path", "content"), routes, imports)
 
 
 def index_files(sources: DataFrame) -> CodeBase:
     """The same for files (path, language, hash, size, mtime, content)."""
     files = _numbered(sources, "file_id", "path")
-    found = kept(extract.extract_files(files))
-    ids = files.select("path", "file_id")
-    columns = ["path", "name", "qualified_name", "kind", "start_line", "end_line", "signature", "doc", "exported"]
-    symbols = found.filter("record = 'symbol'").select(*columns, "extends", "implements")
-    routes = extract.routes(files)
-    route_rows = routes.select(
-        "path",
-        F.concat_ws(" ", "method", "pattern").alias("name"),
-        F.concat(F.col("path"), F.lit("::route:"), F.col("pattern")).alias("qualified_name"),
-        F.lit("route").alias("kind"),
-        F.col("line").alias("start_line"),
-        F.col("line").alias("end_line"),
-        F.col("framework").alias("signature"),
-        F.lit(None).cast("string").alias("doc"),
-        F.lit(1).alias("exported"),
-    )
-    everything = _numbered(symbols.select(*columns).unionByName(route_rows).join(ids, "path"), "id", "path", "start_line", "qualified_name")
-    nodes = latest_nodes(everything)
-    calls = found.filter("record = 'call'").select("path", F.lit("call").alias("kind"), F.col("enclosing").alias("source_qname"), F.col("name").alias("target_name"), "receiver", "line")
-    bases = [
-        symbols.filter(F.col(c).isNotNull()).select("path", F.lit(c).alias("kind"), F.col("qualified_name").alias("source_qname"), F.explode(F.split(c, r"\s*,\s*")).alias("target_name"), F.lit(None).cast("string").alias("receiver"), F.col("start_line").alias("line"))
-        for c in ("extends", "implements")
-    ]
-    refs = _numbered(calls.unionByName(bases[0]).unionByName(bases[1]).filter("source_qname IS NOT NULL").join(ids, "path"), "id", "path", "line", "target_name")
-    named = found.filter("record = 'import' AND source IS NOT NULL").join(ids, "path").select("file_id", F.explode("specifiers").alias("name"), resolve.module_path(F.col("path"), F.col("source")).alias("target_path")).filter("target_path IS NOT NULL").distinct()
-    resolved = resolve.resolve_edges(refs, nodes, named)
-    imports = resolve.import_edges(named, nodes).withColumn("kind", F.lit("imports"))
-    edges = _numbered(resolved.unionByName(imports).distinct(), "id", "source_id", "target_id", "kind").select("id", "source_id", "target_id", "kind")
-    classified = classify.roles(nodes, edges).drop("fan_in", "fan_out")
-    return CodeBase(Graph(files.drop("content"), kept(classified), edges, refs), files.select("path", "content"), routes)
+    p = Parsed.of(files)
+    return _linked(files, p.nodes, p.refs, p.imports, p.routes)
+
+
+@dataclass(frozen=True)
+class Refresh:
+    """A code base after a change of its files, and how many files were listed, parsed again and gone."""
+
+    code: CodeBase
+    scanned: int
+    changed: int
+    removed: int
+
+
+def refresh(code: CodeBase, sources: DataFrame, force: bool = False) -> Refresh:
+    """Takes in the files as they are now: what is gone is purged, what changed (by time and size, then by hash; all if forced) is parsed again, and all references are resolved anew.
+
+    Files keep their ids; symbols and references of files that did not change
+    keep theirs, and new ones come after them.
+    """
+    old = code.graph
+    now = kept(sources)
+    stored = old.files.select("path", "file_id", "hash", "size", "mtime")
+    tiers = change_tiers(stored, now.select("path", "hash", "size", "mtime"))
+    parsed_paths = kept((tiers.withColumn("tier", F.lit("parsed")) if force else tiers).filter("tier = 'parsed'").select("path"))
+    known = now.join(stored.select("path", "file_id"), "path", "left")
+    new = _numbered(known.filter("file_id IS NULL").drop("file_id"), "file_id", "path").withColumn("file_id", F.col("file_id") + _after(stored, "file_id"))
+    files = kept(known.filter("file_id IS NOT NULL").unionByName(new))
+    again = kept(files.join(parsed_paths, "path", "left_semi"))
+    stale = stored.join(now.select("path"), "path", "left_anti")
+    gone = kept(stale.select("file_id").union(stored.join(parsed_paths, "path", "left_semi").select("file_id")))
+    rest = old.without_files(gone)
+    p = Parsed.of(again, _after(old.nodes, "id"), _after(old.raw_refs, "id"))
+    nodes = kept(rest.nodes.drop("role").unionByName(p.nodes.select(*(c for c in old.nodes.columns if c != "role"))))
+    refs = kept(rest.raw_refs.unionByName(p.refs.select(*old.raw_refs.columns)))
+    imports = kept(code.imports.join(gone, "file_id", "left_anti").unionByName(p.imports))
+    lost = parsed_paths.union(stale.select("path"))
+    routes = kept(code.route_table.join(lost, "path", "left_anti").unionByName(p.routes))
+    return Refresh(_linked(files, nodes, refs, imports, routes), now.count(), parsed_paths.count(), stale.count())
 
 
 @dataclass
@@ -101,6 +163,7 @@ class CodeBase:
     graph: Graph
     contents: DataFrame | None = None
     route_table: DataFrame | None = None
+    imports: DataFrame | None = None
 
     @property
     def nodes(self) -> DataFrame:
@@ -114,10 +177,14 @@ class CodeBase:
     def size(self) -> int:
         return self.nodes.count()
 
-    def _limits(self, tool: str, name: str | None = None, depth: int | None = None, most: int | None = None) -> tuple[int, int]:
+    def limits(self, tool: str, name: str | None = None, depth: int | None = None, most: int | None = None) -> tuple[int, int]:
+        """Adaptive depth and number of nodes; a name's degree is the mean over its symbols, all kinds of edges counted at both ends."""
         degree = None
-        if name is not None and (start := traversal.best_connected(self.nodes, self.edges, name)) is not None:
-            degree = self.edges.filter((F.col("source_id") == start) | (F.col("target_id") == start)).count()
+        if name is not None and (depth is None or most is None):
+            own = self.nodes.filter(F.col("name") == name).select("id")
+            ends = self.edges.select(F.col("source_id").alias("id")).unionAll(self.edges.select(F.col("target_id").alias("id"))).join(own, "id", "left_semi")
+            if symbols := own.count():
+                degree = ends.count() / symbols
         return context.limits(tool, self.size, degree, depth, most)
 
     def search(self, query: str, limit: int = 10) -> DataFrame:
@@ -128,30 +195,31 @@ class CodeBase:
         return found.orderBy(F.desc("score"), "id").limit(limit)
 
     def callers(self, name: str, depth: int | None = None, most: int | None = None) -> DataFrame:
-        return traversal.callers(self.nodes, self.edges, name, *self._limits("callers", name, depth, most))
+        return traversal.callers(self.nodes, self.edges, name, *self.limits("callers", name, depth, most))
 
     def callees(self, name: str, depth: int | None = None, most: int | None = None) -> DataFrame:
-        return traversal.callees(self.nodes, self.edges, name, *self._limits("callees", name, depth, most))
+        return traversal.callees(self.nodes, self.edges, name, *self.limits("callees", name, depth, most))
 
     def impact(self, target: str, depth: int | None = None, most: int | None = None) -> DataFrame:
-        return traversal.impact(self.nodes, self.edges, target, *self._limits("impact", target, depth, most))
+        return traversal.impact(self.nodes, self.edges, target, *self.limits("impact", target, depth, most))
 
     def trace(self, source: str, target: str, max_hops: int = 7) -> list[int]:
         return traversal.trace(self.nodes, self.edges, source, target, max_hops)
 
     def node(self, name: str) -> dict | None:
-        return context.node_detail(self.graph, name, self.contents)
+        return context.node_detail(self.graph, name, self.contents, self.limits("node", name)[1])
 
-    def affected(self, paths: list[str], depth: int = 5, pattern: str = TEST_PATH) -> DataFrame:
-        return traversal.affected_tests(self.nodes, self.edges, paths, depth, pattern)
+    def affected(self, paths: list[str], depth: int | None = None, pattern: str | None = None) -> DataFrame:
+        return traversal.affected_tests(self.nodes, self.edges, paths, self.limits("affected", None, depth)[0], pattern)
 
-    def context(self, task: str, max_nodes: int = 50, max_depth: int = 3) -> context.Context:
-        return context.build_context(self.graph, task, self.contents, max_nodes, max_depth)
+    def context(self, task: str, max_nodes: int | None = None, max_depth: int = 3) -> context.Context:
+        return context.build_context(self.graph, task, self.contents, self.limits("context", None, None, max_nodes)[1], max_depth)
 
-    def explore(self, query: str, max_files: int = 12) -> DataFrame:
+    def explore(self, query: str, max_files: int | None = None) -> DataFrame:
         if self.contents is None:
             raise ValueError("the graph has no contents")
-        return context.explore(self.graph, query, self.contents, max_files)
+        depth, most = self.limits("explore")
+        return context.explore(self.graph, query, self.contents, min(most, 20) if max_files is None else max(1, min(20, max_files)), max_depth=depth, max_nodes=most)
 
     def files(self, prefix: str = "", pattern: str | None = None) -> DataFrame:
         listed = analytics.symbols_per_file(self.graph).filter(F.col("path").startswith(prefix))
@@ -176,13 +244,13 @@ class CodeBase:
             "files": analytics.file_coupling(self.graph).orderBy(F.desc("coupling"), "path").limit(limit),
         }
 
-    def suggest(self, limit: int = 30) -> DataFrame:
-        return analytics.suggestions(self.nodes, self.edges, limit)
+    def suggest(self, limit: int = 30, symbol: str | None = None, path: str | None = None) -> DataFrame:
+        return analytics.suggestions(self.nodes, self.edges, limit, symbol, path)
 
     def auto_context(self, path: str) -> dict[str, DataFrame]:
-        return {"symbols": analytics.file_context(self.nodes, self.edges, path), "tests": analytics.tests_of(self.nodes, path)}
+        return {"symbols": analytics.file_context(self.nodes, self.edges, path), "tests": analytics.tests_of(self.nodes, path), "stats": analytics.file_stats(self.nodes, self.edges, path)}
 
-    def plan(self, names: list[str] = (), files: list[str] = ()) -> dict:
+    def plan(self, names: list[str] = (), files: list[str] = ()) -> context.PlanRisk:
         return context.plan_risk(self.graph, list(names), list(files))
 
     def lint(self, rules: list[analytics.Rule]) -> tuple[DataFrame, DataFrame]:
@@ -200,12 +268,15 @@ class CodeBase:
             "roles": self.nodes.groupBy(F.coalesce("role", F.lit("unknown")).alias("role")).agg(F.count("*").alias("n")),
             "hubs": analytics.key_hubs(self.nodes, self.edges),
             "style": analytics.style(self.graph.files),
-            "health": analytics.health(self.graph, classify.degrees(self.nodes, self.edges), self.cycles(20).count()),
+            "health": analytics.health(self.graph, classify.degrees(self.nodes, self.edges), self.cycles(50).count()),
         }
         if self.route_table is not None:
             out["frameworks"] = self.route_table.groupBy("framework").agg(F.count("*").alias("n"))
         return out
 
+    def summary(self) -> str:
+        return analytics.summary(self.graph, classify.degrees(self.nodes, self.edges), self.cycles(50).count())
+
     def changed(self, name_status: DataFrame, hunks: DataFrame) -> DataFrame:
         return resolve.changed_symbols(self.nodes, name_status, hunks)
 
@@ -223,7 +294,7 @@ class CodeBase:
 
 
 def _passes(scope: str) -> Column:
-    return F.exists("path", lambda p: F.substring_index(p, "::", 1).rlike(segment_glob(scope)))
+    return F.exists("files", lambda p: p.rlike(segment_glob(scope)))
 
 
 def languages_of(paths: DataFrame) -> DataFrame:

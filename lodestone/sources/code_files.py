@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import LANGUAGES, language_of
 
-#: Directories that are ignored always, and without any ignore file.
+#: Names that are ignored whatever ignore files say, and folders that are ignored unless the settings name others.
 ALWAYS = (".git", "node_modules")
-DEFAULTS = ("dist", "build", "out", "coverage", "vendor", "__pycache__", ".venv", "venv", "target", ".next")
+DEFAULTS = ("node_modules", ".git", "dist", "build", "out", "coverage", "__pycache__", ".venv", "venv", ".next", ".nuxt")
+#: The ignore file's name, and the depth down to which such files are read.
+IGNORE_FILE, IGNORE_DEPTH = ".gitignore", 3
 
 
 @dataclass(frozen=True)
@@ -21,29 +25,46 @@ class IgnoreRule:
     negated: bool = False
 
 
+def named(name: str) -> IgnoreRule:
+    """A path of which any part has this name."""
+    return IgnoreRule(f"(^|/){re.escape(name)}(/|$)")
+
+
 def parse_ignore(text: str, base: str = "") -> list[IgnoreRule]:
-    """The rules of an ignore file that lies in directory base (with a slash behind, or empty)."""
+    """The rules of an ignore file that lies in directory base (with a slash behind, or empty).
+
+    A name without a slash holds anywhere in the tree; a leading slash anchors at
+    base; any other pattern holds behind any slash. Only names and patterns that
+    end with a slash are bounded at their end.
+    """
+
+    def expression(glob: str) -> str:
+        steps = re.split(r"(\*\*|\*|\?)", glob)
+        return "".join({"**": ".*", "*": "[^/]*", "?": "[^/]"}.get(x, re.escape(x)) for x in steps)
+
     rules = []
-    for line in text.splitlines():
-        line = line.strip()
+    for raw in text.split("\n"):
+        line = raw.strip()
         if not line or line.startswith("#"):
             continue
-        negated, line = line.startswith("!"), line.removeprefix("!")
-        anchored = line.startswith("/") or "/" in line.rstrip("/")
-        body = line.strip("/")
-        expression = re.sub(r"[.+^${}()|\[\]\\]", lambda m: "\\" + m[0], body)
-        expression = expression.replace("**/", "\0").replace("**", "\1").replace("*", "[^/]*").replace("?", "[^/]").replace("\0", "(?:.*/)?").replace("\1", ".*")
-        where = re.escape(base) + ("" if anchored else "(?:.*/)?")
-        rules.append(IgnoreRule(f"^{where}{expression}(?:/.*)?$", negated))
+        negated = line.startswith("!")
+        glob = line[negated:]
+        if "/" not in glob[:-1]:
+            whole = f"(^|/){expression(glob.removesuffix('/'))}(/|$)"
+        else:
+            start = "^" + re.escape(base) if glob.startswith("/") else "(^|/)"
+            end = "(/|$)" if glob.endswith("/") else ""
+            whole = start + expression(glob.strip("/") if glob.startswith("/") else glob.removesuffix("/")) + end
+        rules.append(IgnoreRule(whole, negated))
     return rules
 
 
 def ignore_rules(files: dict[str, str]) -> list[IgnoreRule]:
     """All rules in order: built-in ones, then those of ignore files (path of the directory: text), outer before inner; defaults if there are none."""
-    rules = [r for name in ALWAYS for r in parse_ignore(name)]
+    rules = [named(n) for n in ALWAYS]
     if not files:
-        return rules + [r for name in DEFAULTS for r in parse_ignore(name)]
-    for base in sorted(files, key=lambda b: b.count("/")):
+        return rules + [named(n) for n in DEFAULTS]
+    for base in sorted(files):
         rules += parse_ignore(files[base], base)
     return rules
 
@@ -56,33 +77,100 @@ def ignored(path: Column, rules: list[IgnoreRule]) -> Column:
     return out
 
 
-def underscored(spark: SparkSession, root: str) -> list[str]:
-    """The directories under root whose names begin with an underscore; Spark's readers pass over them unless they are named."""
+def in_folder(path: Column, names: Iterable[str]) -> Column:
+    """Whether a folder on the way to the file has one of the names."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    return F.arrays_overlap(folders, F.array(*map(F.lit, names)).cast("array<string>"))
+
+
+@dataclass(frozen=True)
+class Tree:
+    """What the driver knows of a source tree: its upper folders and their ignore files."""
+
+    root: str  # as Spark's readers write it
+    uri: str
+    folders: tuple[tuple[str, bool], ...]  # uri, and whether all below it is still to be listed
+    ignore_files: dict[str, str]
+
+
+def survey(spark: SparkSession, root: str) -> Tree:
+    """The folders down to IGNORE_DEPTH, hidden ones and those that are always ignored left out, and the ignore files in them.
+
+    The number of those folders bounds what is listed on the driver; what lies
+    deeper is listed in tasks.
+    """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     start = hadoop.Path(root)
     fs = start.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    todo, out = [start], []
+    todo, folders, texts = [(start, "", 0)], [], {}
     while todo:
-        for status in fs.listStatus(todo.pop()):
-            name = status.getPath().getName()
-            if status.isDirectory() and not name.startswith(".") and name not in ALWAYS:
-                todo.append(status.getPath())
-                if name.startswith("_"):
-                    out.append(status.getPath().toString())
-    return out
-
-
-def scan(spark: SparkSession, root: str, rules: list[IgnoreRule] | None = None) -> DataFrame:
+        folder, base, depth = todo.pop()
+        own = hadoop.Path(folder, IGNORE_FILE)
+        if fs.exists(own):
+            stream = fs.open(own)
+            try:
+                texts[base] = bytes(stream.readAllBytes()).decode("utf-8", "replace")
+            finally:
+                stream.close()
+        folders.append((fs.makeQualified(folder).toUri().toString(), depth == IGNORE_DEPTH))
+        if depth < IGNORE_DEPTH:
+            for status in fs.listStatus(folder):
+                name = status.getPath().getName()
+                if status.isDirectory() and not name.startswith(".") and name not in ALWAYS:
+                    todo.append((status.getPath(), f"{base}{name}/", depth + 1))
+    whole = fs.makeQualified(start)
+    return Tree(whole.toString(), whole.toUri().toString(), tuple(folders), texts)
+
+
+def _underscored(spark: SparkSession, tree: Tree) -> DataFrame:
+    """(path, length, modificationTime, content) of files in known languages with an underscore before their name or a folder's.
+
+    Spark's readers take such names for their own and pass over them, so these
+    files are listed and read in tasks, by Arrow's file systems. A store that
+    Arrow can't open is an error, not a loss of files.
+    """
+    suffixes = tuple(f".{x}" for x in LANGUAGES)
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as files
+
+        base = files.FileSystem.from_uri(tree.uri)[1].rstrip("/") + "/"
+        for batch in batches:
+            for uri, deep in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, folder = files.FileSystem.from_uri(uri)
+                for info in store.get_file_info(files.FileSelector(folder, recursive=deep)):
+                    path = info.path.removeprefix(base)
+                    parts = path.split("/")
+                    if info.type != files.FileType.File or not path.lower().endswith(suffixes) or any(p.startswith(".") for p in parts) or not any(p.startswith("_") for p in parts):
+                        continue
+                    with store.open_input_file(info.path) as stream:
+                        content = stream.read()
+                    time = pa.array([info.mtime_ns // 1_000], pa.timestamp("us", "UTC"))
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(content)], pa.int64()), time, pa.array([content], pa.binary())], ["path", "length", "modificationTime", "content"])
+
+    work = spark.createDataFrame(list(tree.folders), "uri string, deep boolean").repartition(min(256, len(tree.folders)))
+    return work.mapInArrow(read, "path string, length long, modificationTime timestamp, content binary")
+
+
+def scan(spark: SparkSession, root: str, rules: list[IgnoreRule] | None = None, ignore_folders: Iterable[str] = DEFAULTS) -> DataFrame:
     """(path, language, hash, size, mtime, content) of the files in known languages under root.
 
-    Hidden files are left out, and files whose own names begin with an underscore,
-    which Spark's readers take for their own.
+    Left out are hidden files and folders, folders of the given names, and what
+    the ignore rules say: those given, else those of the tree's own ignore files
+    (at the root and down to three folders below it).
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([root, *underscored(spark, root)])
-    base = re.sub(r"^[a-z]+:/*", "/", root).rstrip("/") + "/"
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(base), "")
-    known = found.select(path.alias("path"), "length", "modificationTime", "content").filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*LANGUAGES))
-    kept = known.filter(~F.col("path").rlike(r"(^|/)\.") & ~ignored(F.col("path"), ignore_rules({}) if rules is None else rules))
+    tree = survey(spark, root)
+    rules = ignore_rules(tree.ignore_files) if rules is None else rules
+    base = re.sub(r"^[a-z0-9]+:/*", "/", tree.root).rstrip("/") + "/"
+    path = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "^" + re.escape(base), "")
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(path.alias("path"), "length", "modificationTime", "content")
+    both = plain.unionByName(_underscored(spark, tree))
+    known = both.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*LANGUAGES))
+    kept = known.filter(~F.col("path").rlike(r"(^|/)\.") & ~ignored(F.col("path"), rules))
+    names = list(ignore_folders)
+    if names:
+        kept = kept.filter(~in_folder(F.col("path"), names))
     return kept.select(
         "path",
         language_of(F.col("path")).alias("language"),

@@ -346,30 +346,86 @@ def extract_files(files: DataFrame) -> DataFrame:
     return files.select("path", "language", "content").mapInPandas(rows, SCHEMA)
 
 
+# web routes
+
+#: The languages of scripts, and how each framework writes a route (quotes of all three kinds).
+SCRIPTS = ("javascript", "jsx", "typescript", "tsx")
+EXPRESS = re.compile(r"""(?:app|router|server)\.(?P<method>get|post|put|delete|patch|all|use)\s*\(\s*['"`](?P<pattern>[^'"`]+)['"`]\s*,\s*(?:.*?,\s*)?(?P<handler>\w+)""", re.I)
+REACT = re.compile(r"""<Route\s+[^>]*path\s*=\s*['"`{](?P<q>['"`]?)(?P<pattern>[^'"`}]+)(?P=q)[^>]*(?:component\s*=\s*\{?(?P<handler>\w+)\}?|element\s*=\s*\{?\s*<(?P<element>\w+))""", re.I)
+FLASK = re.compile(r"""@\w+\.route\s*\(\s*['"`](?P<pattern>[^'"`]+)['"`](?:.*?methods\s*=\s*\[(?P<methods>[^\]]*)\])?\s*\)""", re.I)
+FASTAPI = re.compile(r"""@\w+\.(?P<method>get|post|put|delete|patch|options|head)\s*\(\s*['"`](?P<pattern>[^'"`]+)['"`]""", re.I)
+DJANGO = re.compile(r"""(?:path|re_path|url)\s*\(\s*r?['"`](?P<pattern>[^'"`]*)['"`]\s*,\s*(?:views\.)?(?P<handler>\w+(?:\.\w+)*)""", re.I)
+NEXT_PAGES, NEXT_APP = re.compile(r"pages/(.+)\.(?:tsx?|jsx?|mdx?)$"), re.compile(r"app/(.+)/(?:page|route|layout)\.(?:tsx?|jsx?|mdx?)$")
+DEFINED = re.compile(r"def\s+(\w+)")
+UNKNOWN = "unknown"
+
+
+def page_route(path: str) -> str | None:
+    """The pattern of a file that is a page by its place; None for others."""
+    place = NEXT_PAGES.search(path) or NEXT_APP.search(path)
+    if place is None:
+        return None
+    return "/" + re.sub(r"\[(\w+)\]", r":\1", re.sub(r"\[\.\.\.(\w+)\]", r"*\1", place[1].removesuffix("/index")))
+
+
+def routes_of(path: str, language: str | None, text: str) -> list[tuple[str, str, str, int, str]]:
+    """(method, pattern, handler, line, framework) of each route of a file, in the order of the frameworks and of their places."""
+    out, lines = [], Lines(text)
+
+    def below(end: int) -> str:
+        """The function that is defined next."""
+        m = DEFINED.search(text, end)
+        return m[1] if m else UNKNOWN
+
+    if pattern := page_route(path):
+        default = re.search(r"export\s+default\s+(?:function\s+)?(\w+)", text)
+        out.append(("*", pattern, default[1] if default else "default", 1, "nextjs"))
+    if language in SCRIPTS:
+        out += [(m["method"].upper(), m["pattern"], m["handler"], lines.of(m.start()), "express") for m in EXPRESS.finditer(text)]
+        out += [("*", m["pattern"], m["handler"] or m["element"] or UNKNOWN, lines.of(m.start()), "react-router") for m in REACT.finditer(text)]
+    if language == "python":
+        for m in FLASK.finditer(text):
+            methods = re.sub(r"""['"`\s]""", "", m["methods"]).upper() if m["methods"] else "GET"
+            out.append((methods, m["pattern"], below(m.end()), lines.of(m.start()), "flask"))
+        out += [(m["method"].upper(), m["pattern"], below(m.end()), lines.of(m.start()), "fastapi") for m in FASTAPI.finditer(text)]
+        out += [("*", "/" + m["pattern"], m["handler"], lines.of(m.start()), "django") for m in DJANGO.finditer(text)]
+    return out
+
+
 def routes(files: DataFrame) -> DataFrame:
-    """(path, method, pattern, handler, line, framework) of web routes, by expressions alone."""
-    text = F.col("content")
-
-    def found(expression: str, condition: F.Column, method: F.Column, pattern: F.Column, handler: F.Column, framework: str) -> DataFrame:
-        hits = files.filter(condition).select("path", "content", F.explode(F.regexp_extract_all(text, F.lit(f"(?m)({expression})"), 1)).alias("hit")).distinct()
-        line = line_of(text, F.position(F.col("hit"), text) - 1)
-        return hits.select("path", method.alias("method"), pattern.alias("pattern"), handler.alias("handler"), line.cast("int").alias("line"), F.lit(framework).alias("framework"))
-
-    part = lambda expression, k=1: F.regexp_extract("hit", expression, k)
-    script = F.col("language").isin("javascript", "jsx", "typescript", "tsx")
-    python_ = F.col("language") == "python"
-    express = r"""\b(?:app|router|server)\.(?:get|post|put|patch|delete|all)\(\s*['"][^'"]+['"][^\n]*"""
-    flask = r"""@\w+\.route\(\s*['"][^'"]+['"][^\n]*\)\s*\n(?:\s*@[^\n]*\n)*\s*(?:async\s+)?def\s+\w+"""
-    fast = r"""@\w+\.(?:get|post|put|patch|delete)\(\s*['"][^'"]+['"][^\n]*\)\s*\n(?:\s*@[^\n]*\n)*\s*(?:async\s+)?def\s+\w+"""
-    django = r"""\b(?:re_)?path\(\s*r?['"][^'"]*['"]\s*,\s*[\w.]+"""
-    react = r"""<Route\b[^>]*\bpath=['"{][^'"}]+['"}][^>]*>"""
-    quoted = r"""['"]([^'"]*)['"]"""
-    methods = F.regexp_replace(F.regexp_extract("hit", r"methods\s*=\s*\[([^\]]*)\]", 1), r"""['"\s]""", "")
-    out = found(express, script, F.upper(part(r"\.(\w+)\(")), part(quoted), part(r",\s*([\w.]+)\s*\)?;?\s*$"), "express")
-    out = out.unionByName(found(react, script, F.lit("GET"), part(r"""path=['"{]+([^'"}]+)"""), part(r"""(?:element=\{<|component=\{)(\w+)"""), "react-router"))
-    out = out.unionByName(found(flask, python_, F.when(methods == "", "GET").otherwise(methods), part(quoted), part(r"def\s+(\w+)"), "flask"))
-    out = out.unionByName(found(fast, python_, F.upper(part(r"\.(\w+)\(")), part(quoted), part(r"def\s+(\w+)"), "fastapi"))
-    out = out.unionByName(found(django, python_, F.lit("*"), F.concat(F.lit("/"), part(quoted)), part(r",\s*([\w.]+)$"), "django"))
-    page = F.regexp_extract("path", r"(?:^|/)(?:pages|app)/(.*?)(?:/?(?:index|page|route))?\.(?:jsx?|tsx?)$", 1)
-    next_ = files.filter(script & F.col("path").rlike(r"(^|/)(pages|app)/.*\.(jsx?|tsx?)$"))
-    return out.unionByName(next_.select("path", F.lit("*").alias("method"), F.concat(F.lit("/"), page).alias("pattern"), F.lit("").alias("handler"), F.lit(1).alias("line"), F.lit("next").alias("framework")))
+    """(path, method, pattern, handler, line, framework) of web routes; two equal routes of a file are two rows."""
+
+    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(path, *route) for path, language, content in zip(batch.path, batch.language, batch.content, strict=True) for route in routes_of(path, language, content or "")]
+            yield pd.DataFrame(found, columns=["path", "method", "pattern", "handler", "line", "framework"])
+
+    return files.select("path", "language", "content").mapInPandas(rows, "path string, method string, pattern string, handler string, line int, framework string")
+
+
+# calls that only show at run time
+
+#: Functions that take a callback, by the kind of what calls it back.
+REGISTRATIONS = {
+    "event-emitter": ("addEventListener", "on", "once", "addListener", "subscribe"),
+    "promise": ("then", "catch", "finally"),
+    "react-render": ("useEffect", "useMemo", "useCallback", "useLayoutEffect"),
+    "hof": ("map", "filter", "forEach", "reduce", "find", "findIndex", "some", "every", "flatMap", "sort"),
+    "callback": ("removeEventListener", "off", "removeListener", "unsubscribe", "setTimeout", "setInterval", "setImmediate", "requestAnimationFrame"),
+}
+
+
+def registration_calls(found: DataFrame) -> DataFrame:
+    """(path, source_qname, target_name, kind, via, line): calls (rows of extract_files) to a function that takes a callback, inside a symbol; the target is that function."""
+    kinds = F.create_map(*[F.lit(x) for kind, names in REGISTRATIONS.items() for name in names for x in (name, kind)])
+    calls = found.filter("record = 'call' AND enclosing IS NOT NULL").withColumn("by", kinds[F.col("name")]).filter("by IS NOT NULL")
+    via = F.when(F.coalesce("receiver", F.lit("")) != "", F.concat_ws(".", "receiver", "name")).otherwise(F.col("name"))
+    return calls.select("path", F.col("enclosing").alias("source_qname"), F.col("name").alias("target_name"), F.col("by").alias("kind"), via.alias("via"), "line")
+
+
+def rendered_components(files: DataFrame, components: DataFrame) -> DataFrame:
+    """(path, source_qname, target_name, line): the components that a file's component (path, name) renders, each by its first place."""
+    tag = F.explode(F.regexp_extract_all("content", F.lit(r"<([A-Z]\w+)[\s/>]"), 1)).alias("target_name")
+    tags = files.join(components.select("path", F.col("name").alias("component")), "path").select("path", "component", "content", tag).groupBy("path", "component", "target_name").agg(F.first("content").alias("content"))
+    place = F.regexp_instr("content", F.concat(F.lit("<"), "target_name", F.lit(r"[\s/>]")), 0)
+    return tags.select("path", F.concat("path", F.lit("::"), "component").alias("source_qname"), "target_name", line_of(F.col("content"), place - 1).cast("int").alias("line"))

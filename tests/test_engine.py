@@ -31,7 +31,7 @@ def names(code, df, column="node"):
 
 def test_graph(code):
     edges = code.edges.join(code.nodes.select(F.col("id").alias("source_id"), F.col("name").alias("s")), "source_id").join(code.nodes.select(F.col("id").alias("target_id"), F.col("name").alias("t")), "target_id")
-    assert {(r.s, r.t) for r in edges.filter("kind = 'calls'").collect()} == {("main", "greet"), ("main", "check"), ("greet", "formatMessage"), ("check", "ping"), ("ping", "check"), ("testGreet", "greet"), ("users", "load")}
+    assert {(r.s, r.t) for r in edges.filter("kind = 'calls'").collect()} == {("main", "greet"), ("main", "check"), ("greet", "formatMessage"), ("check", "ping"), ("ping", "check"), ("testGreet", "greet"), ("users", "load"), ("POST /users", "users")}
     assert {(r.s, r.t) for r in edges.filter("kind = 'imports'").collect()} == {("main", "greet"), ("main", "check"), ("greet", "formatMessage"), ("testGreet", "greet")}
     role = {r.name: r.role for r in code.nodes.collect()}
     assert role["unused"] == "dead" and role["testGreet"] == "test" and role["main"] == "entry" and role["POST /users"] == "entry"
@@ -50,12 +50,17 @@ def test_answers(code, spark):
     assert code.cycles().count() == 1 and code.node("greet")["callees"] == ["formatMessage"] and "formatMessage" in code.node("greet")["snippet"]
     violations, totals = code.lint([Rule("deny-dependency", "src/main.ts", "src/health.ts"), Rule("no-cycles", severity="warn")])
     assert totals.first().asDict() == {"errors": 2, "warnings": 1, "passed": False} and violations.count() == 3
-    assert code.plan(["formatMessage"])["affected_tests"] == ["src/__tests__/greet.test.ts"]
+    plan = code.plan(["formatMessage"])
+    assert [r.path for r in plan.affected_tests.collect()] == ["src/__tests__/greet.test.ts"] and plan.risk == "low"
+    assert [r.risk for r in code.plan(["ping"]).cycle_risks.collect()] == ["ping is in a cycle: src/health.ts::check -> src/health.ts::ping -> src/health.ts::check"]
+    assert code.affected(["src/lib/format.ts", "src/__tests__/greet.test.ts"]).count() == 1 and code.affected(["src/lib/format.ts"], pattern="lib/*.ts").count() == 2
+    assert code.summary().startswith("typescript-dominant code base with 6 files, 10 symbols and 12 edges. Style: monolith.")
     assert {r.path for r in code.explore("formatMessage").collect()} >= {"src/lib/format.ts"} and code.context("formatMessage").tokens > 0
     assert {r.framework for r in code.dna()["frameworks"].collect()} == {"flask"}
     assert code.dna()["health"].first().modularity == 90
     assert "subgraph" in code.export() and "digraph" in code.export("dot", "main") and "<svg" in code.export("html")
     changed = code.changed(spark.createDataFrame([("src/lib/format.ts", "modified")], "path string, status string"), spark.createDataFrame([("src/lib/format.ts", 5, 6)], "path string, start int, end int"))
+    assert code.limits("impact", "greet") == (5, 100) == code.limits("impact", "nothing") and code.limits("impact", "ping") == (6, 100)
     assert [r.qualified_name for r in changed.collect()] == ["src/lib/format.ts::unused"]
     assert {r.path for r in code.files("src/lib", "*.ts").collect()} == {"src/lib/greet.ts", "src/lib/format.ts"}
     assert code.status().filter("item = 'files'").first().n == 6 and set(code.stats()) and code.suggest().count() > 0
@@ -71,3 +76,30 @@ def test_config():
 def test_listed_paths(spark):
     lines = spark.createDataFrame([(" a.py ",), ("",), ("b.txt",)], "value string")
     assert [tuple(r) for r in engine.languages_of(lines).collect()] == [("a.py", "python"), ("b.txt", None)]
+
+
+def state(code):
+    edges = code.edges.join(code.nodes.select(F.col("id").alias("source_id"), F.col("qualified_name").alias("s")), "source_id").join(code.nodes.select(F.col("id").alias("target_id"), F.col("qualified_name").alias("t")), "target_id")
+    return {(r.qualified_name, r.kind, r.start_line, r.role) for r in code.nodes.collect()}, {(r.s, r.t, r.kind) for r in edges.collect()}, {tuple(r) for r in code.route_table.collect()}
+
+
+def test_refresh_equals_a_new_index(spark, tmp_path):
+    for path, text in FILES.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    root, config = f"file://{tmp_path}", engine.Config()
+    first = engine.index(spark, root)
+    same = engine.refresh(first, engine.sources_of(spark, root, config))
+    assert (same.scanned, same.changed, same.removed) == (6, 0, 0) and state(same.code) == state(first)
+    (tmp_path / "src/lib/format.ts").write_text("export function formatMessage(m: string) {\n  return shout(m);\n}\n\nexport function shout(m: string) {\n  return m;\n}\n")
+    (tmp_path / "src/health.ts").unlink()
+    (tmp_path / "src/new.ts").write_text("import { shout } from './lib/format';\n\nexport function fresh() {\n  shout('a');\n}\n")
+    second = engine.refresh(same.code, engine.sources_of(spark, root, config))
+    assert (second.scanned, second.changed, second.removed) == (6, 2, 1)
+    assert state(second.code) == state(engine.index(spark, root))
+    before = {r.qualified_name: r.id for r in first.nodes.collect()}
+    after = {r.qualified_name: r.id for r in second.code.nodes.collect()}
+    assert after["src/main.ts::main"] == before["src/main.ts::main"] and len(set(after.values())) == len(after)
+    assert second.code.graph.files.select("file_id").distinct().count() == 6
+    forced = engine.refresh(second.code, engine.sources_of(spark, root, config), force=True)
+    assert forced.changed == 6 and state(forced.code) == state(second.code)

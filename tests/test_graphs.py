@@ -69,8 +69,8 @@ def test_service(service):
     assert tuple(classify.average_fan(degree).first()) == (0.88, 0.88)
     assert {tuple(r) for r in classify.most_fan(degree).collect()} == {("fan_in", 3, 2), ("fan_out", 1, 2)}
     plan = context.plan_risk(g, ["validateEmail"])
-    assert (plan["risk"], plan["score"], plan["affected_tests"]) == ("low", 5, ["src/__tests__/app.test.ts"])
-    assert sorted(plan["impacted"]) == [(1, 2), (2, 1), (3, 0), (6, 3), (7, 1)]
+    assert (plan.risk, plan.score, [r.path for r in plan.affected_tests.collect()]) == ("low", 5, ["src/__tests__/app.test.ts"])
+    assert sorted((r.id, r.depth) for r in plan.impacted.collect()) == [(1, 2), (2, 1), (3, 0), (6, 3), (7, 1)]
     assert [r.path for r in traversal.affected_tests(g.nodes, g.edges, ["src/utils.ts"]).collect()] == ["src/__tests__/app.test.ts"]
     assert traversal.trace(g.nodes, g.edges, "testMain", "hashPassword") == [6, 1, 2, 7, 8]
     own = {r.id: (r.callers, r.callees) for r in analytics.file_context(g.nodes, g.edges, "src/app.ts").collect()}
@@ -160,6 +160,101 @@ def test_random_graphs(spark, direction):
         for most in (4, 50):
             walk = traversal.traverse(df, 0, 3, most, direction, ("calls", "imports"))
             assert (nodes_of(walk), walk.truncated) == plain_traverse(edges, 0, 3, most, direction, ["calls", "imports"])
+            seeds = [0, 1, n - 1, 2]
+            walks, cut = traversal.traverse_each(df, spark.createDataFrame([(s,) for s in seeds], "seed long"), 3, most, direction, ("calls", "imports"))
+            got, truncated = walks.orderBy("ord").collect(), {r.seed for r in cut.collect()}
+            for s in seeds:
+                assert ([(r.node, r.depth) for r in got if r.seed == s], s in truncated) == plain_traverse(edges, s, 3, most, direction, ["calls", "imports"])
+
+
+def plain_cycles(edges, names, most):
+    """The search as it is usually written: recursive, over the whole graph."""
+    after = {}
+    for kind in ("calls", "imports"):
+        for _, s, t, k in sorted(edges):
+            if k == kind:
+                after.setdefault(s, []).append(t)
+    state, found = {}, []
+
+    def visit(u, stack):
+        if len(found) >= most:
+            return
+        state[u] = "open"
+        stack.append(u)
+        for v in after.get(u, []):
+            if len(found) >= most:
+                return
+            if state.get(v) == "open":
+                way = [names[x] for x in stack[stack.index(v) :]]
+                k = way.index(min(way))
+                cycle = way[k:] + way[:k] + [way[k]]
+                if cycle not in found:
+                    found.append(cycle)
+            elif v not in state:
+                visit(v, stack)
+        stack.pop()
+        state[u] = "done"
+
+    for u in sorted(names):
+        if u not in state:
+            visit(u, [])
+    return found
+
+
+def test_cycles_in_the_order_of_the_whole_graph(spark):
+    r = random.Random(3)
+    cases = [[(1, 5), (5, 2), (2, 3), (3, 5), (2, 5), (3, 2)], [(1, 1), (1, 2)]]
+    for n in (6, 10, 20):
+        cases.append(sorted({(r.randrange(1, n), r.randrange(1, n), r.choice(["calls", "imports"])) for _ in range(2 * n)}, key=str))
+    for pairs in cases:
+        edges = [(k + 1, p[0], p[1], p[2] if len(p) > 2 else "calls") for k, p in enumerate(pairs)]
+        names = {i: f"n{(i * 7) % 23:02}" for e in edges for i in e[1:3]}
+        nodes = spark.createDataFrame([(i, q, f"{q}.py") for i, q in names.items()], "id long, qualified_name string, path string")
+        for most in (2, 50):
+            got = classify.search_cycles(spark.createDataFrame(edges, storage.EDGES), nodes, most).orderBy("cycle").collect()
+            assert [c.path for c in got] == plain_cycles(edges, names, most)
+            assert all(set(c.files) == {f"{q}.py" for q in c.path} and c.length == len(c.path) - 1 for c in got)
+    edges = [(k + 1, s, t, "calls") for k, (s, t) in enumerate(cases[0])]
+    assert len(plain_cycles(edges, {i: str(i) for i in range(1, 6)}, 50)) == 3
+
+
+def test_style(spark):
+    def of(*paths):
+        return analytics.style(spark.createDataFrame([(p,) for p in paths], "path string")).first().style
+
+    assert of("app/Handlers/a.py", "app/services/b.py") == "layered (MVC / service-oriented)"
+    assert of("web/screens/a.ts", "web/pages/b.ts") == "component-based"
+    assert of("services/x/a.py", "models/y/b.py", "c/d.py") == "modular"  # the folder that holds the file counts
+    assert of("a/x.py", "b/y.py") == "monolith" and of("a/x.py", "b/y.py", "root.py") == "modular" and of("x.py") == "monolith"
+
+
+def test_affected_tests_keep_changed_tests(spark):
+    g = make(spark, [(1, "src/a.py", "a", 1, 2, 1), (2, "src/b.test.py", "b", 1, 2, 0), (3, "src/c.spec.ts", "c", 1, 2, 0)], [(3, 1)])
+    found = lambda *p, **k: {r.path for r in traversal.affected_tests(g.nodes, g.edges, list(p), **k).collect()}
+    assert found("src/a.py", "src/b.test.py") == {"src/b.test.py", "src/c.spec.ts"} and found("src/a.py", depth=0) == set()
+    assert found("src/a.py", pattern="*.PY") == {"src/a.py"}
+
+
+def test_plan_risk_follows_all_targets(spark):
+    nodes = [(k, "src/big.py", f"f{k}", k, k, 1) for k in range(1, 71)] + [(100 + k, f"src/u{k}.test.py", f"g{k}", 1, 1, 0) for k in range(1, 71)]
+    g = make(spark, nodes, [(100 + k, k) for k in range(1, 71)] + [(k, 70) for k in range(1, 60)] + [(1, 2), (2, 1)])
+    plan = context.plan_risk(g, files=["src/big.py"])
+    assert plan.score == 140 and plan.risk == "high" and plan.affected_tests.count() == 70 and plan.files.count() == 71
+    warnings = {r.warning for r in plan.warnings.collect()}
+    assert "f70 has 60 callers: high-impact change" in warnings and "the impact of f70 was cut: large blast radius" in warnings
+    assert [r.risk for r in plan.cycle_risks.collect()] == ["f1 is in a cycle: src/big.py::f1 -> src/big.py::f2 -> src/big.py::f1"]
+    assert context.plan_risk(g, ["none"]).score == 0
+
+
+def test_suggestions_by_scope_without_repetition(spark):
+    nodes = [(1, "src/a.ts", "twin", 1, 2, 0), (2, "src/a.ts", "twin", 5, 6, 0), (3, "src/b.ts", "used", 1, 30, 1)] + [(10 + k, f"src/c{k % 2}.ts", f"c{k}", 1, 60, 1) for k in range(5)]
+    g = make(spark, nodes, [(10 + k, 3) for k in range(5)])
+    found = analytics.suggestions(g.nodes, g.edges).collect()
+    assert [(r.type, r.id, r.line) for r in found if r.name == "twin"] == [("dead", 1, 1)]
+    (move,) = [r for r in found if r.type == "move"]
+    assert (move.priority, move.reason) == ("high", "5/5 callers are in other files; most from src/c0.ts (3 calls)")
+    assert {r.name for r in analytics.suggestions(g.nodes, g.edges, symbol="used").collect()} == {"used"} and analytics.suggestions(g.nodes, g.edges, path="none").count() == 0
+    assert [r.name for r in analytics.suggestions(g.nodes, g.edges, path="src/a.ts").collect()] == ["twin"]
 
 
 def test_resolution(spark):
@@ -191,8 +286,9 @@ def test_export_and_context(spark, service, tmp_path):
     assert {r.id for r in found.symbols.collect()} >= {2, 3, 7} and found.tokens > 0
     sections = context.explore(service, "validateEmail", contents).collect()
     assert {r.path for r in sections} >= {"src/utils.ts"} and all(len(r.section) <= 6_000 for r in sections)
-    assert context.limits("callers", 100) == (4, 70) and context.limits("callers", 5_000, 30) == (1, 100) and context.limits("impact", 500, 3, depth=2) == (2, 50)
-    assert context.shrunk({"a": list(range(12)), "b": None, "c": "", "d": []}) == {"a": [*range(10), "... 2 more"]}
+    assert context.limits("callers", 100) == (4, 60) and context.limits("callers", 5_000, 30) == (1, 90) and context.limits("impact", 500, 3, depth=2) == (2, 80)
+    assert context.limits("trace", 1_000) == (8, 2_000) and context.limits("affected", 100, 2) == (8, 520) and context.limits("node", 5_000, 30) == (1, 65) and context.limits("context", 10, None, 12, 300) == (12, 300)
+    assert context.limits("explore", 1_000, 10, depth=50) == (10, 60) and context.limits("callees", 1_000, 10, most=1) == (3, 5)
     service.save(f"{tmp_path}/g")
     stored = spark.read.parquet(f"{tmp_path}/g/edges")
     assert stored.count() == 7

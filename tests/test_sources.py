@@ -140,7 +140,34 @@ def test_extract_files_and_routes(spark):
     rows = extract.extract_files(files).collect()
     assert {(r.path, r.record, r.name) for r in rows if r.record != "import"} >= {("a.py", "symbol", "users"), ("a.py", "call", "load"), ("pages/blog/index.tsx", "symbol", "Page")}
     found = {(r.path, r.method, r.pattern, r.handler, r.line, r.framework) for r in extract.routes(files).collect()}
-    assert found == {("a.py", "GET,POST", "/users", "users", 2, "flask"), ("b.ts", "GET", "/items/:id", "showItem", 1, "express"), ("pages/blog/index.tsx", "*", "/blog", "", 1, "next"), ("urls.py", "*", "/about/", "views.about", 1, "django"), ("f.py", "GET", "/fast", "fast", 1, "fastapi")}
+    assert found == {("a.py", "GET,POST", "/users", "users", 2, "flask"), ("b.ts", "GET", "/items/:id", "showItem", 1, "express"), ("pages/blog/index.tsx", "*", "/blog", "default", 1, "nextjs"), ("urls.py", "*", "/about/", "about", 1, "django"), ("f.py", "GET", "/fast", "fast", 1, "fastapi")}
+
+
+def test_routes():
+    of = lambda path, language, text: extract.routes_of(path, language, text)
+    assert of("pages/api/users/[id].ts", "typescript", "export default function handler(req, res) {}") == [("*", "/api/users/:id", "handler", 1, "nextjs")]
+    assert of("app/api/[...all]/route.ts", "typescript", "") == [("*", "/api/*all", "default", 1, "nextjs")]
+    assert extract.page_route("src/pages/about.mdx") == "/about" and extract.page_route("src/page.ts") is None
+    text = "app.get(`/a`, auth, show);\napp.use('/a', router1);\nrouter.post('/b', (req, res) => {});\napp.get('/a', show);\napp.get('/a', show);\n"
+    assert of("s.ts", "typescript", text) == [("GET", "/a", "show", 1, "express"), ("USE", "/a", "router1", 2, "express"), ("POST", "/b", "res", 3, "express"), ("GET", "/a", "show", 4, "express"), ("GET", "/a", "show", 5, "express")]
+    assert of("r.jsx", "jsx", '<Route exact path="/home" component={Home} />\n<Route path="/x" element={<Page/>} />') == [("*", "/home", "Home", 1, "react-router"), ("*", "/x", "Page", 2, "react-router")]
+    assert of("u.py", "python", "url('old/', views.old)\nre_path(r'^new$', new.view)\n") == [("*", "/old/", "old", 1, "django"), ("*", "/^new$", "new.view", 2, "django")]
+    assert of("f.py", "python", "@router.options('/o')\n@x\nasync def o():\n  pass\n@app.head('/h')\ndef h(): pass\n@app.route('/f')\ndef f(): pass\n") == [("GET", "/f", "f", 7, "flask"), ("OPTIONS", "/o", "o", 1, "fastapi"), ("HEAD", "/h", "h", 5, "fastapi")]
+
+
+def test_calls_that_show_at_run_time(spark):
+    files = spark.createDataFrame([("a.ts", "typescript", "export function run() {\n  bus.on('x', f);\n  list.map(g);\n}\n"), ("b.tsx", "tsx", "export function Page() {\n  return <Box><Item a={1}/><Item/></Box>;\n}\n")], "path string, language string, content string")
+    found = extract.extract_files(files)
+    assert {(r.source_qname, r.target_name, r.kind, r.via, r.line) for r in extract.registration_calls(found).collect()} == {("a.ts::run", "on", "event-emitter", "bus.on", 2), ("a.ts::run", "map", "hof", "list.map", 3)}
+    shown = extract.rendered_components(files, spark.createDataFrame([("b.tsx", "Page")], "path string, name string"))
+    assert {tuple(r) for r in shown.collect()} == {("b.tsx", "b.tsx::Page", "Box", 2), ("b.tsx", "b.tsx::Page", "Item", 2)}
+
+
+def tree(root, *names):
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"# {name}")
+    return f"file://{root}"
 
 
 def test_scan_and_ignore(spark, tmp_path):
@@ -150,9 +177,51 @@ def test_scan_and_ignore(spark, tmp_path):
     root = f"file://{tmp_path}"
     assert {r.path for r in code_files.scan(spark, root).collect()} == {"src/a.ts", "src/b.py", "src/gen/d.ts", "src/gen/keep.ts"}
     rules = code_files.ignore_rules({"": "*.py\n", "src/": "gen/*\n!gen/keep.ts\n# no\n"})
-    found = code_files.scan(spark, root, rules).collect()
+    found = code_files.scan(spark, root, rules, ignore_folders=()).collect()
     assert {(r.path, r.language) for r in found} == {("src/a.ts", "typescript"), ("dist/c.ts", "typescript"), ("src/gen/keep.ts", "typescript")}
     assert {r.content for r in found} == {"x", "z", "k"}
+    assert "dist/c.ts" not in {r.path for r in code_files.scan(spark, root, rules).collect()}
+
+
+def test_scan_loses_no_file(spark, tmp_path):
+    """Names that Spark's readers pass over, all extensions, folders that are deep, and names with spaces."""
+    own = tmp_path / "a tree"
+    kept = ["pkg/a.py", "pkg/__init__.py", "__main__.py", "web/_app.tsx", "pkg/b.pyi", "c/h.hh", "bin/z.zsh", "vendor/c.py", "target/d.c", "_private/x.py", "a/b/_c/d/e/f.py", "a/b/c/d/e/_g.py", "a/b/c/d/e/h.py", "x y/_z.JS", *(f"all/f.{x}" for x in T.LANGUAGES)]
+    lost = [".hidden/_e.ts", "a/.h/_x.py", "_out/n.txt", "node_modules/m/_i.js", "src/node_modules/j.js", "dist/_k.py", "a/build/l.py", ".nuxt/x.ts", "x.md"]
+    found = code_files.scan(spark, tree(own, *kept, *lost)).collect()
+    assert sorted(r.path for r in found) == sorted(kept)
+    assert all(r.content == f"# {r.path}" and r.size == len(r.content) and r.language for r in found)
+
+
+def test_ignore_files_of_the_tree(spark, tmp_path):
+    root = tree(tmp_path, "a.py", "logs/b.py", "src/logs/c.py", "src/gen/d.py", "src/gen/keep.py", "src/x/y/only.py", "src/x/y/z/deep.py", "top/e.py", "sub/top/e.py", "tmp1.py")
+    (tmp_path / ".gitignore").write_text("# all\nlogs/\n/top\ntmp?.py\nsrc/gen/*\n!src/gen/keep.py\n")
+    (tmp_path / "src/x/y/.gitignore").write_text("only.py\n")
+    (tmp_path / "src/x/y/z/.gitignore").write_text("a.py\n")  # too deep to be read
+    assert {r.path for r in code_files.scan(spark, root).collect()} == {"a.py", "src/gen/keep.py", "src/x/y/z/deep.py", "sub/top/e.py"}
+
+
+def test_ignore_patterns():
+    import re
+
+    def ignores(text, path, base=""):
+        out = False
+        for r in code_files.ignore_rules({base: text}):
+            out = not r.negated if re.search(r.pattern, path) else out
+        return out
+
+    assert ignores("", "node_modules/x.js") and ignores("", "a/.git/x") and not ignores("", "src/node_modules.ts")
+    assert ignores("build", "a/build/x.py") and ignores("build", "build") and not ignores("build", "rebuild/x.py")
+    assert ignores("/dist", "dist/x") and not ignores("/dist", "a/dist/x") and ignores("/gen", "src/gen/x", "src/") and not ignores("/gen", "gen/x", "src/")
+    assert ignores("a/**/b.py", "x/a/q/r/b.py") and ignores("*.log", "a/b.log") and not ignores("*.log", "a/b.logs")
+    assert ignores("out/\n!out/keep", "out/x") and not ignores("out/\n!out/keep", "out/keep")
+    assert ignores_default("dist/x.py") and not ignores_default("vendor/x.py")
+
+
+def ignores_default(path):
+    import re
+
+    return any(re.search(r.pattern, path) for r in code_files.ignore_rules({}))
 
 
 def test_diffs(spark):

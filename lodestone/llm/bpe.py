@@ -26,12 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_work, by_rows
-from .word_codes import ChunkCodes
+from .common import at_work, slices, tuned
+from .word_codes import ChunkCodes, CodeCache, cuts_hold
 
 #: Fixed value: the byte-level pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ROWS = 2_000
+#: Bytes of texts that are encoded together, and bytes of chunks and of words whose codes a worker keeps (twice as much of chunks, in two generations).
+SLICE_BYTES, CHUNK_BYTES, WORD_BYTES = 6 << 20, 12 << 20, 8 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -47,6 +48,9 @@ class PairIndexBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
+        model = data["model"]
+        if not cuts_hold(data) or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            raise ValueError(f"{path} is no plain byte-level BPE vocabulary")
         vocabulary: dict[str, int] = data["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"]]
         alphabet = byte_alphabet()
@@ -67,30 +71,28 @@ class PairIndexBpe:
         for token, at in self.special.items():
             self.token_bytes[at] = token.encode()
         self.decimal = [str(i) for i in range(size)]
-        self.word_codes: dict[str, bytes] = {}
-        self.codes = ChunkCodes(self.encode_chunks, 100_000)
+        self.words = CodeCache(lambda words: self.merge([w.encode() for w in words]), WORD_BYTES)
+        self.codes = ChunkCodes(self.encode_chunks, CHUNK_BYTES)
 
-    def encode_chunks(self, distinct: list[str], bound: int = 100_000) -> list[bytes]:
+    def encode_chunks(self, distinct: list[str]) -> list[bytes]:
         """A code for each chunk."""
-        if len(self.word_codes) > bound:
-            self.word_codes = {}
-        known = self.word_codes
+        special: dict[str, bytes] = {}
         parts: list[list[str]] = []
         for chunk in distinct:
             if self.special_pattern and self.special_pattern.search(chunk):
                 words = []
                 for k, piece in enumerate(self.special_pattern.split(chunk)):
                     if k % 2:
-                        known[piece] = np.array([self.special[piece]], "<u4").tobytes()
+                        special[piece] = np.array([self.special[piece]], "<u4").tobytes()
                         words.append(piece)
                     else:
                         words += self.pattern.findall(piece)
             else:
                 words = self.pattern.findall(chunk)
             parts.append(words)
-        new = list({w for p in parts for w in p if w not in known})
-        known.update(zip(new, self.merge([w.encode() for w in new]), strict=True))
-        return [b"".join(known[w] for w in p) for p in parts]
+        plain = list(dict.fromkeys(w for p in parts for w in p if w not in special))
+        known = dict(zip(plain, self.words.of(plain), strict=True)) | special
+        return [b"".join([known[w] for w in p]) for p in parts]
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The code of each word (not empty), by the pair occurrence index over all of them."""
@@ -151,8 +153,8 @@ class PairIndexBpe:
 
     def forget(self) -> None:
         """Empties the caches; the vocabulary stays."""
-        self.word_codes = {}
-        self.codes.cache.young, self.codes.cache.old = {}, {}
+        self.words.forget()
+        self.codes.cache.forget()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -172,12 +174,12 @@ def vocabulary(path: str) -> PairIndexBpe:
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>): the ids of every whole text."""
-    source = docs.select(F.col(id_col), F.col(text_col))
+    source = tuned(docs).select(F.col(id_col), F.col(text_col))
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(vocabulary_path)
         at_work("bpe", model.forget)
-        for batch in by_rows(batches, ROWS):
+        for batch in slices(batches, SLICE_BYTES, 1):
             flat, bounds = model.codes.of(batch.column(1))
             ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype("<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
@@ -187,12 +189,12 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
 
 def decode_documents(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text): the text of each row's ids."""
-    source = encoded.select(F.col(id_col), F.col(ids_col))
+    source = tuned(encoded).select(F.col(id_col), F.col(ids_col))
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(vocabulary_path)
         at_work("bpe", model.forget)
-        for batch in by_rows(batches, ROWS):
+        for batch in batches:
             texts = [model.decode(ids or ()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
@@ -205,12 +207,12 @@ def round_trip_digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc
     One pass without a shuffle; the ids stay in the worker, as only digests of
     both forms are asked for.
     """
-    source = docs.select(F.col(id_col), F.col(text_col))
+    source = tuned(docs).select(F.col(id_col), F.col(text_col))
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(vocabulary_path)
         at_work("bpe", model.forget)
-        for batch in by_rows(batches, ROWS):
+        for batch in slices(batches, SLICE_BYTES, 1):
             counts, encoded, decoded = [], [], []
             flat, bounds = model.codes.of(batch.column(1))
             for x, y in zip(bounds, bounds[1:], strict=False):

@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         context.setCheckpointDir(base)
     return base
@@ -42,28 +44,35 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Spark's setting that deletes a query's shuffle files when the query has ended.
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings for work on long texts: small batches to and from Python and from Parquet, so that neither side holds many texts at once; and shuffle files go when the query that wrote them has ended, not whenever the driver happens to collect its garbage.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+#: By what a session is marked that has the settings.
+_MARK = "spark.lodestone.tuned"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read again: cuts the lineage and survives lost executors.
-
-    What the write shuffled is not needed any more when it has ended, so it is
-    deleted then, and not whenever the driver happens to collect its garbage.
-    """
+def tuned(df: DataFrame) -> DataFrame:
+    """df in a copy of its session that has SETTINGS; the session that it comes from, and other queries in it, see nothing of that."""
     spark = df.sparkSession
-    path = staging_path(spark, name)
-    before = spark.conf.get(_CLEAN_UP, None)
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEAN_UP)
-        else:
-            spark.conf.set(_CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    if spark.conf.get(_MARK, None):
+        return df
+    copy = spark._jsparkSession.cloneSession()
+    for key, value in {**SETTINGS, _MARK: "true"}.items():
+        copy.conf().set(key, value)
+    plan = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copy, df._jdf.logicalPlan())
+    return DataFrame(plan, SparkSession(spark.sparkContext, copy))
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read again: cuts the lineage and survives lost executors."""
+    df = tuned(df)
+    path = staging_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: The operator whose tasks this Python worker ran last, and how its caches are emptied.
@@ -86,12 +95,43 @@ def give_back() -> None:
         _TRIM(0)
 
 
-def by_rows(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Slices of at most so many rows, to bound the memory that one step takes; what a step freed goes back to the system."""
+def _bytes_at(column: pa.Array) -> np.ndarray:
+    """Where each text of the column ends, in bytes from its first."""
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return offsets[1:] - offsets[0]
+
+
+def slices(batches: Iterable[pa.RecordBatch], bytes_: int, column: int = 0, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of about so many bytes of a text column (a longer text is a slice of its own) and at most so many rows.
+
+    Small batches are joined and large ones cut, so what one step takes is bounded
+    whatever the texts' lengths; what a step freed goes back to the system.
+    """
+    held: list[pa.RecordBatch] = []
+    size = count = 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.concat_batches(held)
+
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-            give_back()
+        ends = _bytes_at(batch.column(column)) if batch.num_rows else np.empty(0, np.int64)
+        at = base = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(ends, base + bytes_ - size, "right"))
+            to = max(min(to, at + rows - count), at + (not held))
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                size, count = size + int(ends[to - 1]) - base, count + to - at
+                at, base = to, int(ends[to - 1])
+            if at < batch.num_rows or size >= bytes_ or count >= rows:
+                yield joined()
+                held, size, count = [], 0, 0
+                give_back()
+    if held:
+        yield joined()
+        held.clear()
+        give_back()
 
 
 def texts_of(column: pa.Array) -> list[str]:

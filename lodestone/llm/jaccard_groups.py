@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import at_work, by_rows, staged
+from .common import at_work, slices, staged, tuned
 from .components import component_labels
 
 #: Tokens that a linked pair's first tokens share at least (fewer for very small sets).
@@ -45,6 +45,8 @@ FREQUENT, LOCAL_COUNT = 262_144, 2
 GROUP_SIZE, TASK_QUERIES, LEADERS, ROUNDS = 64, 4_096, 2, 3
 #: Rows (some 40 bytes each) that are sent to every task to pick texts, instead of shuffling the texts.
 BROADCAST_ROWS = 500_000
+#: Bytes of texts that are taken up together.
+SLICE_BYTES = 4 << 20
 #: With more pairs of a node and a group left than this for each node, another round of leaders comes first.
 PAIRS_PER_NODE = 2
 
@@ -133,7 +135,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
     def profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_work("jaccard")
         names = ["kind", "doc_id", "n", "a", "b"]
-        for batch in by_rows(batches, 2_000):
+        for batch in slices(batches, SLICE_BYTES, 1):
             sets = shingle_sets(batch.column(1), words)
             digests = [set_digest(s) for s in sets]
             columns = [np.zeros(len(sets), np.int32), batch.column(0), np.array([len(s) for s in sets], np.int32), np.array([d[0] for d in digests], np.int64), np.array([d[1] for d in digests], np.int64)]
@@ -179,7 +181,7 @@ def _first_token_rows(docs: DataFrame, words: int, percent: int, frequent: np.nd
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clashes = sent.value[2]
         seen: set[tuple[int, int]] = set()
-        for batch in by_rows(batches, 1_000):
+        for batch in slices(batches, SLICE_BYTES, 1):
             nodes, sizes, tokens = [], [], []
             for s in shingle_sets(batch.column(1), words):
                 if len(s) and (d := set_digest(s)) not in seen:
@@ -288,7 +290,7 @@ def open_groups(members: DataFrame, queries: DataFrame, docs: DataFrame, owners:
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets = None, [], []
         tokens = owners = sizes = None
-        for batch in by_rows(batches, 500):
+        for batch in slices(batches, SLICE_BYTES, 4):
             found: list[tuple[int, int]] = []
             groups, tasks, roles, own = (batch.column(i).to_pylist() for i in range(4))
             for g, k, role, node, q in zip(groups, tasks, roles, own, shingle_sets(batch.column(4), words), strict=True):
@@ -369,7 +371,7 @@ def _remaining(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, int
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id) of every row: component_id is the least id reachable by links."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = tuned(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     profiles = staged(_profiles(source, words), "jaccard-profiles")
     sets = profiles.filter("kind = 0")
     filled = sets.filter("n > 0")

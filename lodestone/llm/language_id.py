@@ -1,15 +1,18 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a segment (a run without white space, cut where it
-is longer than SEGMENT bytes) forwards and backwards and gives each position a
-distribution over the languages; it starts anew at each segment, so each distinct
-segment of a batch is evaluated once and every position of the whole text has its
-label. A document's distribution is the mean over the positions of its segments
-that have a letter. The network is trained here, in numpy, by backpropagation
-through time, on a bounded sample: of at most SAMPLE_DOCS documents, the same
-number for each language, the most frequent (segment, language) pairs, at most
-MOST_PAIRS, of which each language has an equal share. Every language of the
-sample has a pair in it if any of its segments has a letter.
+A text's UTF-8 bytes, white space included, are read in windows: CORE bytes with
+CONTEXT bytes before and after them. The network reads a window forwards and
+backwards and gives each position a distribution over the languages; the core's
+positions count, so every byte of the whole text is labelled once, with at least
+CONTEXT bytes (or the text's end) on either side. A document's distribution is the
+mean over its positions. Gates are piecewise linear (clipped), which trains as
+well as smooth ones here and costs a fraction.
+
+The network is trained here, in numpy, by backpropagation through time, on a
+bounded sample: at most SAMPLE_DOCS documents, the same number for each language,
+and at most DOC_WINDOWS windows of TRAIN_BYTES bytes of each, spread over the
+whole text. Each step draws the same number of windows of each language, so a
+rare language counts as much as a frequent one.
 
 Defined results: a text that is null or has no letter is `und` with score 0; so
 are all texts if nothing can be learned from. Rows without an id or a language are
@@ -20,34 +23,31 @@ sorts first.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_work, by_rows, one_blas_thread
-from .word_codes import CodeCache
+from .common import at_work, one_blas_thread, slices, tuned
 
 UNDETERMINED = "und"
-HIDDEN = 16
-SEGMENT = 48
-SAMPLE_DOCS, MOST_PAIRS = 2_000, 60_000
-STEPS, BATCH, RATE, SEED = 900, 256, 0.01, 5
-#: Documents that are labelled together, and segments whose labels are kept; both bound a worker's memory.
-ROWS, CACHED = 1_000, 60_000
-_LETTER = re.compile(r"[^\W\d_]")
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+HIDDEN = 8
+CORE, CONTEXT = 96, 8
+SAMPLE_DOCS, DOC_WINDOWS, TRAIN_BYTES = 2_000, 24, 64
+STEPS, BATCH, RATE, SEED = 500, 192, 0.01, 5
+#: Windows that go through the network together, and bytes of texts that are taken up together; both bound a worker's memory.
+BLOCK, SLICE_BYTES = 2_048, 2 << 20
+#: A byte that no UTF-8 text has: what stands before and after a text.
+PAD = 255
+#: What a letter is, for Arrow's and for Java's regular expressions.
+LETTER = r"\p{L}"
 
 
 class ByteGru:
-    """Parameters by name: for each direction the bytes' inputs X (256 x 3H), the recurrence U (H x 3H), its bias B, the outputs V (H x C); and C's bias."""
+    """Parameters by name: for each direction the bytes' inputs X (256 x 3H, biases included), the recurrence U (H x 3H) and the outputs V (H x C); and C's bias."""
 
     def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = SEED):
         random = np.random.default_rng(seed)
@@ -55,131 +55,143 @@ class ByteGru:
         self.languages, self.hidden = languages, hidden
         self.p = {"c": np.zeros(len(languages), np.float32)}
         for d in "fb":
-            self.p |= {f"X{d}": draw(256, 3 * hidden), f"U{d}": draw(hidden, 3 * hidden), f"B{d}": np.zeros(3 * hidden, np.float32), f"V{d}": draw(hidden, len(languages))}
-
-    def _run(self, d: str, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States (T x N x H) of one direction over x (T x N), in the order read."""
-        H = self.hidden
-        inputs, U, B = self.p[f"X{d}"], self.p[f"U{d}"], self.p[f"B{d}"]
-        h = np.zeros((x.shape[1], H), inputs.dtype)
-        out = np.empty((*x.shape, H), inputs.dtype)
-        for t in range(len(x)):
-            a = inputs[x[t]]
-            g = h @ U + B
-            gates = _sigmoid(a[:, : 2 * H] + g[:, : 2 * H])
-            r, z = gates[:, :H], gates[:, H:]
-            n = np.tanh(a[:, 2 * H :] + r * g[:, 2 * H :])
-            if keep is not None:
-                keep.append((h, r, z, n, g[:, 2 * H :]))
-            h = n + z * (h - n)
-            out[t] = h
-        return out
+            self.p |= {f"X{d}": draw(256, 3 * hidden), f"U{d}": draw(hidden, 3 * hidden), f"V{d}": draw(hidden, len(languages))}
+
+    def _step(self, d: str, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(reset, update, candidate, the recurrence's part of the candidate, new state) for the bytes x after the states h."""
+        H, U = self.hidden, self.p[f"U{d}"]
+        a, g = self.p[f"X{d}"].take(x, axis=0), h @ U
+        gates = a[:, : 2 * H] + g[:, : 2 * H]
+        gates *= gates.dtype.type(0.25)
+        gates += gates.dtype.type(0.5)
+        np.clip(gates, 0, 1, out=gates)
+        r, z, own = gates[:, :H], gates[:, H:], g[:, 2 * H :]
+        n = r * own
+        n += a[:, 2 * H :]
+        np.clip(n, -1, 1, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return r, z, n, own, new
 
-    def _output(self, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
-        logits = forward @ self.p["Vf"] + backward @ self.p["Vb"] + self.p["c"]
+    def positions(self, x: np.ndarray) -> np.ndarray:
+        """Distributions (T x N x C) of the positions of N windows of T bytes (x: T x N)."""
+        p = self.p
+        logits = np.empty((*x.shape, len(self.languages)), p["c"].dtype)
+        logits[:] = p["c"]
+        for d, read, out in (("f", x, logits), ("b", x[::-1], logits[::-1])):
+            h = np.zeros((x.shape[1], self.hidden), p["c"].dtype)
+            for t in range(len(x)):
+                h = self._step(d, read[t], h)[-1]
+                out[t] += h @ p[f"V{d}"]
         logits -= logits.max(axis=-1, keepdims=True)
         np.exp(logits, out=logits)
         logits /= logits.sum(axis=-1, keepdims=True)
         return logits
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """Distributions (T x N x C) of the positions of N segments of T bytes (x: T x N)."""
-        return self._output(self._run("f", x), self._run("b", x[::-1])[::-1])
-
     def gradients(self, x: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy over all positions, and its gradients, by backpropagation through time."""
-        H, kept = self.hidden, {"f": [], "b": []}
+        """Mean cross entropy over all positions but padding, and its gradients, by backpropagation through time."""
+        H, T, N = self.hidden, *x.shape
+        kept: dict[str, list] = {"f": [], "b": []}
         read = {"f": x, "b": x[::-1]}
-        states = {d: self._run(d, read[d], kept[d]) for d in "fb"}
-        p = self._output(states["f"], states["b"][::-1])
-        columns = np.arange(x.shape[1])
-        loss = float(-np.log(p[:, columns, label] + 1e-9).mean())
+        for d in "fb":
+            h = np.zeros((N, H), self.p["c"].dtype)
+            for t in range(T):
+                parts = self._step(d, read[d][t], h)
+                kept[d].append((h, *parts))
+                h = parts[-1]
+        states = {d: np.stack([k[-1] for k in kept[d]]) for d in "fb"}
+        p = states["f"] @ self.p["Vf"] + states["b"][::-1] @ self.p["Vb"] + self.p["c"]
+        p = np.exp(p - p.max(axis=-1, keepdims=True))
+        p /= p.sum(axis=-1, keepdims=True)
+        columns, counts = np.arange(N), x != PAD
+        total = max(1, counts.sum())
+        loss = float((-np.log(p[:, columns, label] + 1e-9) * counts).sum() / total)
         p[:, columns, label] -= 1
-        p /= x.size
+        p *= (counts / total)[:, :, None].astype(p.dtype)
         grads = {"c": p.sum(axis=(0, 1))}
         for d in "fb":
             dp = p if d == "f" else p[::-1]
             grads[f"V{d}"] = np.einsum("tnh,tnc->hc", states[d], dp)
-            from_output = dp @ self.p[f"V{d}"].T
-            U = self.p[f"U{d}"]
-            dU, dB, dX = np.zeros_like(U), np.zeros_like(self.p[f"B{d}"]), np.zeros_like(self.p[f"X{d}"])
+            from_output, U = dp @ self.p[f"V{d}"].T, self.p[f"U{d}"]
+            dU, da = np.zeros_like(U), np.empty((T, N, 3 * H), U.dtype)
             dh = np.zeros_like(from_output[0])
-            for t in range(len(x) - 1, -1, -1):
-                h, r, z, n, g = kept[d][t]
+            for t in range(T - 1, -1, -1):
+                h, r, z, n, own, _ = kept[d][t]
                 dh = dh + from_output[t]
-                dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (h - n) * z * (1 - z)
-                dr = dn * g * r * (1 - r)
+                dn = dh * (1 - z) * (np.abs(n) < 1)
+                dz = dh * (h - n) * ((z > 0) & (z < 1)) / 4
+                dr = dn * own * ((r > 0) & (r < 1)) / 4
                 to_state = np.concatenate([dr, dz, dn * r], axis=1)
                 dU += h.T @ to_state
-                dB += to_state.sum(axis=0)
-                hot = np.zeros((x.shape[1], 256), dX.dtype)
-                hot[columns, read[d][t]] = 1
-                dX += hot.T @ np.concatenate([dr, dz, dn], axis=1)
+                da[t, :, : 2 * H], da[t, :, 2 * H :] = to_state[:, : 2 * H], dn
                 dh = dh * z + to_state @ U.T
-            grads |= {f"U{d}": dU, f"B{d}": dB, f"X{d}": dX}
+            grads |= {f"U{d}": dU, f"X{d}": _sums_by_byte(read[d], da)}
         return loss, grads
 
     @one_blas_thread()
-    def segment_sums(self, segments: list[str]) -> list[bytes]:
-        """For each segment the sum over its positions of their distributions (zero without a letter), as little-endian floats."""
-        C = len(self.languages)
-        out = np.zeros((len(segments), C), np.float32)
-        by_length: dict[int, list[tuple[int, bytes]]] = {}
-        for k, s in enumerate(segments):
-            if _LETTER.search(s):
-                data = s.encode()
-                for at in range(0, len(data), SEGMENT):
-                    piece = data[at : at + SEGMENT]
-                    by_length.setdefault(len(piece), []).append((k, piece))
-        for length, pieces in by_length.items():
-            for at in range(0, len(pieces), 4_096):
-                group = pieces[at : at + 4_096]
-                x = np.frombuffer(b"".join(p for _, p in group), np.uint8).reshape(-1, length).T
-                np.add.at(out, [k for k, _ in group], self.positions(x).sum(axis=0))
-        code, width = out.astype("<f4").tobytes(), 4 * C
-        return [code[k * width : (k + 1) * width] for k in range(len(segments))]
-
-    def position_labels(self, text: str) -> list[str]:
-        """The label of each byte of the text; white space has that of the segment before it (`und` at the beginning)."""
-        labels: list[str] = []
-        for piece in re.findall(rb"[\x20\x09-\x0D]+|[^\x20\x09-\x0D]{1,%d}" % SEGMENT, text.encode()):
-            if piece[0] in b" \t\n\v\f\r":
-                labels += [labels[-1] if labels else UNDETERMINED] * len(piece)
-            else:
-                best = self.positions(np.frombuffer(piece, np.uint8)[:, None])[:, 0].argmax(axis=-1)
-                labels += [self.languages[k] for k in best]
-        return labels
+    def text_sums(self, texts: list[bytes]) -> np.ndarray:
+        """For each text (N x C) the sum over all its bytes of their distributions."""
+        out = np.zeros((len(texts), len(self.languages)))
+        for owner, bytes_, p in self._labelled(texts):
+            p *= (bytes_ != PAD)[:, :, None]
+            sums = p.sum(axis=0)
+            for c in range(out.shape[1]):
+                out[:, c] += np.bincount(owner, sums[:, c], len(texts))
+        return out
+
+    @one_blas_thread()
+    def position_labels(self, text: bytes) -> np.ndarray:
+        """The number of the language of each byte of the text."""
+        parts = [p.argmax(axis=-1).T.ravel() for _, _, p in self._labelled([text])]
+        return np.concatenate(parts)[: len(text)]
+
+    def _labelled(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(the texts' numbers, the cores' bytes, their distributions) of blocks of windows, in order."""
+        length = np.array([len(t) for t in texts], np.int64)
+        windows = -(-length // CORE)
+        sizes = windows * CORE + 2 * CONTEXT
+        begins = np.cumsum(sizes) - sizes
+        laid = np.full(int(sizes.sum()), PAD, np.uint8)
+        for at, n, text in zip(begins.tolist(), length.tolist(), texts, strict=True):
+            laid[at + CONTEXT : at + CONTEXT + n] = np.frombuffer(text, np.uint8)
+        owner = np.repeat(np.arange(len(texts)), windows)
+        first = begins[owner] + (np.arange(len(owner)) - (np.cumsum(windows) - windows)[owner]) * CORE
+        steps = np.arange(CORE + 2 * CONTEXT)[:, None]
+        for at in range(0, len(owner), BLOCK):
+            x = laid[first[at : at + BLOCK] + steps]
+            yield owner[at : at + BLOCK], x[CONTEXT:-CONTEXT], self.positions(x)[CONTEXT:-CONTEXT]
+
+
+def _sums_by_byte(read: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The sums (256 x K) of the values (T x N x K) that stand at each byte."""
+    flat = read.ravel()
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
+    out = np.zeros((256, values.shape[2]), values.dtype)
+    out[flat[order][first]] = np.add.reduceat(values.reshape(len(flat), -1)[order], first, axis=0)
+    return out
 
 
 @one_blas_thread()
-def train(pairs: list[tuple[str, str, int]], steps: int = STEPS, seed: int = SEED) -> ByteGru | None:
-    """The network for (segment, language, count) triples; None if there is no language."""
-    languages = sorted({lang for _, lang, _ in pairs})
+def train(sample: list[tuple[str, bytes]], steps: int = STEPS, seed: int = SEED) -> ByteGru | None:
+    """The network for (language, window) pairs; None if there is none. A window may be shorter than TRAIN_BYTES, not longer."""
+    sample = sorted((lang, w) for lang, w in sample if w)
+    languages = sorted({lang for lang, _ in sample})
     if not languages:
         return None
     model = ByteGru(languages, seed=seed)
     random = np.random.default_rng(seed)
-    number = {lang: k for k, lang in enumerate(languages)}
-    mass = dict.fromkeys(languages, 0.0)
-    rows: dict[int, list[tuple[bytes, str, float]]] = {}
-    for segment, lang, count in sorted(pairs):
-        data = segment.encode()[:SEGMENT]
-        rows.setdefault(len(data), []).append((data, lang, count**0.5))
-        mass[lang] += count**0.5
-    lengths, shares, tables = [], [], []
-    for length in sorted(rows):
-        weight = np.array([w / mass[lang] for _, lang, w in rows[length]])
-        lengths.append(length)
-        shares.append(weight.sum())
-        x = np.frombuffer(b"".join(d for d, _, _ in rows[length]), np.uint8).reshape(-1, length)
-        tables.append((x, np.array([number[lang] for _, lang, _ in rows[length]]), np.cumsum(weight) / weight.sum()))
-    shares = np.array(shares) / sum(shares)
+    x = np.full((len(sample), TRAIN_BYTES), PAD, np.uint8)
+    for k, (_, w) in enumerate(sample):
+        x[k, : len(w)] = np.frombuffer(w, np.uint8)
+    label = np.searchsorted(languages, [lang for lang, _ in sample])
+    begins, ends = np.searchsorted(label, np.arange(len(languages))), np.searchsorted(label, np.arange(len(languages)), "right")
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
     for step in range(1, steps + 1):
-        x, label, edges = tables[random.choice(len(tables), p=shares)]
-        at = np.minimum(np.searchsorted(edges, random.random(BATCH)), len(x) - 1)
+        turn = (np.arange(BATCH) + step) % len(languages)
+        at = random.integers(begins[turn], ends[turn])
         _, grads = model.gradients(np.ascontiguousarray(x[at].T), label[at])
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, g in grads.items():
@@ -193,20 +205,33 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str, int]]:
-    """The training triples: documents are chosen by a hash of their id, pairs by their number."""
-    usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(~held_out("id"))
-    keyed = usable.withColumn("key", F.xxhash64(F.col("id").cast("string")))
-    languages = keyed.select("lang").distinct().count()
-    if not languages:
+def sample_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
+    """The training pairs (language, window): for each language the documents with the least hashes of id and text, windows spread over each.
+
+    A share of the hashes that holds three times the wanted documents comes to
+    the driver, one number each, so no language is ranked in one task. Rows that
+    repeat id and text are one document.
+    """
+    usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    usable = usable.filter(F.col("text").rlike(LETTER) & F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id")).withColumn("key", F.xxhash64(F.col("id").cast("string"), "text", "lang"))
+    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}  # one row a language, as the network has one output a language
+    if not counts:
         return []
-    order = Window.partitionBy("lang").orderBy("key")
-    keys = [r.key for r in keyed.select("lang", "key").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(1, SAMPLE_DOCS // languages)).select("key").distinct().collect()]
-    words = keyed.filter(F.col("key").isin(keys)).select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("segment"))
-    counts = words.filter(F.col("segment").rlike(r"\p{L}")).groupBy("segment", "lang").agg(F.count("*").alias("n"))
-    frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "segment")
-    ranked = counts.withColumn("rank", F.row_number().over(frequent)).filter(F.col("rank") <= max(1, MOST_PAIRS // languages))
-    return [(r.segment, r.lang, r.n) for r in ranked.collect()]
+    wanted = max(1, SAMPLE_DOCS // len(counts))
+    bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(2**63 * (2 * min(1.0, 3 * wanted / n) - 1)) - 1)])
+    few = usable.select("lang", "key").filter(F.col("key") <= bound[F.col("lang")]).distinct().collect()
+    by_lang: dict[str, list[int]] = {}
+    for r in sorted(few, key=lambda r: r.key):
+        if len(chosen := by_lang.setdefault(r.lang, [])) < wanted:
+            chosen.append(r.key)
+    keys = [k for chosen in by_lang.values() for k in chosen]
+    found = usable.filter(F.col("key").isin(keys)).groupBy("key").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
+    data = F.col("text").cast("binary")
+    bytes_ = F.octet_length("text")
+    n = F.least(F.lit(DOC_WINDOWS), F.greatest(F.lit(1), F.floor(bytes_ / TRAIN_BYTES)))
+    begin = lambda i: F.floor(i * F.greatest(F.lit(0), bytes_ - TRAIN_BYTES) / F.greatest(F.lit(1), n - 1)).cast("int")
+    windows = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.substring(data, begin(i) + 1, F.lit(TRAIN_BYTES)))
+    return [(r.lang, bytes(w)) for r in found.select("lang", windows.alias("windows")).collect() for w in r.windows]
 
 
 def predict(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()) -> DataFrame:
@@ -219,22 +244,14 @@ def predict(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_work("language_id")
-        cache = CodeCache(model.segment_sums, CACHED) if model else None
-        for batch in by_rows(batches, ROWS):
+        for batch in slices(batches, SLICE_BYTES):
             n = batch.num_rows
             best, score = np.full(n, -1), np.zeros(n)
-            if cache is not None:
-                cut = pc.ascii_split_whitespace(pc.fill_null(batch.column(0), ""))
-                words = cut.flatten().dictionary_encode()
-                sums = np.frombuffer(b"".join(cache.of(words.dictionary.to_pylist())), "<f4").reshape(-1, len(languages)).astype(float)
-                offsets = cut.offsets.to_numpy()
-                offsets = offsets - offsets[0]
-                index = words.indices.to_numpy()
-                pooled = np.stack([np.bincount(np.repeat(np.arange(n), np.diff(offsets)), sums[index, c], n) for c in range(len(languages))], axis=1)
-                total = pooled.sum(axis=1)
-                some = total > 0
-                best[some] = pooled[some].argmax(axis=1)
-                score[some] = np.minimum(1, pooled[some].max(axis=1) / total[some])
+            if model is not None:
+                lettered = pc.match_substring_regex(pc.fill_null(batch.column(0), ""), LETTER).to_numpy(zero_copy_only=False)
+                sums = model.text_sums(batch.column(0).filter(pa.array(lettered)).cast(pa.binary()).to_pylist())
+                best[lettered] = sums.argmax(axis=1)
+                score[lettered] = np.minimum(1, sums.max(axis=1, initial=0) / sums.sum(axis=1))
             langs = pa.array([languages[k] if k >= 0 else UNDETERMINED for k in best.tolist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], langs, pa.array(np.round(score, 6))], [*names, "lang_pred", "score"])
 
@@ -243,15 +260,36 @@ def predict(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text
     return out.select(F.col("_id").alias(id_col), *(F.col(f"_{k}").alias(c) for k, c in enumerate(keep)), "lang_pred", "score")
 
 
+def label_positions(docs: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, runs): the label of every byte of each whole text, neighbours with one label as a run (start, end in bytes, lang)."""
+    source = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id"))
+
+    def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("language_id")
+        for batch in slices(batches, SLICE_BYTES):
+            runs = []
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                best = model.position_labels(text) if text else np.empty(0, np.int64)
+                begins = np.flatnonzero(np.r_[True, best[1:] != best[:-1]]) if len(best) else best
+                ends = np.r_[begins[1:], len(best)]
+                runs.append([{"start": s, "end": e, "lang": model.languages[k]} for s, e, k in zip(begins.tolist(), ends.tolist(), best[begins].tolist(), strict=False)])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))], ["_id", "runs"])
+
+    kind = source.schema["_id"].dataType.simpleString()
+    return source.mapInArrow(label, f"_id {kind}, runs array<struct<start: long, end: long, lang: string>>").withColumnRenamed("_id", id_col)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, held_out, lang_pred, score) of every document, by a network that learned from those not held out."""
-    model = train(sample_pairs(docs, id_col))
+    docs = tuned(docs)
+    model = train(sample_windows(docs, id_col))
     return predict(docs, model, id_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, least_score: float = 0.35) -> DataFrame:
     """docs without those whose language can't be told: no text or letter, or a score below least_score. lang is the predicted one."""
-    model = train(sample_pairs(docs))
+    docs = tuned(docs)
+    model = train(sample_windows(docs))
     others = [c for c in docs.columns if c != "doc_id"]
     found = predict(docs, model, keep=others).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)

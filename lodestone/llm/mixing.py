@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import at_work, by_rows, staged, texts_of
+from .common import at_work, slices, staged, texts_of, tuned
 
 #: Words: what is not a space or one of the controls from tab to carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -35,6 +35,8 @@ SHARE, MOST = 1.5, 2.0
 BLOCK_WORDS = 128
 SHARD_SLOTS, MOST_SHARDS = 8_192, 4_096
 BUCKET_ROWS = 4_000
+#: Bytes of texts that are taken up together.
+SLICE_BYTES = 4 << 20
 SEED = 20_240
 
 
@@ -114,12 +116,12 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Iterable[str] = ()) -> DataFrame:
     """(row, doc_id, source, size, *keep), staged: row numbers the rows from here on."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(keep)))
+    source = tuned(docs).select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(keep)))
     kept = [f"_{k}" for k, _ in enumerate(keep)]
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_work("mixing")
-        for batch in by_rows(batches, 2_000):
+        for batch in slices(batches, SLICE_BYTES, 2):
             sizes = pa.array([len(t.encode().split()) for t in texts_of(batch.column(2))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, *batch.columns[3:]], ["doc_id", "source", "size", *kept])
 
@@ -229,7 +231,7 @@ def mixed_texts(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORD
     text_at = out.columns.index("text")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_rows(batches, 1_000):
+        for batch in slices(batches, SLICE_BYTES, text_at):
             owners, texts = [], []
             sizes, firsts, lasts = (batch.column(i).to_pylist() for i in (2, -2, -1))
             for k, (text, size, first, last) in enumerate(zip(batch.column(text_at).to_pylist(), sizes, firsts, lasts, strict=True)):

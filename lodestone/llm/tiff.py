@@ -30,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_rows, texts_of
+from .common import at_work, slices, texts_of, tuned
 
 WIDTH = 576
 PAGE_ROWS = 64
 STRIP_ROWS = 32
 TILE = (288, 32)
-ROWS = 500
+#: Bytes of texts or media that are taken up together.
+SLICE_BYTES = 2 << 20
 
 #: Fixed values of the format: compression schemes, sizes of field types, tag numbers.
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
@@ -246,7 +247,6 @@ class _Reader:
         if bits == 1 and (one(FILL_ORDER, 1) != 1 or predictor != 1):
             raise ValueError(f"1 bit a sample, fill order {one(FILL_ORDER, 1)}, predictor {predictor}")
         kind = np.dtype(self.order + "u2") if bits == 16 else np.dtype("u1")
-        out = np.empty((height, width, samples), kind.newbyteorder("="))
         tiled = TILE_OFFSETS in tags
         across, down = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
         if not across or not down:
@@ -259,6 +259,12 @@ class _Reader:
         row_bytes = -(-across * together // 8) if bits == 1 else across * together * kind.itemsize
         if offsets is None or counts is None or min(len(offsets), len(counts)) < needed:
             raise ValueError("too few strips or tiles")
+        if any(o < 8 or o + c > len(self.data) for o, c in zip(offsets[:needed], counts[:needed], strict=True)):
+            raise ValueError("a strip or tile lies outside the file")
+        # no compression here makes more than 1,100 bytes of one, so what a header can ask for is bounded by the file
+        if needed * down * row_bytes > 1_100 * sum(counts[:needed]) + (1 << 20):
+            raise ValueError("more samples than the strips or tiles can hold")
+        out = np.empty((height, width, samples), kind.newbyteorder("="))
         for k in range(needed):
             plane, place = divmod(k, of_plane)
             y, x = place // per_row * down, place % per_row * across
@@ -363,10 +369,11 @@ def padded(text: str) -> bytes:
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, media): each whole text (null: empty) as a TIFF whose description says its bytes."""
-    source = docs.select(F.col(id_col), F.col(text_col))
+    source = tuned(docs).select(F.col(id_col), F.col(text_col))
 
     def store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_rows(batches, ROWS):
+        at_work("tiff")
+        for batch in slices(batches, SLICE_BYTES, 1):
             media = [write_tiff(padded(t), f"bytes={len(t.encode())}") for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], ["id", "media"])
 
@@ -375,11 +382,11 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def tiff_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row per page: the id and PAGE_SCHEMA."""
-    source = media.select(F.col(id_col), F.col(media_col))
+    source = tuned(media).select(F.col(id_col), F.col(media_col))
     names = ["id", *Page._fields]
 
     def pages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_rows(batches, ROWS):
+        for batch in slices(batches, SLICE_BYTES, 1):
             found: list[Page] = []
             owners: list[int] = []
             for k, data in enumerate(batch.column(1).to_pylist()):
@@ -404,11 +411,11 @@ def feature_of(pixels: np.ndarray, pages: int) -> str:
 
 def media_digests(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row per medium: lengths, digests and features of the payload that its pages hold."""
-    source = media.select(F.col(id_col), F.col(media_col))
+    source = tuned(media).select(F.col(id_col), F.col(media_col))
     fields = [("n_bytes", pa.int64(), "long"), ("payload_bytes", pa.int64(), "long"), ("payload_sha256", pa.string(), "string"), ("tail_crc32", pa.int64(), "long"), ("media_bytes", pa.int64(), "long"), ("media_sha256", pa.string(), "string"), ("feature", pa.string(), "string"), ("n_pages", pa.int32(), "int")]
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_rows(batches, ROWS):
+        for batch in slices(batches, SLICE_BYTES, 1):
             rows = []
             for data in batch.column(1).to_pylist():
                 pages = list(read_pages(data or b""))

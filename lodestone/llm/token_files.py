@@ -13,6 +13,7 @@ doc_id come first. An empty table gives empty files. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterable, Iterator
@@ -23,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_rows
-from .word_codes import ChunkCodes
+from .common import at_work, slices, tuned
+from .word_codes import ChunkCodes, cuts_hold
 
-ROWS = 5_000
+#: Bytes of texts that are encoded together, and bytes of chunks whose codes a worker keeps (twice, in two generations).
+SLICE_BYTES, CHUNK_BYTES = 12 << 20, 24 << 20
 #: Chunks that are encoded in one call.
 JOINED = 2_000
 #: Bits of pos that count the rows of one file's partition (monotonically_increasing_id's layout).
@@ -39,12 +41,15 @@ def library_codes(path: str) -> ChunkCodes:
 
     Chunks that begin with their only space are joined to long texts, as they may
     be by where chunks are cut, and told apart again by the tokens that begin with
-    a space; the rest are encoded one by one.
+    a space; the rest are encoded one by one. A vocabulary with another
+    pre-tokeniser has its texts encoded whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        cut = cuts_hold(json.load(file))
     tokenizer.no_truncation()
     tokenizer.no_padding()
     begins = np.zeros(tokenizer.get_vocab_size(), bool)
@@ -72,7 +77,7 @@ def library_codes(path: str) -> ChunkCodes:
                 out[some] = way([distinct[k] for k in some.tolist()])
         return out.tolist()
 
-    return ChunkCodes(encode)
+    return ChunkCodes(encode if cut else alone, CHUNK_BYTES, cut)
 
 
 def write_token_files(
@@ -90,12 +95,13 @@ def write_token_files(
     Texts are dealt out by ranges of id and encoded where they are written; a
     range's rows are sorted by id, so the files follow one another.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = tuned(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = library_codes(vocabulary_path)
-        for batch in by_rows(batches, ROWS):
+        at_work("token_files", codes.cache.forget)
+        for batch in slices(batches, SLICE_BYTES, 1):
             flat, bounds = codes.of(batch.column(1))
             ended = np.insert(flat, bounds[1:], end_id).astype("<i4")
             bounds = (bounds + np.arange(len(bounds))).astype(np.int32)

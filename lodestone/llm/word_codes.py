@@ -24,6 +24,15 @@ _UNEVEN = rf"[ \n]{_SPACE}|{_SPACE}[ \n]|[ \n]\z|\x01"
 _UNEVEN_STOPS = rf"{_UNEVEN}|{_MARK}[.,]|{_SPACE}[.,]"
 
 
+def cuts_hold(tokenizer: dict) -> bool:
+    """Whether a tokenizer's file has the pre-tokeniser that the cuts are made for: byte-level with its pattern, nothing normalised or put before, and added tokens that take no white space."""
+    before = tokenizer.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    added = tokenizer.get("added_tokens") or []
+    bare = all(not any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized")) and not re.search(r"[\s.,]", t["content"]) for t in added)
+    return bool(plain and bare and not tokenizer.get("normalizer") and tokenizer["model"].get("type", "BPE") == "BPE")
+
+
 def chunks(text: str) -> list[str]:
     """The text cut before each single space or newline that has no white space beside it."""
     return _CUT.split(text) if text else []
@@ -39,37 +48,46 @@ def gather(pool: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np
 
 
 class CodeCache:
-    """Codes of keys, in two generations of at most `bound` keys; encode gets the distinct keys that are not known."""
+    """Codes of keys, in two generations of about `bound` bytes (as Python holds them); encode gets the distinct keys that are not known."""
 
-    def __init__(self, encode: Callable[[list], list[bytes]], bound: int = 200_000):
+    #: What a key and its code take besides their own characters.
+    ENTRY = 180
+
+    def __init__(self, encode: Callable[[list], list[bytes]], bound: int):
         self.encode, self.bound = encode, bound
+        self.forget()
+
+    def forget(self) -> None:
         self.young: dict = {}
         self.old: dict = {}
+        self.size = 0
 
     def of(self, distinct: list) -> list[bytes]:
         """The code of each key."""
-        if len(self.young) > self.bound:
-            self.old, self.young = self.young, {}
+        if self.size > self.bound:
+            self.old, self.young, self.size = self.young, {}, 0
         out = list(map(self.young.get, distinct))
         places = [k for k, code in enumerate(out) if code is None]
         if places and self.old:
             for k in places:
                 if (code := self.old.get(distinct[k])) is not None:
                     out[k] = self.young[distinct[k]] = code
+                    self.size += len(distinct[k]) + len(code) + self.ENTRY
             places = [k for k in places if out[k] is None]
         if places:
             new = [distinct[k] for k in places]
             for k, code in zip(places, codes := self.encode(new), strict=True):
                 out[k] = code
             self.young.update(zip(new, codes, strict=True))
+            self.size += sum(map(len, new)) + sum(map(len, codes)) + self.ENTRY * len(new)
         return out
 
 
 class ChunkCodes:
-    """Ids (unsigned 32-bit integers) of texts; encode gives the ids of distinct chunks as little-endian bytes."""
+    """Ids (unsigned 32-bit integers) of texts; encode gives the ids of distinct chunks (of whole texts, if they may not be cut) as little-endian bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], bound: int = 200_000):
-        self.cache = CodeCache(encode, bound)
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], bound: int, cut: bool = True):
+        self.cache, self.cut = CodeCache(encode, bound), cut
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column's texts (null: none), one text after the other; and the places where texts begin, with the end.
@@ -79,6 +97,9 @@ class ChunkCodes:
         """
         column = pc.fill_null(column, "")
         parts: list[np.ndarray] = [np.empty(0, "<u4")] * len(column)
+        if not self.cut:
+            parts = [np.frombuffer(code, "<u4") for code in self.cache.encode(column.to_pylist())]
+            return np.concatenate([np.empty(0, "<u4"), *parts]), np.cumsum([0, *map(len, parts)])
         rest = np.arange(len(column))
         for pattern, stops in ((_UNEVEN_STOPS, True), (_UNEVEN, False)):
             texts = column.take(pa.array(rest)) if len(rest) < len(column) else column

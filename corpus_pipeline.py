@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, jaccard_groups, language_id, mixing
-from lodestone.llm.common import staged, table
+from lodestone.llm.common import staged, table, tuned
 
 VOCABULARY = "byte_bpe_50k.json"
+#: A column that documents do not have.
+KEY = "_pipeline_row"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,14 +28,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each class of near copies (five-word shingles, similarity of 0.8 or more), whatever its doc_id is.
 
     It is the row with the class's least doc_id; a row without one remains only where
-    no row of its class has one. Ties go to the least hash of the whole row.
-    Rows without words are like nothing else and all remain.
+    no row of its class has one. Ties go to the least hash of the whole row, and of
+    rows that are equal in every column one remains. Rows without words are like
+    nothing else and all remain.
+
+    A row goes by the 128-bit hash of all its columns, so no text is written or
+    shuffled here; only of rows that are repeated one copy a task is.
     """
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_hash", F.xxhash64(*docs.columns)), "pipeline-rows")
-    groups = jaccard_groups.similar_components(rows, id_col="_row", words=5, percent=80)
-    rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_hash", "_row")
-    least = groups.join(rows.select("_row", "doc_id", "_hash"), "_row").groupBy("component_id").agg(F.min(rank).alias("first"))
-    return rows.join(least.select("first._row"), "_row", "left_semi").select(*docs.columns)
+    row = lambda seed: F.xxhash64(F.lit(seed), *(F.col(c) for c in docs.columns))
+    keyed = tuned(docs).withColumn(KEY, F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), row(1).alias("a"), row(2).alias("b")))
+    groups = jaccard_groups.similar_components(keyed, id_col=KEY, words=5, percent=80)
+    kept = staged(groups.filter(F.col("component_id") == F.col(KEY)).groupBy(KEY).agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n")), "pipeline-kept")
+    once = keyed.join(kept.filter("copies = 1 OR n = 0"), KEY, "left_semi")
+    repeated = keyed.join(kept.filter("copies > 1 AND n > 0"), KEY, "left_semi").groupBy(KEY).agg(*(F.first(c).alias(c) for c in docs.columns))
+    return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

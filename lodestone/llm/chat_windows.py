@@ -2,14 +2,21 @@
 
 A turn is written between markers that name its role; the characters that
 markers are made of are escaped in texts and roles, so whatever a text says, it
-can't be read as a marker, and unescaping gives it back. Prefix sums of the
-turns' tokens choose the windows: a turn opens one where its prefix passes into
-another stretch of the room for new turns, and a turn longer than the room
-stands alone. A window repeats the system turn and the last turns before it, as
-far as the allowance for history goes. The loss mask has the texts of assistant
-turns where they are new; repeated ones are context.
-
-All of it is DataFrame expressions.
+can't be read as a marker, and unescaping gives it back.
+
+Prefix sums of the turns' tokens choose the windows: from a turn on, a window is
+the longest span of turns that fits the budget together with the system turn and
+the history that it repeats, the last turns before it as far as their allowance
+goes. A turn that only fits without history has none. A turn that does not fit
+even so has a window of its own beyond the budget, as nothing is cut or dropped;
+its window says so (fits is false). The spans follow one another, so they are
+found by folding the token counts, in stretches of STRETCH budgets: a window does
+not pass from one stretch into the next, and no fold gets longer than that. The
+loss mask has the texts of assistant turns where they are new; repeated ones are
+context.
+
+All of it is DataFrame expressions. Windows are chosen on numbers alone; the
+texts are joined once, by turn.
 
 Defined results: null texts count as empty, a null role as an empty one; rows of
 a conversation are ordered by turn, role and text, nulls first, and repeated rows
@@ -24,10 +31,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 OPEN, AFTER_ROLE, CLOSE = "<turn:", ">", "</turn>"
 #: Characters of the markers, and how texts have them; the first escape is that of the escapes' own sign.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
 BUDGET, HISTORY, CHARS_PER_TOKEN = 1_024, 256, 4
+#: Budgets of tokens that are folded together.
+STRETCH = 64
 TARGET, SYSTEM = "assistant", "system"
 
 
@@ -43,53 +54,81 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def _turns(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """(conv, k, head, body, tokens, is_system, is_target), staged: a conversation's turns numbered from 1; conv holds its id, null or not."""
+    rows = turns.select(F.struct(F.col(conv_col).alias("id")).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("said"))
+    order = Window.partitionBy("conv").orderBy(F.asc_nulls_first("turn"), "role", "said")
+    head, body = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(AFTER_ROLE)), escape(F.col("said"))
+    rows = rows.select("conv", "role", F.row_number().over(order).alias("k"), head.alias("head"), body.alias("body"))
+    tokens = F.ceil((F.char_length("head") + F.char_length("body") + len(CLOSE)) / CHARS_PER_TOKEN)
+    return staged(rows.select("conv", "k", "head", "body", tokens.alias("tokens"), ((F.col("k") == 1) & (F.col("role") == SYSTEM)).alias("is_system"), (F.col("role") == TARGET).alias("is_target")), "chat-turns")
+
+
+def _spans(new: Column, budget: int) -> Column:
+    """The windows (k of the first turn, bare: without history) over turns (k, tokens, past: the history's tokens, system), by a fold."""
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(-1).cast("long").alias("room"), F.array().cast("array<struct<k:int,bare:boolean>>").alias("found"))
+
+    def step(state: Column, turn: Column) -> Column:
+        whole = F.lit(budget).cast("long") - turn["system"]
+        bare = turn["tokens"] > whole - turn["past"]
+        opened = F.struct(turn["tokens"].alias("used"), F.when(bare, whole).otherwise(whole - turn["past"]).alias("room"), F.concat(state["found"], F.array(F.struct(turn["k"].alias("k"), bare.alias("bare")))).alias("found"))
+        longer = F.struct((state["used"] + turn["tokens"]).alias("used"), state["room"].alias("room"), state["found"].alias("found"))
+        return F.when(state["used"] + turn["tokens"] <= state["room"], longer).otherwise(opened)
+
+    return F.aggregate(new, start, step, lambda state: state["found"])
+
+
+def _chosen(numbers: DataFrame, budget: int, history: int) -> DataFrame:
+    """(conv, window, k, is_new): the turns of each window, repeated ones with is_new 0. numbers: (conv, k, tokens, is_system)."""
+    by_turn = Window.partitionBy("conv").orderBy("k")
+    own = F.when(F.col("is_system"), 0).otherwise(F.col("tokens"))
+    rows = numbers.withColumn("prefix", F.coalesce(F.sum(own).over(by_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("system", F.sum(F.when(F.col("is_system"), F.col("tokens")).otherwise(0)).over(by_turn)).filter("NOT is_system")
+    # the history's tokens: back to the first turn whose prefix is within the allowance
+    within = Window.partitionBy("conv").orderBy("prefix").rangeBetween(-history, 0)
+    rows = staged(rows.withColumn("past", F.col("prefix") - F.min("prefix").over(within)).drop("is_system"), "chat-numbers")
+    turn = F.struct("k", *(F.col(c).cast("long").alias(c) for c in ("tokens", "past", "system", "prefix")))
+    folded = rows.groupBy("conv", F.floor(F.col("prefix") / (STRETCH * budget)).alias("stretch")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    folded = folded.select("conv", "turns", F.element_at("turns", 1)["k"].alias("low"), F.element_at("turns", -1)["k"].alias("high"), _spans(F.col("turns"), budget).alias("found"))
+    following = lambda i: F.coalesce(F.get("found", i + 1)["k"] - 1, F.col("high"))
+    spans = F.transform("found", lambda x, i: F.struct(x["k"].alias("first"), following(i).alias("last"), x["bare"].alias("bare"), F.get("turns", x["k"] - F.col("low"))["prefix"].alias("begin")))
+    spans = folded.select("conv", F.inline(spans))
+    windows = staged(spans.withColumn("window", F.row_number().over(Window.partitionBy("conv").orderBy("first")) - 1), "chat-spans")
+    new = windows.select("conv", "window", F.explode(F.sequence("first", "last")).alias("k"), F.lit(1).alias("is_new"))
+    system, later = numbers.filter("is_system").select("conv", "k"), windows.filter("window > 0")
+    new = new.unionByName(system.select("conv", F.lit(0).alias("window"), "k", F.lit(1).alias("is_new")))
+    carried = later.select("conv", "window").join(system, "conv").withColumn("is_new", F.lit(0))
+    # a turn within the allowance before a window stands in the same part of the conversation, or in the part before
+    part = F.floor(F.col("prefix") / max(1, history))
+    near = rows.select("conv", "k", "prefix", F.explode(F.array(part, part + 1)).alias("part"))
+    begun = later.filter("NOT bare").select("conv", "window", "begin", F.floor(F.col("begin") / max(1, history)).alias("part"))
+    repeated = near.join(begun, ["conv", "part"]).filter((F.col("prefix") < F.col("begin")) & (F.col("begin") - F.col("prefix") <= history))
+    return new.unionByName(carried).unionByName(repeated.select("conv", "window", "k", F.lit(0).alias("is_new")))
+
+
 def format_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """(conv_id, window, n_context, text, loss): one row per window.
+    """(conv_id, window, n_context, text, loss, tokens, fits): one row per window.
 
     n_context turns at the beginning are repeated; loss has the spans (start, size,
-    in code points of text) that are trained on.
+    in code points of text) that are trained on; fits tells whether the window's
+    tokens are within the budget.
     """
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    # conversations join by their id, which may be null
-    conv = lambda a, b: F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
-    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "body")
-    head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(AFTER_ROLE))
-    rows = rows.select("conv_id", "role", F.row_number().over(order).alias("k"), head.alias("head"), escape(F.col("body")).alias("body"))
-    rows = rows.withColumn("turn_text", F.concat("head", "body", F.lit(CLOSE))).withColumn("tokens", F.ceil(F.char_length("turn_text") / CHARS_PER_TOKEN))
-    rows = rows.withColumn("is_system", (F.col("k") == 1) & (F.col("role") == SYSTEM))
-    by_turn = Window.partitionBy("conv_id").orderBy("k")
-    before = by_turn.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("conv_id")
-    rows = rows.withColumn("prefix", F.coalesce(F.sum(F.when(F.col("is_system"), 0).otherwise(F.col("tokens"))).over(before), F.lit(0)))
-    rows = rows.withColumn("system_tokens", F.max(F.when(F.col("is_system"), F.col("tokens")).otherwise(0)).over(whole))
-    # two half rooms: a window's turns begin in one stretch, and none is longer than that, so together they fit
-    rows = rows.withColumn("room", F.greatest(F.lit(1), F.expr(f"({budget} - {history} - system_tokens) div 2")))
-    rows = rows.withColumn("stretch", F.floor(F.col("prefix") / F.col("room"))).withColumn("long", ~F.col("is_system") & (F.col("tokens") > F.col("room")))
-    previous = lambda c: F.lag(c).over(by_turn)
-    opens = F.when(F.coalesce(previous("is_system"), F.lit(True)), F.lit(False)).otherwise((F.col("stretch") != previous("stretch")) | F.col("long") | previous("long"))
-    rows = rows.withColumn("opens", opens.cast("int")).withColumn("window", F.sum("opens").over(by_turn)).drop("opens", "stretch", "room", "system_tokens")
-
-    windows = rows.filter("NOT is_system").groupBy("conv_id", "window").agg(F.min("prefix").alias("begin")).filter("window > 0")
-    near = rows.filter("NOT is_system").select("*", F.explode(F.array(F.floor(F.col("prefix") / history), F.floor(F.col("prefix") / history) + 1)).alias("part"))
-    windows = windows.withColumn("part", F.floor(F.col("begin") / history))
-    parts = [c for c in ("conv_id", "k", "role", "head", "body", "turn_text")]
-    reach = conv("t", "w") & (F.col("t.part") == F.col("w.part")) & (F.col("t.window") < F.col("w.window")) & (F.col("w.begin") - F.col("t.prefix") <= history)
-    repeated = near.alias("t").join(windows.alias("w"), reach).select(*(f"t.{c}" for c in parts), F.col("w.window"), F.lit(0).alias("is_new"))
-    carried = rows.filter("is_system").alias("t").join(windows.alias("w"), conv("t", "w")).select(*(f"t.{c}" for c in parts), F.col("w.window"), F.lit(0).alias("is_new"))
-    everything = rows.select(*parts, "window", F.lit(1).alias("is_new")).unionByName(repeated).unionByName(carried)
-
-    inside = Window.partitionBy("conv_id", "window").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.char_length("turn_text")).over(inside), F.lit(0)) + F.char_length("head")
-    target = (F.col("is_new") == 1) & (F.col("role") == TARGET)
-    span = F.when(target, F.struct(start.alias("start"), F.char_length("body").cast("long").alias("size")))
-    placed = everything.select("conv_id", "window", "k", "is_new", "turn_text", span.alias("span"))
-    grouped = placed.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("k", "is_new", "turn_text", "span"))).alias("turns"))
+    rows = _turns(turns, conv_col, turn_col, role_col, text_col)
+    everything = _chosen(rows.select("conv", "k", "tokens", "is_system"), budget, history).join(rows.drop("is_system"), ["conv", "k"])
+    whole = F.concat("head", "body", F.lit(CLOSE))
+    inside = Window.partitionBy("conv", "window").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.char_length("head") + F.char_length("body") + len(CLOSE)).over(inside), F.lit(0)) + F.char_length("head")
+    span = F.when((F.col("is_new") == 1) & F.col("is_target"), F.struct(start.alias("start"), F.char_length("body").cast("long").alias("size")))
+    placed = everything.select("conv", "window", "k", "is_new", "tokens", whole.alias("turn_text"), span.alias("span"))
+    grouped = placed.groupBy("conv", "window").agg(F.sort_array(F.collect_list(F.struct("k", "is_new", "turn_text", "span"))).alias("turns"), F.sum("tokens").alias("tokens"))
     return grouped.select(
-        "conv_id",
+        F.col("conv.id").alias("conv_id"),
         "window",
         F.size(F.filter("turns", lambda t: t["is_new"] == 0)).alias("n_context"),
         F.array_join(F.transform("turns", lambda t: t["turn_text"]), "").alias("text"),
         F.filter(F.transform("turns", lambda t: t["span"]), lambda s: s.isNotNull()).alias("loss"),
+        "tokens",
+        (F.col("tokens") <= budget).alias("fits"),
     )
 
 
@@ -134,18 +173,19 @@ def digests_sql(extra: tuple[tuple[int, int, str, str], ...]) -> str:
             column = f"replace({column}, {quote(plain)}, {quote(other)})"
         return column
 
-    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations UNION ALL SELECT * FROM (VALUES {rows})),
+    return f"""WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations UNION ALL SELECT * FROM (VALUES {rows})),
 k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body) AS k, {len(OPEN + AFTER_ROLE + CLOSE)} + length({escaped("role")}) + length({escaped("body")}) AS chars FROM t),
 s AS (SELECT *, CAST(ceil(chars / {CHARS_PER_TOKEN}.0) AS BIGINT) AS tokens, k = 1 AND role = '{SYSTEM}' AS is_system FROM k),
-p AS (SELECT *, coalesce(sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix,
-  greatest(1, ({BUDGET - HISTORY} - max(CASE WHEN is_system THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id)) // 2) AS room FROM s),
-o AS (SELECT *, floor(prefix / room) AS stretch, NOT is_system AND tokens > room AS long FROM p),
-f AS (SELECT *, CASE WHEN coalesce(lag(is_system) OVER w, true) THEN 0 WHEN stretch <> lag(stretch) OVER w OR long OR lag(long) OVER w THEN 1 ELSE 0 END AS opens FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
-n AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY k) AS win FROM f),
-b AS (SELECT conv_id, win, min(prefix) AS begin FROM n WHERE NOT is_system AND win > 0 GROUP BY 1, 2),
-again AS (SELECT n.conv_id, sum(n.chars) AS chars FROM n JOIN b ON b.conv_id IS NOT DISTINCT FROM n.conv_id AND (n.is_system OR (n.win < b.win AND b.begin - n.prefix <= {HISTORY})) GROUP BY 1)
+p AS (SELECT *, coalesce(sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prefix,
+  {BUDGET} - coalesce(max(CASE WHEN is_system THEN tokens END) OVER (PARTITION BY conv_id), 0) AS whole FROM s),
+h AS (SELECT *, prefix - min(prefix) OVER (PARTITION BY conv_id ORDER BY prefix RANGE BETWEEN {HISTORY} PRECEDING AND CURRENT ROW) AS past, prefix // {STRETCH * BUDGET} AS stretch FROM p WHERE NOT is_system),
+r AS (SELECT *, tokens > whole - past AS bare, CASE WHEN tokens > whole - past THEN whole ELSE whole - past END AS room FROM h),
+e AS (SELECT a.conv_id, a.k, min(b.k) AS following FROM r a JOIN r b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.k > a.k AND (b.stretch > a.stretch OR b.prefix + b.tokens - a.prefix > a.room) GROUP BY 1, 2),
+b AS (SELECT conv_id, min(k) AS k FROM r GROUP BY 1 UNION ALL SELECT b.conv_id, e.following FROM b JOIN e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.k = b.k),
+w AS (SELECT r.conv_id, r.k, r.prefix, r.bare FROM b JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.k = b.k QUALIFY row_number() OVER (PARTITION BY r.conv_id ORDER BY r.k) > 1),
+again AS (SELECT p.conv_id, sum(p.chars) AS chars FROM p JOIN w ON w.conv_id IS NOT DISTINCT FROM p.conv_id AND (p.is_system OR (NOT w.bare AND p.k < w.k AND w.prefix - p.prefix <= {HISTORY})) GROUP BY 1)
 SELECT n.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY k)) AS turns_sha256,
   CAST(coalesce(sum(length(body)) FILTER (role = '{TARGET}'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(body, '' ORDER BY k) FILTER (role = '{TARGET}'), '')) AS loss_sha256,
   CAST(sum(n.chars) + coalesce(any_value(again.chars), 0) AS BIGINT) AS formatted_chars
-FROM n LEFT JOIN again ON again.conv_id IS NOT DISTINCT FROM n.conv_id GROUP BY 1"""
+FROM p n LEFT JOIN again ON again.conv_id IS NOT DISTINCT FROM n.conv_id GROUP BY 1"""

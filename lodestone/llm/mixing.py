@@ -1,29 +1,36 @@
 """Mixing sources to target weights by packed blocks.
 
-The words of a source, in the order of its documents, are packed into blocks of
-one length. Each output shard draws its source counts from a multinomial over
-what the targets still ask for, so that all shards together meet the targets to
-the block. A source's slots, counted over all shards, go through a pseudorandom
-permutation of its block numbers (a new one for each epoch), and the slots are
-joined with the blocks' documents by block number. A source has at most twice as
-many slots as blocks, so no block, and no document, is taken more than twice.
+The words of a source, in the order of its documents' hashes, are packed into
+blocks of one length. Each slot of the mix falls to one of the output shards with
+the same chance, so a shard's source counts are a multinomial over what the
+targets ask for, and all shards together meet the targets to the block. A
+source's slots go through a pseudorandom permutation of its block numbers (a new
+one for each epoch), and are joined with the blocks' documents by block number. A
+source has at most twice as many slots as blocks, so no block, and no document,
+is taken more than twice. Blocks have BLOCK_WORDS words; a source whose target is
+below BLOCKS of those has shorter ones, so that a small source meets its target
+too.
+
+Sources are a table like the others: nothing that grows with their number comes
+to the driver or is sent to every task unchecked. Prefix sums go in steps over
+groups of bounded size, so no source, id or text is a single group.
 
 Defined results: null and empty texts have size 0 and nothing of them is taken; a
-null source is a source of its own, after all others; repeated rows are documents
-of their own; a source without words has target 0; an empty table gives an empty
-table. Rows that tie on doc_id are ordered by size. Other columns are not read.
+null source is a source of its own, after all others; rows that agree on id,
+source and text are copies, each a document of its own, whatever else they say; a
+source without words has target 0; an empty table gives an empty table. Other
+columns are not read, and neither the order of the rows nor their partitions
+change what is taken.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import at_work, slices, staged, texts_of, tuned
@@ -32,65 +39,44 @@ from .common import at_work, slices, staged, texts_of, tuned
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
-BLOCK_WORDS = 128
-SHARD_SLOTS, MOST_SHARDS = 8_192, 4_096
-BUCKET_ROWS = 4_000
+BLOCK_WORDS, BLOCKS = 128, 200
+SHARD_SLOTS = 8_192
+#: Rows of a group of prefix sums, as a power of two; shards that are drawn together; slots that are made together.
+GROUP_BITS, SHARD_CHUNK, SLOT_CHUNK = 12, 65_536, 200_000
 #: Bytes of texts that are taken up together.
 SLICE_BYTES = 4 << 20
+#: Sources that are sent to every task; beyond that they are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 SEED = 20_240
 
 
-class Source(NamedTuple):
-    name: str | None
-    words: int
-    target: float
-    blocks: int
-    slots: int
-
-
-def targets(words: dict[str | None, int]) -> dict[str | None, float]:
-    """The targets in words, by source; sources by code point, null last."""
-    names = sorted(words, key=lambda s: (s is None, s or ""))
-    weight = {s: WEIGHTS[k % len(WEIGHTS)] for k, s in enumerate(names)}
-    left, open_, out = SHARE * sum(words.values()), list(names), {}
-    while open_:
-        unit = left / sum(weight[s] for s in open_)
-        full = [s for s in open_ if weight[s] * unit > MOST * words[s]]
-        if not full:
-            return out | {s: weight[s] * unit for s in open_}
-        for s in full:
-            out[s] = MOST * words[s]
-            left -= out[s]
-        open_ = [s for s in open_ if s not in out]
-    return out
-
-
-def plan_sources(words: dict[str | None, int], block_words: int) -> list[Source]:
-    goal = targets(words)
-    out = []
-    for s in sorted(words, key=lambda s: (s is None, s or "")):
-        blocks = -(-words[s] // block_words)
-        slots = min(2 * blocks, round(goal[s] * blocks / words[s])) if words[s] else 0
-        out.append(Source(s, words[s], goal[s], blocks, slots))
-    return out
-
-
-def draw_shards(slots: list[int], seed: int, shard_slots: int = SHARD_SLOTS, most_shards: int = MOST_SHARDS) -> np.ndarray:
-    """Source counts by shard (shards x sources): each shard a multinomial over what is left of each source."""
-    left = np.array(slots, np.int64)
-    total = int(left.sum())
-    shards = max(1, min(most_shards, -(-total // shard_slots)))
-    size = -(-total // shards)
-    random = np.random.default_rng(seed)
-    out = np.zeros((shards, len(slots)), np.int64)
-    for k in range(shards):
-        want = min(size, int(left.sum()))
-        while want:
-            drawn = np.minimum(random.multinomial(want, left / left.sum()), left)
-            out[k] += drawn
-            left -= drawn
-            want -= int(drawn.sum())
-    return out
+def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """df, staged, with numbers from 0 in the order: a distributed sort, and one count a partition on the driver."""
+    spark = df.sparkSession
+    rows = staged(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "mix-numbered")
+    counts = rows.groupBy(F.shiftright("_m", 33).cast("int").alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
+    before = np.cumsum([0, *(r.n for r in counts)]).tolist()
+    bases = spark.createDataFrame([(r._part, b) for r, b in zip(counts, before, strict=False)], "_part int, _base long")
+    placed = rows.withColumn("_part", F.shiftright("_m", 33).cast("int")).join(F.broadcast(bases), "_part")
+    return placed.withColumn(name, F.col("_base") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_part", "_base")
+
+
+def prefix_sums(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """df with before: for each of the keys the sum of value over the rows with a lower `at` (a number that is there once a key).
+
+    Rows of up to 2^GROUP_BITS neighbouring numbers are a group; groups of groups
+    are summed first, so that no window has more rows than a group or there are
+    groups of groups.
+    """
+    up, upper = F.shiftright(at, GROUP_BITS), F.shiftright("_up", GROUP_BITS)
+    groups = df.groupBy(*keys, up.alias("_up")).agg(F.sum(value).alias("_words")).withColumn("_top", upper)
+    tops = groups.groupBy(*keys, "_top").agg(F.sum("_words").alias("_all"))
+    earlier = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda total, by, order: F.coalesce(F.sum(total).over(earlier(by, order)), F.lit(0))
+    tops = tops.select(*keys, "_top", zero("_all", keys, "_top").alias("_t"))
+    groups = groups.withColumn("_g", zero("_words", [*keys, "_top"], "_up")).join(tops, [*keys, "_top"]).select(*keys, "_up", (F.col("_g") + F.col("_t")).alias("_base"))
+    inside = df.withColumn("_up", up).withColumn("_inside", zero(value, [*keys, "_up"], at))
+    return inside.join(groups, [*keys, "_up"]).withColumn("before", F.col("_base") + F.col("_inside")).drop("_up", "_base", "_inside")
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -114,105 +100,155 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Iterable[str] = ()) -> DataFrame:
-    """(row, doc_id, source, size, *keep), staged: row numbers the rows from here on."""
-    source = tuned(docs).select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(keep)))
-    kept = [f"_{k}" for k, _ in enumerate(keep)]
+def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs with a and b: two hashes of id, source and text, by which a document is ordered and found again."""
+    half = lambda salt: F.xxhash64(F.lit(salt), F.col(id_col).isNull(), F.col(id_col), F.col(source_col).isNull(), F.col(source_col), F.col(text_col).isNull(), F.col(text_col))
+    return tuned(docs).withColumn("_a", half(1)).withColumn("_b", half(2))
+
+
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(row, doc_id, source, size, a, b), staged: row tells the rows apart, size counts a text's words."""
+    source = keyed(docs, id_col, text_col, source_col).select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col("_a").alias("a"), F.col("_b").alias("b"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_work("mixing")
-        for batch in slices(batches, SLICE_BYTES, 2):
-            sizes = pa.array([len(t.encode().split()) for t in texts_of(batch.column(2))], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, *batch.columns[3:]], ["doc_id", "source", "size", *kept])
+        for batch in slices(batches, SLICE_BYTES):
+            sizes = pa.array([len(t.encode().split()) for t in texts_of(batch.column(0))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], sizes], ["doc_id", "source", "a", "b", "size"])
 
-    kinds = [f.dataType.simpleString() for f in source.schema]
-    schema = ", ".join([f"doc_id {kinds[0]}", f"source {kinds[1]}", "size long", *(f"{c} {k}" for c, k in zip(kept, kinds[3:], strict=True))])
-    rows = source.mapInArrow(count, schema)
+    kind = lambda c: source.schema[c].dataType.simpleString()
+    rows = source.mapInArrow(count, f"doc_id {kind('doc_id')}, source {kind('source')}, a long, b long, size long")
     return staged(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "mix-sizes")
 
 
-def source_words(rows: DataFrame) -> dict[str | None, int]:
-    """Words by source; one row for each source comes to the driver."""
-    return {r.source: int(r.words) for r in rows.groupBy("source").agg(F.sum("size").alias("words")).collect()}
+def planned_sources(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(source_no, source, words, target, block_words, blocks, slots, key), staged: one row a source.
 
+    Targets are min(MOST * words, weight * unit); the unit that makes them share
+    SHARE of all words grows from round to round, as sources reach their bound. A
+    round is one aggregate over the sources, of which one row comes to the driver.
+    """
+    sums = rows.groupBy("source").agg(F.sum("size").alias("words"))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("source_no") % len(WEIGHTS) + 1).cast("int"))
+    sources = staged(numbered(sums, "source_no", F.asc_nulls_last("source")).withColumn("weight", weight), "mix-sources")
+    total = sources.agg(F.sum("words").alias("words")).first().words or 0
+    unit, capped = 0.0, -1
+    while True:
+        full = F.col("weight") * unit > F.col("words") * MOST
+        state = sources.agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("words")).otherwise(0)).alias("taken"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open")).first()
+        if state.n == capped or not state.open:
+            break
+        unit, capped = (SHARE * total - MOST * state.taken) / state.open, state.n
+    words, target = F.col("words"), F.col("target")
+    sources = sources.withColumn("target", F.least(words * MOST, F.col("weight") * unit))
+    sources = sources.withColumn("block_words", F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.least(words, target) / BLOCKS).cast("int"))))
+    sources = sources.withColumn("blocks", F.ceil(words / F.col("block_words")))
+    slots = F.when(words > 0, F.least(F.col("blocks") * 2, F.round(target * F.col("blocks") / words).cast("long"))).otherwise(0)
+    key = F.xxhash64(F.col("source").isNull(), "source").bitwiseAND((1 << 48) - 1)
+    return staged(sources.select("source_no", "source", "words", "target", "block_words", "blocks", slots.cast("long").alias("slots"), key.alias("key")), "mix-plan")
+
+
+def with_source(rows: DataFrame, sources: DataFrame, *columns: str) -> DataFrame:
+    """rows with columns of their sources, which are sent to every task if they are few."""
+    chosen = sources.select(F.col("source").alias("_source"), *columns)
+    if sources.count() <= BROADCAST_SOURCES:
+        chosen = F.broadcast(chosen)
+    return rows.join(chosen, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+
+def drawn(slots: int, shards: int, seed: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(shards, firsts, counts): how many of a source's slots fall to each shard that gets any, and the first of those; each slot has the same chance to fall to each shard."""
+    random, left, first = np.random.default_rng(seed), slots, 0
+    for at in range(0, shards, SHARD_CHUNK):
+        n = min(SHARD_CHUNK, shards - at)
+        own = left if at + n == shards else int(random.binomial(left, n / (shards - at)))
+        left -= own
+        if own:
+            counts = random.multinomial(own, np.full(n, 1 / n))
+            some = np.flatnonzero(counts)
+            counts = counts[some]
+            yield some + at, first + np.cumsum(counts) - counts, counts
+            first += own
+
+
+def shard_counts(sources: DataFrame, seed: int) -> DataFrame:
+    """(source_no, shard, first, count, blocks, key), staged: the slots of each source by output shard."""
+    total = sources.agg(F.sum("slots").alias("n")).first().n or 0
+    shards = max(1, -(-total // SHARD_SLOTS))
+
+    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for no, slots, blocks, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for shard, first, count in drawn(slots, shards, (seed, key)):
+                    same = [np.full(len(shard), x) for x in (no, blocks, key)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (same[0], shard, first, count, *same[1:])], ["source_no", "shard", "first", "count", "blocks", "key"])
 
-def plan_frame(rows: DataFrame, plan: list[Source]) -> DataFrame:
-    data = [(k, s.name, s.words, float(s.target)) for k, s in enumerate(plan)]
-    return rows.sparkSession.createDataFrame(data, "source_no int, source string, source_size long, target double")
-
+    drawn_ = sources.filter("slots > 0").select("source_no", "slots", "blocks", "key").mapInArrow(draw, "source_no long, shard long, first long, count long, blocks long, key long")
+    return staged(drawn_.repartition(F.xxhash64("source_no", "shard")), "mix-shards")
 
-def block_pieces(rows: DataFrame, plan: list[Source], block_words: int) -> DataFrame:
-    """(source_no, block, row, first, last): the words [first, last) of a document that a block holds.
 
-    Places in a source's stream are summed in two levels, by hash buckets of
-    bounded size and then inside them, so that a large source is no single group.
-    """
-    buckets = max(1, -(-rows.count() // BUCKET_ROWS))
-    numbered = rows.filter("size > 0").select("row", "doc_id", "source", "size", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"))
-    sources = plan_frame(rows, plan).select("source_no", F.col("source").alias("_source"))
-    numbered = numbered.join(F.broadcast(sources), numbered["source"].eqNullSafe(sources["_source"])).drop("_source", "source")
-    totals = numbered.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("source_no", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = numbered.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["source_no", "bucket"])
-    start = F.col("base") + F.col("before")
-    n = F.lit(block_words)
-    spread = placed.select("source_no", "row", "size", start.alias("start"), F.explode(F.sequence(F.floor(start / n), F.floor((start + F.col("size") - 1) / n))).alias("block"))
-    return spread.select(
-        "source_no",
-        "block",
-        "row",
-        F.greatest(F.lit(0), F.col("block") * n - F.col("start")).alias("first"),
-        F.least(F.col("size"), (F.col("block") + 1) * n - F.col("start")).alias("last"),
-    )
-
-
-def slot_blocks(rows: DataFrame, plan: list[Source], seed: int) -> DataFrame:
-    """(shard, slot, source_no, epoch, block): the block that each output slot takes.
-
-    What goes to the tasks is a table of shards x sources, at most MOST_SHARDS
-    rows a source.
-    """
-    counts = draw_shards([s.slots for s in plan], seed)
-    firsts = np.cumsum(counts, axis=0) - counts
-    flat = counts.ravel()
-    ends = np.cumsum(flat)
-    starts = ends - flat
-    per_source = np.array([s.blocks for s in plan], np.int64)
-    keys = np.array([zlib.crc32(f"{seed}/{s.name is None}/{s.name}".encode()) for s in plan], np.int64)
-    base, width = firsts.ravel(), len(plan)
+def slot_blocks(counts: DataFrame) -> DataFrame:
+    """(shard, place, source_no, epoch, block): the block that each slot takes; place numbers a source's slots."""
 
     def slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            segment = np.searchsorted(ends, at, side="right")
-            source = segment % width
-            place = base[segment] + at - starts[segment]
-            size = per_source[source]
-            epoch = place // size
-            block = permuted(place % size, size, keys[source] * 8 + epoch)
-            columns = [segment // width, at, source, epoch, block]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["shard", "slot", "source_no", "epoch", "block"])
-
-    total = int(flat.sum())
-    return rows.sparkSession.range(total).mapInArrow(slots, "shard int, slot long, source_no int, epoch int, block long")
-
-
-def mix(rows: DataFrame, plan: list[Source], seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(shard, slot, source_no, epoch, block, row, first, last): what the mix holds, in word ranges of documents."""
-    if not any(s.slots for s in plan):
-        return rows.sparkSession.createDataFrame([], "shard int, slot long, source_no int, epoch int, block long, row long, first long, last long")
-    return slot_blocks(rows, plan, seed).join(block_pieces(rows, plan, block_words), ["source_no", "block"])
+            no, shard, first, count, blocks, key = (c.to_numpy() for c in batch.columns)
+            ends = np.cumsum(count)
+            for at in range(0, int(ends[-1]) if len(ends) else 0, SLOT_CHUNK):
+                slot = np.arange(at, min(at + SLOT_CHUNK, ends[-1]))
+                row = np.searchsorted(ends, slot, "right")
+                place = first[row] + slot - (ends - count)[row]
+                epoch, size = place // blocks[row], blocks[row]
+                columns = [shard[row], place, no[row], epoch, permuted(place % size, size, key[row] * 8 + epoch)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "place", "source_no", "epoch", "block"])
+
+    return counts.mapInArrow(slots, "shard long, place long, source_no long, epoch long, block long")
+
+
+def _copies(tagged: DataFrame, several: DataFrame) -> DataFrame:
+    """(row, copy): numbers the rows of each document that is there several times; rows of neighbouring places are counted first."""
+    own = ["source_no", "a", "b"]
+    rows = tagged.join(several, own, "left_semi").select(*own, "row", F.shiftright("row", GROUP_BITS).alias("chunk"))
+    chunks = prefix_sums(rows.groupBy(*own, "chunk").agg(F.count("*").alias("n")), own, "chunk", "n")
+    inside = F.row_number().over(Window.partitionBy(*own, "chunk").orderBy("row")) - 1
+    return rows.withColumn("_k", inside).join(chunks.select(*own, "chunk", "before"), [*own, "chunk"]).select("row", (F.col("before") + F.col("_k")).alias("copy"))
+
+
+def block_pieces(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source_no, block, row, a, b, copy, copies, first, last): the words [first, last) of a document that a block holds."""
+    tagged = with_source(rows.filter("size > 0").select("row", "source", "size", "a", "b"), sources, "source_no", "block_words").drop("source")
+    own = ["source_no", "a", "b"]
+    kinds = staged(tagged.groupBy(*own).agg(F.count("*").alias("copies"), F.first("size").alias("each")), "mix-kinds")
+    # neighbours by hash are a bucket; inside one, documents are numbered by both hashes
+    bits = max(0, (-(-kinds.count() // (1 << GROUP_BITS)) - 1).bit_length())
+    bucket = F.shiftright("a", 64 - bits) + (1 << (bits - 1)) if bits else F.lit(0).cast("long")
+    placed = kinds.withColumn("bucket", bucket).withColumn("all", F.col("copies") * F.col("each"))
+    bases = prefix_sums(placed.groupBy("source_no", "bucket").agg(F.sum("all").alias("n")), ["source_no"], "bucket", "n").select("source_no", "bucket", "before")
+    inside = F.sum("all").over(Window.partitionBy("source_no", "bucket").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = placed.withColumn("_i", F.coalesce(inside, F.lit(0))).join(bases, ["source_no", "bucket"]).select(*own, "copies", (F.col("before") + F.col("_i")).alias("start"))
+    several = kinds.filter("copies > 1").select(*own)
+    at = tagged.join(starts, own)
+    if several.limit(1).count():
+        at = at.join(_copies(tagged, several), "row", "left").withColumn("copy", F.coalesce("copy", F.lit(0)))
+    else:
+        at = at.withColumn("copy", F.lit(0).cast("long"))
+    n, start, size = F.col("block_words"), F.col("start") + F.col("copy") * F.col("size"), F.col("size")
+    spread = at.select("source_no", "row", "a", "b", "copy", "copies", "size", n, start.alias("begin"), F.explode(F.sequence(F.floor(start / n), F.floor((start + size - 1) / n))).alias("block"))
+    first, last = F.greatest(F.lit(0), F.col("block") * n - F.col("begin")), F.least(size, (F.col("block") + 1) * n - F.col("begin"))
+    return spread.select("source_no", "block", "row", "a", "b", "copy", "copies", first.alias("first"), last.alias("last"))
+
+
+def mix(rows: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
+    """(shard, place, source_no, epoch, block, row, a, b, copy, copies, first, last): what the mix holds, in word ranges of documents."""
+    return slot_blocks(shard_counts(sources, seed)).join(block_pieces(rows, sources), ["source_no", "block"])
 
 
 def mixed_counts(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document."""
     rows = sized(docs)
-    plan = plan_sources(source_words(rows), block_words)
-    taken = mix(rows, plan, seed, block_words).groupBy("row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
-    sources = plan_frame(rows, plan).withColumnRenamed("source", "_source")
-    joined = rows.join(taken, "row", "left").join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_source")), "left")
+    sources = planned_sources(rows, block_words)
+    taken = mix(rows, sources, seed).groupBy("row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
+    joined = with_source(rows.join(taken, "row", "left"), sources, F.col("words").alias("source_size"), "target")
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -220,20 +256,29 @@ def mixed_texts(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORD
     """docs' columns (doc_id, text, lang, source, n_chars): the passages that the mix takes, as rows.
 
     A passage is a run of words of one document and epoch, in its own spelling
-    and spacing; a document that is taken whole once has one row, its text.
+    and spacing; a document that is taken whole once has one row, its text. Texts
+    are read again and found by their hashes, not stored in between; of copies one
+    text a task is moved.
     """
-    keep = [c for c in docs.columns if c not in ("doc_id", "source")]
-    rows = sized(docs, keep=keep)
-    plan = plan_sources(source_words(rows), block_words)
-    runs = mix(rows, plan, seed, block_words).groupBy("row", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
-    out = rows.join(runs.drop("epoch"), "row").select("doc_id", "source", "size", *(F.col(f"_{k}").alias(c) for k, c in enumerate(keep)), F.transform("runs", lambda r: r["first"]).alias("_first"), F.transform("runs", lambda r: r["last"]).alias("_last"))
-    order = docs.columns
-    text_at = out.columns.index("text")
+    rows = sized(docs)
+    sources = planned_sources(rows, block_words)
+    own = ["_a", "_b"]
+    ranges = F.sort_array(F.collect_list(F.struct("first", "last")))
+    runs = mix(rows, sources, seed).groupBy(F.col("a").alias("_a"), F.col("b").alias("_b"), "copy", "epoch").agg(F.max("copies").alias("copies"), ranges.alias("runs"))
+    runs = staged(runs.join(rows.groupBy(F.col("a").alias("_a"), F.col("b").alias("_b")).agg(F.first("size").alias("size")), own).select(*own, "copies", "size", F.transform("runs", lambda r: r["first"]).alias("_first"), F.transform("runs", lambda r: r["last"]).alias("_last")), "mix-runs")
+    texts = keyed(docs, "doc_id", "text", "source")
+    several = runs.filter("copies > 1")
+    once = texts.join(runs.filter("copies = 1"), own)
+    moved = texts.join(several.select(*own).distinct(), own, "left_semi").groupBy(*own).agg(*(F.first(c).alias(c) for c in docs.columns)).join(several, own)
+    columns = [*docs.columns, "size", "_first", "_last"]
+    out = once.select(*columns).unionByName(moved.select(*columns))
+    order, text_at = docs.columns, columns.index("text")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("mixing")
         for batch in slices(batches, SLICE_BYTES, text_at):
             owners, texts = [], []
-            sizes, firsts, lasts = (batch.column(i).to_pylist() for i in (2, -2, -1))
+            sizes, firsts, lasts = (batch.column(i).to_pylist() for i in (-3, -2, -1))
             for k, (text, size, first, last) in enumerate(zip(batch.column(text_at).to_pylist(), sizes, firsts, lasts, strict=True)):
                 for passage in passages(text, size, list(zip(first, last, strict=True))):
                     owners.append(k)

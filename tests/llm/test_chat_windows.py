@@ -26,34 +26,31 @@ def brute(rows, budget, history):
         text = [f"<turn:{esc(r)}>{esc(x)}</turn>" for r, x in turns]
         tokens = [-(-len(t) // 4) for t in text]
         system = turns[0][0] == "system"
-        room = max(1, (budget - history - (tokens[0] if system else 0)) // 2) if budget - history - (tokens[0] if system else 0) > 0 else 1
-        prefix, windows, last = 0, [], None
-        for k in range(len(turns)):
-            if k == 0 and system:
-                windows.append([k])
-                continue
-            now = (prefix // room, tokens[k] > room)
-            if not windows or last is not None and (now[0] != last[0] or now[1] or last[1]):
-                windows.append([])
-            windows[-1].append(k)
-            last = now
-            prefix += tokens[k]
-        for n, new in enumerate(windows):
-            context = []
-            if n:
-                used = 0
-                for j in range(new[0] - 1, int(system) - 1, -1):
-                    used += tokens[j]
-                    if used > history:
-                        break
-                    context.insert(0, j)
-                context = [0] * system + context
+        whole = budget - (tokens[0] if system else 0)
+        windows, k, passed = [], int(system), 0
+        while k < len(turns):
+            context, used = [], 0
+            for j in range(k - 1, int(system) - 1, -1):
+                if used + tokens[j] > history:
+                    break
+                used += tokens[j]
+                context.insert(0, j)
+            if used + tokens[k] > whole:
+                context, used = [], 0
+            new, stretch = [k], passed // (cw.STRETCH * budget)
+            used, passed, k = used + tokens[k], passed + tokens[k], k + 1
+            while k < len(turns) and used + tokens[k] <= whole and passed // (cw.STRETCH * budget) == stretch:
+                new.append(k)
+                used, passed, k = used + tokens[k], passed + tokens[k], k + 1
+            windows.append(([0] * system + context if windows else [], ([0] * system if not windows else []) + new))
+        for n, (context, new) in enumerate(windows or [([], [0])]):
             spans, at = [], sum(len(text[j]) for j in context)
             for j in new:
                 if turns[j][0] == "assistant":
                     spans.append((at + len(f"<turn:{esc(turns[j][0])}>"), len(esc(turns[j][1]))))
                 at += len(text[j])
-            out[c, n] = (len(context), "".join(text[j] for j in context + new), spans)
+            size = sum(tokens[j] for j in context + new)
+            out[c, n] = (len(context), "".join(text[j] for j in context + new), spans, size, size <= budget)
     return out
 
 
@@ -75,18 +72,29 @@ def hard_rows():
     return [*rows, (None, 0, "user", "no id"), (None, 1, "assistant", "none")]
 
 
-def test_windows(spark):
+def test_windows(spark, monkeypatch):
     rows = hard_rows()
     turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, window int").repartition(3)
-    for budget, history in ((1024, 256), (100, 30), (60, 8)):
+    for budget, history, stretch in ((1024, 256, 64), (100, 30, 2), (60, 8, 64), (200, 0, 3)):
+        monkeypatch.setattr(cw, "STRETCH", stretch)
         want = brute(rows, budget, history)
         made = cw.format_windows(turns, budget=budget, history=history)
-        got = {(r.conv_id, r.window): (r.n_context, r.text, [(s.start, s.size) for s in r.loss]) for r in made.collect()}
+        got = {(r.conv_id, r.window): (r.n_context, r.text, [(s.start, s.size) for s in r.loss], r.tokens, r.fits) for r in made.collect()}
         assert got == want
         assert {tuple(r) for r in cw.conversation_digests(made).collect()} == digests(rows, want)
-        for (c, _), (_, text, _) in got.items():
-            if all(len(t[1]) * 6 < budget for t in by_conversation(rows)[c]):
-                assert len(text) / 4 <= budget + 4
+        for (c, n), (context, text, _, tokens, fits) in got.items():
+            whole = by_conversation(rows)[c]
+            if not fits:  # one turn of its own that can't fit, besides the system turn
+                assert len(text.split("</turn>")) - 1 - (whole[0][0] == "system") <= 1
+            assert fits == (tokens <= budget) and len(text) <= 4 * tokens
+
+
+def test_windows_fill_the_budget(spark):
+    rows = [(1, k, ("user", "assistant")[k % 2], f"turn {k} " * (5 + k * 7 % 30)) for k in range(400)] + [(2, 0, "system", "be kind " * 20)] + [(2, k, ("assistant", "user")[k % 2], "words " * (k % 50)) for k in range(1, 300)]
+    got = cw.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for c in (1, 2):
+        sizes = [r.tokens for r in sorted(got, key=lambda r: r.window) if r.conv_id == c]
+        assert len(sizes) > 8 and max(sizes) <= cw.BUDGET and sum(sizes[:-1]) / len(sizes[:-1]) > 0.9 * cw.BUDGET
 
 
 def test_documents(spark):

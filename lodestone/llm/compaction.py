@@ -4,10 +4,13 @@ Arrivals are appended as runs of small Parquet files that are never changed. Run
 of one size tier (a tier holds sizes from one power of FAN_IN times the base to the next)
 are merged, FAN_IN or more at a time, into a run with files of the target size.
 What a reader sees is a manifest: a JSON file with a version, written whole under
-another name and then renamed to the next version's name, which only one writer
-can bring about. A run that no manifest names is invisible, so a lost task, a
-failed job or a lost race leaves no trace in what is read; vacuum() deletes what
-the kept versions don't name.
+another name and then given the next version's name, which only one writer can
+bring about: by a rename that does not overwrite, which HDFS and its like do in
+one step, or by a hard link on a local file system, whose rename would overwrite.
+(A store in which neither is one step needs a lock of its own.) A run that no
+manifest names is invisible, so a lost task, a failed job or a lost race leaves
+no trace in what is read; vacuum() deletes what the kept versions don't name,
+whether an older version named it or none ever did.
 
 All file work goes through Hadoop's file system of the store's path, on the
 driver, by names and sizes alone; data is read and written by Spark's tasks.
@@ -21,9 +24,12 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Iterator
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,6 +38,8 @@ TARGET_BYTES = 128 << 20
 BASE_BYTES = 1 << 20
 FAN_IN = 4
 KEEP_VERSIONS = 1
+#: How long what no manifest names may still be on its way into one.
+GRACE_MS = 24 * 3_600_000
 
 
 class Conflict(RuntimeError):
@@ -45,6 +53,7 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
         self.target_bytes, self.base_bytes, self.fan_in = target_bytes, base_bytes, fan_in
         self._jvm: Any = spark.sparkContext._jvm
+        self._none = spark.sparkContext._gateway.new_array(self._jvm.String, 0)
         self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _at(self, path: str):
@@ -84,12 +93,31 @@ class Store:
             stream.write(json.dumps(new).encode())
         finally:
             stream.close()
-        final = self._at(self._name(new["version"]))
-        if self._fs.exists(final) or not self._fs.rename(self._at(draft), final):
-            self._fs.delete(self._at(draft), False)
+        if not self._publish(self._at(draft), self._at(self._name(new["version"]))):
             raise Conflict(f"version {new['version']} of {self.path}")
         return new
 
+    def _publish(self, draft, final) -> bool:
+        """Gives the draft its final name unless that name is taken; whether it did."""
+        jvm = self._jvm
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                places = [jvm.java.nio.file.Paths.get(p.toUri().getPath(), self._none) for p in (final, draft)]
+                jvm.java.nio.file.Files.createLink(*places)
+            else:
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+                kind = jvm.org.apache.hadoop.fs.Options.Rename
+                options = self.spark.sparkContext._gateway.new_array(kind, 1)
+                options[0] = kind.NONE
+                context.rename(draft, final, options)
+            return True
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.toString():
+                raise
+            return False
+        finally:
+            self._fs.delete(draft, False)
+
     # runs
 
     def tier(self, size: int) -> int:
@@ -110,7 +138,16 @@ class Store:
         """Commits one arrival as a run."""
         folder = self._folder()
         rows.write.option("compression", "zstd").parquet(folder)
-        return self.commit(self.manifest(), [self._run(folder)], schema=rows.schema.json())
+        return self._add(folder, rows)
+
+    def _add(self, folder: str, rows: DataFrame) -> dict:
+        """Commits a folder of files as a run, after whatever other writers commit meanwhile."""
+        run, schema = self._run(folder), rows.schema.json()
+        while True:
+            try:
+                return self.commit(self.manifest(), [run], schema=schema)
+            except Conflict:
+                continue
 
     def append_arrivals(self, rows: DataFrame, arrival: Column) -> int:
         """Commits the arrivals of rows, told apart by the column, in its order: each is a run and a version of its own.
@@ -124,7 +161,7 @@ class Store:
         rows.withColumn(name, arrival).write.partitionBy(name).option("compression", "zstd").parquet(folder)
         found = sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(folder)) if s.isDirectory() and s.getPath().getName().startswith(name))
         for part in sorted(found, key=lambda p: (len(p), p)):
-            self.commit(self.manifest(), [self._run(f"{folder}/{part}")], schema=rows.schema.json())
+            self._add(f"{folder}/{part}", rows)
         return len(found)
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -181,8 +218,13 @@ class Store:
             merges += 1
         return merges
 
-    def vacuum(self, keep: int = KEEP_VERSIONS) -> int:
-        """Deletes the files and manifests that the last `keep` versions don't need; the number of files deleted. No reader may still use them."""
+    def vacuum(self, keep: int = KEEP_VERSIONS, grace_ms: int = GRACE_MS) -> int:
+        """Deletes what the last `keep` versions don't need; the number of files deleted. No reader may still use them.
+
+        That is what older versions name, and their manifests, at once; and, where it
+        is older than grace_ms, what no version names: runs of failed jobs and lost
+        races, and drafts.
+        """
         kept = self.versions()[-keep:]
         named = {f["path"] for v in kept for r in self.manifest(v)["runs"] for f in r["files"]}
         gone = 0
@@ -193,8 +235,30 @@ class Store:
                         named.add(f["path"])
                         gone += bool(self._fs.delete(self._at(f["path"]), False))
             self._fs.delete(self._at(self._name(v)), False)
+        before = int(time.time() * 1000) - grace_ms
+        for s in self._listed(f"{self.path}/manifest"):
+            if s.getPath().getName().startswith("draft-") and s.getModificationTime() <= before:
+                self._fs.delete(s.getPath(), False)
+        # read anew: what was committed since the manifests above is named now
+        named |= {f["path"] for v in self.versions() for r in self.manifest(v)["runs"] for f in r["files"]}
+        needed = {p[: k] for p in named for k in range(len(p)) if p[k] == "/"}
+        for run in self._listed(f"{self.path}/data"):
+            path = f"{self.path}/data/{run.getPath().getName()}"
+            parts = [(path, run)] if path not in needed else [(f"{path}/{s.getPath().getName()}", s) for s in self._listed(path) if s.isDirectory()]
+            for place, status in parts:
+                if place not in needed and status.getModificationTime() <= before:
+                    gone += sum(s.getPath().getName().endswith(".parquet") for s in self._below(place))
+                    self._fs.delete(self._at(place), True)
         return gone
 
+    def _listed(self, folder: str) -> list:
+        return list(self._fs.listStatus(self._at(folder))) if self._fs.exists(self._at(folder)) else []
+
+    def _below(self, folder: str) -> Iterator:
+        files = self._fs.listFiles(self._at(folder), True)
+        while files.hasNext():
+            yield files.next()
+
 
 def compacted(docs: DataFrame, path: str, arrivals: int, arrival: Column, **sizes: int) -> Store:
     """A store to which docs came in so many arrivals, compacted until nothing is due, and vacuumed."""

@@ -1,4 +1,5 @@
 import glob
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -91,3 +92,42 @@ def test_query_and_sql(spark):
     got = queries.op3_compaction(spark, sf)
     assert got.columns == want.columns
     assert content(got) == sorted(map(str, want.fetchall())) and got.count() == table(spark, sf, "documents").count()
+
+
+def test_vacuum_deletes_what_no_manifest_names(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", fan_in=2)
+    docs = rows(spark, 0, 40)
+    store.append_arrivals(docs, F.col("doc_id") % 4)
+    store.append(rows(spark, 40, 50))
+    for lost in ("lost", "half/_arrival=0"):
+        rows(spark, 100, 120).coalesce(1).write.parquet(f"{store.path}/data/{lost}")
+    (tmp_path / "s/manifest/draft-old").write_text("{")
+    assert store.vacuum(keep=99) == 0 and (tmp_path / "s/data/lost").exists()
+    assert store.vacuum(keep=99, grace_ms=0) == 2
+    assert not (tmp_path / "s/data/lost").exists() and not (tmp_path / "s/data/half").exists() and not glob.glob(f"{tmp_path}/s/manifest/draft*")
+    want = content(rows(spark, 0, 50))
+    assert content(store.read()) == want
+    store.compact()
+    store.vacuum(grace_ms=0)
+    named = {f["path"].removeprefix("file://") for r in store.manifest()["runs"] for f in r["files"]}
+    assert set(glob.glob(f"{tmp_path}/s/data/**/*.parquet", recursive=True)) == named and content(store.read()) == want
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    stores = [Store(spark, f"file://{tmp_path}/s", fan_in=3) for _ in range(4)]
+
+    def write(k):
+        for j in range(3):
+            stores[k].append(rows(spark, (3 * k + j) * 5, (3 * k + j) * 5 + 5).coalesce(1))
+        stores[k].compact()
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(4)))
+    assert content(stores[0].read()) == content(rows(spark, 0, 60))
+    versions = stores[0].versions()
+    assert versions == list(range(1, versions[-1] + 1)) and versions[-1] >= 12
+    # a name that is taken is never overwritten
+    taken = (tmp_path / f"s/manifest/v{versions[-1]:012d}.json").read_text()
+    with pytest.raises(Conflict):
+        stores[0].commit({**stores[0].manifest(), "version": versions[-1] - 1}, [])
+    assert (tmp_path / f"s/manifest/v{versions[-1]:012d}.json").read_text() == taken

@@ -11,7 +11,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: glibc's malloc_trim, where there is one.
@@ -75,6 +76,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """df, staged, with numbers from 0 in the order: a distributed sort, and one count a partition on the driver."""
+    rows = staged(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_m", 33).cast("int")
+    counts = {r.p: r.n for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    before = [0]
+    for p in range(max(counts, default=0)):
+        before.append(before[-1] + counts.get(p, 0))
+    base = F.element_at(F.lit(before).cast("array<bigint>"), part + 1)
+    return rows.withColumn(name, base + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m")
+
+
 #: The operator whose tasks this Python worker ran last, and how its caches are emptied.
 _AT_WORK: list = [None, None]
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import at_work, slices, staged, texts_of, tuned
+from .common import at_work, numbered, slices, staged, texts_of, tuned
 
 #: Words: what is not a space or one of the controls from tab to carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,6 +43,8 @@ BLOCK_WORDS, BLOCKS = 128, 200
 SHARD_SLOTS = 8_192
 #: Rows of a group of prefix sums, as a power of two; shards that are drawn together; slots that are made together.
 GROUP_BITS, SHARD_CHUNK, SLOT_CHUNK = 12, 65_536, 200_000
+#: Documents of a source that are numbered together.
+BUCKET_ROWS = 512
 #: Bytes of texts that are taken up together.
 SLICE_BYTES = 4 << 20
 #: Sources that are sent to every task; beyond that they are joined by a shuffle.
@@ -50,17 +52,6 @@ BROADCAST_SOURCES = 100_000
 SEED = 20_240
 
 
-def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
-    """df, staged, with numbers from 0 in the order: a distributed sort, and one count a partition on the driver."""
-    spark = df.sparkSession
-    rows = staged(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "mix-numbered")
-    counts = rows.groupBy(F.shiftright("_m", 33).cast("int").alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
-    before = np.cumsum([0, *(r.n for r in counts)]).tolist()
-    bases = spark.createDataFrame([(r._part, b) for r, b in zip(counts, before, strict=False)], "_part int, _base long")
-    placed = rows.withColumn("_part", F.shiftright("_m", 33).cast("int")).join(F.broadcast(bases), "_part")
-    return placed.withColumn(name, F.col("_base") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_part", "_base")
-
-
 def prefix_sums(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """df with before: for each of the keys the sum of value over the rows with a lower `at` (a number that is there once a key).
 
@@ -220,7 +211,7 @@ def block_pieces(rows: DataFrame, sources: DataFrame) -> DataFrame:
     own = ["source_no", "a", "b"]
     kinds = staged(tagged.groupBy(*own).agg(F.count("*").alias("copies"), F.first("size").alias("each")), "mix-kinds")
     # neighbours by hash are a bucket; inside one, documents are numbered by both hashes
-    bits = max(0, (-(-kinds.count() // (1 << GROUP_BITS)) - 1).bit_length())
+    bits = max(0, (-(-kinds.count() // BUCKET_ROWS) - 1).bit_length())
     bucket = F.shiftright("a", 64 - bits) + (1 << (bits - 1)) if bits else F.lit(0).cast("long")
     placed = kinds.withColumn("bucket", bucket).withColumn("all", F.col("copies") * F.col("each"))
     bases = prefix_sums(placed.groupBy("source_no", "bucket").agg(F.sum("all").alias("n")), ["source_no"], "bucket", "n").select("source_no", "bucket", "before")
@@ -240,7 +231,8 @@ def block_pieces(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 def mix(rows: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
     """(shard, place, source_no, epoch, block, row, a, b, copy, copies, first, last): what the mix holds, in word ranges of documents."""
-    return slot_blocks(shard_counts(sources, seed)).join(block_pieces(rows, sources), ["source_no", "block"])
+    # the slots are many, although they are made from few rows, so the planner must not take them for a small side
+    return slot_blocks(shard_counts(sources, seed)).hint("merge").join(block_pieces(rows, sources), ["source_no", "block"])
 
 
 def mixed_counts(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:

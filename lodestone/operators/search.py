@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.sources.storage import kept
 
 K1, B = 1.2, 0.75
 SHORT_TERM = 4
@@ -71,6 +72,40 @@ def inverted_index(rows: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return rows.select(F.explode(F.array_distinct(tokens)).alias("token"), F.col(id_col).alias("id"))
 
 
+#: Folders of postings; a token's folder is told by its first two letters, so one folder has all tokens with a longer beginning.
+BUCKETS = 256
+
+
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring(token, 1, 2)), F.lit(BUCKETS)).cast("int")
+
+
+class Postings:
+    """An inverted index as a Parquet folder: a folder for each bucket of tokens, sorted by token, so that a query opens what it needs alone."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @staticmethod
+    def write(rows: DataFrame, path: str, id_col: str, tokens: Column) -> Postings:
+        """Tokens are dealt out by ranges of (bucket, token, id), so a token that most rows have is split."""
+        pairs = inverted_index(rows, id_col, tokens).withColumn("bucket", _bucket(F.col("token")))
+        pairs.repartitionByRange("bucket", "token", "id").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        return Postings(rows.sparkSession, path)
+
+    def candidates(self, terms: list[str]) -> DataFrame:
+        """(id) of the rows that has_candidate is true of."""
+        hit = F.col("token").isin(*terms)
+        for term in terms:
+            if len(term) <= SHORT_TERM:
+                hit = hit | F.col("token").startswith(term)
+        stored = self.spark.read.parquet(self.path)
+        if all(len(t) >= 2 for t in terms):  # else a beginning of one letter can be in any folder
+            folders = self.spark.range(1).select(*(_bucket(F.lit(t)) for t in terms)).first()
+            stored = stored.filter(F.col("bucket").isin(*{int(b) for b in folders}))
+        return stored.filter(hit).select("id").distinct()
+
+
 def _any_begins(tokens: Column, term: str) -> Column:
     return F.exists(tokens, lambda t: t.startswith(term))
 
@@ -88,13 +123,26 @@ def has_candidate(tokens: Column, terms: list[str]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def keyword_search(rows: DataFrame, query: str, limit: int | None = 20, columns: tuple[str, ...] = ("name", "qualified_name", "signature", "doc"), exported: str | None = "exported") -> DataFrame:
-    """rows with rank (the negated score), best first; the first of the columns is the name."""
+def may_have(texts: list[Column], terms: list[str]) -> Column:
+    """True wherever a token of the texts is a term or begins with one, and where that can't be told without tokens; much cheaper than those."""
+    out = F.lit(False)
+    for term in terms:
+        for text in texts:
+            # lower-casing depends on what stands around a letter for other letters than these
+            out = out | (F.lower(text).contains(term) if term.isascii() else F.lit(True))
+    return F.coalesce(out, F.lit(False))
+
+
+def keyword_search(rows: DataFrame, query: str, limit: int | None = 20, columns: tuple[str, ...] = ("name", "qualified_name", "signature", "doc"), exported: str | None = "exported", postings: Postings | None = None) -> DataFrame:
+    """rows with rank (the negated score), best first; the first of the columns is the name. postings: an index of the columns' tokens, so that only candidates are read whole."""
     raw = [t.lower() for t in re.sub(r"[^\w\s]", " ", query, flags=re.ASCII).split()]
     if not raw:
         return rows.limit(0).withColumn("rank", F.lit(0.0))
     terms = list(dict.fromkeys(raw + camel_tokens(query)))
-    found = rows.filter(has_candidate(document_tokens(*columns), terms))
+    if postings is not None:
+        found = rows.join(postings.candidates(terms), "id", "left_semi")
+    else:
+        found = rows.filter(may_have([F.coalesce(F.col(c), F.lit("")) for c in columns], terms) & has_candidate(document_tokens(*columns), terms))
     lower = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns]
     score = F.lit(0)
     for term in raw:
@@ -161,17 +209,18 @@ def bm25(rows: DataFrame, query: str, tokens: Column, id_col: str = "id", candid
 
     candidates: which rows are scored (else those with a candidate token); what is
     counted by term and the mean length are of those, the number of documents is of
-    all rows. One pass gives the counts, another the scores; no row leaves its
-    place but the counts.
+    all rows (total, if at hand). Texts are read and cut once: what a row counts is
+    written, some bytes a row, and the counts and the scores are taken from that.
     """
     terms = camel_tokens(query, T.QUERY_PUNCTUATION)
     if not terms:
         return rows.select(F.col(id_col).alias("id")).limit(0).withColumn("score", F.lit(0.0))
-    chosen = rows.withColumn("_t", tokens)
-    chosen = chosen.filter(candidates if candidates is not None else has_candidate(F.col("_t"), list(dict.fromkeys(terms))))
-    parts = chosen.select(F.col(id_col).alias("id"), F.size("_t").alias("size"), *(_occurrences(F.col("_t"), t).alias(f"tf{k}") for k, t in enumerate(terms)))
+    cut = rows.withColumn("_t", tokens)
+    hit = candidates if candidates is not None else has_candidate(F.col("_t"), list(dict.fromkeys(terms)))
+    every = kept(cut.select(F.col(id_col).alias("id"), F.size("_t").alias("size"), hit.alias("hit"), *(_occurrences(F.col("_t"), t).alias(f"tf{k}") for k, t in enumerate(terms))))
+    parts = every.filter("hit")
     counts = parts.agg(F.avg("size").alias("mean"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))))
-    n = F.lit(rows.count() if total is None else total)
+    n = F.lit(every.count() if total is None else total)
     scored = parts.crossJoin(F.broadcast(counts))  # one row of counts
     score = F.lit(0.0)
     for k in range(len(terms)):
@@ -202,7 +251,8 @@ def intent_search(nodes: DataFrame, edges: DataFrame, query: str, kind: str | No
     if not terms:
         return nodes.select("id").limit(0).withColumn("score", F.lit(0.0))
     total = nodes.count()
-    found = nodes.filter(has_candidate(document_tokens("name", "qualified_name", "signature"), terms)).select("id")
+    own = [c for c in ("name", "qualified_name", "signature", "doc") if c in nodes.columns]
+    found = nodes.filter(has_candidate(document_tokens(*own), terms)).select("id")
     wide = found
     for near in first_neighbours(edges, 3):
         wide = wide.union(found.join(near, "id").select(F.explode("others").alias("id")))
@@ -214,5 +264,5 @@ def intent_search(nodes: DataFrame, edges: DataFrame, query: str, kind: str | No
         words = near.select("id", F.posexplode("others").alias("k", "o")).join(names, "o")
         words = words.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "other_name"))), lambda x: x["other_name"]), " ").alias(label))
         chosen = chosen.join(words, "id", "left")
-    tokens = document_tokens("name", "qualified_name", "signature", "callers", "callees", punctuation=T.QUERY_PUNCTUATION)
+    tokens = document_tokens(*own, "callers", "callees", punctuation=T.QUERY_PUNCTUATION)
     return bm25(chosen, query, tokens, candidates=F.lit(True), total=total)

@@ -56,6 +56,12 @@ def graph(spark: SparkSession, sf_dir: str, dense: bool = False) -> storage.Grap
     return sample_graph.load(spark, sf_dir, dense)
 
 
+def stored(spark: SparkSession, sf_dir: str, dense: bool = False) -> storage.Graph:
+    """The graph, written once: what reads it again and again must not derive it each time."""
+    g = graph(spark, sf_dir, dense)
+    return storage.Graph(g.files, storage.kept(g.nodes), storage.kept(g.edges))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -246,7 +252,7 @@ def cycles3(spark, d):
 
 @query()
 def cycles_dfs(spark, d):
-    g = graph(spark, d)
+    g = stored(spark, d)
     return classify.search_cycles(g.edges.filter("kind = 'calls'"), g.nodes)
 
 
@@ -259,19 +265,19 @@ def reach_sql(start: str, step: str, depth: int) -> str:
 
 @query(BASE + DEGREES + reach_sql(MOST_OUT, "c.target_id, w.depth + 1", 3) % "calls c ON c.source_id = w.node")
 def bfs_forward(spark, d):
-    g = graph(spark, d)
+    g = stored(spark, d)
     return traversal.traverse(g.edges, seed(g, "fan_out"), 3, 2_000).nodes.select("node", "depth")
 
 
 @query(BASE + DEGREES + reach_sql(MOST_IN, "c.source_id, w.depth + 1", 3) % "calls c ON c.target_id = w.node")
 def bfs_backward(spark, d):
-    g = graph(spark, d)
+    g = stored(spark, d)
     return traversal.traverse(g.edges, seed(g, "fan_in"), 3, 2_000, "backward").nodes.select("node", "depth")
 
 
 @query(BASE + DEGREES + reach_sql(MOST_OUT, "c.v, w.depth + 1", 2) % "(SELECT source_id AS u, target_id AS v FROM edges UNION SELECT target_id, source_id FROM edges) c ON c.u = w.node")
 def bfs_both(spark, d):
-    g = graph(spark, d)
+    g = stored(spark, d)
     return traversal.traverse(g.edges, seed(g, "fan_out"), 2, 2_000, "both", None).nodes.select("node", "depth")
 
 
@@ -280,26 +286,26 @@ BEST = ", best AS (SELECT id FROM fans WHERE name = 'red_widget' ORDER BY fan_in
 
 @query(BASE + DEGREES + BEST + reach_sql("id", "c.source_id, w.depth + 1", 3).replace("AS node, 0 AS depth UNION", "AS node, 0 AS depth FROM best UNION") % "calls c ON c.target_id = w.node")
 def callers(spark, d):
-    g = graph(spark, d)
+    g = stored(spark, d)
     return traversal.callers(g.nodes, g.edges, "red_widget", 3, 2_000)
 
 
 @query(BASE + DEGREES + BEST + reach_sql("id", "c.target_id, w.depth + 1", 3).replace("AS node, 0 AS depth UNION", "AS node, 0 AS depth FROM best UNION") % "calls c ON c.source_id = w.node")
 def callees(spark, d):
-    g = graph(spark, d)
+    g = stored(spark, d)
     return traversal.callees(g.nodes, g.edges, "red_widget", 3, 2_000)
 
 
 @query(BASE + ", walk AS (SELECT id AS node, 0 AS depth FROM nodes WHERE path = 'src/mod1/brand_1.py' UNION SELECT e.source_id, w.depth + 1 FROM walk w JOIN edges e ON e.target_id = w.node WHERE w.depth < 2) SELECT node, min(depth) AS depth FROM walk GROUP BY 1")
 def impact_set(spark, d):
-    g = graph(spark, d)
+    g = stored(spark, d)
     seeds = g.nodes.filter("path = 'src/mod1/brand_1.py'").select(F.col("id").alias("node"))
     return traversal.reach(g.edges, seeds, 2)
 
 
 @query()
 def impact(spark, d):
-    g = graph(spark, d)
+    g = stored(spark, d)
     return traversal.impact(g.nodes, g.edges, "red_widget", 2, 20)
 
 
@@ -309,13 +315,13 @@ def impact(spark, d):
     " SELECT coalesce(min(depth) + 1, 0)::BIGINT AS total_hops FROM walk JOIN nodes n ON n.id = node WHERE depth >= 1 AND n.name = 'blue_bolt'"
 )
 def trace_len(spark, d):
-    g = graph(spark, d)
+    g = stored(spark, d)
     return spark.createDataFrame([(len(traversal.trace(g.nodes, g.edges, "red_widget", "blue_bolt")),)], "total_hops long")
 
 
 @query(BASE + f", walk AS (SELECT id AS node, 0 AS depth FROM nodes WHERE path IN ('src/mod1/brand_1.py', 'src/mod2/brand_2.c', 'src/__tests__/brand_5.test.ts') UNION SELECT e.source_id, w.depth + 1 FROM walk w JOIN edges e ON e.target_id = w.node WHERE w.depth < 3) SELECT DISTINCT path FROM walk JOIN nodes n ON n.id = node WHERE {TEST}")
 def affected_tests(spark, d):
-    g = graph(spark, d)
+    g = stored(spark, d)
     return traversal.affected_tests(g.nodes, g.edges, ["src/mod1/brand_1.py", "src/mod2/brand_2.c", "src/__tests__/brand_5.test.ts"], 3)
 
 
@@ -335,19 +341,19 @@ PLAN = ", targets AS (SELECT id FROM nodes WHERE name = 'red_widget')"
 @query(BASE + PLAN + ", walk AS (SELECT id AS node, 0 AS depth FROM targets UNION SELECT e.source_id, w.depth + 1 FROM walk w JOIN edges e ON e.target_id = w.node WHERE w.depth < 3) SELECT DISTINCT n.id, n.path FROM walk JOIN nodes n ON n.id = node")
 def plan_impacted(spark, d):
     """All that a change touches; the limit of each target's walk is beyond what any of them reaches."""
-    return context.plan_risk(graph(spark, d), ["red_widget"], most=1_000_000).impacted.select("id", "path")
+    return context.plan_risk(stored(spark, d), ["red_widget"], most=1_000_000).impacted.select("id", "path")
 
 
 @query(BASE + " SELECT target_id AS id, count(*) AS n FROM calls WHERE target_id IN (SELECT id FROM nodes WHERE path IN ('src/mod1/brand_1.py', 'src/mod2/brand_2.c')) GROUP BY 1 HAVING count(*) >= 5")
 def plan_warnings(spark, d):
-    warned = context.plan_risk(graph(spark, d), files=["src/mod1/brand_1.py", "src/mod2/brand_2.c"], most=1_000_000).warnings
+    warned = context.plan_risk(stored(spark, d), files=["src/mod1/brand_1.py", "src/mod2/brand_2.c"], most=1_000_000).warnings
     return warned.select("id", F.regexp_extract("warning", r"has (\d+) callers", 1).cast("long").alias("n"))
 
 
 @query()
 def plan_risk(spark, d):
     """(item, key, n): the parts of the risk of a change, with the limits of its kind of answer."""
-    p = context.plan_risk(graph(spark, d), ["red_widget"], ["src/mod1/brand_1.py"])
+    p = context.plan_risk(stored(spark, d), ["red_widget"], ["src/mod1/brand_1.py"])
     part = lambda item, df, key: df.select(F.lit(item).alias("item"), key.cast("string").alias("key"), F.lit(1).cast("long").alias("n"))
     out = spark.createDataFrame([("risk", p.risk, p.score)], "item string, key string, n long")
     out = out.unionByName(p.impacted.select(F.lit("impacted").alias("item"), F.col("id").cast("string").alias("key"), F.col("depth").cast("long").alias("n")))
@@ -362,13 +368,13 @@ def trail_sql(side: str, own: str, other: str) -> str:
 
 @query(BASE + DEGREES + f" SELECT * FROM ({trail_sql('callers', 'target_id', 'source_id')}) UNION ALL SELECT * FROM ({trail_sql('callees', 'source_id', 'target_id')})")
 def node_trail(spark, d):
-    g = graph(spark, d)
+    g = stored(spark, d)
     return context.node_trail(g.nodes, g.edges, seed(g, "fan_out"))
 
 
 @query(BASE + DEGREES + f", ends AS (SELECT count(*)::DOUBLE / (SELECT count(*) FROM nodes WHERE name = 'red_widget') AS degree FROM edges e JOIN nodes n ON n.name = 'red_widget' AND n.id IN (e.source_id, e.target_id)), t AS (SELECT (SELECT count(*) FROM nodes) AS n, degree FROM ends) SELECT greatest(1, least(10, 4 + CASE WHEN n < 200 THEN 1 WHEN n > 2000 THEN -1 ELSE 0 END + CASE WHEN degree > 20 THEN -1 WHEN degree < 5 THEN 1 ELSE 0 END))::INT AS depth, greatest(5, least(2000, 80 + CASE WHEN n < 200 THEN 20 WHEN n > 2000 THEN 30 ELSE 0 END + CASE WHEN degree > 20 THEN 20 ELSE 0 END))::INT AS nodes FROM t")
 def adaptive_limits(spark, d):
-    return spark.createDataFrame([engine.CodeBase(graph(spark, d)).limits("impact", "red_widget")], "depth int, nodes int")
+    return spark.createDataFrame([engine.CodeBase(stored(spark, d)).limits("impact", "red_widget")], "depth int, nodes int")
 
 
 @query(
@@ -521,7 +527,7 @@ def dna_scores(spark, d):
 
 @query()
 def dna_health(spark, d):
-    g = graph(spark, d)
+    g = stored(spark, d)
     cycles = classify.search_cycles(g.edges.filter(F.col("kind").isin("calls", "imports")), g.nodes)
     return analytics.health(g, cycles=cycles.count())
 
@@ -645,7 +651,7 @@ def bm25_docs(spark, d):
 
 @query()
 def intent_search(spark, d):
-    g = graph(spark, d)
+    g = stored(spark, d)
     return search.intent_search(g.nodes, g.edges, "red widget promo")
 
 

@@ -191,7 +191,7 @@ class CodeBase:
         return search.symbol_search(self.nodes, query, max(1, min(100, limit)))
 
     def intent_search(self, query: str, limit: int = 20, kind: str | None = None) -> DataFrame:
-        found = search.intent_search(self.nodes.withColumn("signature", F.concat_ws(" ", "signature", "doc")), self.edges, query, kind)
+        found = search.intent_search(self.nodes, self.edges, query, kind)
         return found.orderBy(F.desc("score"), "id").limit(limit)
 
     def callers(self, name: str, depth: int | None = None, most: int | None = None) -> DataFrame:

@@ -10,27 +10,26 @@ All of it is DataFrame expressions; normalisation and folding call the Unicode
 library that Spark brings along, inside the JVM.
 
 Defined results: null counts as empty, and all texts that are empty after folding
-have one fingerprint; repeated rows are rows of one group; rows with one id are
-ordered by text; a row without id comes after all others; an empty table gives
-an empty table; other columns are not read.
+have one fingerprint; repeated rows are rows of one group; ids may be of any type that
+has an order; rows with one id are ordered by a hash of id and text (key), equal
+ones by their place; a row without id comes after all others; an empty table
+gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import numbered, staged, tuned
 
 #: Classes and methods of ICU4J.
 NORMALIZER, CHARACTER = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
 SPACES = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
-MOST_RANGES = 256
-RANGE_ROWS = 1_500
 #: Hashes of several rows that are sent to every task instead of shuffling the texts (some 64 bytes each); more of them are joined by a shuffle.
 BROADCAST_HASHES = 300_000
+#: What tells documents apart: two hashes of id and text.
+KEY = ("a", "b")
 
 
 def canonical(text: Column) -> Column:
@@ -47,24 +46,16 @@ def wide_hash(form: Column) -> Column:
     return F.concat(half(1), half(2))
 
 
-def _choice(value: Column, bounds: list, low: int = 0) -> Column:
-    """The number of bounds that are <= value, by a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    return F.when(value < F.lit(bounds[mid]), _choice(value, bounds[:mid], low)).otherwise(_choice(value, bounds[mid + 1 :], low + mid + 1))
-
-
-def number_in_bucket(forms: DataFrame) -> DataFrame:
+def number_in_bucket(forms: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
     """(hash, form, number) of the forms that are not the first of their bucket: canonical forms that differ and have one hash.
 
-    Only hashes of several rows are looked at. Equal forms are pre-aggregated, so
-    that a group of copies, however large, is one row a task.
+    Only hashes of several rows (hashes: those of all rows, if at hand) are looked
+    at. Equal forms are pre-aggregated, so that a group of copies, however large,
+    is one row a task.
     """
-    several = staged(forms.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "digest-hashes")
-    if several.count() <= BROADCAST_HASHES:
-        several = F.broadcast(several)
-    distinct = forms.join(several, "hash").groupBy("hash", "form").agg(F.count("*").alias("n"))
+    every = forms.select("hash") if hashes is None else hashes
+    several = staged(every.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "digest-hashes")
+    distinct = forms.join(_few(several), "hash").groupBy("hash", "form").agg(F.count("*").alias("n"))
     clash = distinct.groupBy("hash").agg(F.count("*").alias("forms")).filter("forms > 1").select("hash")
     order = Window.partitionBy("hash").orderBy("form")
     return distinct.join(clash, "hash").select("hash", "form", (F.row_number().over(order) - 1).alias("number")).filter("number > 0")
@@ -75,7 +66,13 @@ def fingerprint(hash_: Column, number: Column) -> Column:
 
 
 def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """(id, text, a, b): null texts are empty."""
+    rows = tuned(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.select("id", "text", *(key(salt).alias(c) for salt, c in enumerate(KEY)))
+
+
+def key(salt: int) -> Column:
+    return F.xxhash64(F.lit(salt), F.col("id").isNull(), "id", "text")
 
 
 def with_forms(rows: DataFrame) -> DataFrame:
@@ -92,47 +89,32 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return joined.join(groups, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "group_id", "group_size")
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, columns: list[str], derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """derive(docs) with next_<column> of the row that follows in descending order of id (after the last: the first).
+def _few(keys: DataFrame) -> DataFrame:
+    """The keys, sent to every task if they are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_HASHES else keys
 
-    Rows are dealt out by ranges of ids, each range ordered by itself; a copy of
-    each range's first row is put behind the range before it, so nothing has to
-    meet in one task. At most MOST_RANGES bounds and ids come to the driver.
+
+def next_of(rows: DataFrame) -> DataFrame:
+    """(id, a, b, third, n_chars, hash, next_a, next_b, next_hash, times), staged: what follows a document, in descending order of id, after the last the first; times: for how many of its copies.
+
+    rows: (id, a, b, third, n_chars, hash), one for each document, no texts. They
+    are numbered by a distributed sort, and each meets the next number by equality.
     """
-    ids = docs.select(F.col(id_col).alias("id"))
-    count = ids.filter("id IS NOT NULL").count()
-    ranges = max(1, min(MOST_RANGES, count // RANGE_ROWS))
-    bounds: list = []
-    if ranges > 1:
-        shares = [k / ranges for k in range(1, ranges)]
-        bounds = sorted({b for b in ids.agg(F.percentile_approx("id", shares, 10_000).alias("b")).first().b or [] if b is not None})
-    # range 0 has the rows without id, which come last
-    place = F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(_choice(F.col(id_col), bounds, 1))
-    order = [F.col(id_col).desc_nulls_last(), F.col(text_col).asc_nulls_first()]
-    firsts = ids.select(F.when(F.col("id").isNull(), F.lit(0)).otherwise(_choice(F.col("id"), bounds, 1)).alias("place"), "id").groupBy("place").agg(F.max("id").alias("id")).collect()
-    if not firsts:
-        derived = derive(docs)
-        return derived.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
-    head = {r.place: r.id for r in firsts}
-    places = sorted(head, reverse=True)
-    goes_to = {following: at for at, following in zip(places, [*places[1:], places[0]], strict=True)}
-    wanted = [v for v in head.values() if v is not None]
-    chosen = F.col(id_col).isin(wanted) if wanted else F.lit(False)
-    if None in head.values():
-        chosen = F.coalesce(chosen, F.lit(False)) | F.col(id_col).isNull()
-    one = Window.partitionBy("_place").orderBy(*order)
-    heads = docs.filter(chosen).withColumn("_place", place).withColumn("_k", F.row_number().over(one)).filter("_k = 1").drop("_k")
-    moved = F.create_map(*[F.lit(x) for pair in goes_to.items() for x in pair])
-    ghosts = heads.withColumn("_place", moved[F.col("_place")]).withColumn("_ghost", F.lit(1))
-    both = derive(docs.withColumn("_place", place).withColumn("_ghost", F.lit(0))).unionByName(derive(ghosts))
-    lead = Window.partitionBy("_place").orderBy(F.col("_ghost"), *order)
-    return both.select("*", *(F.lead(c).over(lead).alias(f"next_{c}") for c in columns)).filter("_ghost = 0").drop("_place", "_ghost")
-
-
-def edited_text(text: Column, following: Column) -> Column:
-    """The text with its last third replaced by as many of the first code points of the following text (or all of it)."""
-    third = F.floor(F.char_length(text) / 3).cast("int")
-    return F.concat(F.substring(text, F.lit(1), F.char_length(text) - third), F.substring(following, F.lit(1), third))
+    order = numbered(rows.withColumn("_place", F.monotonically_increasing_id()), "at", F.desc_nulls_last("id"), *KEY, "_place")
+    n = order.count()
+    following = order.select(F.pmod(F.col("at") - 1, F.lit(max(1, n))).alias("at"), *(F.col(c).alias(f"next_{c}") for c in (*KEY, "hash")))
+    pairs = order.select("id", "at", *KEY, "third", "n_chars", "hash").join(following, "at")
+    return staged(pairs.groupBy(*KEY, "next_a", "next_b").agg(*(F.first(c).alias(c) for c in ("id", "third", "n_chars", "hash", "next_hash")), F.count("*").alias("times")), "digest-pairs")
+
+
+def one_each(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """texts (text, a, b) with one row for each key, of keys that are there several times one row a task being moved."""
+    several = pairs.groupBy(*KEY).agg(F.sum("times").alias("n")).filter("n > 1").select(*KEY)
+    if not several.limit(1).count():
+        return texts
+    keys = _few(staged(several, "digest-several"))
+    repeated = texts.join(keys, [*KEY], "left_semi").groupBy(*KEY).agg(F.first("text").alias("text")).select(*texts.columns)
+    return texts.join(keys, [*KEY], "left_anti").unionByName(repeated)
 
 
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,11 +124,21 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by byte where the hashes agree), else 0.
     """
     source = plain(docs, id_col, text_col)
-    numbers = staged(number_in_bucket(with_forms(source).select("hash", "form")), "digest-numbers")
+    forms = with_forms(source)
+    third = F.floor(F.char_length("text") / 3).cast("int")
+    rows = staged(forms.select("id", *KEY, third.alias("third"), F.char_length("text").cast("long").alias("n_chars"), "hash"), "digest-rows")
+    numbers = staged(number_in_bucket(forms.select("hash", "form"), rows.select("hash")), "digest-numbers")
     clash = numbers.limit(1).count() > 0
-    rows = with_next(source, "id", "text", ["text", "hash"], lambda df: with_forms(df).drop("form"))
-    edited = rows.withColumn("edited", edited_text(F.col("text"), F.col("next_text"))).withColumn("edited_form", canonical(F.col("edited")))
-    out = edited.select("*", wide_hash(F.col("edited_form")).alias("edited_hash"))
+    pairs = next_of(rows)
+    texts = one_each(source.select("text", *KEY), pairs)
+    # texts are dealt out by their keys: there each gives the beginning that its predecessor asks for, and each gets that of its successor;
+    # both use the same columns, so that one exchange serves both
+    dealt = texts.repartition(*KEY)
+    asked = pairs.select(F.col("next_a").alias("a"), F.col("next_b").alias("b"), *(F.col(c).alias(f"own_{c}") for c in KEY), "id", "third", "n_chars", "hash", "next_hash", "times")
+    begun = dealt.join(asked, [*KEY]).withColumn("tail", F.substring(F.col("text"), F.lit(1), F.col("third")))
+    begun = begun.select(F.col("own_a").alias("a"), F.col("own_b").alias("b"), F.col("a").alias("next_a"), F.col("b").alias("next_b"), "id", "third", "n_chars", "hash", "next_hash", "times", "tail")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - F.col("third")), F.col("tail"))
+    out = dealt.join(begun, [*KEY]).withColumn("edited", edited).withColumn("edited_form", canonical(F.col("edited"))).withColumn("edited_hash", wide_hash(F.col("edited_form")))
     if clash:
         out = out.withColumn("form", canonical(F.col("text")))
         out = out.join(numbers.withColumnRenamed("number", "own"), ["hash", "form"], "left")
@@ -155,15 +147,33 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     else:
         out = out.withColumn("own", F.lit(None).cast("int")).withColumn("other", F.lit(None).cast("int"))
     own, other = F.coalesce("own", F.lit(0)), F.coalesce("other", F.lit(0))
-    # canonical forms are made anew only where hashes agree
+    # canonical forms are made anew only where hashes agree; of forms with one hash the fingerprints tell whether the next one's is the same
     like_edited = F.when(F.col("hash") == F.col("edited_hash"), (canonical(F.col("text")) == F.col("edited_form")).cast("double")).otherwise(F.lit(0.0))
-    like_next = F.when(F.col("hash") == F.col("next_hash"), (canonical(F.col("text")) == canonical(F.col("next_text"))).cast("double")).otherwise(F.lit(0.0))
-    return out.select(
-        F.col("id").alias(id_col),
-        F.char_length("text").cast("long").alias("n_chars"),
+    found = out.select(
+        "id",
+        *KEY,
+        "next_a",
+        "next_b",
+        "times",
+        "next_hash",
+        F.col("hash").alias("own_hash"),
+        "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("hash"), own).alias("fingerprint"),
         fingerprint(F.col("edited_hash"), other).alias("edited_fingerprint"),
         like_edited.alias("near_edited"),
-        like_next.alias("near_next"),
     )
+    if clash:  # forms that differ in spite of one hash: the next one's fingerprint, by its key
+        known = with_forms(texts).join(numbers, ["hash", "form"], "left").select(F.col("a").alias("next_a"), F.col("b").alias("next_b"), fingerprint(F.col("hash"), F.coalesce("number", F.lit(0))).alias("next_fingerprint"))
+        found = found.join(known, ["next_a", "next_b"])
+        like_next = F.col("fingerprint") == F.col("next_fingerprint")
+    else:  # no hash has two forms, as they were compared byte by byte
+        like_next = F.col("own_hash") == F.col("next_hash")
+    found = found.withColumn("near_next", like_next.cast("double"))
+    names = [F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    if not pairs.filter("times > 1").limit(1).count():
+        return found.select(*names)
+    # the copies of a document that follow one another have one result, given out in steps of bounded size
+    step = F.lit(1 << 12)
+    parts = found.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / step)))).withColumn("_n", F.least(step, F.col("times") - F.col("_part") * step).cast("int"))
+    return parts.repartition(*KEY, "_part").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*names)

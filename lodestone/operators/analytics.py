@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import base_name, half_up, is_test_path, segment_glob
+from lodestone.functions.text import base_name, half_up, is_test_path, iso_timestamp, segment_glob
 from lodestone.operators.classify import degrees, roles
 from lodestone.sources.storage import Graph
 
@@ -18,10 +18,13 @@ STYLES = ("layered (MVC / service-oriented)", "component-based", "monolith", "mo
 
 
 def status(graph: Graph, classified: DataFrame) -> DataFrame:
-    """(item, key, n): counts of tables, and of files and nodes by language and role."""
+    """(item, key, n): counts of tables, and of files and nodes by language and role; with the files' indexed_at the time of the last one (key)."""
     count = lambda df, item: df.agg(F.count("*").alias("n")).select(F.lit(item).alias("item"), F.lit("").alias("key"), "n")
     by = lambda df, c: df.filter(f"{c} IS NOT NULL").groupBy(c).agg(F.count("*").alias("n")).select(F.lit(c).alias("item"), F.col(c).alias("key"), "n")
     parts = [count(graph.files, "files"), count(graph.nodes, "nodes"), count(graph.edges, "edges"), by(graph.files, "language"), by(classified, "role")]
+    if "indexed_at" in graph.files.columns:
+        last = graph.files.agg(F.max("indexed_at").alias("at")).filter("at IS NOT NULL")
+        parts.append(last.select(F.lit("last_indexed").alias("item"), iso_timestamp(F.col("at")).alias("key"), F.lit(1).cast("long").alias("n")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

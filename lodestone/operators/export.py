@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import identifier
@@ -61,6 +61,17 @@ def html(part: Graph, title: str = "graph") -> str:
     return f"<!doctype html><title>{title}</title><script id=data type=application/json>{data}</script><svg id=s width=800 height=800></svg><script>{script}</script>"
 
 
+def json_line(rows: DataFrame) -> Column:
+    """Each row's columns as one line of JSON; columns that are null are left out."""
+    return F.to_json(F.struct(*rows.columns))
+
+
+def json_text(rows: DataFrame, pretty: bool = False, most: int = 1_000) -> str:
+    """At most so many rows as a JSON array, compact or indented; lines of all rows are written as text by json_line."""
+    found = [json.loads(r.line) for r in rows.limit(most).select(json_line(rows).alias("line")).collect()]
+    return json.dumps(found, indent=2 if pretty else None)
+
+
 def write_transactions(rows: DataFrame, path: str) -> None:
     """CSV with a header, quotes doubled and tags joined by semicolons."""
     rows.withColumn("tags", F.array_join("tags", ";")).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)

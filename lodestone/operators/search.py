@@ -205,7 +205,7 @@ def symbol_search(rows: DataFrame, query: str, limit: int = 20, kind: str | None
 
 
 def bm25(rows: DataFrame, query: str, tokens: Column, id_col: str = "id", candidates: Column | None = None, total: int | None = None) -> DataFrame:
-    """(id, score) of rows with a score over 0, to three places.
+    """(id, score, matched) of rows with a score over 0, to three places, and the terms that they have.
 
     candidates: which rows are scored (else those with a candidate token); what is
     counted by term and the mean length are of those, the number of documents is of
@@ -214,7 +214,7 @@ def bm25(rows: DataFrame, query: str, tokens: Column, id_col: str = "id", candid
     """
     terms = camel_tokens(query, T.QUERY_PUNCTUATION)
     if not terms:
-        return rows.select(F.col(id_col).alias("id")).limit(0).withColumn("score", F.lit(0.0))
+        return rows.select(F.col(id_col).alias("id")).limit(0).withColumn("score", F.lit(0.0)).withColumn("matched", F.array().cast("array<string>"))
     cut = rows.withColumn("_t", tokens)
     hit = candidates if candidates is not None else has_candidate(F.col("_t"), list(dict.fromkeys(terms)))
     every = kept(cut.select(F.col(id_col).alias("id"), F.size("_t").alias("size"), hit.alias("hit"), *(_occurrences(F.col("_t"), t).alias(f"tf{k}") for k, t in enumerate(terms))))
@@ -227,7 +227,8 @@ def bm25(rows: DataFrame, query: str, tokens: Column, id_col: str = "id", candid
         tf, df = F.col(f"tf{k}").cast("double"), F.col(f"df{k}").cast("double")
         idf = F.ln((n - df + 0.5) / (df + 0.5) + 1)
         score = score + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    return scored.select("id", score.alias("score")).filter("score > 0").withColumn("score", T.half_up(F.col("score"), 3))
+    matched = F.array_distinct(F.array_compact(F.array(*(F.when(F.col(f"tf{k}") > 0, F.lit(t)) for k, t in enumerate(terms)))))
+    return scored.select("id", score.alias("score"), matched.alias("matched")).filter("score > 0").withColumn("score", T.half_up(F.col("score"), 3))
 
 
 def first_neighbours(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -243,13 +244,13 @@ def first_neighbours(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]
 
 
 def intent_search(nodes: DataFrame, edges: DataFrame, query: str, kind: str | None = None) -> DataFrame:
-    """(id, score) of symbols by BM25 over their own words and their neighbours' names.
+    """(id, score, matched) of symbols by BM25 over their own words and their neighbours' names.
 
     Candidates are widened by the first three callers and callees of each.
     """
     terms = list(dict.fromkeys(camel_tokens(query, T.QUERY_PUNCTUATION)))
     if not terms:
-        return nodes.select("id").limit(0).withColumn("score", F.lit(0.0))
+        return nodes.select("id").limit(0).withColumn("score", F.lit(0.0)).withColumn("matched", F.array().cast("array<string>"))
     total = nodes.count()
     own = [c for c in ("name", "qualified_name", "signature", "doc") if c in nodes.columns]
     found = nodes.filter(has_candidate(document_tokens(*own), terms)).select("id")

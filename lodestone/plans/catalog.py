@@ -646,13 +646,13 @@ def bm25_sql(rows: str, terms: list[str], n: str) -> str:
 @query(bm25_sql("WITH t AS (SELECT doc_id AS id, " + tokens_sql("text", QUERY_CLASS) + " AS toks FROM documents)", BM25_TERMS, "(SELECT count(*) FROM documents)"))
 def bm25_docs(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
-    return search.bm25(docs, " ".join(BM25_TERMS), T.tokens(F.coalesce("text", F.lit("")), T.QUERY_PUNCTUATION), "doc_id")
+    return search.bm25(docs, " ".join(BM25_TERMS), T.tokens(F.coalesce("text", F.lit("")), T.QUERY_PUNCTUATION), "doc_id").select("id", "score")
 
 
 @query()
 def intent_search(spark, d):
     g = stored(spark, d)
-    return search.intent_search(g.nodes, g.edges, "red widget promo")
+    return search.intent_search(g.nodes, g.edges, "red widget promo").withColumn("matched", F.array_join("matched", " "))
 
 
 @query("SELECT page_id, count(*) AS n, count(DISTINCT h) AS distinct_n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS h FROM pages) GROUP BY 1")
@@ -960,6 +960,12 @@ def query_bias(spark, d):
     return vectors.join(q, "vec_id").select("vec_id", F.array_min("u").alias("low"), F.array_max("u").alias("high"), F.round(bound, 6).alias("coordinate_bound"))
 
 
+@query(BASE + " SELECT id, '{\"id\":' || id || ',\"name\":\"' || name || '\",\"exported\":' || exported || '}' AS line FROM nodes")
+def json_lines(spark, d):
+    nodes = graph(spark, d).nodes
+    return nodes.select("id", export.json_line(nodes.select("id", "name", "exported")).alias("line"))
+
+
 @query(BASE + ", f AS (SELECT id FROM nodes ORDER BY id LIMIT 200) SELECT e.id, e.kind FROM edges e WHERE source_id IN (SELECT id FROM f) AND target_id IN (SELECT id FROM f)")
 def export_gather(spark, d):
     return export.gathered(graph(spark, d)).edges.select("id", "kind")

@@ -14,6 +14,8 @@ from lodestone.operators import analytics, classify, context, export, resolve, s
 from lodestone.sources import code_files, extract
 from lodestone.sources.storage import Graph, change_tiers, distinct_edges, kept, latest_nodes
 
+#: The longest text that is taken as an input, and the kinds of rules.
+MOST_INPUT = 10_000
 RULES = ("deny-dependency", "max-fan-out", "max-file-symbols", "no-cycles")
 
 
@@ -111,7 +113,8 @@ def _linked(files: DataFrame, nodes: DataFrame, refs: DataFrame, imports: DataFr
     imported = resolve.import_edges(imports, nodes).withColumn("kind", F.lit("imports"))
     edges = _numbered(resolved.unionByName(imported).distinct(), "id", "source_id", "target_id", "kind").select("id", "source_id", "target_id", "kind")
     classified = classify.roles(nodes, edges).drop("fan_in", "fan_out")
-    return CodeBase(Graph(files.drop("content"), kept(classified), edges, refs), files.select("path", "content"), routes, imports)
+    stamped = kept(files.drop("content").withColumn("indexed_at", F.unix_millis(F.current_timestamp())))
+    return CodeBase(Graph(stamped, kept(classified), edges, refs), files.select("path", "content"), routes, imports)
 
 
 def index_files(sources: DataFrame) -> CodeBase:
@@ -142,7 +145,7 @@ def refresh(code: CodeBase, sources: DataFrame, force: bool = False) -> Refresh:
     stored = old.files.select("path", "file_id", "hash", "size", "mtime")
     tiers = change_tiers(stored, now.select("path", "hash", "size", "mtime"))
     parsed_paths = kept((tiers.withColumn("tier", F.lit("parsed")) if force else tiers).filter("tier = 'parsed'").select("path"))
-    known = now.join(stored.select("path", "file_id"), "path", "left")
+    known = now.drop("indexed_at").join(stored.select("path", "file_id"), "path", "left")
     new = _numbered(known.filter("file_id IS NULL").drop("file_id"), "file_id", "path").withColumn("file_id", F.col("file_id") + _after(stored, "file_id"))
     files = kept(known.filter("file_id IS NOT NULL").unionByName(new))
     again = kept(files.join(parsed_paths, "path", "left_semi"))
@@ -188,6 +191,7 @@ class CodeBase:
         return context.limits(tool, self.size, degree, depth, most)
 
     def search(self, query: str, limit: int = 10) -> DataFrame:
+        checked(query, "query")
         return search.symbol_search(self.nodes, query, max(1, min(100, limit)))
 
     def intent_search(self, query: str, limit: int = 20, kind: str | None = None) -> DataFrame:
@@ -195,31 +199,31 @@ class CodeBase:
         return found.orderBy(F.desc("score"), "id").limit(limit)
 
     def callers(self, name: str, depth: int | None = None, most: int | None = None) -> DataFrame:
-        return traversal.callers(self.nodes, self.edges, name, *self.limits("callers", name, depth, most))
+        return traversal.callers(self.nodes, self.edges, checked(name, "name"), *self.limits("callers", name, depth, most))
 
     def callees(self, name: str, depth: int | None = None, most: int | None = None) -> DataFrame:
-        return traversal.callees(self.nodes, self.edges, name, *self.limits("callees", name, depth, most))
+        return traversal.callees(self.nodes, self.edges, checked(name, "name"), *self.limits("callees", name, depth, most))
 
     def impact(self, target: str, depth: int | None = None, most: int | None = None) -> DataFrame:
-        return traversal.impact(self.nodes, self.edges, target, *self.limits("impact", target, depth, most))
+        return traversal.impact(self.nodes, self.edges, checked(target, "target"), *self.limits("impact", target, depth, most))
 
     def trace(self, source: str, target: str, max_hops: int = 7) -> list[int]:
-        return traversal.trace(self.nodes, self.edges, source, target, max_hops)
+        return traversal.trace(self.nodes, self.edges, checked(source, "source"), checked(target, "target"), max_hops)
 
     def node(self, name: str) -> dict | None:
-        return context.node_detail(self.graph, name, self.contents, self.limits("node", name)[1])
+        return context.node_detail(self.graph, checked(name, "name"), self.contents, self.limits("node", name)[1])
 
     def affected(self, paths: list[str], depth: int | None = None, pattern: str | None = None) -> DataFrame:
         return traversal.affected_tests(self.nodes, self.edges, paths, self.limits("affected", None, depth)[0], pattern)
 
     def context(self, task: str, max_nodes: int | None = None, max_depth: int = 3) -> context.Context:
-        return context.build_context(self.graph, task, self.contents, self.limits("context", None, None, max_nodes)[1], max_depth)
+        return context.build_context(self.graph, checked(task, "task"), self.contents, self.limits("context", None, None, max_nodes)[1], max_depth)
 
     def explore(self, query: str, max_files: int | None = None) -> DataFrame:
         if self.contents is None:
             raise ValueError("the graph has no contents")
         depth, most = self.limits("explore")
-        return context.explore(self.graph, query, self.contents, min(most, 20) if max_files is None else max(1, min(20, max_files)), max_depth=depth, max_nodes=most)
+        return context.explore(self.graph, checked(query, "query"), self.contents, min(most, 20) if max_files is None else max(1, min(20, max_files)), max_depth=depth, max_nodes=most)
 
     def files(self, prefix: str = "", pattern: str | None = None) -> DataFrame:
         listed = analytics.symbols_per_file(self.graph).filter(F.col("path").startswith(prefix))
@@ -293,6 +297,15 @@ class CodeBase:
         return replace(self, graph=replace(self.graph, edges=distinct_edges(self.edges.unionByName(more))))
 
 
+def checked(value: object, name: str, most: int = MOST_INPUT) -> str:
+    """The value, if it is a text of one character or more and not too long."""
+    if not isinstance(value, str) or not value:
+        raise ValueError(f"{name} must be a text that is not empty")
+    if len(value) > most:
+        raise ValueError(f"{name} is longer than {most} characters")
+    return value
+
+
 def _passes(scope: str) -> Column:
     return F.exists("files", lambda p: p.rlike(segment_glob(scope)))
 

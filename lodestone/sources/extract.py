@@ -237,6 +237,15 @@ def powershell(path: str, text: str) -> Found:
 
 # JavaScript and TypeScript
 
+
+def block_before(text: str, at: int) -> str | None:
+    """What the block comment says that stands right before a place; none for an empty one. (That of an export belongs to the export, not to its symbol.)"""
+    while at > 0 and text[at - 1].isspace():
+        at -= 1
+    begin = text.rfind("/*", 0, at - 2) if text.endswith("*/", 0, at) else -1
+    return text[begin + 2 : at - 2].strip() or None if begin >= 0 else None
+
+
 JS_WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "import", "super", "new", "delete", "void", "in", "of", "constructor", "require", "else", "do", "yield", "throw", "async", "with"}
 
 
@@ -249,7 +258,8 @@ def javascript(path: str, text: str) -> Found:
     def symbol(name: str, kind: str, start: int, end: int, exported: bool, extends: str | None = None, implements: str | None = None, within: str = "") -> None:
         qualified = f"{path}::{within}{name}"
         signature = " ".join(text[start : min(end, start + 200)].split("{")[0].split())
-        found.symbols.append({"name": name, "qualified_name": qualified, "kind": kind, "start_line": lines.of(start), "end_line": lines.of(end), "signature": signature, "doc": None, "exported": int(exported), "extends": extends, "implements": implements})
+        doc = None if exported else block_before(text, start)
+        found.symbols.append({"name": name, "qualified_name": qualified, "kind": kind, "start_line": lines.of(start), "end_line": lines.of(end), "signature": signature, "doc": doc, "exported": int(exported), "extends": extends, "implements": implements})
         scopes.append((start, end, qualified))
 
     def body_end(at: int) -> int:

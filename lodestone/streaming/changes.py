@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,3 +44,39 @@ def threshold_alerts(events: DataFrame, key: str, value: str, limits: tuple[floa
     spread = running.withColumn("limit", F.explode(F.array(*map(F.lit, limits)))).filter(F.col("running") >= F.col("limit"))
     first = spread.groupBy(key, "limit").agg(F.min(F.struct(time, tie, "running")).alias("f"))
     return first.select(key, "limit", F.col(f"f.{time}").alias(time), F.col("f.running").cast("double").alias("running"))
+
+
+def file_changes(spark: SparkSession, root: str) -> DataFrame:
+    """A stream of (path, size, mtime) of files that are new under root, of known languages; without their contents."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
+    return relevant(found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")))
+
+
+def alert_stream(events: DataFrame, key: str, value: str, limits: tuple[float, ...], history: int = 100, time: str = "ts") -> DataFrame:
+    """(key, limit, time, running) of a stream: the event with which a key's running sum first reaches each limit.
+
+    A key's state is its sum, the limits that it has reached and the times of its
+    last `history` events, so it does not grow with the stream. Events of one
+    micro-batch are taken in order of their time.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    kind = events.schema[key].dataType.simpleString()
+    ordered = tuple(sorted(limits))
+
+    def step(group: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        total, reached, last = state.get if state.exists else (0.0, 0, [])
+        rows = pd.concat(list(batches)).sort_values(time, kind="stable")
+        found = []
+        for at, x in zip(rows[time], rows[value].fillna(0), strict=True):
+            total = round(total + float(x), 2)
+            last = [*last, int(at.value // 1_000_000)][-history:]
+            while reached < len(ordered) and total >= ordered[reached]:
+                found.append((group[0], ordered[reached], at, total))
+                reached += 1
+        state.update((total, reached, last))
+        yield pd.DataFrame(found, columns=[key, "limit", time, "running"])
+
+    out, kept = f"{key} {kind}, limit double, {time} timestamp, running double", "total double, reached int, last array<long>"
+    return events.select(key, time, value).groupBy(key).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)

@@ -272,3 +272,9 @@ def test_texts_are_cut_once(spark):
     assert [r.id for r in found.collect()] == [2] or found.count() == 0  # by the tokens alone
     scores = search.bm25(docs, "license the", T.tokens(F.coalesce("text", F.lit("")), T.QUERY_PUNCTUATION))
     assert [r.id for r in scores.collect()] == [1]
+
+
+def test_javascript_doc_comments():
+    code = "/** Adds. */\nfunction add(a) { return a; }\n// not a block\nfunction plain() {}\n/* of the export */\nexport function out() {}\nclass A {\n  /** Runs. */\n  run() { return 1; }\n}\n"
+    docs = {s["name"]: s["doc"] for s in extract.javascript("a.ts", code).symbols}
+    assert docs == {"add": "* Adds.", "plain": None, "out": None, "A": None, "run": "* Runs."}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -68,11 +69,32 @@ def tuned(df: DataFrame) -> DataFrame:
     return DataFrame(plan, SparkSession(spark.sparkContext, copy))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read again: cuts the lineage and survives lost executors."""
+#: Of each thread the folders that were written inside the scratch blocks that are open, innermost last.
+_SCRATCH = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside goes at the end: nothing lazy may come out of the block, only what is staged after it."""
+    open_ = _SCRATCH.__dict__.setdefault("open", [])
+    open_.append([])
+    try:
+        yield
+    finally:
+        hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in open_.pop():
+            folder = hadoop.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+def staged(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
+    """df, written once to the shared folder and read again: cuts the lineage and survives lost executors. outside: it stays when the innermost scratch block ends."""
     df = tuned(df)
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
+    blocks = _SCRATCH.__dict__.get("open", [])[: -1 if outside else None]
+    if blocks:
+        blocks[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -11,14 +11,14 @@ from .common import staged
 def _stars(links: DataFrame, downwards: bool) -> DataFrame:
     """Links each node's neighbours to the least of them (and itself): the larger neighbours, or the smaller ones and the node.
 
-    The least is pre-aggregated and joined back, so that a node with very many
-    links is no single group.
+    The least is pre-aggregated, stored and joined back, so that the join can split
+    the links of a node that has very many.
     """
     if not downwards:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-least")
         return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    least = staged(links.groupBy("u").agg(F.min("v").alias("m")), "components-least")
     moved = links.join(least, "u")
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
@@ -32,7 +32,7 @@ def component_labels(links: DataFrame, name: str = "components") -> DataFrame:
     """
     links = staged(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), name)
     while not _is_forest_of_stars(links):
-        links = staged(_stars(_stars(links, False), True), name)
+        links = staged(_stars(staged(_stars(links, False), name), True), name)
     roots = links.select(F.col("v").alias("node")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots.select("node", F.col("node").alias("label")))
 

@@ -1,20 +1,23 @@
 """N-gram Jaccard join by a token-group matrix.
 
-A document's tokens are its distinct word shingles; equal sets are one node.
-Nodes are partitioned into groups of similar documents: nodes that share rare
-tokens are compared with the leader of those tokens, and what links to a leader
-joins its class; a class is cut into groups of bounded size. The matrix of tokens
-and groups then bounds, for each query node and each group of another class, how
-many tokens they can share. The bound has two steps: from the tokens that come
-first in a common order (a node linked with a member shares a known number of
-those with the group, at places that leave room for enough others), and, where
-the group's union of tokens is at hand, from all tokens of the query. Only groups that reach the bound are opened, and their
-members are compared exactly. Links and classes are united in components.
+A document's tokens are its distinct word shingles, as 64-bit hashes; equal sets
+are one node. Nodes are partitioned into groups of similar documents: nodes that
+share rare tokens are brought to the leader of those tokens, and what links to a
+leader joins its class; a class is cut into groups of bounded size. The matrix is
+a stored table with a row for each group, the union of its members' tokens.
+
+A query node is brought to the groups of other classes with which it shares
+enough of the tokens that come first in a common order, at places that leave room
+for enough others. There its tokens are held against the group's row: only where
+they share what a link with any member would ask for is the group opened, and
+its members' sets are compared exactly. A group of one member has its row for its
+set, so the row alone decides. Links and classes are united in components.
 
 The common order puts frequent tokens last. How frequent a token is only orders
 the tokens, so the table of the most frequent ones can be bounded without any
 effect on the result: every link of two different sets is found, or joins
-two nodes that are in one class already.
+two nodes that are in one class already. (Sets are told apart by 128-bit digests,
+tokens by 64-bit hashes: two different shingles with one hash count as the same.)
 
 Defined results: without words or text a set is empty and linked with nothing;
 with fewer words than a shingle has, the whole sequence is the one token; repeated
@@ -31,10 +34,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import at_work, slices, staged, tuned
+from .common import at_work, scratch, slices, staged, tuned
 from .components import component_labels
 
 #: Tokens that a linked pair's first tokens share at least (fewer for very small sets).
@@ -42,7 +46,7 @@ HITS = 3
 #: Entries of the table of frequent tokens (8 bytes each, sent to every worker), and the documents of a batch in which a token stands before it is counted.
 FREQUENT, LOCAL_COUNT = 262_144, 2
 #: Members of a group, queries that one task brings to a group, leaders that a node is compared with in a round, rounds.
-GROUP_SIZE, TASK_QUERIES, LEADERS, ROUNDS = 64, 4_096, 2, 3
+GROUP_SIZE, TASK_QUERIES, LEADERS, ROUNDS = 64, 128, 2, 3
 #: Rows (some 40 bytes each) that are sent to every task to pick texts, instead of shuffling the texts.
 BROADCAST_ROWS = 500_000
 #: Bytes of texts that are taken up together.
@@ -157,8 +161,8 @@ def _frequent(profiles: DataFrame) -> np.ndarray:
     return np.concatenate([np.empty(0, np.int64), *(c.to_numpy() for c in counts.select("a").toArrow().column(0).chunks)])[::-1].copy().view(np.uint64)
 
 
-def _first_token_rows(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, clashes: set[int]) -> DataFrame:
-    """(token, node, place): the first tokens of each set; place holds the set's size and the token's number.
+def _first_token_rows(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, clashes: set[int]) -> tuple[DataFrame, Broadcast]:
+    """(token, node, place): the first tokens of each set; place holds the set's size and the token's number. And what is sent to the workers for that.
 
     Copies inside one partition give their rows once.
     """
@@ -196,7 +200,7 @@ def _first_token_rows(docs: DataFrame, words: int, percent: int, frequent: np.nd
             place |= np.repeat(np.array(sizes, np.int64) << 32, lengths)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(place)], ["token", "node", "place"])
 
-    return docs.mapInArrow(rows, "token long, node long, place long")
+    return docs.mapInArrow(rows, "token long, node long, place long"), sent
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -240,71 +244,134 @@ def _with_leader(rows: DataFrame, percent: int, turn: int) -> DataFrame:
 
     In the first round that is the node in which the token comes earliest: of
     near copies the one with the fewest tokens of its own, which most others are
-    like. Later rounds draw another one.
+    like. Later rounds draw another one. A token's first node is pre-aggregated and
+    stored, so that rows of a token that very many nodes have can be split.
     """
-
-    def lead(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = None  # token, node, class and size of the open run's first row
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t, n, v, c = (x.to_numpy() for x in batch.columns)
-            if head is not None:
-                t, n, v, c = (np.r_[h, x] for h, x in zip(head, (t, n, v, c), strict=True))
-            new = np.r_[True, t[1:] != t[:-1]]
-            first = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
-            size, rest = v >> 32, (v >> 32) - (v & 0xFFFFFFFF)
-            small, large = np.minimum(size, size[first]), np.maximum(size, size[first])
-            most = np.minimum(rest, rest[first]) + HITS - 1
-            keep = (c != c[first]) & (small * 100 >= large * percent) & (most * (100 + percent) >= percent * (small + large))
-            needed = np.minimum(HITS, (small * percent + 99) // 100)
-            k = first[-1]
-            head = (t[k], n[k], v[k], c[k])
-            yield pa.RecordBatch.from_arrays([pa.array(n[keep]), pa.array(n[first][keep]), pa.array(needed[keep])], ["node", "leader", "needed"])
-
-    order = [F.xxhash64("node", F.lit(turn))] if turn else [F.expr("place & 4294967295"), F.xxhash64("node")]
-    ordered = rows.select("token", "node", "place", "class").repartition("token").sortWithinPartitions("token", *order)
-    pairs = ordered.mapInArrow(lead, "node long, leader long, needed long").groupBy("node", "leader").agg(F.count("*").alias("hits"), F.min("needed").alias("needed")).filter("hits >= needed")
+    order = F.struct(*([F.xxhash64("node", F.lit(turn)).alias("o")] if turn else [F.expr("place & 4294967295").alias("o")]), F.xxhash64("node").alias("h"), "node", "place", "class")
+    first = staged(rows.groupBy("token").agg(F.min(order).alias("f")).select("token", F.col("f.node").alias("leader"), F.col("f.place").alias("l_place"), F.col("f.class").alias("l_class")), "jaccard-leaders")
+    size, l_size = F.shiftright("place", 32), F.shiftright("l_place", 32)
+    rest = lambda c: F.shiftright(c, 32) - F.expr(f"{c} & 4294967295")
+    small, large = F.least(size, l_size), F.greatest(size, l_size)
+    most = F.least(rest("place"), rest("l_place")) + (HITS - 1)
+    fits = (F.col("class") != F.col("l_class")) & (small * 100 >= large * percent) & (most * (100 + percent) >= (small + large) * percent)
+    needed = F.least(F.lit(HITS), F.floor((small * percent + 99) / 100))
+    pairs = rows.join(first, "token").filter(fits).groupBy("node", "leader").agg(F.count("*").alias("hits"), F.min(needed).alias("needed")).filter("hits >= needed")
     best = Window.partitionBy("node").orderBy(F.desc("hits"), "leader")
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= LEADERS).select("node", "leader")
 
 
-def open_groups(members: DataFrame, queries: DataFrame, docs: DataFrame, owners: DataFrame, words: int, percent: int) -> DataFrame:
-    """(u, v): links of query nodes with members of the groups they are brought to, one for each query and group at most.
-
-    members: (group, node); queries: (group, node); docs: (doc_id, text); owners:
-    (node, owner), the document that has a node's text. A group has a bounded
-    number of members; its queries are dealt to several tasks if they are many. A
-    task holds the members' tokens, sorted (their distinct values are the group's
-    row of the matrix), streams the queries past them, and opens the group to
-    those that have enough tokens in it.
-    """
-    dealt = queries.groupBy("group").agg(F.ceil(F.count("*") / TASK_QUERIES).alias("tasks"))
-    left = members.join(dealt, "group").select("group", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("role"))
-    right = queries.join(dealt, "group").select("group", "node", F.pmod(F.xxhash64("node"), "tasks").alias("task"), F.lit(1).alias("role"))
-    placed = staged(left.union(right).join(owners, "node"), "jaccard-placed")
+def token_sets(nodes: DataFrame, docs: DataFrame, owners: DataFrame, words: int) -> DataFrame:
+    """(node, tokens), staged: the sorted tokens of the nodes (node); each text is cut once. owners: (node, owner), the document that has a node's text."""
+    placed = staged(nodes.join(owners, "node"), "jaccard-placed")
     if placed.count() <= BROADCAST_ROWS:
         placed = F.broadcast(placed)  # else both sides are shuffled
-    both = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("owner"))).select("group", "task", "role", "node", "text")
+    texts = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("owner"))).select("node", "text")
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("jaccard")
+        for batch in slices(batches, SLICE_BYTES, 1):
+            sets = shingle_sets(batch.column(1), words)
+            own = [k for k, (node, s) in enumerate(zip(batch.column(0).to_pylist(), sets, strict=True)) if node in set_digest(s)]  # else another text of a repeated id
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), _lists([sets[k] for k in own])], ["node", "tokens"])
+
+    return staged(texts.mapInArrow(cut, "node long, tokens array<long>"), "jaccard-sets")
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)))
+
+
+def _arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
+    values, offsets = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy().tolist()
+    return (values[x:y] for x, y in zip(offsets, offsets[1:], strict=False))
+
+
+def token_matrix(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(group, members, node, tokens), staged: the union of the tokens of each group's members (group, node), their number, and the only member of a group of one.
+
+    A group has a bounded number of members; the members of one stand together.
+    """
+    rows = members.join(sets, "node").select("group", "node", "tokens").repartition("group").sortWithinPartitions("group", "node")
+
+    def unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("jaccard")
+        group, nodes, parts = None, [], []
+        for batch in batches:
+            done: list[tuple] = []
+            for g, node, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _arrays(batch.column(2)), strict=True):
+                if g != group:
+                    if nodes:
+                        done.append((group, nodes, _distinct(np.concatenate(parts))))
+                    group, nodes, parts = g, [], []
+                if node not in nodes[-1:]:
+                    nodes.append(node)
+                    parts.append(own.copy())
+            yield _matrix_rows(done)
+        if nodes:
+            yield _matrix_rows([(group, nodes, _distinct(np.concatenate(parts)))])
+
+    return staged(rows.mapInArrow(unite, "group long, members int, node long, tokens array<long>"), "jaccard-matrix")
+
+
+def _matrix_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int32()), pa.array([r[1][0] for r in rows], pa.int64()), _lists([r[2] for r in rows])]
+    return pa.RecordBatch.from_arrays(columns, ["group", "members", "node", "tokens"])
+
+
+def _dealt(held: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
+    """(group, task, role, node, members, tokens), sorted: what a group holds (role 0), then the queries (group, node) that a task brings to it; a group's queries are dealt to several tasks if they are many."""
+    dealt = staged(queries.groupBy("group").agg(F.ceil(F.count("*") / TASK_QUERIES).alias("tasks")), "jaccard-tasks")
+    left = held.join(dealt, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("role"), "node", "members", "tokens")
+    right = queries.join(dealt, "group").join(sets, "node").select("group", F.pmod(F.xxhash64("node"), "tasks").alias("task"), F.lit(1).alias("role"), "node", F.lit(0).alias("members"), "tokens")
+    return left.unionByName(right).repartition("group", "task").sortWithinPartitions("group", "task", "role", "node")
+
+
+def bounded(queries: DataFrame, matrix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, group, other), staged: the queries (group, node) that share enough tokens with a group's row; other: the member of a group of one with which the query links (null: a group to open)."""
+
+    def hold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("jaccard")
+        now, row, members, only = None, None, 0, None
+        for batch in batches:
+            found: list[tuple] = []
+            groups, tasks, roles, nodes, many = (batch.column(i).to_pylist() for i in range(5))
+            for g, k, role, node, m, own in zip(groups, tasks, roles, nodes, many, _arrays(batch.column(5)), strict=True):
+                if role == 0:
+                    now, row, members, only = (g, k), own.copy(), m, node
+                elif (g, k) == now and node != only:
+                    at = np.minimum(np.searchsorted(row, own), len(row) - 1)
+                    shared = int(np.count_nonzero(row[at] == own)) if len(row) else 0
+                    if members == 1:
+                        if shared * 100 >= percent * (len(row) + len(own) - shared):
+                            found.append((node, g, only))
+                    elif shared >= least_overlap(len(own), percent):
+                        found.append((node, g, None))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], ["node", "group", "other"])
+
+    rows = matrix.select("group", F.when(F.col("members") == 1, F.col("node")).alias("node"), "members", "tokens")
+    return staged(_dealt(rows, queries, sets).mapInArrow(hold, "node long, group long, other long"), "jaccard-bounded")
+
+
+def opened(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): for each query (group, node) and group that it opens a member with which it links, if there is one."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("jaccard")
         now, nodes, sets = None, [], []
         tokens = owners = sizes = None
-        for batch in slices(batches, SLICE_BYTES, 4):
+        for batch in batches:
             found: list[tuple[int, int]] = []
             groups, tasks, roles, own = (batch.column(i).to_pylist() for i in range(4))
-            for g, k, role, node, q in zip(groups, tasks, roles, own, shingle_sets(batch.column(4), words), strict=True):
-                if node not in set_digest(q):
-                    continue  # another text of a repeated id
-                if (g, k) != now:
-                    now, nodes, sets, tokens = (g, k), [], [], None
+            for g, k, role, node, q in zip(groups, tasks, roles, own, _arrays(batch.column(5)), strict=True):
                 if role == 0:
-                    if node in nodes:
-                        continue
-                    nodes.append(node)
-                    sets.append(q)
+                    if (g, k) != now:
+                        now, nodes, sets, tokens = (g, k), [], [], None
+                    if node not in nodes[-1:]:
+                        nodes.append(node)
+                        sets.append(q.copy())
                     continue
-                if not sets:
+                if (g, k) != now:
                     continue
                 if tokens is None:
                     tokens = np.concatenate(sets)
@@ -313,19 +380,25 @@ def open_groups(members: DataFrame, queries: DataFrame, docs: DataFrame, owners:
                     tokens, owners = tokens[order], owners[order]
                     sizes = np.array([len(s) for s in sets])
                 low, high = np.searchsorted(tokens, q, "left"), np.searchsorted(tokens, q, "right")
-                inside = high > low
-                if np.count_nonzero(inside) < least_overlap(len(q), percent):
-                    continue
-                low, count = low[inside], (high - low)[inside]
+                low, count = low[high > low], (high - low)[high > low]
                 at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
                 shared = np.bincount(owners[at], minlength=len(sets))
-                linked = np.flatnonzero(shared * 100 >= percent * (sizes + len(q) - shared))
-                linked = [m for m in linked.tolist() if nodes[m] != node]
+                linked = [m for m in np.flatnonzero(shared * 100 >= percent * (sizes + len(q) - shared)).tolist() if nodes[m] != node]
                 if linked:
                     found.append((node, nodes[linked[0]]))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
-    return both.repartition("group", "task").sortWithinPartitions("group", "task", "role", "node").mapInArrow(compare, "u long, v long")
+    held = members.join(queries.select("group").distinct(), "group", "left_semi").join(sets, "node").select("group", "node", F.lit(0).alias("members"), "tokens")
+    return _dealt(held, queries, sets).mapInArrow(compare, "u long, v long")
+
+
+def open_groups(members: DataFrame, queries: DataFrame, docs: DataFrame, owners: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v), staged: links of query nodes with members of the groups that they are brought to, one for each query and group at most. members: (group, node); queries: (group, node); docs: (doc_id, text)."""
+    with scratch(docs.sparkSession):
+        sets = token_sets(members.select("node").union(queries.select("node")).distinct(), docs, owners, words)
+        fit = bounded(queries, token_matrix(members, sets), sets, percent)
+        links = fit.filter("other IS NOT NULL").select(F.col("node").alias("u"), F.col("other").alias("v"))
+        return staged(links.unionByName(opened(fit.filter("other IS NULL").select("group", "node"), members, sets, percent)), "jaccard-links", outside=True)
 
 
 def _united(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -344,7 +417,8 @@ def _remaining(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, int
     class gives the groups.
     """
     nodes = rows.groupBy("node", "class").agg(F.first(F.shiftright("place", 32)).alias("n"))
-    sizes = nodes.groupBy("class").agg(F.count("*").alias("many"))
+    nodes = staged(nodes, "jaccard-sized")
+    sizes = staged(nodes.groupBy("class").agg(F.count("*").alias("many")), "jaccard-classes")  # stored, so that the join can split a large class
     nodes = nodes.join(sizes, "class")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / GROUP_SIZE))
     nodes = nodes.select("node", "class", "n", "many", F.xxhash64("class", part).alias("group"))
@@ -372,6 +446,12 @@ def _remaining(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, int
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id) of every row: component_id is the least id reachable by links."""
     source = tuned(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    with scratch(source.sparkSession):  # its tables go when the result is written
+        return staged(_components(source, words, percent).withColumnRenamed("doc_id", id_col), "jaccard-result", outside=True)
+
+
+def _components(source: DataFrame, words: int, percent: int) -> DataFrame:
+    """similar_components of (doc_id, text)."""
     profiles = staged(_profiles(source, words), "jaccard-profiles")
     sets = profiles.filter("kind = 0")
     filled = sets.filter("n > 0")
@@ -380,23 +460,25 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     node = F.when(F.col("a").isin(*clashes), F.col("b")).otherwise(F.col("a")) if clashes else F.col("a")
     filled = filled.withColumn("node", node)
     owners = staged(filled.groupBy("node").agg(F.min("doc_id").alias("owner")), "jaccard-owners")
-    rows = staged(_shared(_first_token_rows(source, words, percent, _frequent(profiles), clashes)), "jaccard-first")
+    first, sent = _first_token_rows(source, words, percent, _frequent(profiles), clashes)
+    rows = staged(_shared(first), "jaccard-first")
+    sent.destroy()  # workers and executors keep it no longer
     nodes = staged(rows.select("node").distinct(), "jaccard-nodes")
     classes = nodes.select("node", F.col("node").alias("class"))
     for turn in range(ROUNDS):
         queries = staged(_with_leader(rows.join(classes, "node"), percent, turn).select(F.col("leader").alias("group"), "node"), "jaccard-queries")
         members = queries.select("group").distinct().select("group", F.col("group").alias("node"))
-        classes = _united(classes, staged(open_groups(members, queries, source, owners, words, percent), "jaccard-links"))
+        classes = _united(classes, open_groups(members, queries, source, owners, words, percent))
         members, queries, pairs = _remaining(rows.join(classes, "node"), percent)
         if pairs <= PAIRS_PER_NODE * nodes.count():
             break
-    classes = _united(classes, staged(open_groups(members, queries, source, owners, words, percent), "jaccard-links"))
+    classes = _united(classes, open_groups(members, queries, source, owners, words, percent))
     known = owners.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    least = known.groupBy("class").agg(F.min("owner").alias("component_id"))
+    least = staged(known.groupBy("class").agg(F.min("owner").alias("component_id")), "jaccard-least")
     of_node = known.join(least, "class").select("node", "component_id")
     out = sets.withColumn("node", node).join(of_node, "node", "left")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), alone.alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), alone.alias("component_id"))
 
 
 def components_sql(words: int = 4, percent: int = 85) -> str:

@@ -45,7 +45,10 @@ TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4,
 TYPE_CODE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC, DESCRIPTION = 256, 257, 258, 259, 262, 270
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS, FILL_ORDER = 322, 323, 324, 325, 266
+TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS, FILL_ORDER, SAMPLE_FORMAT = 322, 323, 324, 325, 266, 339
+FLOATS = 3
+#: Each byte with its bits the other way round.
+REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 #: What a directory or page that is not as it should be raises.
 BAD = (ValueError, struct.error, zlib.error, IndexError, TypeError, MemoryError)
 
@@ -190,11 +193,20 @@ def decompress(data: bytes, scheme: int, size: int) -> bytes:
 
 def undo_predictor(samples: np.ndarray, predictor: int) -> np.ndarray:
     """samples: rows x columns x samples of a pixel."""
-    if predictor == 1:
-        return samples
-    if predictor != 2:
-        raise ValueError(f"predictor {predictor}")
-    return np.cumsum(samples, axis=1, dtype=samples.dtype)
+    return np.cumsum(samples, axis=1, dtype=samples.dtype) if predictor == 2 else samples
+
+
+def undo_float_predictor(raw: np.ndarray, across: int, together: int, size: int) -> np.ndarray:
+    """Rows of bytes, differenced and sorted by their significance, as big-endian samples: rows x columns x samples of a pixel."""
+    rows = len(raw)
+    whole = np.cumsum(raw.reshape(rows, -1, together), axis=1, dtype=np.uint8).reshape(rows, size, across * together)
+    return np.ascontiguousarray(whole.transpose(0, 2, 1)).view(f">f{size}").reshape(rows, across, together)
+
+
+def unpacked(raw: np.ndarray, bits: int, n: int) -> np.ndarray:
+    """The first n samples of 1, 2 or 4 bits of each row of bytes, one a byte."""
+    split = np.unpackbits(raw, axis=1).reshape(len(raw), -1, bits)
+    return (split @ (1 << np.arange(bits - 1, -1, -1))).astype(np.uint8)[:, :n]
 
 
 class _Reader:
@@ -242,11 +254,12 @@ class _Reader:
             raise ValueError("no width or height")
         samples, bits, scheme, predictor = one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
         planar = one(PLANAR, 1)
-        if bits not in (1, 8, 16) or planar not in (1, 2) or len(set(tags.get(BITS, (bits,)))) > 1:
-            raise ValueError(f"{bits} bits a sample, planes {planar}")
-        if bits == 1 and (one(FILL_ORDER, 1) != 1 or predictor != 1):
-            raise ValueError(f"1 bit a sample, fill order {one(FILL_ORDER, 1)}, predictor {predictor}")
-        kind = np.dtype(self.order + "u2") if bits == 16 else np.dtype("u1")
+        floats, turned = one(SAMPLE_FORMAT, 1) == FLOATS, one(FILL_ORDER, 1) == 2
+        if bits not in (1, 2, 4, 8, 16, 32, 64) or planar not in (1, 2) or len(set(tags.get(BITS, (bits,)))) > 1 or (floats and bits < 16):
+            raise ValueError(f"{bits} bits a sample, planes {planar}, format {one(SAMPLE_FORMAT, 1)}")
+        if predictor not in (1, 2, 3) or (predictor == 2 and (bits < 8 or floats)) or (predictor == 3 and not floats):
+            raise ValueError(f"predictor {predictor} on {bits} bits, format {one(SAMPLE_FORMAT, 1)}")
+        kind = np.dtype("u1") if bits <= 8 else np.dtype(f"{self.order}{'f' if floats else 'u'}{bits // 8}")
         tiled = TILE_OFFSETS in tags
         across, down = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
         if not across or not down:
@@ -256,7 +269,7 @@ class _Reader:
         of_plane = per_row * -(-height // down)
         planes, together = (samples, 1) if planar == 2 else (1, samples)
         needed = of_plane * planes
-        row_bytes = -(-across * together // 8) if bits == 1 else across * together * kind.itemsize
+        row_bytes = -(-across * together * bits // 8)
         if offsets is None or counts is None or min(len(offsets), len(counts)) < needed:
             raise ValueError("too few strips or tiles")
         if any(o < 8 or o + c > len(self.data) for o, c in zip(offsets[:needed], counts[:needed], strict=True)):
@@ -269,10 +282,13 @@ class _Reader:
             plane, place = divmod(k, of_plane)
             y, x = place // per_row * down, place % per_row * across
             rows = down if tiled else min(down, height - y)
-            raw = np.frombuffer(decompress(self.data[offsets[k] : offsets[k] + counts[k]], scheme, rows * row_bytes), kind)
-            if bits == 1:
-                raw = np.unpackbits(raw.reshape(rows, row_bytes), axis=1)[:, : across * together]
-            block = undo_predictor(raw.astype(out.dtype, copy=False).reshape(rows, across, together), predictor)
+            stored = self.data[offsets[k] : offsets[k] + counts[k]]
+            data = np.frombuffer(decompress(stored.translate(REVERSED) if turned else stored, scheme, rows * row_bytes), np.uint8)
+            if predictor == 3:
+                block = undo_float_predictor(data.reshape(rows, row_bytes), across, together, bits // 8)
+            else:
+                raw = unpacked(data.reshape(rows, row_bytes), bits, across * together) if bits < 8 else data.view(kind).astype(out.dtype, copy=False)
+                block = undo_predictor(raw.reshape(rows, across, together), predictor)
             out[y : y + rows, x : x + across, plane : plane + together] = block[: height - y, : width - x]
         text = tags.get(DESCRIPTION)
         description = text.split(b"\0")[0].decode("utf-8", "replace") if isinstance(text, bytes) else None

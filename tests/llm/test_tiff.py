@@ -109,12 +109,12 @@ def chained(pages):
 
 def test_pages_after_one_that_fails(spark):
     grey = ([(256, [2]), (257, [2]), (258, [8]), (278, [2])], [b"abcd"])
-    odd = ([(256, [2]), (257, [2]), (258, [4]), (278, [2])], [b"ab"])
+    odd = ([(256, [2]), (257, [2]), (258, [12]), (278, [2])], [b"abcdef"])
     data = chained([grey, odd, grey, odd, grey])
     pages = list(tiff.read_pages(data))
     assert [(p.page, p.pixels, bool(p.error)) for p in pages] == [(0, b"abcd", False), (1, None, True), (2, b"abcd", False), (3, None, True), (4, b"abcd", False)]
     row = tiff.media_digests(spark.createDataFrame([(1, data)], "doc_id long, media binary")).first()
-    assert row.payload_sha256 is None and row.n_pages == 3 and "4 bits" in row.feature
+    assert row.payload_sha256 is None and row.n_pages == 3 and "12 bits" in row.feature
 
 
 def test_single_bits_and_planes():
@@ -126,3 +126,41 @@ def test_single_bits_and_planes():
     first, second = tiff.read_pages(chained([one, planes]))
     assert (first.error, first.bits, first.pixels) == (None, 1, bits.tobytes())
     assert (second.error, second.samples, second.pixels) == (None, 3, colours.tobytes())
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("turned", [False, True])
+def test_samples_below_a_byte(bits, turned):
+    pixels = np.array([R.choices(range(1 << bits), k=13) for _ in range(4)], np.uint8)
+    rows = ["".join(f"{x:0{bits}b}" for x in row) for row in pixels]
+    packed = [int(r + "0" * (-len(r) % 8), 2).to_bytes(-(-len(r) // 8), "big") for r in rows]
+    stored = tiff.packbits_encode(b"".join(packed))
+    stored = bytes(int(f"{b:08b}"[::-1], 2) for b in stored) if turned else stored
+    (page,) = tiff.read_pages(chained([([(256, [13]), (257, [4]), (258, [bits]), (259, [tiff.PACKBITS]), (266, [1 + turned])], [stored])]))
+    assert (page.error, page.bits, page.pixels) == (None, bits, pixels.tobytes())
+
+
+@pytest.mark.parametrize("size", [2, 4, 8])
+@pytest.mark.parametrize("samples", [1, 3])
+def test_floating_point_predictor(size, samples):
+    pixels = np.array([[[R.uniform(-9, 9) for _ in range(samples)] for _ in range(6)] for _ in range(5)], f"f{size}")
+    rows = []
+    for row in pixels:  # bytes by their significance, then differences of bytes, a pixel's samples apart
+        planes = row.astype(f">f{size}").reshape(-1).view(np.uint8).reshape(-1, size).T.reshape(-1)
+        rows.append(np.r_[planes[:samples], planes[samples:] - planes[:-samples]].tobytes())
+    tags = [(256, [6]), (257, [5]), (258, [8 * size] * samples), (259, [tiff.DEFLATE]), (277, [samples]), (278, [2]), (317, [3]), (339, [3])]
+    (page,) = tiff.read_pages(chained([(tags, [zlib.compress(b"".join(rows[a : a + 2])) for a in (0, 2, 4)])]))
+    assert (page.error, page.predictor, page.pixels) == (None, 3, pixels.tobytes())
+
+
+def test_wide_samples_and_wrong_headers():
+    ints = np.array([[1, 2**31, 7], [9, 8, 2**32 - 1]], np.uint32)
+    tags = [(256, [3]), (257, [2]), (258, [32]), (259, [tiff.LZW]), (278, [2]), (317, [2])]
+    (page,) = tiff.read_pages(chained([(tags, [tiff.lzw_encode(np.diff(ints, axis=1, prepend=np.uint32(0)).tobytes())])]))
+    assert (page.error, page.pixels) == (None, ints.tobytes())
+    huge = [(256, [1 << 30]), (257, [1 << 20]), (258, [8]), (278, [1 << 20])]
+    (page,) = tiff.read_pages(chained([(huge, [b"x"])]))
+    assert "more samples" in page.error
+    for predictor, kind in ((2, 3), (3, 1), (4, 1)):
+        (page,) = tiff.read_pages(chained([([(256, [1]), (257, [1]), (258, [32]), (317, [predictor]), (339, [kind])], [b"abcd"])]))
+        assert "predictor" in page.error

@@ -15,6 +15,8 @@ from lodestone.sources.storage import Graph
 LAYERED = ("services", "controllers", "models", "routes", "middleware", "handlers", "repositories")
 COMPONENTS = ("components", "pages", "features", "views", "screens", "widgets")
 STYLES = ("layered (MVC / service-oriented)", "component-based", "monolith", "modular")
+#: Kinds of suggestions, which is as many as a symbol can have.
+MOST_KINDS = 5
 
 
 def status(graph: Graph, classified: DataFrame) -> DataFrame:
@@ -64,7 +66,8 @@ def suggestions(nodes: DataFrame, edges: DataFrame, limit: int | None = 30, symb
     """(type, id, name, path, line, reason, priority) of refactorings, high before medium before low, then by id.
 
     symbol and path: only of the symbols of that name, of that file. Of rows with
-    one type, name and file the first by id counts.
+    one type, name and file the first by id counts. With a limit, symbols are looked
+    at in order of their ids until three times as many rows are found.
     """
     d = degrees(nodes, edges).withColumn("body", F.col("end_line") - F.col("start_line") + 1)
     chosen = d
@@ -88,6 +91,10 @@ def suggestions(nodes: DataFrame, edges: DataFrame, limit: int | None = 30, symb
         rule("fan_out >= 10", "split", above("fan_out", 14), (c("fan_out"), " outgoing calls: consider splitting what it does")),
     )
     found = d.select("id", "name", "path", F.col("start_line").alias("line"), F.explode(F.array_compact(rules)).alias("r"))
+    if limit:
+        some = found.orderBy("id").limit(3 * limit + MOST_KINDS)  # a bounded number of rows, numbered in one task
+        before = F.count("*").over(Window.orderBy("id").rangeBetween(Window.unboundedPreceding, -1))
+        found = some.withColumn("_before", before).filter(F.col("_before") < 3 * limit).drop("_before")
     first = found.groupBy("r.type", "name", "path").agg(F.min(F.struct("id", "line", "r.reason", "r.level")).alias("f")).select("type", "name", "path", "f.*")
     names = F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), F.col("level") + 1)
     if limit:

@@ -179,8 +179,8 @@ def trace(nodes: DataFrame, edges: DataFrame, source: str, target: str, max_hops
 
 
 def affected_tests(nodes: DataFrame, edges: DataFrame, paths: list[str], depth: int = 5, pattern: str | None = None) -> DataFrame:
-    """(path) of the test files that depend on the files, those of them that are tests themselves included; pattern: a loose glob for what a test is."""
+    """(path) in order, of the test files that depend on the files, those of them that are tests themselves included; pattern: a loose glob for what a test is."""
     seeds = nodes.filter(F.col("path").isin(*paths)).select(F.col("id").alias("node"))
     found = reach(edges, seeds, depth).select(F.col("node").alias("id"))
     is_test = F.col("path").rlike(TEST_PATH if pattern is None else loose_glob(pattern))
-    return nodes.filter(is_test).join(found, "id", "left_semi").select("path").distinct()
+    return nodes.filter(is_test).join(found, "id", "left_semi").select("path").distinct().orderBy("path")

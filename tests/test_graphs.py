@@ -95,10 +95,9 @@ def test_bm25(spark, service):
     notes = {"main": ("function main()", "Entry point"), "handleRequest": ("function handleRequest(req: Request)", "Handles HTTP requests"), "validateEmail": ("function validateEmail(email: string): boolean", "Validates email format"), "formatDate": ("function formatDate(d: Date): string", ""), "orphan": ("function orphan()", ""), "testMain": ("", ""), "authenticate": ("function authenticate(token: string)", "Authenticates user token"), "hashPassword": ("function hashPassword(pw: string)", "")}
     extra = spark.createDataFrame([(n, s, d) for n, (s, d) in notes.items()], "name string, signature string, doc string")
     nodes = service.nodes.drop("signature", "doc").join(extra, "name")
-    docs = nodes.withColumn("signature", F.concat_ws(" ", "signature", "doc"))
-    got = {r.id: r.score for r in search.intent_search(docs, service.edges, "validate email format").collect()}
+    got = {r.id: r.score for r in search.intent_search(nodes, service.edges, "validate email format").collect()}
     assert got == {3: 3.996, 2: 1.802, 7: 1.802, 4: 1.563, 1: 0.992}
-    got = {r.id: r.score for r in search.intent_search(docs, service.edges, "authenticate user token").collect()}
+    got = {r.id: r.score for r in search.intent_search(nodes, service.edges, "authenticate user token").collect()}
     assert got == {7: 5.230, 8: 0.759, 2: 0.674, 3: 0.674}
 
 
@@ -304,3 +303,11 @@ def test_transactions(spark, tmp_path):
     (tmp_path / "u.csv").write_text('id,date,type,amount,category,description,tags\n1,2024-01-02,gift,5,c,d,\n2,2024-01-02,income,-1,c,d,\n3,2024-01-02,income,4,c,d,a;b\n')
     good, bad = export.read_transactions(spark, f"file://{tmp_path}/u.csv")
     assert [r.id for r in good.collect()] == ["3"] and sorted(r.reason for r in bad.collect()) == ["amount", "type"]
+
+
+def test_suggestions_stop_at_three_times_the_limit(spark):
+    nodes = [(k, "src/a.ts", f"dead{k:02}", k, k + 1, 0) for k in range(1, 20)] + [(k, "src/b.ts", f"big{k}", 1, 120, 1) for k in (20, 21)] + [(100 + j, "src/c.ts", f"t{j}", 1, 60, 1) for j in range(6)]
+    g = make(spark, nodes, [(k, 100 + j) for k in (20, 21) for j in range(6)])
+    assert [r.type for r in analytics.suggestions(g.nodes, g.edges, 30).collect()][:2] == ["extract", "extract"]
+    cut = analytics.suggestions(g.nodes, g.edges, 4).collect()
+    assert [(r.type, r.id) for r in cut] == [("dead", k) for k in range(1, 5)]  # the large ones come after twelve others

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import at_work, scratch, slices, staged, tuned
@@ -133,16 +133,21 @@ def set_digest(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(data[:8], "little", signed=True), int.from_bytes(data[8:], "little", signed=True)
 
 
+def text_hash(text: Column) -> Column:
+    """With an id, what a text is found again by; rows with one id can be very many."""
+    return F.xxhash64(text)
+
+
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of two kinds: 0, a document's set size and digest; 1, a token that several sets of a batch have, with their number."""
+    """Rows of two kinds: 0, a document's set size and digest, and its text's hash; 1, a token that several sets of a batch have, with their number."""
 
     def profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_work("jaccard")
-        names = ["kind", "doc_id", "n", "a", "b"]
+        names = ["kind", "doc_id", "n", "a", "b", "t"]
         for batch in slices(batches, SLICE_BYTES, 1):
             sets = shingle_sets(batch.column(1), words)
             digests = [set_digest(s) for s in sets]
-            columns = [np.zeros(len(sets), np.int32), batch.column(0), np.array([len(s) for s in sets], np.int32), np.array([d[0] for d in digests], np.int64), np.array([d[1] for d in digests], np.int64)]
+            columns = [np.zeros(len(sets), np.int32), batch.column(0), np.array([len(s) for s in sets], np.int32), np.array([d[0] for d in digests], np.int64), np.array([d[1] for d in digests], np.int64), batch.column(2)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
             distinct = [*dict(zip(digests, sets, strict=True)).values()]
             tokens = np.sort(np.concatenate(distinct)) if distinct else np.empty(0, np.uint64)
@@ -150,9 +155,9 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
             counts = np.diff(np.r_[starts, len(tokens)])
             often = counts >= LOCAL_COUNT
             token, count = tokens[starts[often]].view(np.int64), counts[often]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), pa.nulls(len(token), batch.schema.field(0).type), pa.array(np.zeros(len(token), np.int32)), pa.array(token), pa.array(count.astype(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), pa.nulls(len(token), batch.schema.field(0).type), pa.array(np.zeros(len(token), np.int32)), pa.array(token), pa.array(count.astype(np.int64)), pa.nulls(len(token), pa.int64())], names)
 
-    return docs.mapInArrow(profile, f"kind int, doc_id {docs.schema[0].dataType.simpleString()}, n int, a long, b long")
+    return docs.withColumn("t", text_hash(F.col("text"))).mapInArrow(profile, f"kind int, doc_id {docs.schema[0].dataType.simpleString()}, n int, a long, b long, t long")
 
 
 def _frequent(profiles: DataFrame) -> np.ndarray:
@@ -261,18 +266,30 @@ def _with_leader(rows: DataFrame, percent: int, turn: int) -> DataFrame:
 
 
 def token_sets(nodes: DataFrame, docs: DataFrame, owners: DataFrame, words: int) -> DataFrame:
-    """(node, tokens), staged: the sorted tokens of the nodes (node); each text is cut once. owners: (node, owner), the document that has a node's text."""
+    """(node, tokens), staged: the sorted tokens of the nodes (node); of rows with one id and text one a task is cut. owners: (node, owner, t), the id and hash of a text that the node has."""
     placed = staged(nodes.join(owners, "node"), "jaccard-placed")
     if placed.count() <= BROADCAST_ROWS:
         placed = F.broadcast(placed)  # else both sides are shuffled
-    texts = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("owner"))).select("node", "text")
+    found = docs.withColumn("_t", text_hash(F.col("text")))
+    texts = found.join(placed, (F.col("_t") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("owner"))).select("node", "text")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_work("jaccard")
+        seen: set[int] = set()
         for batch in slices(batches, SLICE_BYTES, 1):
-            sets = shingle_sets(batch.column(1), words)
-            own = [k for k, (node, s) in enumerate(zip(batch.column(0).to_pylist(), sets, strict=True)) if node in set_digest(s)]  # else another text of a repeated id
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), _lists([sets[k] for k in own])], ["node", "tokens"])
+            nodes = batch.column(0).to_pylist()
+            todo = [k for k, node in enumerate(nodes) if node not in seen]
+            own, sets = [], []
+            while todo:  # a row of each node; of two texts with one hash and id the digest tells the right one
+                first = {nodes[k]: k for k in reversed(todo)}
+                for (node, k), s in zip(first.items(), shingle_sets(batch.column(1).take(pa.array(list(first.values()), pa.int64())), words), strict=True):
+                    if node in set_digest(s):
+                        seen.add(node)
+                        own.append(k)
+                        sets.append(s)
+                tried = set(first.values())
+                todo = [k for k in todo if nodes[k] not in seen and k not in tried]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), _lists(sets)], ["node", "tokens"])
 
     return staged(texts.mapInArrow(cut, "node long, tokens array<long>"), "jaccard-sets")
 
@@ -459,7 +476,8 @@ def _components(source: DataFrame, words: int, percent: int) -> DataFrame:
     clashes = {r.a for r in filled.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low != high").select("a").collect()}
     node = F.when(F.col("a").isin(*clashes), F.col("b")).otherwise(F.col("a")) if clashes else F.col("a")
     filled = filled.withColumn("node", node)
-    owners = staged(filled.groupBy("node").agg(F.min("doc_id").alias("owner")), "jaccard-owners")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "t")).alias("o")
+    owners = staged(filled.groupBy("node").agg(least).select("node", F.col("o.doc_id").alias("owner"), "o.t"), "jaccard-owners")
     first, sent = _first_token_rows(source, words, percent, _frequent(profiles), clashes)
     rows = staged(_shared(first), "jaccard-first")
     sent.destroy()  # workers and executors keep it no longer

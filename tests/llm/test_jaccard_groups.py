@@ -106,3 +106,21 @@ def test_components(spark):
     links = [(k, k + 1) for k in range(200)] + [(500, 501), (501, 500), (7, 7), (900, 800), (900, 850)] + [(1000, k) for k in range(1001, 1100)]
     labels = {r.node: r.label for r in component_labels(spark.createDataFrame(links, "u long, v long")).collect()}
     assert labels == {k: 0 for k in range(201)} | {500: 500, 501: 500, 800: 800, 850: 800, 900: 800} | {k: 1000 for k in range(1000, 1100)}
+
+
+def test_many_rows_without_an_id_or_with_one_id(spark, monkeypatch):
+    """Each of them has a text of its own; what is looked up for a node is its text, not all texts of its id."""
+    rows = [(None if k % 3 else 7, f"text {k % 40} has some words of its own {k % 40} and {k // 80} more of them {k}") for k in range(240)] + [(9, "one text that is there again and again")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    looked_up = []
+    real = jaccard_groups.token_sets
+
+    def counted(nodes, *rest):
+        out = real(nodes, *rest)
+        looked_up.append((nodes.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_groups, "token_sets", counted)
+    out = jaccard_groups.similar_components(docs, words=2, percent=60).collect()
+    assert len(out) == len(rows) and {r.component_id for r in out if r.doc_id == 9} == {9}
+    assert looked_up and all(found <= 2 * wanted + 8 for wanted, found in looked_up)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_windows, compaction, exact_digest, jaccard_groups, language_id, licenses, mixing, tiff, token_files
+from . import bpe, chat_windows, compaction, exact_digest, jaccard_groups, language_id, licenses, mixing, tiff, token_files, whitening
 from .common import staged, staging_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -64,6 +64,11 @@ def op10_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups.similar_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries become whole numbers of 64ths, a million added; 32 components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 32, 64, 1_000_000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_tiff": op1_tiff,
@@ -76,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_bpe": op9_bpe,
         "op10_jaccard_groups": op10_jaccard_groups,
+        "op11_whitening": op11_whitening,
     }
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_windows, compaction, exact_digest, jaccard_groups, language_id, licenses, mixing, tiff, token_files, whitening
+from . import bpe, chat_windows, compaction, exact_digest, jaccard_groups, language_id, licenses, mixing, phrases, tiff, token_files, whitening
 from .common import staged, staging_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -69,6 +69,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 32, 64, 1_000_000)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000).drop("words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_tiff": op1_tiff,
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe": op9_bpe,
         "op10_jaccard_groups": op10_jaccard_groups,
         "op11_whitening": op11_whitening,
+        "op12_phrases": op12_phrases,
     }
 
 
@@ -91,4 +96,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_windows": chat_windows.digests_sql(((-1, 0, "user", SAID), (-1, 1, "assistant", SAID))),
         "op7_licenses": licenses.scan_sql(),
         "op10_jaccard_groups": jaccard_groups.components_sql(),
+        "op12_phrases": phrases.collocations_sql(),
     }

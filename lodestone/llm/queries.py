@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_windows, compaction, exact_digest, jaccard_groups, language_id, licenses, mixing, phrases, tiff, token_files, whitening
+from . import bpe, chat_windows, compaction, exact_digest, jaccard_groups, language_id, licenses, mixing, phrases, quality_rules, tiff, token_files, whitening
 from .common import staged, staging_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -73,6 +73,11 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000).drop("words")
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words"]
+    return quality_rules.judged(table(spark, sf_dir, "documents")).select(*columns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_tiff": op1_tiff,
@@ -87,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard_groups": op10_jaccard_groups,
         "op11_whitening": op11_whitening,
         "op12_phrases": op12_phrases,
+        "op13_quality_rules": op13_quality_rules,
     }
 
 
@@ -97,4 +103,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_licenses": licenses.scan_sql(),
         "op10_jaccard_groups": jaccard_groups.components_sql(),
         "op12_phrases": phrases.collocations_sql(),
+        "op13_quality_rules": quality_rules.judged_sql(),
     }

@@ -17,6 +17,7 @@ COLUMNS = {
     "op8_mixing": "doc_id size source_size target taken",
     "op9_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op10_jaccard_groups": "doc_id n_shingles component_id",
+    "op13_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
 }
 
 
@@ -46,4 +47,4 @@ def test_columns_and_rows(spark, name):
 
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
-    assert set(queries.queries()) | {"pipeline"} <= names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert set(queries.queries()) | {"pipeline"} <= names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))

@@ -21,6 +21,7 @@ hold any character besides those that cut. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -37,8 +38,8 @@ UNDETERMINED = "und"
 BLOCK_BYTES = 4 << 20
 #: Candidates of a part (8 bytes each for the key, 8 for the count, some 4 bits for the hash), at most.
 PART_KEYS = 1 << 20
-#: Hashed counters: the least and the most of them; bits of their table's numbers in a row.
-LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 22
+#: Hashed counters of a pass, and the windows that fall on one as a share of the least count; more windows take more passes.
+BUCKETS, LOAD = 1 << 22, 0.25
 #: Keys that a mapper holds before it hands them on, slots of a row of counts, rows that are summed at once.
 HELD_KEYS, CHUNK_SLOTS, FAN = 1 << 19, 1 << 16, 32
 #: Phrases are ranked within so many shares of a language first.
@@ -201,68 +202,95 @@ def _streams(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield np.frombuffer(stream.as_py(), np.int32)
 
 
-def _counted(chunks: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+_COUNTED = "chunk long, task long, width int, counts binary"
+
+
+def _counts_row(chunk: int, task: int, counts: np.ndarray) -> dict[str, pa.Array]:
+    """Counters of a chunk, in as few bytes as its largest needs."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max()) < 1 << 8 * w)
+    return {"chunk": pa.array([chunk], pa.int64()), "task": pa.array([task], pa.int64()), "width": pa.array([width], pa.int32()), "counts": pa.array([counts.astype(f"<u{width}").tobytes()], pa.binary())}
+
+
+def _counts_of(width: int, counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, f"<u{width}").astype(np.int64)
+
+
+def _counted(total: np.ndarray, chunk_slots: int) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
-    for chunk, counts in chunks.items():
+    for chunk, at in enumerate(range(0, len(total), chunk_slots)):
+        counts = total[at : at + chunk_slots]
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([task], pa.int64()), pa.array([counts.tobytes()], pa.binary())], ["chunk", "task", "counts"])
+            row = _counts_row(chunk, task, counts)
+            yield pa.RecordBatch.from_arrays(list(row.values()), list(row))
 
 
 def tree_summed(counts: DataFrame, tasks: int) -> DataFrame:
-    """(chunk, counts): the arrays (chunk, task, counts) of each chunk, summed; FAN tasks at a time."""
+    """(chunk, width, counts): the arrays of each chunk, summed; FAN tasks at a time."""
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.int64) for b in table.column("counts").to_pylist())
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "task": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = sum(_counts_of(w, b) for w, b in zip(table.column("width").to_pylist(), table.column("counts").to_pylist(), strict=True))
+        return pa.table(_counts_row(key[0].as_py(), key[1].as_py(), total))
 
     while True:
-        counts = counts.groupBy("chunk", F.floor(F.col("task") / FAN).cast("long").alias("of")).applyInArrow(add, "chunk long, task long, counts binary")
+        counts = counts.groupBy("chunk", F.floor(F.col("task") / FAN).cast("long").alias("of")).applyInArrow(add, _COUNTED)
         tasks = -(-tasks // FAN)
         if tasks <= 1:
-            return counts.select("chunk", "counts")
+            return counts.select("chunk", "width", "counts")
+
+
+def _bucket(keys: np.ndarray, passes: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pass, bucket) of each key."""
+    h = _mixed(keys, 99)
+    return (h >> np.uint64(40)) % np.uint64(passes), (h & np.uint64(buckets - 1)).astype(np.int64)
 
 
-def frequent_buckets(level: DataFrame, least: int, windows: int) -> np.ndarray:
-    """A table of bits (packed, at most MOST_BUCKETS of them): which buckets of hashed keys have `least` occurrences or more."""
-    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (max(1, windows) // (2 * least)).bit_length() + 1))
+def frequent_buckets(level: DataFrame, least: int, passes: int, at: int) -> np.ndarray:
+    """Bits (packed, BUCKETS of them): which buckets of the keys of a pass have `least` occurrences or more."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
+        total = np.zeros(BUCKETS, np.int32)
         for stream in _streams(batches):
-            total += np.bincount((_mixed(_pairs(stream)[1], 99) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-        yield from _counted({c: total[c * CHUNK_SLOTS : (c + 1) * CHUNK_SLOTS] for c in range(buckets // CHUNK_SLOTS)})
+            own, bucket = _bucket(_pairs(stream)[1], passes, BUCKETS)
+            which, n = np.unique(bucket[own == at], return_counts=True)
+            total[which] += n.astype(np.int32)
+        yield from _counted(total, CHUNK_SLOTS)
 
-    counts = tree_summed(level.mapInArrow(count, "chunk long, task long, counts binary"), level.rdd.getNumPartitions())
+    counts = tree_summed(level.mapInArrow(count, _COUNTED), level.rdd.getNumPartitions())
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.packbits(np.frombuffer(b, np.int64) >= least).tobytes() for b in batch.column(1).to_pylist()]
+            bits = [np.packbits(_counts_of(w, b) >= least).tobytes() for w, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["chunk", "bits"])
 
-    out = np.zeros(buckets // 8, np.uint8)
-    for row in counts.mapInArrow(mark, "chunk long, bits binary").collect():  # at most MOST_BUCKETS / 8 bytes
+    out = np.zeros(BUCKETS // 8, np.uint8)
+    for row in counts.mapInArrow(mark, "chunk long, bits binary").collect():  # BUCKETS / 8 bytes
         out[row.chunk * CHUNK_SLOTS // 8 :][: len(row.bits)] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
-def candidate_keys(level: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(key), staged: the keys that occur and whose bucket is frequent."""
-    mask = np.uint64(8 * len(bits) - 1)
-
-    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty(0, np.int64)
-        for stream in _streams(batches):
-            keys = _pairs(stream)[1]
-            place = _mixed(keys, 99) & mask
-            keys = keys[bits[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8) & 1 == 1]
-            held = np.unique(np.concatenate([held, keys]))
-            if len(held) > HELD_KEYS:
+def candidate_keys(level: DataFrame, least: int) -> DataFrame:
+    """(key), staged: the keys that occur and whose bucket is frequent; as many passes as keep the buckets from filling up."""
+    windows = (level.agg(F.sum(F.length("stream"))).first()[0] or 0) // 4
+    passes = max(1, math.ceil(windows / (LOAD * least) / BUCKETS))
+    found = []
+    for at in range(passes):
+        bits = frequent_buckets(level, least, passes, at)
+
+        def find(batches: Iterable[pa.RecordBatch], at: int = at, bits: np.ndarray = bits) -> Iterator[pa.RecordBatch]:
+            held = np.empty(0, np.int64)
+            for stream in _streams(batches):
+                keys = _pairs(stream)[1]
+                own, bucket = _bucket(keys, passes, BUCKETS)
+                keys = keys[(own == at) & (bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1 == 1)]
+                held = np.unique(np.concatenate([held, keys]))
+                if len(held) > HELD_KEYS:
+                    yield pa.RecordBatch.from_arrays([pa.array(held)], ["key"])
+                    held = held[:0]
+            if len(held):
                 yield pa.RecordBatch.from_arrays([pa.array(held)], ["key"])
-                held = held[:0]
-        if len(held):
-            yield pa.RecordBatch.from_arrays([pa.array(held)], ["key"])
 
-    return staged(level.mapInArrow(find, "key long").distinct(), "phrases-candidates")
+        found.append(staged(level.mapInArrow(find, "key long").distinct(), "phrases-candidates"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def in_parts(keys: DataFrame, n: int, *more: str) -> Iterator[pa.Table]:
@@ -282,17 +310,17 @@ def slot_counts(level: DataFrame, hashed: Broadcast, least: int) -> DataFrame:
         for stream in _streams(batches):
             slots = part.slots(_pairs(stream)[1])
             total += np.bincount(slots[slots >= 0], minlength=len(total))
-        yield from _counted({c: total[c * CHUNK_SLOTS : (c + 1) * CHUNK_SLOTS] for c in range(-(-len(total) // CHUNK_SLOTS))})
+        yield from _counted(total, CHUNK_SLOTS)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: PerfectHash = hashed.value
         for batch in batches:
-            for chunk, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                f = np.frombuffer(counts, np.int64)
+            for chunk, width, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                f = _counts_of(width, counts)
                 some = np.flatnonzero(f >= least)
                 yield pa.RecordBatch.from_arrays([pa.array(part.keys[some + chunk * CHUNK_SLOTS]), pa.array(f[some])], ["key", "f"])
 
-    counts = tree_summed(level.mapInArrow(count, "chunk long, task long, counts binary"), level.rdd.getNumPartitions())
+    counts = tree_summed(level.mapInArrow(count, _COUNTED), level.rdd.getNumPartitions())
     return counts.mapInArrow(read, "key long, f long")
 
 
@@ -346,8 +374,7 @@ def levels(blocks: DataFrame, least: int, longest: int) -> list[DataFrame]:
         if not n:
             break
         level = _renumbered(blocks, words) if level is None else next_level(level, out[-1], n)
-        windows = level.agg(F.sum(F.length("stream"))).first()[0] or 0
-        keys = candidate_keys(level, frequent_buckets(level, least, windows // 4))
+        keys = candidate_keys(level, least)
         found = []
         for part in in_parts(keys, keys.count()):
             hashed = level.sparkSession.sparkContext.broadcast(PerfectHash(part.column("key").to_numpy()))

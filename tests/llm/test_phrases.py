@@ -73,14 +73,14 @@ def rows():
     return [(t, r.choice(["en", "en", "en", "fr", "und", None])) for t in texts]
 
 
-@pytest.mark.parametrize("least", [2, 9, 40])
+@pytest.mark.parametrize("least", [2, 9])
 def test_against_plain_python(spark, rows, least):
     want = check(phrases.collocations(made(spark, rows), least=least), rows, least)
-    assert least > 9 or len(want) == 3 and all(len(v) > 5 for v in want.values())
+    assert len(want) == 3 and all(len(v) > 5 for v in want.values())
 
 
 def test_parts_blocks_and_shares(spark, rows, monkeypatch):
-    for name, value in {"PART_KEYS": 50, "BLOCK_BYTES": 700, "HELD_KEYS": 20, "CHUNK_SLOTS": 16, "LEAST_BUCKETS": 64, "MOST_BUCKETS": 128, "FAN": 2, "SHARES": 3}.items():
+    for name, value in {"PART_KEYS": 50, "BLOCK_BYTES": 700, "HELD_KEYS": 20, "CHUNK_SLOTS": 16, "BUCKETS": 128, "LOAD": 2.0, "FAN": 2, "SHARES": 3}.items():
         monkeypatch.setattr(phrases, name, value)
     check(phrases.collocations(made(spark, rows, 7), least=9, longest=4, top=6), rows, 9, longest=4, top=6)
 

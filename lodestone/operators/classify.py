@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import half_up, is_test_path
-from lodestone.sources.storage import kept
 
 BUCKETS = ("0", "1-3", "4-7", "8-15", "16+")
 
@@ -113,71 +109,3 @@ def three_cycles(edges: DataFrame, kind: str = "calls") -> DataFrame:
     e = edges.filter(F.col("kind") == kind).select("source_id", "target_id")
     paths = e.toDF("a", "b").filter("a < b").join(e.toDF("b", "c"), "b").filter("a < c")
     return paths.join(e.toDF("c", "a"), ["c", "a"]).select("a", "b", "c")
-
-
-def leading_to_cycles(edges: DataFrame, most_rounds: int = 20) -> DataFrame:
-    """edges (id, source_id, target_id, ...) without the nodes that lead to no cycle, as far as most_rounds tell.
-
-    A node without a way out is taken away again and again. What is left has all
-    cycles and all that leads into them; a depth-first search enters the cycles in
-    the same order as in the whole graph, as nodes that lead nowhere only come and
-    go. More rounds leave less, not something else.
-    """
-    e = kept(edges)
-    before = e.count()
-    for _ in range(most_rounds):
-        e = kept(e.join(e.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi").select(*edges.columns))
-        now = e.count()
-        if now > 0.9 * before:
-            break
-        before = now
-    return e
-
-
-def search_cycles(edges: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
-    """(cycle, path, length, files): a cycle for each back edge of a depth-first search, at most `most`.
-
-    The search starts at the nodes in order of their ids and follows a node's calls,
-    then its imports, each by edge id. It is one ordered walk, so it runs in one
-    task; what it is given are the edges that may lead to cycles. two_cycles and
-    three_cycles are the forms for graphs in which those are many.
-    """
-    place = nodes.select(F.col("id").alias("source_id"), "qualified_name", "path")
-    rows = leading_to_cycles(edges.select("id", "source_id", "target_id", "kind")).join(place, "source_id").withColumn("one", F.lit(1))
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(late=rows.kind != "calls").sort_values(["late", "id"])
-        after: dict[int, list[int]] = {}
-        for s, t in zip(rows.source_id.tolist(), rows.target_id.tolist(), strict=True):
-            after.setdefault(s, []).append(t)
-        name = dict(zip(rows.source_id, rows.qualified_name, strict=True))
-        path = dict(zip(rows.source_id, rows.path, strict=True))
-        done: set[int] = set()
-        known: set[tuple[str, ...]] = set()
-        found: list[tuple] = []
-        for root in sorted(after):
-            if root in done or len(found) >= most:
-                continue
-            stack: list[tuple[int, Iterator[int]]] = [(root, iter(after[root]))]
-            place = {root: 0}
-            while stack and len(found) < most:
-                node, following = stack[-1]
-                to = next(following, None)
-                if to is None:
-                    stack.pop()
-                    del place[node]
-                    done.add(node)
-                elif to in place:
-                    way = [n for n, _ in stack[place[to] :]]
-                    cycle = [name[n] for n in way]
-                    k = cycle.index(min(cycle))
-                    turned = tuple(cycle[k:] + cycle[:k])
-                    if turned not in known:
-                        known.add(turned)
-                        found.append((len(found), [*turned, turned[0]], len(turned), list(dict.fromkeys(path[n] for n in way))))
-                elif to not in done and to in after:
-                    place[to] = len(stack)
-                    stack.append((to, iter(after[to])))
-        return pd.DataFrame(found, columns=["cycle", "path", "length", "files"])
-
-    return rows.groupBy("one").applyInPandas(walk, "cycle int, path array<string>, length int, files array<string>")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import TEST_PATH, lines_between, token_estimate
 from lodestone.operators import ranges, search, traversal
 from lodestone.operators.analytics import risk_of
-from lodestone.operators.classify import search_cycles
+from lodestone.operators.components import search_cycles
 from lodestone.sources.storage import Graph, kept
 
 #: Depth and nodes by kind of answer, before they are adapted.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.vector import dot, rotated
-from lodestone.operators import analytics, classify, context, export, ranges, reports, resolve, retrieval, search, traversal
+from lodestone.operators import analytics, classify, components, context, export, ranges, reports, resolve, retrieval, search, traversal
 from lodestone.plans import engine
 from lodestone.sources import sample_graph, storage
 from lodestone.streaming import changes
@@ -253,7 +253,7 @@ def cycles3(spark, d):
 @query()
 def cycles_dfs(spark, d):
     g = stored(spark, d)
-    return classify.search_cycles(g.edges.filter("kind = 'calls'"), g.nodes)
+    return components.search_cycles(g.edges.filter("kind = 'calls'"), g.nodes)
 
 
 # traversals
@@ -528,7 +528,7 @@ def dna_scores(spark, d):
 @query()
 def dna_health(spark, d):
     g = stored(spark, d)
-    cycles = classify.search_cycles(g.edges.filter(F.col("kind").isin("calls", "imports")), g.nodes)
+    cycles = components.search_cycles(g.edges.filter(F.col("kind").isin("calls", "imports")), g.nodes)
     return analytics.health(g, cycles=cycles.count())
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import language_of, loose_glob, segment_glob
-from lodestone.operators import analytics, classify, context, export, resolve, search, traversal
+from lodestone.operators import analytics, classify, components, context, export, resolve, search, traversal
 from lodestone.sources import code_files, extract
 from lodestone.sources.storage import Graph, change_tiers, distinct_edges, kept, latest_nodes
 
@@ -236,7 +236,7 @@ class CodeBase:
         return classify.dead_code(self.nodes, kind, path).orderBy("id").limit(limit)
 
     def cycles(self, most: int = 50) -> DataFrame:
-        return classify.search_cycles(self.edges.filter(F.col("kind").isin("calls", "imports")), self.nodes, most)
+        return components.search_cycles(self.edges.filter(F.col("kind").isin("calls", "imports")), self.nodes, most)
 
     def stats(self, limit: int = 15) -> dict[str, DataFrame]:
         degree = classify.degrees(self.nodes.select("id"), self.edges)

@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import analytics, classify, context, export, ranges, resolve, search, traversal
+from lodestone.operators import analytics, classify, components, context, export, ranges, resolve, search, traversal
 from lodestone.sources import storage
 from lodestone.sources.storage import Graph
 
@@ -52,7 +52,7 @@ def test_chain(chain):
 
 def test_cycle(spark):
     g = make(spark, [(1, "src/app.ts", "main", 1, 9, 1), (2, "src/app.ts", "unused", 10, 12, 0), (3, "src/utils.ts", "helper", 1, 2, 1), (4, "src/utils.ts", "deadClass", 3, 4, 0), (5, "src/utils.ts", "validate", 5, 6, 0)], [(1, 3), (3, 5), (5, 1)])
-    (cycle,) = classify.search_cycles(g.edges, g.nodes).collect()
+    (cycle,) = components.search_cycles(g.edges, g.nodes).collect()
     assert cycle.path == ["src/app.ts::main", "src/utils.ts::helper", "src/utils.ts::validate", "src/app.ts::main"] and cycle.length == 3
     assert [tuple(r) for r in classify.three_cycles(g.edges).collect()] == [(1, 3, 5)] and classify.two_cycles(g.edges).count() == 0
     role = classify.roles(g.nodes, g.edges)
@@ -60,7 +60,7 @@ def test_cycle(spark):
     assert [r.name for r in classify.dead_code(role, path="app.ts").collect()] == ["unused"]
     assert tuple(classify.average_fan(classify.degrees(g.nodes, g.edges)).first()) == (0.6, 0.6)
     assert {tuple(r) for r in classify.fan_out_histogram(classify.degrees(g.nodes, g.edges)).collect()} == {("0", 2), ("1-3", 3), ("4-7", 0), ("8-15", 0), ("16+", 0)}
-    assert classify.search_cycles(g.edges.filter("id < 3"), g.nodes).count() == 0
+    assert components.search_cycles(g.edges.filter("id < 3"), g.nodes).count() == 0
 
 
 def test_service(service):
@@ -200,17 +200,36 @@ def plain_cycles(edges, names, most):
     return found
 
 
-def test_cycles_in_the_order_of_the_whole_graph(spark):
+def test_components_against_reachability(spark, monkeypatch):
+    r = random.Random(3)
+    for n, m, local in ((1, 1, 0), (6, 8, 2), (30, 40, 6), (40, 160, 20)):
+        monkeypatch.setattr(components, "LOCAL_EDGES", local)
+        pairs = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
+        reach = {v: {v} for e in pairs for v in e}
+        for _ in reach:
+            for s, t in pairs:
+                for v in reach:
+                    if s in reach[v]:
+                        reach[v].add(t)
+        want = {v: (min(w for w in reach if v in reach[w] and w in reach[v]), min(w for w in reach if v in reach[w])) for v in reach}
+        got = components.strong_components(spark.createDataFrame(pairs, "source_id long, target_id long")).collect()
+        assert {x.id: (x.component, x.root) for x in got} == want and len(got) == len(want)
+    assert components.strong_components(spark.createDataFrame([], "source_id long, target_id long")).count() == 0
+
+
+@pytest.mark.parametrize("local", [200_000, 3])
+def test_cycles_in_the_order_of_the_whole_graph(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
     r = random.Random(3)
     cases = [[(1, 5), (5, 2), (2, 3), (3, 5), (2, 5), (3, 2)], [(1, 1), (1, 2)]]
-    for n in (6, 10, 20):
+    for n in (6, 10, 20) if local > 3 else (12,):
         cases.append(sorted({(r.randrange(1, n), r.randrange(1, n), r.choice(["calls", "imports"])) for _ in range(2 * n)}, key=str))
     for pairs in cases:
         edges = [(k + 1, p[0], p[1], p[2] if len(p) > 2 else "calls") for k, p in enumerate(pairs)]
         names = {i: f"n{(i * 7) % 23:02}" for e in edges for i in e[1:3]}
         nodes = spark.createDataFrame([(i, q, f"{q}.py") for i, q in names.items()], "id long, qualified_name string, path string")
-        for most in (2, 50):
-            got = classify.search_cycles(spark.createDataFrame(edges, storage.EDGES), nodes, most).orderBy("cycle").collect()
+        for most in (2, 50) if local > 3 else (4,):
+            got = components.search_cycles(spark.createDataFrame(edges, storage.EDGES), nodes, most).orderBy("cycle").collect()
             assert [c.path for c in got] == plain_cycles(edges, names, most)
             assert all(set(c.files) == {f"{q}.py" for q in c.path} and c.length == len(c.path) - 1 for c in got)
     edges = [(k + 1, s, t, "calls") for k, (s, t) in enumerate(cases[0])]

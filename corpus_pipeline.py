@@ -15,8 +15,8 @@ from lodestone.llm import bpe, jaccard_groups, language_id, mixing
 from lodestone.llm.common import staged, table, tuned
 
 VOCABULARY = "byte_bpe_50k.json"
-#: A column that documents do not have.
-KEY = "_pipeline_row"
+#: The column by which rows go here; the documents' own are numbered meanwhile.
+KEY = "_row"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +35,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A row goes by the 128-bit hash of all its columns, so no text is written or
     shuffled here; only of rows that are repeated one copy a task is.
     """
-    row = lambda seed: F.xxhash64(F.lit(seed), *(F.col(c) for c in docs.columns))
-    keyed = tuned(docs).withColumn(KEY, F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), row(1).alias("a"), row(2).alias("b")))
-    groups = jaccard_groups.similar_components(keyed, id_col=KEY, words=5, percent=80)
+    number = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+    plain = tuned(docs).toDF(*number.values())
+    row = lambda seed: F.xxhash64(F.lit(seed), *(F.col(c) for c in plain.columns))
+    doc_id = F.col(number["doc_id"])
+    keyed = plain.withColumn(KEY, F.struct(doc_id.isNull().alias("missing"), doc_id.alias("id"), row(1).alias("a"), row(2).alias("b")))
+    groups = jaccard_groups.similar_components(keyed, id_col=KEY, text_col=number["text"], words=5, percent=80)
     kept = staged(groups.filter(F.col("component_id") == F.col(KEY)).groupBy(KEY).agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n")), "pipeline-kept")
     once = keyed.join(kept.filter("copies = 1 OR n = 0"), KEY, "left_semi")
-    repeated = keyed.join(kept.filter("copies > 1 AND n > 0"), KEY, "left_semi").groupBy(KEY).agg(*(F.first(c).alias(c) for c in docs.columns))
-    return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    repeated = keyed.join(kept.filter("copies > 1 AND n > 0"), KEY, "left_semi").groupBy(KEY).agg(*(F.first(c).alias(c) for c in plain.columns))
+    return once.select(*plain.columns).unionByName(repeated.select(*plain.columns)).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

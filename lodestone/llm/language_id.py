@@ -234,9 +234,8 @@ def sample_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return [(r.lang, bytes(w)) for r in found.select("lang", windows.alias("windows")).collect() for w in r.windows]
 
 
-def predict(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()) -> DataFrame:
-    """(id, *keep, lang_pred, score): every whole text."""
-    keep = list(keep)
+def _predicted(docs: DataFrame, model: ByteGru | None, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """(_id, _0, _1 ..., lang_pred, score): the columns in keep go by number, so that none can clash."""
     source = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(keep)))
     names = ["_id", *(f"_{k}" for k in range(len(keep)))]
     kinds = [f.dataType.simpleString() for f in source.schema][1:]
@@ -256,8 +255,12 @@ def predict(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], langs, pa.array(np.round(score, 6))], [*names, "lang_pred", "score"])
 
     schema = ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), "lang_pred string, score double"])
-    out = source.mapInArrow(label, schema)
-    return out.select(F.col("_id").alias(id_col), *(F.col(f"_{k}").alias(c) for k, c in enumerate(keep)), "lang_pred", "score")
+    return source.mapInArrow(label, schema)
+
+
+def predict(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score): every whole text."""
+    return _predicted(docs, model, id_col, text_col, []).withColumnRenamed("_id", id_col)
 
 
 def label_positions(docs: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,6 +293,7 @@ def accepted(docs: DataFrame, least_score: float = 0.35) -> DataFrame:
     """docs without those whose language can't be told: no text or letter, or a score below least_score. lang is the predicted one."""
     docs = tuned(docs)
     model = train(sample_windows(docs))
-    others = [c for c in docs.columns if c != "doc_id"]
-    found = predict(docs, model, keep=others).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "lang")]
+    found = _predicted(docs, model, "doc_id", "text", others).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    of = {"doc_id": "_id", "lang": "lang_pred"} | {c: f"_{k}" for k, c in enumerate(others)}
+    return found.select(*(F.col(of[c]).alias(c) for c in docs.columns))

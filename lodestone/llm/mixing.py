@@ -245,26 +245,30 @@ def mixed_counts(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WOR
 
 
 def mixed_texts(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs' columns (doc_id, text, lang, source, n_chars): the passages that the mix takes, as rows.
+    """docs' columns (doc_id, text and source among them): the passages that the mix takes, as rows.
 
     A passage is a run of words of one document and epoch, in its own spelling
-    and spacing; a document that is taken whole once has one row, its text. Texts
-    are read again and found by their hashes, not stored in between; of copies one
-    text a task is moved.
+    and spacing; a document that is taken whole once has one row, its text. n_chars,
+    where it is there, is the passage's; any other column is the document's, whatever
+    its name. Texts are read again and found by their hashes, not stored in between;
+    of copies one text a task is moved.
     """
     rows = sized(docs)
     sources = planned_sources(rows, block_words)
     own = ["_a", "_b"]
     ranges = F.sort_array(F.collect_list(F.struct("first", "last")))
-    runs = mix(rows, sources, seed).groupBy(F.col("a").alias("_a"), F.col("b").alias("_b"), "copy", "epoch").agg(F.max("copies").alias("copies"), ranges.alias("runs"))
-    runs = staged(runs.join(rows.groupBy(F.col("a").alias("_a"), F.col("b").alias("_b")).agg(F.first("size").alias("size")), own).select(*own, "copies", "size", F.transform("runs", lambda r: r["first"]).alias("_first"), F.transform("runs", lambda r: r["last"]).alias("_last")), "mix-runs")
-    texts = keyed(docs, "doc_id", "text", "source")
-    several = runs.filter("copies > 1")
-    once = texts.join(runs.filter("copies = 1"), own)
-    moved = texts.join(several.select(*own).distinct(), own, "left_semi").groupBy(*own).agg(*(F.first(c).alias(c) for c in docs.columns)).join(several, own)
-    columns = [*docs.columns, "size", "_first", "_last"]
+    runs = mix(rows, sources, seed).groupBy(F.col("a").alias("_a"), F.col("b").alias("_b"), "copy", "epoch").agg(F.max("copies").alias("_copies"), ranges.alias("runs"))
+    sizes = rows.groupBy(F.col("a").alias("_a"), F.col("b").alias("_b")).agg(F.first("size").alias("_size"))
+    runs = staged(runs.join(sizes, own).select(*own, "_copies", "_size", F.transform("runs", lambda r: r["first"]).alias("_first"), F.transform("runs", lambda r: r["last"]).alias("_last")), "mix-runs")
+    # the documents' columns go by number, so that none can clash
+    number = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+    texts = keyed(docs.toDF(*number.values()), number["doc_id"], number["text"], number["source"])
+    several = runs.filter("_copies > 1")
+    once = texts.join(runs.filter("_copies = 1"), own)
+    moved = texts.join(several.select(*own).distinct(), own, "left_semi").groupBy(*own).agg(*(F.first(c).alias(c) for c in number.values())).join(several, own)
+    columns = [*number.values(), "_size", "_first", "_last"]
     out = once.select(*columns).unionByName(moved.select(*columns))
-    order, text_at = docs.columns, columns.index("text")
+    text_at = docs.columns.index("text")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_work("mixing")
@@ -276,13 +280,13 @@ def mixed_texts(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORD
                     owners.append(k)
                     texts.append(passage)
             at = pa.array(owners, pa.int64())
-            columns = {c: batch.column(batch.schema.get_field_index(c)).take(at) for c in order}
-            columns["text"] = pa.array(texts, pa.string())
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
+            columns = {name: batch.column(k).take(at) for k, name in enumerate(number.values())}
+            columns[number["text"]] = pa.array(texts, pa.string())
+            if "n_chars" in number:
+                columns[number["n_chars"]] = pa.array([len(t) for t in texts], pa.int64()).cast(columns[number["n_chars"]].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return out.mapInArrow(cut, docs.schema)
+    return out.mapInArrow(cut, out.select(*number.values()).schema).toDF(*docs.columns)
 
 
 def passages(text: str, size: int, ranges: list[tuple[int, int]]) -> list[str]:

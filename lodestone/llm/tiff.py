@@ -2,7 +2,8 @@
 
 The reader takes classic and big TIFF of either byte order, walks the chain of
 image directories, decodes uncompressed, PackBits, LZW and deflate strips or
-tiles, undoes the horizontal predictor and emits one row per page. The writer
+tiles, undoes the horizontal and the floating-point predictor and emits one row per
+page. The writer
 stores bytes losslessly as 8-bit grey samples, 576 to a row, over as many pages
 as are needed.
 
@@ -11,9 +12,11 @@ row with page -1 (or the number of the directory that can't be read) and the
 reason in `error`, null pixels; the pages before it stand. A chain of directories
 that turns back on itself ends with such a row. A page whose samples can't be
 decoded has such a row in its place, and the pages after it follow. Samples are of
-1 (one byte each in pixels), 8 or 16 bits, together or in planes of their own;
-others, predictors but the horizontal one, and other compressions are such errors. Repeated rows give repeated pages; an
-empty table gives an empty table; other columns are not read.
+1, 2, 4 (one byte each in pixels), 8, 16, 32 or 64 bits, whole or floating (from 16
+bits on), together or in planes of their own; others, other predictors and other
+compressions are such errors, and so is a header that asks for more samples than
+its strips can hold. Repeated rows give repeated pages; an empty table gives an
+empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ SLICE_BYTES = 2 << 20
 
 #: Fixed values of the format: compression schemes, sizes of field types, tag numbers.
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
+#: Bytes that a byte makes at most: a 12-bit code stands for fewer than 3,840, a deflate bit for 258 / 2, a PackBits pair for 128.
+MOST_MADE = {LZW: 2_560, DEFLATE: 1_032, DEFLATE_OLD: 1_032, PACKBITS: 64}
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
 TYPE_CODE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC, DESCRIPTION = 256, 257, 258, 259, 262, 270
@@ -274,8 +279,8 @@ class _Reader:
             raise ValueError("too few strips or tiles")
         if any(o < 8 or o + c > len(self.data) for o, c in zip(offsets[:needed], counts[:needed], strict=True)):
             raise ValueError("a strip or tile lies outside the file")
-        # no compression here makes more than 1,100 bytes of one, so what a header can ask for is bounded by the file
-        if needed * down * row_bytes > 1_100 * sum(counts[:needed]) + (1 << 20):
+        # a byte makes at most so many with each compression, so what a header can ask for is bounded by the file
+        if needed * down * row_bytes > MOST_MADE.get(scheme, 1) * sum(counts[:needed]) + (1 << 20):
             raise ValueError("more samples than the strips or tiles can hold")
         out = np.empty((height, width, samples), kind.newbyteorder("="))
         for k in range(needed):

@@ -4,6 +4,7 @@ from collections import Counter
 
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from test_jaccard_groups import tokens
 from tokenizers import Tokenizer
 
@@ -100,3 +101,22 @@ def test_near_copies_keep_a_row_of_each_class_whatever_its_id(spark):
     kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
     assert kept.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(7, a), (None, b), (7, c), (3, d)])
+
+
+#: Names that the stages use inside.
+INSIDE = "size copies _a _b _first _last _copies _size a b row runs lang_pred score _id _text _0 _c0 _row component_id n_shingles n id missing".split()
+
+
+def test_columns_with_any_name_pass_every_stage(spark):
+    """Extra columns, named as the stages' own, come through with their values and change no decision."""
+    docs = table(spark, SF, "documents").limit(60)
+    extra = docs.select(*docs.columns, *(F.concat(F.lit(f"{k}-"), F.col("doc_id")).alias(c) for k, c in enumerate(INSIDE)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, docs = staged(stage(spark, docs, SF), f"test-{name}"), None
+        got = staged(stage(spark, extra, SF), f"test-{name}")
+        assert got.columns == extra.columns
+        assert Counter(tuple(r) for r in got.select(*plain.columns).collect()) == Counter(tuple(r) for r in plain.collect())
+        for k, c in enumerate(INSIDE):
+            assert got.filter(F.col(c) != F.concat(F.lit(f"{k}-"), F.col("doc_id"))).count() == 0
+        docs, extra = plain, got
+    assert corpus_pipeline.encode(spark, extra, SF).count() == docs.count()

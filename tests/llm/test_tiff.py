@@ -164,3 +164,22 @@ def test_wide_samples_and_wrong_headers():
     for predictor, kind in ((2, 3), (3, 1), (4, 1)):
         (page,) = tiff.read_pages(chained([([(256, [1]), (257, [1]), (258, [32]), (317, [predictor]), (339, [kind])], [b"abcd"])]))
         assert "predictor" in page.error
+
+
+@pytest.mark.parametrize("scheme", [tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+def test_the_largest_page_of_one_value(scheme):
+    """As small as a compression can make it: 16 million equal samples in one strip are read, one sample more than the strip can hold is refused."""
+    side = 4000
+    strip = tiff.compress(bytes(side * side), scheme)
+    assert side * side <= tiff.MOST_MADE[scheme] * len(strip)
+    head = 8 + len(strip) + len(strip) % 2
+
+    def page(height):
+        tags = [(256, 4, side), (257, 4, height), (258, 3, 8), (259, 3, scheme), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, height), (279, 4, len(strip))]
+        entries = b"".join(struct.pack("<HHI", tag, kind, 1) + (struct.pack("<HH", value, 0) if kind == 3 else struct.pack("<I", value)) for tag, kind, value in tags)
+        return b"II*\0" + struct.pack("<I", head) + strip.ljust(head - 8, b"\0") + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0)
+
+    (got,) = tiff.read_pages(page(side))
+    assert got.error is None and got.pixels == bytes(side * side)
+    (refused,) = tiff.read_pages(page(400 * side))
+    assert refused.pixels is None and "more samples" in refused.error

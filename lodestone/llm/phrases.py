@@ -22,7 +22,7 @@ hold any character besides those that cut. Other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -40,8 +40,8 @@ BLOCK_BYTES = 4 << 20
 PART_KEYS = 1 << 20
 #: Hashed counters of a pass, and the windows that fall on one as a share of the least count; more windows take more passes.
 BUCKETS, LOAD = 1 << 22, 0.25
-#: Keys that a mapper holds before it hands them on, slots of a row of counts, rows that are summed at once.
-HELD_KEYS, CHUNK_SLOTS, FAN = 1 << 19, 1 << 16, 32
+#: Keys that a mapper holds before it hands them on, shares of a pass's keys, slots of a row of counts, rows that are joined at once.
+HELD_KEYS, KEY_SHARES, CHUNK_SLOTS, FAN = 1 << 19, 16, 1 << 16, 32
 #: Phrases are ranked within so many shares of a language first.
 SHARES = 64
 _LOW = (1 << 32) - 1
@@ -224,18 +224,27 @@ def _counted(total: np.ndarray, chunk_slots: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(list(row.values()), list(row))
 
 
-def tree_summed(counts: DataFrame, tasks: int) -> DataFrame:
-    """(chunk, width, counts): the arrays of each chunk, summed; FAN tasks at a time."""
+def _in_tree(rows: DataFrame, tasks: int, key: str, schema: str, join: Callable[[int, int, pa.Table], pa.Table]) -> DataFrame:
+    """rows (key, task, ...) until one row a key is left: those of FAN neighbouring tasks are joined at a time."""
 
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(_counts_of(w, b) for w, b in zip(table.column("width").to_pylist(), table.column("counts").to_pylist(), strict=True))
-        return pa.table(_counts_row(key[0].as_py(), key[1].as_py(), total))
+    def add(at: tuple, table: pa.Table) -> pa.Table:
+        return join(at[0].as_py(), at[1].as_py(), table)
 
     while True:
-        counts = counts.groupBy("chunk", F.floor(F.col("task") / FAN).cast("long").alias("of")).applyInArrow(add, _COUNTED)
+        rows = rows.groupBy(key, F.floor(F.col("task") / FAN).cast("long").alias("of")).applyInArrow(add, schema)
         tasks = -(-tasks // FAN)
         if tasks <= 1:
-            return counts.select("chunk", "width", "counts")
+            return rows.drop("task")
+
+
+def tree_summed(counts: DataFrame, tasks: int) -> DataFrame:
+    """(chunk, width, counts): the arrays of each chunk, summed."""
+
+    def join(chunk: int, task: int, table: pa.Table) -> pa.Table:
+        total = sum(_counts_of(w, b) for w, b in zip(table.column("width").to_pylist(), table.column("counts").to_pylist(), strict=True))
+        return pa.table(_counts_row(chunk, task, total))
+
+    return _in_tree(counts, tasks, "chunk", _COUNTED, join)
 
 
 def _bucket(keys: np.ndarray, passes: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -268,8 +277,24 @@ def frequent_buckets(level: DataFrame, least: int, passes: int, at: int) -> np.n
     return out
 
 
+_KEYS = "share long, task long, n long, keys binary"
+
+
+def _keys_row(share: int, task: int, keys: np.ndarray) -> dict[str, pa.Array]:
+    return {"share": pa.array([share], pa.int64()), "task": pa.array([task], pa.int64()), "n": pa.array([len(keys)], pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary())}
+
+
+def _shared(keys: np.ndarray, at: int, shares: int) -> Iterator[pa.RecordBatch]:
+    """Distinct sorted keys as an array for each share of a pass."""
+    share = (_mixed(keys, 7) % np.uint64(shares)).astype(np.int64)
+    for k in range(shares):
+        if len(own := keys[share == k]):
+            row = _keys_row(at * shares + k, TaskContext.get().partitionId(), own)
+            yield pa.RecordBatch.from_arrays(list(row.values()), list(row))
+
+
 def candidate_keys(level: DataFrame, least: int) -> DataFrame:
-    """(key), staged: the keys that occur and whose bucket is frequent; as many passes as keep the buckets from filling up."""
+    """(share, n, keys), staged: the keys that occur and whose bucket is frequent, each once, as arrays; as many passes as keep the buckets from filling up."""
     windows = (level.agg(F.sum(F.length("stream"))).first()[0] or 0) // 4
     passes = max(1, math.ceil(windows / (LOAD * least) / BUCKETS))
     found = []
@@ -284,21 +309,38 @@ def candidate_keys(level: DataFrame, least: int) -> DataFrame:
                 keys = keys[(own == at) & (bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1 == 1)]
                 held = np.unique(np.concatenate([held, keys]))
                 if len(held) > HELD_KEYS:
-                    yield pa.RecordBatch.from_arrays([pa.array(held)], ["key"])
+                    yield from _shared(held, at, KEY_SHARES)
                     held = held[:0]
-            if len(held):
-                yield pa.RecordBatch.from_arrays([pa.array(held)], ["key"])
+            yield from _shared(held, at, KEY_SHARES)
+
+        def join(share: int, task: int, table: pa.Table) -> pa.Table:
+            return pa.table(_keys_row(share, task, np.unique(np.concatenate([np.frombuffer(b, np.int64) for b in table.column("keys").to_pylist()]))))
 
-        found.append(staged(level.mapInArrow(find, "key long").distinct(), "phrases-candidates"))
+        found.append(staged(_in_tree(level.mapInArrow(find, _KEYS), level.rdd.getNumPartitions(), "share", _KEYS, join), "phrases-candidates"))
     return reduce(DataFrame.unionByName, found)
 
 
-def in_parts(keys: DataFrame, n: int, *more: str) -> Iterator[pa.Table]:
-    """The n rows of keys in parts of about PART_KEYS, each by itself on the driver."""
+def key_parts(keys: DataFrame) -> Iterator[np.ndarray]:
+    """All keys in parts of at most PART_KEYS, each by itself on the driver."""
+    shares: list[int] = []
+    size = 0
+    sizes = [tuple(r) for r in keys.select("share", "n").orderBy("share").collect()]  # KEY_SHARES rows a pass
+    for share, n in [*sizes, (None, 0)]:
+        if shares and (share is None or size + n > PART_KEYS):
+            rows = keys.filter(F.col("share").isin(shares)).select("keys").toArrow()
+            own = np.concatenate([np.frombuffer(b, np.int64) for b in rows.column("keys").to_pylist()])
+            yield from (own[at : at + PART_KEYS] for at in range(0, len(own), PART_KEYS))
+            shares, size = [], 0
+        shares.append(share)
+        size += n
+
+
+def phrase_parts(phrases: DataFrame, n: int) -> Iterator[pa.Table]:
+    """The n phrases' (key, id) in parts of about PART_KEYS, each by itself on the driver."""
     parts = -(-n // PART_KEYS)
     for p in range(parts):
-        own = keys if parts == 1 else keys.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == p)
-        yield own.select("key", *more).toArrow()
+        own = phrases if parts == 1 else phrases.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == p)
+        yield own.select("key", "id").toArrow()
 
 
 def slot_counts(level: DataFrame, hashed: Broadcast, least: int) -> DataFrame:
@@ -327,7 +369,7 @@ def slot_counts(level: DataFrame, hashed: Broadcast, least: int) -> DataFrame:
 def next_level(level: DataFrame, phrases: DataFrame, n: int) -> DataFrame:
     """(stream), staged: where phrases (key, id) of one word more begin, by their numbers; one pass for each part of them."""
     streams = level.select("stream", F.lit(None).cast("binary").alias("found"))
-    for part in in_parts(phrases, n, "id"):
+    for part in phrase_parts(phrases, n):
         hashed = PerfectHash(part.column("key").to_numpy())
         ids = np.empty(len(hashed.keys), np.int32)
         ids[hashed.slots(part.column("key").to_numpy())] = part.column("id").to_numpy()
@@ -374,10 +416,9 @@ def levels(blocks: DataFrame, least: int, longest: int) -> list[DataFrame]:
         if not n:
             break
         level = _renumbered(blocks, words) if level is None else next_level(level, out[-1], n)
-        keys = candidate_keys(level, least)
         found = []
-        for part in in_parts(keys, keys.count()):
-            hashed = level.sparkSession.sparkContext.broadcast(PerfectHash(part.column("key").to_numpy()))
+        for part in key_parts(candidate_keys(level, least)):
+            hashed = level.sparkSession.sparkContext.broadcast(PerfectHash(part))
             found.append(staged(slot_counts(level, hashed, least), "phrases-counts"))
             hashed.unpersist()
         if not found:

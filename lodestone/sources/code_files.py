@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import LANGUAGES, language_of
+from lodestone.sources.storage import kept
 
 #: Names that are ignored whatever ignore files say, and folders that are ignored unless the settings name others.
 ALWAYS = (".git", "node_modules")
@@ -77,80 +79,96 @@ def ignored(path: Column, rules: list[IgnoreRule]) -> Column:
     return out
 
 
-def in_folder(path: Column, names: Iterable[str]) -> Column:
-    """Whether a folder on the way to the file has one of the names."""
-    parts = F.split(path, "/")
-    folders = F.slice(parts, 1, F.size(parts) - 1)
-    return F.arrays_overlap(folders, F.array(*map(F.lit, names)).cast("array<string>"))
+#: Entries that a task lists before it hands on the folders that are left, tasks of a round, and bytes of files that a task reads.
+TASK_ENTRIES, LISTING_TASKS, READ_BYTES = 20_000, 256, 64 << 20
 
 
 @dataclass(frozen=True)
-class Tree:
-    """What the driver knows of a source tree: its upper folders and their ignore files."""
+class Listing:
+    """The files of a tree, nothing of them read: (path, size, mtime); and the texts of its ignore files by their folders."""
 
-    root: str  # as Spark's readers write it
     uri: str
-    folders: tuple[tuple[str, bool], ...]  # uri, and whether all below it is still to be listed
+    files: DataFrame
     ignore_files: dict[str, str]
 
 
-def survey(spark: SparkSession, root: str) -> Tree:
-    """The folders down to IGNORE_DEPTH, hidden ones and those that are always ignored left out, and the ignore files in them.
+def listing(spark: SparkSession, root: str, skip: Iterable[str] = DEFAULTS) -> Listing:
+    """All files in known languages under root, but for hidden ones and those in hidden folders or folders named in skip, which are never entered.
 
-    The number of those folders bounds what is listed on the driver; what lies
-    deeper is listed in tasks.
+    Tasks list folder by folder, by Arrow's file systems; one that has listed
+    TASK_ENTRIES hands its other folders on to the next round, so neither a wide nor a
+    deep tree is one task's. Ignore files are read down to IGNORE_DEPTH.
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     start = hadoop.Path(root)
-    fs = start.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    todo, folders, texts = [(start, "", 0)], [], {}
-    while todo:
-        folder, base, depth = todo.pop()
-        own = hadoop.Path(folder, IGNORE_FILE)
-        if fs.exists(own):
-            stream = fs.open(own)
-            try:
-                texts[base] = bytes(stream.readAllBytes()).decode("utf-8", "replace")
-            finally:
-                stream.close()
-        folders.append((fs.makeQualified(folder).toUri().toString(), depth == IGNORE_DEPTH))
-        if depth < IGNORE_DEPTH:
-            for status in fs.listStatus(folder):
-                name = status.getPath().getName()
-                if status.isDirectory() and not name.startswith(".") and name not in ALWAYS:
-                    todo.append((status.getPath(), f"{base}{name}/", depth + 1))
-    whole = fs.makeQualified(start)
-    return Tree(whole.toString(), whole.toUri().toString(), tuple(folders), texts)
-
-
-def _underscored(spark: SparkSession, tree: Tree) -> DataFrame:
-    """(path, length, modificationTime, content) of files in known languages with an underscore before their name or a folder's.
-
-    Spark's readers take such names for their own and pass over them, so these
-    files are listed and read in tasks, by Arrow's file systems. A store that
-    Arrow can't open is an error, not a loss of files.
-    """
-    suffixes = tuple(f".{x}" for x in LANGUAGES)
+    uri = start.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(start).toUri().toString()
+    names, suffixes, budget = frozenset(skip), tuple(f".{x}" for x in LANGUAGES), TASK_ENTRIES
 
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as files
 
-        base = files.FileSystem.from_uri(tree.uri)[1].rstrip("/") + "/"
-        for batch in batches:
-            for uri, deep in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                store, folder = files.FileSystem.from_uri(uri)
-                for info in store.get_file_info(files.FileSelector(folder, recursive=deep)):
-                    path = info.path.removeprefix(base)
-                    parts = path.split("/")
-                    if info.type != files.FileType.File or not path.lower().endswith(suffixes) or any(p.startswith(".") for p in parts) or not any(p.startswith("_") for p in parts):
-                        continue
+        store, base = files.FileSystem.from_uri(uri)
+        base = base.rstrip("/") + "/"
+        todo = [f for batch in batches for f in batch.column(0).to_pylist()]
+        seen = 0
+        while todo and (not seen or seen < budget):
+            folder = todo.pop()
+            rows: list[dict] = []
+            for info in store.get_file_info(files.FileSelector(base + folder)):
+                name = info.base_name
+                seen += 1
+                if info.type == files.FileType.Directory:
+                    if not name.startswith(".") and name not in names:
+                        todo.append(f"{folder}{name}/")
+                elif name == IGNORE_FILE and folder.count("/") <= IGNORE_DEPTH:
                     with store.open_input_file(info.path) as stream:
+                        rows.append({"kind": "ignore", "path": folder, "text": stream.read().decode("utf-8", "replace")})
+                elif not name.startswith(".") and name.lower().endswith(suffixes):
+                    rows.append({"kind": "file", "path": folder + name, "size": info.size, "mtime": info.mtime_ns // 1_000 / 1e6})
+            seen += 1
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+        if todo:
+            yield pa.RecordBatch.from_pylist([{"kind": "folder", "path": f} for f in todo], schema)
+
+    schema = pa.schema([("kind", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("mtime", pa.float64()), ("text", pa.string())])
+    folders = spark.createDataFrame([("",)], "path string")
+    found, more = [], 1
+    while more:
+        out = kept(folders.repartition(min(LISTING_TASKS, more)).mapInArrow(walk, "kind string, path string, size long, mtime double, text string"))
+        found.append(out)
+        folders = out.filter("kind = 'folder'").select("path")
+        more = folders.count()
+    everything = reduce(DataFrame.unionByName, found)
+    texts = {r.path: r.text for r in everything.filter("kind = 'ignore'").select("path", "text").collect()}  # rules become one condition, so the driver needs them
+    return Listing(uri, everything.filter("kind = 'file'").select("path", "size", "mtime"), texts)
+
+
+def read_files(files: DataFrame, uri: str) -> DataFrame:
+    """files (path, ...) with content as bytes: opened in tasks of about READ_BYTES; one that has gone since it was listed is left out, one larger than binaryFile's maxLength is an error."""
+    spark = files.sparkSession
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+    total = files.agg(F.sum("size")).first()[0] or 0
+    path_at = files.columns.index("path")
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as kinds
+
+        store, base = kinds.FileSystem.from_uri(uri)
+        base = base.rstrip("/") + "/"
+        for batch in batches:
+            for i, path in enumerate(batch.column(path_at).to_pylist()):
+                try:
+                    with store.open_input_file(base + path) as stream:
+                        if stream.size() > most:
+                            raise ValueError(f"{path} has {stream.size()} bytes, more than spark.sql.sources.binaryFile.maxLength = {most}")
                         content = stream.read()
-                    time = pa.array([info.mtime_ns // 1_000], pa.timestamp("us", "UTC"))
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(content)], pa.int64()), time, pa.array([content], pa.binary())], ["path", "length", "modificationTime", "content"])
+                except FileNotFoundError:
+                    continue
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([content], pa.binary())], [*batch.schema.names, "content"])
 
-    work = spark.createDataFrame(list(tree.folders), "uri string, deep boolean").repartition(min(256, len(tree.folders)))
-    return work.mapInArrow(read, "path string, length long, modificationTime timestamp, content binary")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+    return files.repartition(max(1, -(-total // READ_BYTES)), "path").mapInArrow(read, f"{schema}, content binary")
 
 
 def scan(spark: SparkSession, root: str, rules: list[IgnoreRule] | None = None, ignore_folders: Iterable[str] = DEFAULTS) -> DataFrame:
@@ -158,25 +176,19 @@ def scan(spark: SparkSession, root: str, rules: list[IgnoreRule] | None = None,
 
     Left out are hidden files and folders, folders of the given names, and what
     the ignore rules say: those given, else those of the tree's own ignore files
-    (at the root and down to three folders below it).
+    (at the root and down to three folders below it). Only files that are left are
+    opened. A store that Arrow can't open is an error, not a loss of files.
     """
-    tree = survey(spark, root)
-    rules = ignore_rules(tree.ignore_files) if rules is None else rules
-    base = re.sub(r"^[a-z0-9]+:/*", "/", tree.root).rstrip("/") + "/"
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "^" + re.escape(base), "")
-    plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(path.alias("path"), "length", "modificationTime", "content")
-    both = plain.unionByName(_underscored(spark, tree))
-    known = both.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*LANGUAGES))
-    kept = known.filter(~F.col("path").rlike(r"(^|/)\.") & ~ignored(F.col("path"), rules))
     names = list(ignore_folders)
-    if names:
-        kept = kept.filter(~in_folder(F.col("path"), names))
-    return kept.select(
+    tree = listing(spark, root, names)
+    rules = ignore_rules(tree.ignore_files) if rules is None else rules
+    wanted = tree.files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*LANGUAGES) & ~ignored(F.col("path"), rules))
+    return read_files(wanted, tree.uri).select(
         "path",
         language_of(F.col("path")).alias("language"),
         F.md5("content").alias("hash"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").cast("double").alias("mtime"),
+        F.octet_length("content").cast("long").alias("size"),
+        "mtime",
         F.decode("content", "utf-8").alias("content"),
     )
 

@@ -193,6 +193,39 @@ def test_scan_loses_no_file(spark, tmp_path):
     assert all(r.content == f"# {r.path}" and r.size == len(r.content) and r.language for r in found)
 
 
+def test_scan_opens_only_what_is_left(spark, tmp_path):
+    """Files of 3 GB that are ignored, by folder or by rule, are listed at most; one that is wanted and too large is an error."""
+    root = tree(tmp_path, "a.py", "src/b.py", "gen/c.py")
+    (tmp_path / ".gitignore").write_text("huge*.py\n")
+    for name in ("node_modules/lib/i.js", "src/huge1.py", ".git/objects/pack.py", "blob.bin"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        with open(tmp_path / name, "wb") as f:
+            f.truncate(3 << 30)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", str(1 << 20))
+    try:
+        assert {(r.path, r.size) for r in code_files.scan(spark, root).collect()} == {("a.py", 6), ("src/b.py", 10), ("gen/c.py", 10)}
+        with open(tmp_path / "gen/c.py", "wb") as f:
+            f.truncate(2 << 20)
+        with pytest.raises(Exception, match="maxLength"):
+            code_files.scan(spark, root).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_listing_in_rounds(spark, tmp_path, monkeypatch):
+    """Folders are handed on from round to round, and files that go before they are read are left out."""
+    names = [f"{'/'.join('abc'[k % 3] + str(k) for k in range(d))}/f{d}.py".lstrip("/") for d in range(9)] + [f"w{k}/x.py" for k in range(40)]
+    root = tree(tmp_path, *names)
+    monkeypatch.setattr(code_files, "TASK_ENTRIES", 3)
+    monkeypatch.setattr(code_files, "READ_BYTES", 50)
+    found = code_files.listing(spark, root)
+    assert sorted(r.path for r in found.files.collect()) == sorted(names) and found.ignore_files == {}
+    (tmp_path / "w7/x.py").unlink()
+    read = code_files.read_files(found.files, found.uri)
+    assert {r.path: bytes(r.content) for r in read.collect()} == {n: f"# {n}".encode() for n in names if n != "w7/x.py"}
+    assert code_files.scan(spark, tree(tmp_path / "empty", "x.txt")).count() == 0
+
+
 def test_ignore_files_of_the_tree(spark, tmp_path):
     root = tree(tmp_path, "a.py", "logs/b.py", "src/logs/c.py", "src/gen/d.py", "src/gen/keep.py", "src/x/y/only.py", "src/x/y/z/deep.py", "top/e.py", "sub/top/e.py", "tmp1.py")
     (tmp_path / ".gitignore").write_text("# all\nlogs/\n/top\ntmp?.py\nsrc/gen/*\n!src/gen/keep.py\n")

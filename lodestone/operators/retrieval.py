@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import json
+import uuid
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -11,10 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.vector import dot, hadamard, quantised, robust_scale, rotated, total
+from lodestone.functions.vector import LEAST_SCALE, QUANTILE, dot, hadamard, quantised, robust_scale, rotated, total
+from lodestone.sources.storage import kept, read_text, shared_folder, write_text
 
 #: Queries, and bytes of their vectors, that are sent to every task at once; more of them go in blocks, each with a pass over the documents.
 QUERY_BLOCK, QUERY_BYTES = 4_096, 32 << 20
+#: Vectors of a stored index's block, and the name of its manifest.
+BLOCK_ROWS, MANIFEST = 4_096, "_manifest.json"
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -41,49 +47,157 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return row, ids[at], scores[row, at]
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int, score: Callable[[dict, np.ndarray, list[np.ndarray]], np.ndarray]) -> DataFrame:
-    """(query_id, rank, doc_id, score): for each query its k best documents, scored as blocks of matrices.
-
-    docs: (id, vector, further numbers); queries: (id, vector, further numbers), a
-    stated set whose blocks are bounded in rows and bytes. A task keeps k rows a
-    query, and only those are shuffled. Rows without a vector are left out.
-    """
-    id_col, vector = docs.columns[:2]
-    docs, queries = docs.filter(F.col(vector).isNotNull()), queries.filter(F.col(queries.columns[1]).isNotNull())
-    width = queries.agg(F.max(F.size(queries.columns[1]))).first()[0] or 1
-    blocks = max(1, -(-queries.count() // max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * width)))))
-    part = F.pmod(F.xxhash64(queries.columns[0]), F.lit(blocks))
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = []
+def _sent(queries: DataFrame) -> Iterator[dict]:
+    """The queries (id, vector) in blocks that are bounded in rows and bytes: ids, and vectors as a matrix."""
+    id_col, vector = queries.columns[:2]
+    queries = queries.filter(F.col(vector).isNotNull())
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("width")).first()
+    blocks = max(1, -(-size.n // max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * (size.width or 1))))))
+    part = F.pmod(F.xxhash64(id_col), F.lit(blocks))
     for b in range(blocks):
         block = queries.filter(part == b).toArrow().combine_chunks()
-        sent = {"id": block.column(0).to_numpy(), "v": matrix(block.column(1).combine_chunks()), "more": [c.to_numpy() for c in block.columns[2:]]}
+        yield {"id": block.column(0).to_numpy(), "v": matrix(block.column(1).combine_chunks())}
+
+
+def _kept_best(scored: Iterable[tuple[np.ndarray, np.ndarray]], query_ids: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """Of (ids, scores of all queries with them) the k best of each query."""
+    held = None
+    for ids, scores in scored:
+        row, ids, s = _best(scores, ids, k)
+        if held is not None:
+            row, ids, s = (np.r_[a, x] for a, x in zip(held, (row, ids, s), strict=True))
+            order = np.lexsort((ids, -s, row))
+            row, ids, s = row[order], ids[order], s[order]
+            top = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, ids, s = row[top], ids[top], s[top]
+        held = row, ids, s
+    if held is not None:
+        row, ids, s = held
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(ids), pa.array(s)], ["query_id", "doc_id", "score"])
+
+
+def search_exact(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, doc_id, score): the k best inner products in double of a stated set of queries with all documents, both (vec_id, embedding).
+
+    Scored as products of matrices; a task keeps k rows a query, and only those are
+    shuffled. Rows without a vector are left out.
+    """
+    docs = docs.select("vec_id", "embedding").filter("embedding IS NOT NULL")
+    kind, found = docs.schema["vec_id"].dataType.simpleString(), []
+    for sent in _sent(queries.select("vec_id", "embedding")):
 
         def best(batches: Iterable[pa.RecordBatch], sent: dict = sent) -> Iterator[pa.RecordBatch]:
-            n, held = len(sent["id"]), None
-            for batch in batches:
-                if not batch.num_rows or not n:
-                    continue
-                scores = score(sent, matrix(batch.column(1)), [c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]])
-                row, ids, s = _best(scores, batch.column(0).to_numpy(), k)
-                if held is not None:
-                    row, ids, s = (np.r_[a, x] for a, x in zip(held, (row, ids, s), strict=True))
-                    order = np.lexsort((ids, -s, row))
-                    row, ids, s = row[order], ids[order], s[order]
-                    top = np.arange(len(row)) - np.searchsorted(row, row) < k
-                    row, ids, s = row[top], ids[top], s[top]
-                held = row, ids, s
-            if held is not None:
-                row, ids, s = held
-                yield pa.RecordBatch.from_arrays([pa.array(sent["id"][row]), pa.array(ids), pa.array(s)], ["query_id", "doc_id", "score"])
+            some = (b for b in batches if b.num_rows and len(sent["id"]))
+            yield from _kept_best(((b.column(0).to_numpy(), np.round(sent["v"] @ matrix(b.column(1)).T, 6)) for b in some), sent["id"], k)
 
         found.append(docs.mapInArrow(best, f"query_id {kind}, doc_id {kind}, score double"))
     return top_k(reduce(DataFrame.unionByName, found), k)
 
 
+def quantised_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(q, scale, sums) of a matrix's rows, as robust_scale, quantised and total give them for lists."""
+    sizes = np.sort(np.abs(x), axis=1)
+    place = (x.shape[1] - 1) * QUANTILE
+    low = int(place)
+    below, above = sizes[:, low], sizes[:, min(low + 1, x.shape[1] - 1)]
+    scale = np.maximum((below + (above - below) * (place - low)) / 127, LEAST_SCALE)
+    q = np.clip(np.rint(x / scale[:, None]), -127, 127).astype(np.int8)
+    return q, scale, q.sum(axis=1, dtype=np.int64)
+
+
+@dataclass(frozen=True)
+class VectorIndex:
+    """A stored index of one corpus: blocks of 8-bit vectors with a scale and a sum for each, under a manifest that names the corpus."""
+
+    blocks: DataFrame
+    rows: int
+    width: int
+
+    @staticmethod
+    def identity(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> dict[str, int | str]:
+        """What tells a corpus from others: its rows, and two sums over the hashes of all ids and vectors, in any order."""
+        h = F.xxhash64(F.col(id_col), F.col(vector_col))
+        r = vectors.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"), F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)).alias("s")).first()
+        return {"rows": r.n, "digest": f"{r.x & (1 << 64) - 1:016x}-{int(r.s) & (1 << 128) - 1:032x}", "id": id_col, "vector": vector_col}
+
+    @staticmethod
+    def build(vectors: DataFrame, path: str, id_col: str = "vec_id", vector_col: str = "embedding") -> VectorIndex:
+        """Writes the index; the manifest comes last, so what has one is whole. Vectors that are null, empty or hold a null or a non-finite entry are left out."""
+        spark = vectors.sparkSession
+        source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("v IS NOT NULL AND size(v) > 0")
+
+        def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = matrix(batch.column(1))
+                good = np.flatnonzero(np.isfinite(x).all(axis=1))
+                for at in range(0, len(good), BLOCK_ROWS):
+                    own = good[at : at + BLOCK_ROWS]
+                    q, scale, sums = quantised_rows(x[own])
+                    ids = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), batch.column(0).take(pa.array(own)))
+                    yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), ids, *(pa.array([b.tobytes()], pa.binary()) for b in (q, scale, sums))], ["width", "ids", "q", "scale", "sums"])
+
+        data = f"{path}/data-{uuid.uuid4().hex}"
+        kind = source.schema["id"].dataType.simpleString()
+        source.mapInArrow(pack, f"width int, ids array<{kind}>, q binary, scale binary, sums binary").write.parquet(data)
+        widths = spark.read.parquet(data).agg(F.min("width").alias("a"), F.max("width").alias("b"), F.sum(F.size("ids")).alias("n")).first()
+        if widths.a != widths.b:
+            raise ValueError("vectors differ in length")
+        manifest = {**VectorIndex.identity(vectors, id_col, vector_col), "indexed": widths.n or 0, "width": widths.b or 0, "data": data.rsplit("/", 1)[1]}
+        write_text(spark, f"{path}/{MANIFEST}", json.dumps(manifest))
+        return VectorIndex.open(vectors, path)
+
+    @staticmethod
+    def open(vectors: DataFrame, path: str) -> VectorIndex:
+        """The index under path, if it is that of these vectors and all of it is there; an error otherwise."""
+        spark = vectors.sparkSession
+        text = read_text(spark, f"{path}/{MANIFEST}")
+        if text is None:
+            raise FileNotFoundError(f"no index under {path}")
+        m = json.loads(text)
+        if any(m[k] != v for k, v in VectorIndex.identity(vectors, m["id"], m["vector"]).items()):
+            raise ValueError(f"the index under {path} is that of another corpus")
+        blocks = spark.read.parquet(f"{path}/{m['data']}")
+        if (blocks.agg(F.sum(F.size("ids"))).first()[0] or 0) != m["indexed"]:
+            raise ValueError(f"the index under {path} is not whole")
+        return VectorIndex(blocks, m["indexed"], m["width"])
+
+    @staticmethod
+    def of(vectors: DataFrame, path: str | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> VectorIndex:
+        """The stored index of these vectors, built where there is none of them yet; without a path in the shared folder, under the corpus's identity."""
+        own = VectorIndex.identity(vectors, id_col, vector_col)
+        path = path or f"{shared_folder(vectors.sparkSession)}/vector-index-{own['digest']}"
+        try:
+            return VectorIndex.open(vectors, path)
+        except (FileNotFoundError, ValueError):
+            return VectorIndex.build(vectors, path, id_col, vector_col)
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, rank, doc_id, score) for queries (id, vector): whole-number inner products of the biased queries, the bias taken out again by the documents' sums, then scaled."""
+        kind, found = self.blocks.schema["ids"].dataType.elementType.simpleString(), []
+        for sent in _sent(queries):
+            q, scale, _ = quantised_rows(sent["v"]) if len(sent["id"]) else (np.zeros((0, 1), np.int8), np.zeros(0), None)
+            if len(sent["id"]) and self.rows and q.shape[1] != self.width:
+                raise ValueError(f"queries of {q.shape[1]} numbers for vectors of {self.width}")
+            mine = {"id": sent["id"], "q": q.astype(np.float64) + 128, "scale": scale}
+
+            def scores(batches: Iterable[pa.RecordBatch], mine: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for batch in batches:
+                    for i in range(batch.num_rows if len(mine["id"]) else 0):
+                        ids = batch.column(0)[i].values.to_numpy()
+                        own, scale, sums = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in ((1, np.int8), (2, np.float64), (3, np.int64)))
+                        plain = mine["q"] @ own.reshape(len(ids), -1).T.astype(np.float64) - sums * 128.0  # whole numbers far below 2^53
+                        yield ids, np.round(plain * mine["scale"][:, None] * scale, 6)
+
+            def best(batches: Iterable[pa.RecordBatch], mine: dict = mine) -> Iterator[pa.RecordBatch]:
+                yield from _kept_best(scores(batches, mine), mine["id"], k)
+
+            found.append(self.blocks.select("ids", "q", "scale", "sums").mapInArrow(best, f"query_id {kind}, doc_id {kind}, score double"))
+        return top_k(reduce(DataFrame.unionByName, found), k)
+
+
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, q, scale, q_sum): one byte's worth of information a dimension."""
-    scaled = vectors.select(F.col(id_col), F.col(vector_col).alias("v"), robust_scale(F.col(vector_col)).alias("scale"))
+    scaled = vectors.filter(F.col(vector_col).isNotNull()).select(F.col(id_col), F.col(vector_col).alias("v"), robust_scale(F.col(vector_col)).alias("scale"))
     q = scaled.withColumn("q", quantised(F.col("v"), F.col("scale")))
     return q.select(id_col, "q", "scale", total(F.col("q")).alias("q_sum"))
 
@@ -94,22 +208,6 @@ def top_k(scores: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(query, "rank", doc, "score")
 
 
-def search_exact(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Inner products in double, of a stated set of queries with all documents."""
-    return search(docs.select("vec_id", "embedding"), queries.select("vec_id", "embedding"), k, lambda q, d, _: np.round(q["v"] @ d.T, 6))
-
-
-def search_quantised(index: DataFrame, query_index: DataFrame, k: int) -> DataFrame:
-    """Whole-number inner products of the biased queries, the bias taken out again by the documents' sums, then scaled."""
-
-    def score(q: dict, d: np.ndarray, more: list[np.ndarray]) -> np.ndarray:
-        scale, q_sum = more
-        plain = (q["v"] + 128) @ d.T - q_sum * 128.0  # whole numbers far below 2^53
-        return np.round(plain * q["more"][0][:, None] * scale, 6)
-
-    return search(index.select("vec_id", "q", "scale", "q_sum"), query_index.select("vec_id", "q", "scale"), k, score)
-
-
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """(recall): the mean over the queries of the share of the truth's k that was found."""
     hits = truth.join(found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
@@ -117,19 +215,31 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return by_query.agg(F.round(F.avg("share"), 6).alias("recall"))
 
 
-def in_blocks(queries: DataFrame, scored) -> DataFrame:
-    """The union of scored(block) over blocks of the queries (column query_id) of bounded size."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    return reduce(DataFrame.unionByName, [scored(F.broadcast(numbered.filter(F.col("_block") == b).drop("_block"))) for b in range(blocks)])
+def score_noise(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(n, mean_error, var_error) of quantised against exact inner products of a stated set of queries with all vectors (vec_id, embedding).
 
+    Both products are blocks of matrices, and a task hands on the sums of its errors.
+    """
+    docs, found = vectors.select("vec_id", "embedding").filter("embedding IS NOT NULL"), []
+    moments = "n long, s double, s2 double"
+    for sent in _sent(queries.select("vec_id", "embedding")):
+        if not len(sent["id"]):
+            continue
+        q, scale, _ = quantised_rows(sent["v"])
+        mine = {"v": sent["v"], "q": q.astype(np.float64), "scale": scale}
+
+        def errors(batches: Iterable[pa.RecordBatch], mine: dict = mine) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = matrix(batch.column(1))
+                    own, scale, _ = quantised_rows(x)
+                    e = (mine["q"] @ own.T.astype(np.float64)) * mine["scale"][:, None] * scale - mine["v"] @ x.T
+                    yield pa.RecordBatch.from_arrays([pa.array([e.size]), pa.array([e.sum()]), pa.array([(e * e).sum()])], ["n", "s", "s2"])
 
-def score_noise(index: DataFrame, vectors: DataFrame, query_ids: str) -> DataFrame:
-    """(n, mean_error, var_error) of quantised against exact inner products."""
-    docs = vectors.join(index, "vec_id")
-    queries = docs.filter(query_ids).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("q").alias("qq"), F.col("scale").alias("q_scale"))
-    error = dot(F.col("qq"), F.col("q"), "int") * F.col("q_scale") * F.col("scale") - dot(F.col("qv"), F.col("embedding"))
-    return in_blocks(queries, lambda block: docs.join(block).select(error.alias("e"))).agg(F.count("*").alias("n"), F.round(F.avg("e"), 6).alias("mean_error"), F.round(F.var_pop("e"), 8).alias("var_error"))
+        found.append(docs.mapInArrow(errors, moments))
+    sums = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], moments)
+    n, mean = F.sum("n"), F.sum("s") / F.sum("n")
+    return sums.agg(F.coalesce(n, F.lit(0)).alias("n"), F.round(mean, 6).alias("mean_error"), F.round(F.sum("s2") / n - mean * mean, 8).alias("var_error"))
 
 
 def noise_bounds(vectors: DataFrame, is_query: Column, t: float) -> DataFrame:
@@ -166,14 +276,15 @@ def rotation_table(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def transformed(v: pd.Series) -> pd.Series:
         return pd.Series(list(hadamard(np.stack(v.to_numpy())))) if len(v) else v
 
+    vectors = vectors.filter("embedding IS NOT NULL")
     truth = search_exact(vectors, queries, k)
     ids = queries.select("vec_id")
     out = None
     for method, turned in (("none", F.col("embedding")), ("hadamard", transformed(F.col("embedding"))), ("randomised", rotated(F.col("embedding")))):
-        own = vectors.select("vec_id", turned.alias("embedding"))
+        own = kept(vectors.select("vec_id", turned.cast("array<double>").alias("embedding")))
         index = build_index(own)
         loss = own.join(index, "vec_id").select(F.aggregate(F.zip_with("embedding", "q", lambda x, q: (x.cast("double") - q * F.col("scale")) ** 2), F.lit(0.0), lambda a, x: a + x).alias("e")).agg(F.round(F.avg("e"), 9).alias("mse"))
-        hit = recall(search_quantised(index, index.join(ids, "vec_id", "left_semi"), k), truth, k)
+        hit = recall(VectorIndex.of(own).search(own.join(ids, "vec_id", "left_semi"), k), truth, k)
         row = loss.crossJoin(hit).select(F.lit(method).alias("method"), "mse", "recall")  # one row each
         out = row if out is None else out.unionByName(row)
     return out

@@ -134,6 +134,44 @@ def test_vector_search_by_blocks(spark, monkeypatch):
     assert retrieval.search_exact(ties.limit(0), ties.limit(0), 3).count() == 0
 
 
+def test_stored_vector_index(spark, tmp_path):
+    """Blocks hold what the columns' expressions give; another corpus, or an index that isn't whole, is an error."""
+    vectors = retrieval.gaussian_clusters(spark, 700, 16).select("vec_id", "embedding").repartition(3)
+    odd = spark.createDataFrame([(5000, None), (5001, [float("nan")] * 16)], "vec_id long, embedding array<float>")
+    path = f"file://{tmp_path}/index"
+    index = retrieval.VectorIndex.build(vectors.unionByName(odd), path)
+    assert (index.rows, index.width) == (700, 16)
+    want = {r.vec_id: (r.q, r.scale, r.q_sum) for r in retrieval.build_index(vectors).collect()}
+    got = {}
+    for b in index.blocks.collect():
+        q = np.frombuffer(b.q, np.int8).reshape(len(b.ids), -1)
+        got |= {i: (list(q[k]), float(np.frombuffer(b.scale)[k]), int(np.frombuffer(b.sums, np.int64)[k])) for k, i in enumerate(b.ids)}
+    assert got == want
+    again = retrieval.VectorIndex.open(odd.unionByName(vectors.repartition(5)), path)
+    queries = vectors.filter("vec_id % 50 = 0")
+    found = {(r.query_id, r["rank"], r.doc_id) for r in again.search(queries, 3).collect()}
+    q, scale, _ = (np.array([want[i][c] for i in range(700)]) for c in range(3))
+    scores = np.round(q[::50] @ q.T * scale[::50, None] * scale, 6)
+    assert found == {(50 * r, k + 1, int(d)) for r, row in enumerate(scores) for k, d in enumerate(np.lexsort((np.arange(700), -row))[:3])}
+    with pytest.raises(ValueError, match="another corpus"):
+        retrieval.VectorIndex.open(vectors, path)
+    with pytest.raises(FileNotFoundError):
+        retrieval.VectorIndex.open(vectors, path + "-none")
+    with pytest.raises(ValueError, match="queries of 8"):
+        again.search(retrieval.gaussian_clusters(spark, 10, 8).select("vec_id", "embedding"), 3)
+    shared = retrieval.VectorIndex.of(vectors)
+    assert retrieval.VectorIndex.of(vectors.repartition(2)).blocks.inputFiles() == shared.blocks.inputFiles()
+    none = retrieval.VectorIndex.of(vectors.limit(0))
+    assert none.rows == 0 and none.search(queries, 3).count() == 0 and shared.search(vectors.limit(0), 3).count() == 0
+
+
+def test_exact_search_reads_vectors_as_they_are(spark):
+    """Rows without a vector go by a filter on the stored column, before anything is computed."""
+    plan = retrieval.build_index(spark.read.parquet(f"{SF}/embeddings.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and all("lambda" not in f and "isnotnull(embedding" in f for f in filters)
+
+
 def test_money(spark):
     rows = spark.createDataFrame([(1.005, "USD"), (2.5, "JPY"), (-2.5, "JPY")], "x double, currency string")
     got = [r.r for r in rows.select(reports.rounded(rows.x, rows.currency).alias("r")).collect()]

@@ -69,7 +69,7 @@ def test_vectors(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     index = retrieval.build_index(vectors)
     queries = vectors.filter("vec_id % 50 = 0")
-    recall = retrieval.recall(retrieval.search_quantised(index, index.filter("vec_id % 50 = 0"), 10), retrieval.search_exact(vectors, queries, 10), 10)
+    recall = retrieval.recall(retrieval.VectorIndex.of(vectors).search(queries.select("vec_id", "embedding"), 10), retrieval.search_exact(vectors, queries, 10), 10)
     assert recall.first().recall > 0.85
 
 

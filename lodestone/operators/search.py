@@ -5,15 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.text_index import K1, SHORT_TERM, B, TextIndex
 from lodestone.sources.storage import kept
 
-K1, B = 1.2, 0.75
-SHORT_TERM = 4
-
 
 @dataclass
 class ParsedQuery:
@@ -72,40 +70,6 @@ def inverted_index(rows: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return rows.select(F.explode(F.array_distinct(tokens)).alias("token"), F.col(id_col).alias("id"))
 
 
-#: Folders of postings; a token's folder is told by its first two letters, so one folder has all tokens with a longer beginning.
-BUCKETS = 256
-
-
-def _bucket(token: Column) -> Column:
-    return F.pmod(F.xxhash64(F.substring(token, 1, 2)), F.lit(BUCKETS)).cast("int")
-
-
-class Postings:
-    """An inverted index as a Parquet folder: a folder for each bucket of tokens, sorted by token, so that a query opens what it needs alone."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    @staticmethod
-    def write(rows: DataFrame, path: str, id_col: str, tokens: Column) -> Postings:
-        """Tokens are dealt out by ranges of (bucket, token, id), so a token that most rows have is split."""
-        pairs = inverted_index(rows, id_col, tokens).withColumn("bucket", _bucket(F.col("token")))
-        pairs.repartitionByRange("bucket", "token", "id").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(path)
-        return Postings(rows.sparkSession, path)
-
-    def candidates(self, terms: list[str]) -> DataFrame:
-        """(id) of the rows that has_candidate is true of."""
-        hit = F.col("token").isin(*terms)
-        for term in terms:
-            if len(term) <= SHORT_TERM:
-                hit = hit | F.col("token").startswith(term)
-        stored = self.spark.read.parquet(self.path)
-        if all(len(t) >= 2 for t in terms):  # else a beginning of one letter can be in any folder
-            folders = self.spark.range(1).select(*(_bucket(F.lit(t)) for t in terms)).first()
-            stored = stored.filter(F.col("bucket").isin(*{int(b) for b in folders}))
-        return stored.filter(hit).select("id").distinct()
-
-
 def _any_begins(tokens: Column, term: str) -> Column:
     return F.exists(tokens, lambda t: t.startswith(term))
 
@@ -133,14 +97,14 @@ def may_have(texts: list[Column], terms: list[str]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def keyword_search(rows: DataFrame, query: str, limit: int | None = 20, columns: tuple[str, ...] = ("name", "qualified_name", "signature", "doc"), exported: str | None = "exported", postings: Postings | None = None) -> DataFrame:
-    """rows with rank (the negated score), best first; the first of the columns is the name. postings: an index of the columns' tokens, so that only candidates are read whole."""
+def keyword_search(rows: DataFrame, query: str, limit: int | None = 20, columns: tuple[str, ...] = ("name", "qualified_name", "signature", "doc"), exported: str | None = "exported", index: TextIndex | None = None) -> DataFrame:
+    """rows with rank (the negated score), best first; the first of the columns is the name. index: a stored one of the columns' tokens (document_tokens), so that only candidates are read whole."""
     raw = [t.lower() for t in re.sub(r"[^\w\s]", " ", query, flags=re.ASCII).split()]
     if not raw:
         return rows.limit(0).withColumn("rank", F.lit(0.0))
     terms = list(dict.fromkeys(raw + camel_tokens(query)))
-    if postings is not None:
-        found = rows.join(postings.candidates(terms), "id", "left_semi")
+    if index is not None:
+        found = rows.join(index.candidates(terms), "id", "left_semi")
     else:
         found = rows.filter(may_have([F.coalesce(F.col(c), F.lit("")) for c in columns], terms) & has_candidate(document_tokens(*columns), terms))
     lower = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns]
@@ -183,7 +147,7 @@ def matches(q: ParsedQuery, roles: bool = True) -> Column:
     return out
 
 
-def symbol_search(rows: DataFrame, query: str, limit: int = 20, kind: str | None = None, file: str | None = None) -> DataFrame:
+def symbol_search(rows: DataFrame, query: str, limit: int = 20, kind: str | None = None, file: str | None = None, index: TextIndex | None = None) -> DataFrame:
     """Qualified search: twice the limit of ranked rows, then the filters; fewer than three are filled up by fuzzy rows.
 
     Filters come after the first limit on purpose: a query can have fewer rows
@@ -196,7 +160,7 @@ def symbol_search(rows: DataFrame, query: str, limit: int = 20, kind: str | None
         if not q.filters:
             return rows.limit(0).withColumn("rank", F.lit(0.0))
         return rows.filter(matches(q)).orderBy("id").limit(limit).withColumn("rank", F.lit(0.0))
-    exact = keyword_search(rows, " ".join(q.terms), 2 * limit).filter(matches(q)).select(*columns, F.col("rank").cast("double").alias("rank"))
+    exact = keyword_search(rows, " ".join(q.terms), 2 * limit, index=index).filter(matches(q)).select(*columns, F.col("rank").cast("double").alias("rank"))
     if exact.limit(3).count() >= 3:
         return exact.orderBy("rank", "id").limit(limit)
     near = fuzzy_search(rows, " ".join(q.terms), limit).filter(matches(q)).join(exact.select("id"), "id", "left_anti").select(*columns, "rank")
@@ -213,55 +177,70 @@ def bm25(rows: DataFrame, query: str, tokens: Column, id_col: str = "id", candid
     written, some bytes a row, and the counts and the scores are taken from that.
     """
     terms = camel_tokens(query, T.QUERY_PUNCTUATION)
-    if not terms:
-        return rows.select(F.col(id_col).alias("id")).limit(0).withColumn("score", F.lit(0.0)).withColumn("matched", F.array().cast("array<string>"))
     cut = rows.withColumn("_t", tokens)
     hit = candidates if candidates is not None else has_candidate(F.col("_t"), list(dict.fromkeys(terms)))
+    if not terms:
+        return _scored(rows.select(F.col(id_col).alias("id"), F.lit(0).alias("size")).limit(0), [], 0)
     every = kept(cut.select(F.col(id_col).alias("id"), F.size("_t").alias("size"), hit.alias("hit"), *(_occurrences(F.col("_t"), t).alias(f"tf{k}") for k, t in enumerate(terms))))
-    parts = every.filter("hit")
+    return _scored(every.filter("hit"), terms, every.count() if total is None else total)
+
+
+def bm25_indexed(index: TextIndex, query: str) -> DataFrame:
+    """What bm25 gives of the rows that a stored index holds, from the postings of the query's terms alone."""
+    terms = camel_tokens(query, T.QUERY_PUNCTUATION)
+    return _scored(kept(index.bm25_parts(terms)), terms, index.counts()[0])
+
+
+def _scored(parts: DataFrame, terms: list[str], total: int) -> DataFrame:
+    """(id, score, matched) of parts (id, size, a count for each term)."""
     counts = parts.agg(F.avg("size").alias("mean"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))))
-    n = F.lit(every.count() if total is None else total)
+    n = F.lit(total)
     scored = parts.crossJoin(F.broadcast(counts))  # one row of counts
     score = F.lit(0.0)
     for k in range(len(terms)):
         tf, df = F.col(f"tf{k}").cast("double"), F.col(f"df{k}").cast("double")
         idf = F.ln((n - df + 0.5) / (df + 0.5) + 1)
         score = score + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    matched = F.array_distinct(F.array_compact(F.array(*(F.when(F.col(f"tf{k}") > 0, F.lit(t)) for k, t in enumerate(terms)))))
+    matched = F.array_distinct(F.array_compact(F.array(*(F.when(F.col(f"tf{k}") > 0, F.lit(t)) for k, t in enumerate(terms))).cast("array<string>")))
     return scored.select("id", score.alias("score"), matched.alias("matched")).filter("score > 0").withColumn("score", T.half_up(F.col("score"), 3))
 
 
-def first_neighbours(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """(id, others) of each node's first callers, and of its first callees, by edge id."""
+def first_neighbours(edges: DataFrame, most: int, of: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, others) of each node's first callers, and of its first callees, by edge id; of: (id) the nodes that are asked for. A node's neighbours are cut to `most` before they are sent."""
     calls = edges.filter("kind = 'calls'")
 
     def first(own: str, other: str) -> DataFrame:
-        # the least ones by edge id; slicing keeps what is sent on small
-        listed = calls.groupBy(F.col(own).alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("e"), F.col(other).alias("o")))).alias("all"))
-        return listed.select("id", F.transform(F.slice("all", 1, most), lambda x: x["o"]).alias("others"))
+        mine = calls.select(F.col(own).alias("id"), F.col("id").alias("e"), F.col(other).alias("o"))
+        if of is not None:
+            mine = mine.join(of.select("id").distinct(), "id", "left_semi")
+        ranked = mine.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("e"))).filter(F.col("_k") <= most)
+        listed = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_k", "o"))).alias("all"))
+        return listed.select("id", F.transform("all", lambda x: x["o"]).alias("others"))
 
     return first("target_id", "source_id"), first("source_id", "target_id")
 
 
-def intent_search(nodes: DataFrame, edges: DataFrame, query: str, kind: str | None = None) -> DataFrame:
+def intent_search(nodes: DataFrame, edges: DataFrame, query: str, kind: str | None = None, index: TextIndex | None = None) -> DataFrame:
     """(id, score, matched) of symbols by BM25 over their own words and their neighbours' names.
 
-    Candidates are widened by the first three callers and callees of each.
+    Candidates are widened by the first three callers and callees of each. index: a
+    stored one of the symbols' own words.
     """
     terms = list(dict.fromkeys(camel_tokens(query, T.QUERY_PUNCTUATION)))
     if not terms:
         return nodes.select("id").limit(0).withColumn("score", F.lit(0.0)).withColumn("matched", F.array().cast("array<string>"))
     total = nodes.count()
     own = [c for c in ("name", "qualified_name", "signature", "doc") if c in nodes.columns]
-    found = nodes.filter(has_candidate(document_tokens(*own), terms)).select("id")
+    found = kept(index.candidates(terms) if index is not None else nodes.filter(has_candidate(document_tokens(*own), terms)).select("id"))
     wide = found
-    for near in first_neighbours(edges, 3):
+    for near in first_neighbours(edges, 3, found):
         wide = wide.union(found.join(near, "id").select(F.explode("others").alias("id")))
-    chosen = nodes.join(wide.distinct(), "id", "left_semi")
+    wide = kept(wide.distinct())
+    chosen = nodes.join(wide, "id", "left_semi")
     if kind:
         chosen = chosen.filter(F.col("kind") == kind)
     names = nodes.select(F.col("id").alias("o"), F.col("name").alias("other_name"))
-    for label, near in zip(("callers", "callees"), first_neighbours(edges, 5), strict=True):
+    for label, near in zip(("callers", "callees"), first_neighbours(edges, 5, wide), strict=True):
         words = near.select("id", F.posexplode("others").alias("k", "o")).join(names, "o")
         words = words.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "other_name"))), lambda x: x["other_name"]), " ").alias(label))
         chosen = chosen.join(words, "id", "left")

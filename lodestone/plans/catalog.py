@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions.vector import dot, rotated
 from lodestone.operators import analytics, classify, components, context, export, ranges, reports, resolve, retrieval, search, traversal
+from lodestone.operators.text_index import TextIndex
 from lodestone.plans import engine
 from lodestone.sources import sample_graph, storage
 from lodestone.streaming import changes
@@ -606,10 +607,23 @@ def fts_parts(spark, d):
 DOC_SCORE = " + ".join(f"CASE WHEN lower(source) = '{t}' THEN 100 WHEN starts_with(lower(source), '{t}') THEN 50 WHEN contains(lower(source), '{t}') THEN 20 WHEN contains(lower(text), '{t}') THEN 5 ELSE 0 END" for t in ("license", "src1"))
 
 
+def indexed_docs(spark, d):
+    """documents with their id as id, and the stored index of their sources and texts."""
+    docs = read(spark, d, "documents").withColumnRenamed("doc_id", "id")
+    return docs, TextIndex.of(docs, search.document_tokens("source", "text"), "id", "documents")
+
+
 @query("WITH t AS (SELECT *, " + tokens_sql("source || ' ' || text") + f" AS toks FROM documents) SELECT doc_id AS id, -({DOC_SCORE}) AS rank FROM t WHERE {keyword_sql(['license', 'src1'], DOC_SCORE)}")
 def fts_docs(spark, d):
-    docs = read(spark, d, "documents").withColumnRenamed("doc_id", "id")
-    return search.keyword_search(docs, "license src1", None, ("source", "text"), None).select("id", "rank")
+    """Candidates come from the stored index, which the first call writes to the shared folder."""
+    docs, index = indexed_docs(spark, d)
+    return search.keyword_search(docs, "license src1", None, ("source", "text"), None, index).select("id", "rank")
+
+
+@query("WITH t AS (SELECT *, " + tokens_sql("source || ' ' || text") + f" AS toks FROM documents) SELECT doc_id AS id, -({DOC_SCORE}) AS rank FROM t WHERE {keyword_sql(['license', 'src1'], DOC_SCORE)} ORDER BY rank, id LIMIT 20")
+def fts_top(spark, d):
+    docs, index = indexed_docs(spark, d)
+    return search.keyword_search(docs, "license src1", 20, ("source", "text"), None, index).select("id", "rank")
 
 
 def trigrams_sql(x: str) -> str:
@@ -645,8 +659,24 @@ def bm25_sql(rows: str, terms: list[str], n: str) -> str:
 
 @query(bm25_sql("WITH t AS (SELECT doc_id AS id, " + tokens_sql("text", QUERY_CLASS) + " AS toks FROM documents)", BM25_TERMS, "(SELECT count(*) FROM documents)"))
 def bm25_docs(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "text")
-    return search.bm25(docs, " ".join(BM25_TERMS), T.tokens(F.coalesce("text", F.lit("")), T.QUERY_PUNCTUATION), "doc_id").select("id", "score")
+    return search.bm25_indexed(indexed_texts(spark, d), " ".join(BM25_TERMS)).select("id", "score")
+
+
+def indexed_texts(spark, d):
+    docs = read(spark, d, "documents")
+    return TextIndex.of(docs, T.tokens(F.coalesce("text", F.lit("")), T.QUERY_PUNCTUATION), "doc_id", "texts")
+
+
+TOP_SCORE = " + ".join(f"ln((n - df{k} + 0.5::DOUBLE) / (df{k} + 0.5::DOUBLE) + 1) * (tf{k} * 2.2::DOUBLE) / (tf{k} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))" for k in range(len(BM25_TERMS)))
+
+
+@query(
+    "WITH t AS (SELECT doc_id AS id, " + tokens_sql("text", QUERY_CLASS) + " AS toks FROM documents), c AS (SELECT id, len(toks) AS dl, " + ", ".join(f"len(list_filter(toks, lambda t: t = '{x}')) AS tf{k}" for k, x in enumerate(BM25_TERMS)) + " FROM t),"
+    " m AS (SELECT count(*) AS n, avg(dl) AS mean, " + ", ".join(f"(count(*) FILTER (tf{k} > 0))::DOUBLE AS df{k}" for k in range(len(BM25_TERMS))) + f" FROM c) SELECT id, round({TOP_SCORE}, 6) AS score FROM c, m WHERE ({TOP_SCORE}) > 0 ORDER BY {TOP_SCORE} DESC, id LIMIT 20"
+)
+def bm25_top(spark, d):
+    """The best twenty by block maxima, with the mean length of all documents."""
+    return indexed_texts(spark, d).ranked(BM25_TERMS, 20).withColumn("score", F.round("score", 6))
 
 
 @query()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import language_of, loose_glob, segment_glob
 from lodestone.operators import analytics, classify, components, context, export, resolve, search, traversal
+from lodestone.operators.text_index import TextIndex
 from lodestone.sources import code_files, extract
 from lodestone.sources.storage import Graph, change_tiers, distinct_edges, kept, latest_nodes
 
@@ -190,12 +191,18 @@ class CodeBase:
                 degree = ends.count() / symbols
         return context.limits(tool, self.size, degree, depth, most)
 
+    @cached_property
+    def text_index(self) -> TextIndex:
+        """The stored index of the symbols' words; a code base with the same tables finds it again."""
+        own = [c for c in ("name", "qualified_name", "signature", "doc") if c in self.nodes.columns]
+        return TextIndex.of(self.nodes, search.document_tokens(*own), "id", "symbols")
+
     def search(self, query: str, limit: int = 10) -> DataFrame:
         checked(query, "query")
-        return search.symbol_search(self.nodes, query, max(1, min(100, limit)))
+        return search.symbol_search(self.nodes, query, max(1, min(100, limit)), index=self.text_index)
 
     def intent_search(self, query: str, limit: int = 20, kind: str | None = None) -> DataFrame:
-        found = search.intent_search(self.nodes, self.edges, query, kind)
+        found = search.intent_search(self.nodes, self.edges, query, kind, self.text_index)
         return found.orderBy(F.desc("score"), "id").limit(limit)
 
     def callers(self, name: str, depth: int | None = None, most: int | None = None) -> DataFrame:

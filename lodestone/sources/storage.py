@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,33 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that must not be there yet."""
+    place, fs = _place(spark, path)
+    stream = fs.create(place, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none where there is no folder."""
+    place, fs = _place(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def source_identity(df: DataFrame) -> str:
+    """What tells rows from others: the paths, sizes and times of the files they are read from, of which footers alone are read; for rows from elsewhere all their values."""
+    try:
+        files = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").alias("t")).distinct()
+        r = files.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("p", "s", "t")), F.lit(0)).alias("x")).first()
+    except AnalysisException:
+        r = df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("x"), F.coalesce(F.sum(F.xxhash64(F.lit(1), *df.columns).cast("decimal(20,0)")), F.lit(0)).alias("s")).first()
+        return f"{r.n}-{r.x & (1 << 64) - 1:016x}-{int(r.s) & (1 << 64) - 1:016x}"
+    return f"{r.n}-{r.x & (1 << 64) - 1:016x}"
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file's text; None where there is none."""
     place, fs = _place(spark, path)

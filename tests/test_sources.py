@@ -287,18 +287,6 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
-def test_postings_equal_a_scan(spark, tmp_path):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumnRenamed("doc_id", "id")
-    tokens = search.document_tokens("source", "text")
-    index = search.Postings.write(docs, f"file://{tmp_path}/postings", "id", tokens)
-    for query in ("license src1", "the", "x", "quality data", "no-such-word"):
-        scan = search.keyword_search(docs, query, None, ("source", "text"), None).select("id", "rank")
-        found = search.keyword_search(docs, query, None, ("source", "text"), None, index).select("id", "rank")
-        assert sorted(map(tuple, scan.collect())) == sorted(map(tuple, found.collect()))
-    plan = index.candidates(["license"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(token,license)" in plan
-
-
 def test_texts_are_cut_once(spark):
     docs = spark.createDataFrame([(1, "license the Version"), (2, "ΑΣ'Β x"), (3, None)], "id long, text string")
     found = search.keyword_search(docs, "ας", None, ("text",), None)

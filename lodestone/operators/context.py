@@ -102,7 +102,7 @@ def _walks(graph: Graph, seeds: list[int], depth: int, most: int) -> dict[int, l
     """For each seed what it reaches in both directions over all kinds of edges, in order; so many seeds times `most` rows come to the driver."""
     out: dict[int, list] = {}
     if seeds:
-        walks, _ = traversal.traverse_each(graph.edges, graph.edges.sparkSession.createDataFrame([(s,) for s in seeds], "seed long"), depth, most, "both", None)
+        walks, _ = traversal.traverse_each(graph.ways, graph.edges.sparkSession.createDataFrame([(s,) for s in seeds], "seed long"), depth, most, "both", None)
         for r in walks.orderBy("ord").collect():
             out.setdefault(r.seed, []).append(r)
     return out
@@ -137,7 +137,7 @@ def plan_risk(graph: Graph, names: list[str] = (), files: list[str] = (), depth:
     """
     chosen = graph.nodes.filter(F.col("name").isin(*names) | F.col("path").isin(*files)) if names or files else graph.nodes.limit(0)
     targets = kept(chosen.select("id", "name", "qualified_name"))
-    walks, cut = traversal.traverse_each(graph.edges, targets.select(F.col("id").alias("seed")), depth, most)
+    walks, cut = traversal.traverse_each(graph.ways, targets.select(F.col("id").alias("seed")), depth, most)
     first = walks.groupBy("node").agg(F.min(F.struct("seed", "depth")).alias("f")).select(F.col("node").alias("id"), F.col("f.depth").alias("depth"))
     impacted = kept(graph.nodes.select("id", "name", "path").join(first, "id"))
     paths = impacted.select("path").distinct()

@@ -19,7 +19,7 @@ def gathered(graph: Graph, symbol: str | None = None, depth: int = 4, most: int
     """The part to export: the neighbourhood of the first symbol of that name, else the first nodes by id; edges between them."""
     if symbol is not None:
         first = graph.nodes.filter(F.col("name") == symbol).orderBy("id").first()
-        ids = traversal.traverse(graph.edges, first.id, depth, most, "both", None).nodes.select(F.col("node").alias("id")) if first else graph.nodes.limit(0).select("id")
+        ids = traversal.traverse(graph.ways, first.id, depth, most, "both", None).nodes.select(F.col("node").alias("id")) if first else graph.nodes.limit(0).select("id")
     else:
         ids = graph.nodes.orderBy("id").limit(MOST).select("id")
     nodes = graph.nodes.join(ids, "id", "left_semi")

@@ -13,6 +13,7 @@ from lodestone.operators import analytics, classify, components, context, export
 from lodestone.operators.text_index import TextIndex
 from lodestone.plans import engine
 from lodestone.sources import sample_graph, storage
+from lodestone.sources.adjacency import Adjacency
 from lodestone.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,9 +59,16 @@ def graph(spark: SparkSession, sf_dir: str, dense: bool = False) -> storage.Grap
 
 
 def stored(spark: SparkSession, sf_dir: str, dense: bool = False) -> storage.Graph:
-    """The graph, written once: what reads it again and again must not derive it each time."""
+    """The graph's tables and its edges by node, written to the shared folder once for each state of the tables that they come from."""
+    own = "-".join(storage.source_identity(read(spark, sf_dir, t)) for t in sample_graph.TABLES)
+    path = f"{storage.shared_folder(spark)}/graph-{'dense' if dense else 'sparse'}-{own}"
     g = graph(spark, sf_dir, dense)
-    return storage.Graph(g.files, storage.kept(g.nodes), storage.kept(g.edges))
+    ways = Adjacency.open(spark, f"{path}/ways")
+    if ways is None:  # its mark comes last, so with one all of it is there
+        for name in ("nodes", "edges"):
+            getattr(g, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    nodes, edges = (spark.read.schema(getattr(g, name).schema).parquet(f"{path}/{name}") for name in ("nodes", "edges"))
+    return storage.Graph(g.files, nodes, edges, adjacency=ways or Adjacency.write(edges, f"{path}/ways"))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -267,19 +275,19 @@ def reach_sql(start: str, step: str, depth: int) -> str:
 @query(BASE + DEGREES + reach_sql(MOST_OUT, "c.target_id, w.depth + 1", 3) % "calls c ON c.source_id = w.node")
 def bfs_forward(spark, d):
     g = stored(spark, d)
-    return traversal.traverse(g.edges, seed(g, "fan_out"), 3, 2_000).nodes.select("node", "depth")
+    return traversal.traverse(g.ways, seed(g, "fan_out"), 3, 2_000).nodes.select("node", "depth")
 
 
 @query(BASE + DEGREES + reach_sql(MOST_IN, "c.source_id, w.depth + 1", 3) % "calls c ON c.target_id = w.node")
 def bfs_backward(spark, d):
     g = stored(spark, d)
-    return traversal.traverse(g.edges, seed(g, "fan_in"), 3, 2_000, "backward").nodes.select("node", "depth")
+    return traversal.traverse(g.ways, seed(g, "fan_in"), 3, 2_000, "backward").nodes.select("node", "depth")
 
 
 @query(BASE + DEGREES + reach_sql(MOST_OUT, "c.v, w.depth + 1", 2) % "(SELECT source_id AS u, target_id AS v FROM edges UNION SELECT target_id, source_id FROM edges) c ON c.u = w.node")
 def bfs_both(spark, d):
     g = stored(spark, d)
-    return traversal.traverse(g.edges, seed(g, "fan_out"), 2, 2_000, "both", None).nodes.select("node", "depth")
+    return traversal.traverse(g.ways, seed(g, "fan_out"), 2, 2_000, "both", None).nodes.select("node", "depth")
 
 
 BEST = ", best AS (SELECT id FROM fans WHERE name = 'red_widget' ORDER BY fan_in + fan_out DESC, id LIMIT 1)"
@@ -288,26 +296,26 @@ BEST = ", best AS (SELECT id FROM fans WHERE name = 'red_widget' ORDER BY fan_in
 @query(BASE + DEGREES + BEST + reach_sql("id", "c.source_id, w.depth + 1", 3).replace("AS node, 0 AS depth UNION", "AS node, 0 AS depth FROM best UNION") % "calls c ON c.target_id = w.node")
 def callers(spark, d):
     g = stored(spark, d)
-    return traversal.callers(g.nodes, g.edges, "red_widget", 3, 2_000)
+    return traversal.callers(g.nodes, g.ways, "red_widget", 3, 2_000)
 
 
 @query(BASE + DEGREES + BEST + reach_sql("id", "c.target_id, w.depth + 1", 3).replace("AS node, 0 AS depth UNION", "AS node, 0 AS depth FROM best UNION") % "calls c ON c.source_id = w.node")
 def callees(spark, d):
     g = stored(spark, d)
-    return traversal.callees(g.nodes, g.edges, "red_widget", 3, 2_000)
+    return traversal.callees(g.nodes, g.ways, "red_widget", 3, 2_000)
 
 
 @query(BASE + ", walk AS (SELECT id AS node, 0 AS depth FROM nodes WHERE path = 'src/mod1/brand_1.py' UNION SELECT e.source_id, w.depth + 1 FROM walk w JOIN edges e ON e.target_id = w.node WHERE w.depth < 2) SELECT node, min(depth) AS depth FROM walk GROUP BY 1")
 def impact_set(spark, d):
     g = stored(spark, d)
     seeds = g.nodes.filter("path = 'src/mod1/brand_1.py'").select(F.col("id").alias("node"))
-    return traversal.reach(g.edges, seeds, 2)
+    return traversal.reach(g.ways, seeds, 2)
 
 
 @query()
 def impact(spark, d):
     g = stored(spark, d)
-    return traversal.impact(g.nodes, g.edges, "red_widget", 2, 20)
+    return traversal.impact(g.nodes, g.ways, "red_widget", 2, 20)
 
 
 @query(
@@ -317,13 +325,13 @@ def impact(spark, d):
 )
 def trace_len(spark, d):
     g = stored(spark, d)
-    return spark.createDataFrame([(len(traversal.trace(g.nodes, g.edges, "red_widget", "blue_bolt")),)], "total_hops long")
+    return spark.createDataFrame([(len(traversal.trace(g.nodes, g.ways, "red_widget", "blue_bolt")),)], "total_hops long")
 
 
 @query(BASE + f", walk AS (SELECT id AS node, 0 AS depth FROM nodes WHERE path IN ('src/mod1/brand_1.py', 'src/mod2/brand_2.c', 'src/__tests__/brand_5.test.ts') UNION SELECT e.source_id, w.depth + 1 FROM walk w JOIN edges e ON e.target_id = w.node WHERE w.depth < 3) SELECT DISTINCT path FROM walk JOIN nodes n ON n.id = node WHERE {TEST}")
 def affected_tests(spark, d):
     g = stored(spark, d)
-    return traversal.affected_tests(g.nodes, g.edges, ["src/mod1/brand_1.py", "src/mod2/brand_2.c", "src/__tests__/brand_5.test.ts"], 3)
+    return traversal.affected_tests(g.nodes, g.ways, ["src/mod1/brand_1.py", "src/mod2/brand_2.c", "src/__tests__/brand_5.test.ts"], 3)
 
 
 def near_sql(own: str, other: str) -> str:

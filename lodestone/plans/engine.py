@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
@@ -13,7 +14,8 @@ from lodestone.functions.text import language_of, loose_glob, segment_glob
 from lodestone.operators import analytics, classify, components, context, export, resolve, search, traversal
 from lodestone.operators.text_index import TextIndex
 from lodestone.sources import code_files, extract
-from lodestone.sources.storage import Graph, change_tiers, distinct_edges, kept, latest_nodes
+from lodestone.sources.adjacency import Adjacency
+from lodestone.sources.storage import Graph, change_tiers, distinct_edges, kept, latest_nodes, shared_folder
 
 #: The longest text that is taken as an input, and the kinds of rules.
 MOST_INPUT = 10_000
@@ -115,7 +117,9 @@ def _linked(files: DataFrame, nodes: DataFrame, refs: DataFrame, imports: DataFr
     edges = _numbered(resolved.unionByName(imported).distinct(), "id", "source_id", "target_id", "kind").select("id", "source_id", "target_id", "kind")
     classified = classify.roles(nodes, edges).drop("fan_in", "fan_out")
     stamped = kept(files.drop("content").withColumn("indexed_at", F.unix_millis(F.current_timestamp())))
-    return CodeBase(Graph(stamped, kept(classified), edges, refs), files.select("path", "content"), routes, imports)
+    edges = kept(edges)
+    ways = Adjacency.write(edges, f"{shared_folder(edges.sparkSession)}/ways-{uuid.uuid4().hex}")
+    return CodeBase(Graph(stamped, kept(classified), edges, refs, ways), files.select("path", "content"), routes, imports)
 
 
 def index_files(sources: DataFrame) -> CodeBase:
@@ -206,22 +210,22 @@ class CodeBase:
         return found.orderBy(F.desc("score"), "id").limit(limit)
 
     def callers(self, name: str, depth: int | None = None, most: int | None = None) -> DataFrame:
-        return traversal.callers(self.nodes, self.edges, checked(name, "name"), *self.limits("callers", name, depth, most))
+        return traversal.callers(self.nodes, self.graph.ways, checked(name, "name"), *self.limits("callers", name, depth, most))
 
     def callees(self, name: str, depth: int | None = None, most: int | None = None) -> DataFrame:
-        return traversal.callees(self.nodes, self.edges, checked(name, "name"), *self.limits("callees", name, depth, most))
+        return traversal.callees(self.nodes, self.graph.ways, checked(name, "name"), *self.limits("callees", name, depth, most))
 
     def impact(self, target: str, depth: int | None = None, most: int | None = None) -> DataFrame:
-        return traversal.impact(self.nodes, self.edges, checked(target, "target"), *self.limits("impact", target, depth, most))
+        return traversal.impact(self.nodes, self.graph.ways, checked(target, "target"), *self.limits("impact", target, depth, most))
 
     def trace(self, source: str, target: str, max_hops: int = 7) -> list[int]:
-        return traversal.trace(self.nodes, self.edges, checked(source, "source"), checked(target, "target"), max_hops)
+        return traversal.trace(self.nodes, self.graph.ways, checked(source, "source"), checked(target, "target"), max_hops)
 
     def node(self, name: str) -> dict | None:
         return context.node_detail(self.graph, checked(name, "name"), self.contents, self.limits("node", name)[1])
 
     def affected(self, paths: list[str], depth: int | None = None, pattern: str | None = None) -> DataFrame:
-        return traversal.affected_tests(self.nodes, self.edges, paths, self.limits("affected", None, depth)[0], pattern)
+        return traversal.affected_tests(self.nodes, self.graph.ways, paths, self.limits("affected", None, depth)[0], pattern)
 
     def context(self, task: str, max_nodes: int | None = None, max_depth: int = 3) -> context.Context:
         return context.build_context(self.graph, checked(task, "task"), self.contents, self.limits("context", None, None, max_nodes)[1], max_depth)
@@ -301,7 +305,7 @@ class CodeBase:
         return "\n".join(["graph LR", *blocks, *(r.line for r in analytics.mermaid_edges(part).collect())])
 
     def merged_edges(self, more: DataFrame) -> CodeBase:
-        return replace(self, graph=replace(self.graph, edges=distinct_edges(self.edges.unionByName(more))))
+        return replace(self, graph=replace(self.graph, adjacency=None, edges=distinct_edges(self.edges.unionByName(more))))
 
 
 def checked(value: object, name: str, most: int = MOST_INPUT) -> str:

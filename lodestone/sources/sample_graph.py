@@ -17,6 +17,9 @@ KINDS = {"STANDARD": "function", "ECONOMY": "function", "SMALL": "function", "ME
 EXTENSIONS = ("ts", "py", "c", "sh")
 NAMES = ("typescript", "python", "c", "shell")
 
+#: The tables that the graph is made from.
+TABLES = ("part", "lineitem")
+
 
 def _files(part: DataFrame) -> DataFrame:
     n = F.regexp_extract("p_brand", r"#(\d+)", 1).cast("long")

@@ -5,11 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from dataclasses import dataclass, replace
+from typing import TYPE_CHECKING
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from lodestone.sources.adjacency import Adjacency
+
 FILES = "file_id long, path string, hash string, language string, size long, mtime double, indexed_at long"
 NODES = "id long, file_id long, name string, qualified_name string, kind string, start_line int, end_line int, signature string, doc string, exported int, role string"
 EDGES = "id long, source_id long, target_id long, kind string"
@@ -98,6 +102,12 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
     raw_refs: DataFrame | None = None
+    adjacency: Adjacency | None = None  # of these edges, where it is stored
+
+    @property
+    def ways(self) -> DataFrame | Adjacency:
+        """The edges as traversals take them: stored by node if they are, else as a table."""
+        return self.edges if self.adjacency is None else self.adjacency
 
     def save(self, path: str) -> None:
         for name in ("files", "nodes", "edges", "raw_refs"):
@@ -125,9 +135,9 @@ class Graph:
     def clear_edges(self, file_ids: DataFrame | None = None) -> Graph:
         """Without the edges that touch the files (all edges if none are given; no file, no change)."""
         if file_ids is None:
-            return replace(self, edges=self.edges.limit(0))
+            return replace(self, adjacency=None, edges=self.edges.limit(0))
         touched = self.nodes.join(file_ids.select("file_id"), "file_id", "left_semi").select(F.col("id").alias("t"))
-        return replace(self, edges=self.edges.join(touched, F.col("source_id") == F.col("t"), "left_anti").join(touched, F.col("target_id") == F.col("t"), "left_anti"))
+        return replace(self, adjacency=None, edges=self.edges.join(touched, F.col("source_id") == F.col("t"), "left_anti").join(touched, F.col("target_id") == F.col("t"), "left_anti"))
 
 
 def latest_nodes(nodes: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import analytics, classify, components, context, export, ranges, resolve, search, traversal
-from lodestone.sources import storage
+from lodestone.sources import adjacency, storage
 from lodestone.sources.storage import Graph
 
 
@@ -166,6 +166,33 @@ def test_random_graphs(spark, direction):
                 assert ([(r.node, r.depth) for r in got if r.seed == s], s in truncated) == plain_traverse(edges, s, 3, most, direction, ["calls", "imports"])
 
 
+@pytest.mark.parametrize("few", [1_000, 2])
+def test_stored_adjacency(spark, tmp_path, monkeypatch, few):
+    """Traversals over edges stored by node, with many folders; a frontier of more nodes than are named, and levels that don't stay on the driver."""
+    monkeypatch.setattr(adjacency, "BUCKET_EDGES", 9)
+    monkeypatch.setattr(adjacency, "FEW", few)
+    monkeypatch.setattr(traversal, "LOCAL_NODES", 10_000 if few > 2 else 0)
+    r = random.Random(9)
+    pairs = sorted({(r.randrange(20), r.randrange(20), r.choice(["calls", "imports"])) for _ in range(50)})
+    edges = [(k + 1, s, t, kind) for k, (s, t, kind) in enumerate(pairs)]
+    df = spark.createDataFrame(edges, storage.EDGES)
+    ways = adjacency.Adjacency.write(df, f"file://{tmp_path}/ways")
+    assert ways.buckets > 4 and adjacency.Adjacency.open(spark, ways.path) == ways and adjacency.Adjacency.open(spark, f"file://{tmp_path}/none") is None
+    for direction in ("forward", "backward", "both"):
+        for most in (4, 50):
+            walk, plain = (traversal.traverse(e, 3, 3, most, direction, ("calls", "imports")) for e in (ways, df))
+            assert (nodes_of(walk), walk.truncated) == plain_traverse(edges, 3, 3, most, direction, ["calls", "imports"])
+            assert sorted(map(tuple, walk.edges.collect())) == sorted(map(tuple, plain.edges.collect()))
+    seeds = spark.createDataFrame([(0,), (3,), (19,)], "seed long")
+    a, b = (sorted(map(tuple, traversal.traverse_each(e, seeds, 2, 6)[0].collect())) for e in (ways, df))
+    assert a == b
+    starts = seeds.withColumnRenamed("seed", "node")
+    assert sorted(map(tuple, traversal.reach(ways, starts, 2).collect())) == sorted(map(tuple, traversal.reach(df, starts, 2).collect()))
+    if few > 2:
+        plan = ways.of(spark.createDataFrame([(3,)], "node long"), "forward", ("calls",))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def plain_cycles(edges, names, most):
     """The search as it is usually written: recursive, over the whole graph."""
     after = {}

@@ -22,12 +22,18 @@ def module_path(file_path: F.Column, module: F.Column) -> F.Column:
     return F.when(module.startswith("."), normal_path(joined))
 
 
-def resolve_targets(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+def _files_of(nodes: DataFrame) -> DataFrame:
+    """(path, target_file) of the files that have symbols."""
+    return nodes.groupBy("path").agg(F.min("file_id").alias("target_file"))
+
+
+def resolve_targets(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """(ref_id, target_id, priority) of refs (ref_id, file_id, target_name).
 
     0: the symbol of that name in the file that the name is imported from
     (imports: file_id, name, target_path); 1: in the same file; 2: exported in
-    another file; 3: any in another file. In each the least id.
+    another file; 3: any in another file. In each the least id. nodes may be those with
+    the names that are asked for, if files are those of all.
     """
     names = nodes.select("name", "file_id", "id", "exported", "path")
     own = names.groupBy("name", "file_id").agg(F.min("id").alias("id"))
@@ -38,8 +44,7 @@ def resolve_targets(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None
         found = found.unionByName(hit.groupBy("ref_id").agg(F.min("id").alias("target_id")).withColumn("priority", F.lit(priority)))
     if imports is not None:
         asked = refs.join(imports.withColumnRenamed("name", "target_name"), ["file_id", "target_name"]).select("ref_id", "target_name", "target_path")
-        files = nodes.groupBy("path").agg(F.min("file_id").alias("target_file"))
-        places = by_prefix(asked, "target_path", files, "path", "target_file")
+        places = by_prefix(asked, "target_path", _files_of(nodes) if files is None else files, "path", "target_file")
         hit = places.join(own.select(F.col("name").alias("target_name"), F.col("file_id").alias("target_file"), "id"), ["target_name", "target_file"])
         hit = hit.groupBy("ref_id").agg(F.min("id").alias("target_id"))
         found = found.unionByName(hit.withColumn("priority", F.lit(0)))
@@ -47,29 +52,53 @@ def resolve_targets(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None
     return best.select("ref_id", "b.target_id", "b.priority")
 
 
-def resolve_edges(raw_refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None) -> DataFrame:
-    """(source_id, target_id, kind), each once: references whose source is known and whose target is another node.
+def resolve_links(raw_refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """(ref_id, source_id, target_id, kind): references whose source is known and whose target is another node.
 
-    raw_refs: id, file_id, kind, source_qname, target_name. Kind call gives calls.
+    raw_refs: id, file_id, kind, source_qname, target_name. Kind call gives calls. Only
+    nodes that a reference names, as its target or its source, are looked at closer.
     """
-    sources = nodes.groupBy(F.col("qualified_name").alias("source_qname")).agg(F.max("id").alias("source_id"))
     refs = raw_refs.withColumnRenamed("id", "ref_id")
-    targets = resolve_targets(refs, nodes, imports)
+    asked = nodes.join(refs.select(F.col("target_name").alias("name")).distinct(), "name", "left_semi")
+    own = nodes.select(F.col("qualified_name").alias("source_qname"), "id").join(refs.select("source_qname").distinct(), "source_qname", "left_semi")
+    sources = own.groupBy("source_qname").agg(F.max("id").alias("source_id"))
+    targets = resolve_targets(refs, asked, imports, _files_of(nodes))
     kind = F.when(F.col("kind") == "call", "calls").otherwise(F.col("kind"))
-    edges = refs.join(sources, "source_qname").join(targets, "ref_id").filter("source_id != target_id")
-    return edges.select("source_id", "target_id", kind.alias("kind")).distinct()
+    return refs.join(sources, "source_qname").join(targets, "ref_id").filter("source_id != target_id").select("ref_id", "source_id", "target_id", kind.alias("kind"))
 
 
-def import_edges(imports: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(source_id, target_id): the first node of an importing file and the first exported one of the imported name in its target.
+def resolve_edges(raw_refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """(source_id, target_id, kind) of resolve_links, each once."""
+    return resolve_links(raw_refs, nodes, imports).select("source_id", "target_id", "kind").distinct()
+
+
+def import_links(imports: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(file_id, name, target_path, source_id, target_id): the first node of an importing file and the first exported one of the imported name in its target.
 
     imports: file_id, name, target_path.
     """
-    first = nodes.groupBy("file_id").agg(F.min("id").alias("source_id"))
-    files = nodes.groupBy("path").agg(F.min("file_id").alias("target_file"))
-    placed = by_prefix(imports, "target_path", files, "path", "target_file").filter("target_file IS NOT NULL")
+    first = nodes.join(imports.select("file_id").distinct(), "file_id", "left_semi").groupBy("file_id").agg(F.min("id").alias("source_id"))
+    placed = by_prefix(imports.select("file_id", "name", "target_path"), "target_path", _files_of(nodes), "path", "target_file").filter("target_file IS NOT NULL")
     exported = nodes.filter("exported = 1").groupBy(F.col("file_id").alias("target_file"), "name").agg(F.min("id").alias("target_id"))
-    return placed.join(exported, ["target_file", "name"]).join(first, "file_id").filter("source_id != target_id").select("source_id", "target_id").distinct()
+    return placed.join(exported, ["target_file", "name"]).join(first, "file_id").filter("source_id != target_id").select("file_id", "name", "target_path", "source_id", "target_id")
+
+
+def import_edges(imports: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source_id, target_id) of import_links, each once."""
+    return import_links(imports, nodes).select("source_id", "target_id").distinct()
+
+
+def touched_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
+    """The imports that may mean another file, or other symbols, now that these paths have changed: those whose target is a beginning of one."""
+    begins = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("target_path")).distinct()
+    return imports.join(begins, "target_path", "left_semi")
+
+
+def open_references(refs: DataFrame, names: DataFrame, touched: DataFrame) -> DataFrame:
+    """The references that may mean something else now: those that ask for one of the names (name), and those that are imported by a touched import."""
+    by_name = refs.join(names.select(F.col("name").alias("target_name")).distinct(), "target_name", "left_semi")
+    by_import = refs.join(touched.select("file_id", F.col("name").alias("target_name")).distinct(), ["file_id", "target_name"], "left_semi")
+    return by_name.select(*refs.columns).unionByName(by_import.select(*refs.columns)).dropDuplicates(["id"])
 
 
 def changed_symbols(nodes: DataFrame, changes: DataFrame, hunks: DataFrame) -> DataFrame:

@@ -110,40 +110,50 @@ class Parsed:
         return Parsed(latest_nodes(everything), refs, kept(named), routes)
 
 
-def _linked(files: DataFrame, nodes: DataFrame, refs: DataFrame, imports: DataFrame, routes: DataFrame) -> CodeBase:
-    """All references resolved to edges, and roles from those."""
-    resolved = resolve.resolve_edges(refs, nodes, imports)
-    imported = resolve.import_edges(imports, nodes).withColumn("kind", F.lit("imports"))
-    edges = _numbered(resolved.unionByName(imported).distinct(), "id", "source_id", "target_id", "kind").select("id", "source_id", "target_id", "kind")
+def _finished(files: DataFrame, nodes: DataFrame, refs: DataFrame, imports: DataFrame, routes: DataFrame, links: DataFrame, import_links: DataFrame, before: DataFrame | None = None) -> CodeBase:
+    """A code base of what references and imports mean: edges, each once, and roles from those; edges that were there before keep their ids."""
+    means = links.select("source_id", "target_id", "kind").unionByName(import_links.select("source_id", "target_id", F.lit("imports").alias("kind"))).distinct()
+    order = ("source_id", "target_id", "kind")
+    if before is None:
+        edges = _numbered(means, "id", *order)
+    else:
+        known = before.select("id", *order)
+        fresh = _numbered(means.join(known, list(order), "left_anti"), "id", *order).withColumn("id", F.col("id") + _after(known, "id"))
+        edges = known.join(means, list(order), "left_semi").select("id", *order).unionByName(fresh.select("id", *order))
+    edges = kept(edges.select("id", *order))
     classified = classify.roles(nodes, edges).drop("fan_in", "fan_out")
     stamped = kept(files.drop("content").withColumn("indexed_at", F.unix_millis(F.current_timestamp())))
-    edges = kept(edges)
     ways = Adjacency.write(edges, f"{shared_folder(edges.sparkSession)}/ways-{uuid.uuid4().hex}")
-    return CodeBase(Graph(stamped, kept(classified), edges, refs, ways), files.select("path", "content"), routes, imports)
+    return CodeBase(Graph(stamped, kept(classified), edges, refs, ways), files.select("path", "content"), routes, imports, links, import_links)
 
 
 def index_files(sources: DataFrame) -> CodeBase:
     """The same for files (path, language, hash, size, mtime, content)."""
     files = _numbered(sources, "file_id", "path")
     p = Parsed.of(files)
-    return _linked(files, p.nodes, p.refs, p.imports, p.routes)
+    links, import_links = kept(resolve.resolve_links(p.refs, p.nodes, p.imports)), kept(resolve.import_links(p.imports, p.nodes))
+    return _finished(files, p.nodes, p.refs, p.imports, p.routes, links, import_links)
 
 
 @dataclass(frozen=True)
 class Refresh:
-    """A code base after a change of its files, and how many files were listed, parsed again and gone."""
+    """A code base after a change of its files, and how many files were listed, parsed again and gone, and references resolved anew."""
 
     code: CodeBase
     scanned: int
     changed: int
     removed: int
+    resolved: int = 0
 
 
 def refresh(code: CodeBase, sources: DataFrame, force: bool = False) -> Refresh:
-    """Takes in the files as they are now: what is gone is purged, what changed (by time and size, then by hash; all if forced) is parsed again, and all references are resolved anew.
+    """Takes in the files as they are now: what is gone is purged, what changed (by time and size, then by hash; all if forced) is parsed again.
 
-    Files keep their ids; symbols and references of files that did not change
-    keep theirs, and new ones come after them.
+    Files keep their ids; symbols, references and edges of files that did not change
+    keep theirs, and new ones come after them. Only references that may mean
+    something else are resolved anew: those of parsed files, those that ask for a name
+    which files that changed have or had, and those that an import of a changed
+    path brings.
     """
     old = code.graph
     now = kept(sources)
@@ -163,7 +173,16 @@ def refresh(code: CodeBase, sources: DataFrame, force: bool = False) -> Refresh:
     imports = kept(code.imports.join(gone, "file_id", "left_anti").unionByName(p.imports))
     lost = parsed_paths.union(stale.select("path"))
     routes = kept(code.route_table.join(lost, "path", "left_anti").unionByName(p.routes))
-    return Refresh(_linked(files, nodes, refs, imports, routes), now.count(), parsed_paths.count(), stale.count())
+    names = kept(old.nodes.join(gone, "file_id", "left_semi").select("name").union(p.nodes.select("name")).distinct())
+    changed = kept(lost.union(again.select("path")).distinct())
+    touched = kept(resolve.touched_imports(imports, changed))
+    open_refs = kept(resolve.open_references(rest.raw_refs, names, touched).unionByName(p.refs.select(*rest.raw_refs.columns)))
+    dead = old.raw_refs.join(gone, "file_id", "left_semi").select(F.col("id").alias("ref_id")).union(open_refs.select(F.col("id").alias("ref_id")))
+    links = kept(code.links.join(dead, "ref_id", "left_anti").unionByName(resolve.resolve_links(open_refs, nodes, imports)))
+    open_imports = kept(touched.select(*imports.columns).unionByName(p.imports.select(*imports.columns)).distinct())
+    same = code.import_links.join(gone, "file_id", "left_anti").join(open_imports.select("file_id", "name", "target_path"), ["file_id", "name", "target_path"], "left_anti")
+    import_links = kept(same.select(*code.import_links.columns).unionByName(resolve.import_links(open_imports, nodes)))
+    return Refresh(_finished(files, nodes, refs, imports, routes, links, import_links, old.edges), now.count(), parsed_paths.count(), stale.count(), open_refs.count())
 
 
 @dataclass
@@ -172,6 +191,8 @@ class CodeBase:
     contents: DataFrame | None = None
     route_table: DataFrame | None = None
     imports: DataFrame | None = None
+    links: DataFrame | None = None  # ref_id, source_id, target_id, kind: what each reference means
+    import_links: DataFrame | None = None  # file_id, name, target_path, source_id, target_id
 
     @property
     def nodes(self) -> DataFrame:

@@ -1,5 +1,7 @@
 """A small project from its files to the answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,7 +92,7 @@ def test_refresh_equals_a_new_index(spark, tmp_path):
     root, config = f"file://{tmp_path}", engine.Config()
     first = engine.index(spark, root)
     same = engine.refresh(first, engine.sources_of(spark, root, config))
-    assert (same.scanned, same.changed, same.removed) == (6, 0, 0) and state(same.code) == state(first)
+    assert (same.scanned, same.changed, same.removed, same.resolved) == (6, 0, 0, 0) and state(same.code) == state(first)
     (tmp_path / "src/lib/format.ts").write_text("export function formatMessage(m: string) {\n  return shout(m);\n}\n\nexport function shout(m: string) {\n  return m;\n}\n")
     (tmp_path / "src/health.ts").unlink()
     (tmp_path / "src/new.ts").write_text("import { shout } from './lib/format';\n\nexport function fresh() {\n  shout('a');\n}\n")
@@ -103,3 +105,35 @@ def test_refresh_equals_a_new_index(spark, tmp_path):
     assert second.code.graph.files.select("file_id").distinct().count() == 6
     forced = engine.refresh(second.code, engine.sources_of(spark, root, config), force=True)
     assert forced.changed == 6 and state(forced.code) == state(second.code)
+
+
+def test_refresh_of_random_changes(spark, tmp_path):
+    """Files come, change and go, names move between them, imports of beginnings of paths meet other files: always what a whole index gives, with few references resolved."""
+    r = random.Random(2)
+    names = [f"fn{k}" for k in range(9)]
+
+    def body():
+        imports = "".join(f"import {{ {r.choice(names)} }} from './{r.choice(['m', 'mo', 'm1', 'm2', 'other'])}';\n" for _ in range(r.choice([0, 1, 2])))
+        own = r.sample(names, r.choice([1, 2, 3]))
+        return imports + "".join(f"{r.choice(['export ', ''])}function {n}() {{\n  {r.choice(names)}();\n  {r.choice(names)}();\n}}\n" for n in own)
+
+    for k in range(5):
+        (tmp_path / f"m{k}.ts").write_text(body())
+    (tmp_path / "far.ts").write_text("function alone() {\n  nobody();\n}\n")
+    root, config = f"file://{tmp_path}", engine.Config()
+    code = engine.index(spark, root)
+    for step in range(3):
+        changes = r.sample(["m0", "m1", "m2", "m3", "m4", "mo", "other"], 2)
+        for name in changes:
+            path = tmp_path / f"{name}.ts"
+            if path.exists() and step != 1 and r.random() < 0.5:
+                path.unlink()
+            else:
+                path.write_text(body())
+        done = engine.refresh(code, engine.sources_of(spark, root, config))
+        assert state(done.code) == state(engine.index(spark, root))
+        assert done.resolved < done.code.graph.raw_refs.count()  # not the one in far.ts
+        kept = {(e.source_id, e.target_id, e.kind): e.id for e in code.edges.collect()}
+        now = {(e.source_id, e.target_id, e.kind): e.id for e in done.code.edges.collect()}
+        assert len(set(now.values())) == len(now) and all(now[e] == kept[e] for e in now.keys() & kept.keys())
+        code = done.code

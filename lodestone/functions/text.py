@@ -121,6 +121,7 @@ def loose_glob(pattern: str) -> str:
 def segment_glob(pattern: str) -> str:
     """A regular expression for whole paths: `*` one whole segment, `**` any number of them, no wildcard inside a segment."""
     parts = pattern.split("/")
+    parts = [p for k, p in enumerate(parts) if p != "**" or k == 0 or parts[k - 1] != "**"]  # one after the other they say the same
 
     def expression(at: int) -> str:
         """For the segments from there on; each brings the slash before it, but for the first."""

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import base_name, half_up, is_test_path, iso_timestamp, segment_glob
+from lodestone.functions.globs import path_rules
+from lodestone.functions.text import base_name, half_up, is_test_path, iso_timestamp
 from lodestone.operators.classify import degrees, roles
-from lodestone.sources.storage import Graph
+from lodestone.sources.storage import Graph, kept
 
 #: Directory names of layered and of component styles, and the labels of styles.
 LAYERED = ("services", "controllers", "models", "routes", "middleware", "handlers", "repositories")
@@ -149,27 +150,42 @@ class Rule:
     severity: str = "error"
 
 
+#: What a rule allows where it doesn't say.
+MOST = {"max-fan-out": 10, "max-file-symbols": 30}
+
+
 def lint(graph: Graph, rules: list[Rule]) -> DataFrame:
-    """(rule, severity, subject, detail): one row per violation; rules are numbered from 0."""
-    place = graph.nodes.select("id", "path", "qualified_name")
-    out = None
-    for k, rule in enumerate(rules):
-        if rule.type == "deny-dependency":
-            ends = graph.edges.join(place.toDF("source_id", "from", "subject"), "source_id").join(place.toDF("target_id", "to", "detail"), "target_id")
-            found = ends.filter(F.col("from").rlike(segment_glob(rule.source)) & F.col("to").rlike(segment_glob(rule.target))).select("subject", "detail")
-        elif rule.type == "max-fan-out":
-            d = degrees(place, graph.edges).filter(F.col("path").rlike(segment_glob(rule.scope)) & (F.col("fan_out") > (10 if rule.most is None else rule.most)))
-            found = d.select(F.col("qualified_name").alias("subject"), F.col("fan_out").cast("string").alias("detail"))
-        elif rule.type == "max-file-symbols":
-            d = symbols_per_file(graph).filter(F.col("path").rlike(segment_glob(rule.scope)) & (F.col("n") > (30 if rule.most is None else rule.most)))
-            found = d.select(F.col("path").alias("subject"), F.col("n").cast("string").alias("detail"))
-        else:
+    """(rule, severity, subject, detail): one row per violation; rules are numbered from 0.
+
+    Each path is held against the globs of all rules once, and the edges are joined
+    once with the rules of their ends, however many rules there are.
+    """
+    spark = graph.nodes.sparkSession
+    for rule in rules:
+        if rule.type not in ("deny-dependency", *MOST):
             raise ValueError(f"rule type {rule.type}")
-        found = found.select(F.lit(k).alias("rule"), F.lit(rule.severity).alias("severity"), "subject", "detail")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return graph.nodes.sparkSession.createDataFrame([], "rule int, severity string, subject string, detail string")
-    return out
+    none = spark.createDataFrame([], "rule int, subject string, detail string")
+    place = graph.nodes.select("id", "path", "qualified_name")
+    of = lambda kind, attribute: [getattr(r, attribute) if r.type == kind else None for r in rules]
+    sides = {"denied_from": of("deny-dependency", "source"), "denied_to": of("deny-dependency", "target"), "fan_out_scope": of("max-fan-out", "scope"), "symbols_scope": of("max-file-symbols", "scope")}
+    used = {side: globs for side, globs in sides.items() if any(g is not None for g in globs)}
+    if not used:
+        return none.select("rule", F.lit("").alias("severity"), "subject", "detail")
+    fitting = kept(path_rules(graph.nodes, used))
+    by_rule = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("rule") + 1)
+    most = by_rule([MOST.get(r.type, 0) if r.most is None else r.most for r in rules])
+    out = none
+    if "denied_from" in used:
+        ruled = lambda side, own, name: place.join(fitting.filter(F.size(side) > 0), "path").select(F.col("id").alias(own), F.col("qualified_name").alias(name), side)
+        ends = graph.edges.select("source_id", "target_id").join(ruled("denied_from", "source_id", "subject"), "source_id").join(ruled("denied_to", "target_id", "detail"), "target_id")
+        out = out.unionByName(ends.select(F.explode(F.array_intersect("denied_from", "denied_to")).alias("rule"), "subject", "detail"))
+    if "fan_out_scope" in used:
+        d = degrees(place, graph.edges).join(fitting, "path").select(F.explode("fan_out_scope").alias("rule"), F.col("qualified_name").alias("subject"), "fan_out")
+        out = out.unionByName(d.filter(F.col("fan_out") > most).select("rule", "subject", F.col("fan_out").cast("string").alias("detail")))
+    if "symbols_scope" in used:
+        d = symbols_per_file(graph).join(fitting, "path").select(F.explode("symbols_scope").alias("rule"), F.col("path").alias("subject"), "n")
+        out = out.unionByName(d.filter(F.col("n") > most).select("rule", "subject", F.col("n").cast("string").alias("detail")))
+    return out.select("rule", by_rule([r.severity for r in rules]).alias("severity"), "subject", "detail")
 
 
 def lint_totals(violations: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.storage import kept
+
 ISLAND_GAP = 10
 
 
@@ -17,10 +19,20 @@ def islands(rows: DataFrame, key: str, first: str, last: str, gap: int = ISLAND_
 
 
 def within_budget(rows: DataFrame, key: str, order: list, size: str, most: int) -> DataFrame:
-    """The rows of a key, in order, up to the first that would go beyond the budget."""
-    running = F.sum(size).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    """The rows of a key, in order, up to the first that would go beyond the budget; with the running total.
+
+    Rows are dealt out by ranges of key and order, so a key that most rows have lies
+    in many parts: a part adds the sums of those before it to its own running
+    total, and a part that begins beyond the budget is not sorted at all.
+    """
+    parts = kept(rows.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()))
+    before = F.sum("_sum").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = parts.groupBy(F.col(key).alias("_key"), "_part").agg(F.sum(size).alias("_sum"))
     # sizes are not negative, so once beyond, always beyond
-    return rows.withColumn("running", running).filter(F.col("running") <= most)
+    begins = sums.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") <= most).select("_key", F.col("_part").alias("_of"), "_before")
+    own = parts.join(begins, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
+    running = F.col("_before") + F.sum(size).over(Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumn("running", running).filter(F.col("running") <= most).select(*rows.columns, "running")
 
 
 def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
@@ -33,10 +45,27 @@ def page_totals(rows: DataFrame, size: int) -> DataFrame:
     return rows.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size))
 
 
+#: Lines of a bin, and bins that a range spans at most.
+BIN, MOST_BINS = 64, 1_024
+
+
 def overlapping(rows: DataFrame, hunks: DataFrame, key: str = "path") -> DataFrame:
-    """rows (start_line, end_line) that a hunk (start, end) of the same key touches."""
-    touched = rows.join(hunks, key).filter((F.col("start_line") <= F.col("end")) & (F.col("end_line") >= F.col("start")))
-    return touched.select(*(rows[c] for c in rows.columns)).distinct()
+    """rows (start_line, end_line) that a hunk (start, end) of the same key touches, each once.
+
+    Ranges are spread over bins of lines and meet by key and bin, so a file with many
+    rows and hunks isn't a product of both; bins are as wide as the longest
+    range asks for.
+    """
+    longest = [r.n or 0 for r in (rows.agg(F.max(F.col("end_line") - F.col("start_line")).alias("n")).first(), hunks.agg(F.max(F.col("end") - F.col("start")).alias("n")).first())]
+    width = max(BIN, -(-(max(longest) + 1) // MOST_BINS))
+
+    def spread(df: DataFrame, first: str, last: str) -> DataFrame:
+        bins = F.sequence(F.floor(F.col(first) / width), F.floor(F.col(last) / width))
+        return df.filter(F.col(first) <= F.col(last)).withColumn("_bin", F.explode(bins))
+
+    asked = spread(hunks.select(F.col(key).alias("_key"), F.col("start").alias("_start"), F.col("end").alias("_end")), "_start", "_end").withColumnRenamed("_bin", "_at")
+    touched = spread(rows, "start_line", "end_line").join(asked, (F.col(key) == F.col("_key")) & (F.col("_bin") == F.col("_at")) & (F.col("start_line") <= F.col("_end")) & (F.col("end_line") >= F.col("_start")), "left_semi")
+    return touched.select(*rows.columns).distinct()
 
 
 def by_prefix(rows: DataFrame, column: str, targets: DataFrame, target: str, id_col: str) -> DataFrame:

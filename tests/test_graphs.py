@@ -357,3 +357,63 @@ def test_suggestions_stop_at_three_times_the_limit(spark):
     assert [r.type for r in analytics.suggestions(g.nodes, g.edges, 30).collect()][:2] == ["extract", "extract"]
     cut = analytics.suggestions(g.nodes, g.edges, 4).collect()
     assert [(r.type, r.id) for r in cut] == [("dead", k) for k in range(1, 5)]  # the large ones come after twelve others
+
+
+def test_many_rules_at_once(spark, service):
+    """What the automaton says of each rule is what its regular expression says, and all rules at once are all rules one by one."""
+    import re
+
+    from lodestone.functions.globs import GlobSet
+    from lodestone.functions.text import segment_glob
+
+    r = random.Random(4)
+    parts = ["**", "*", "a", "b", "a.b", "x+y", ""]
+    globs = ["/".join(r.choice(parts) for _ in range(r.choice([1, 2, 3, 4]))) for _ in range(300)]
+    paths = ["/".join(r.choice(["a", "b", "c", "a.b", "x+y", "", "aXb"]) for _ in range(r.choice([1, 2, 3, 5]))) for _ in range(200)]
+    every = GlobSet(globs)
+    for p in paths:
+        assert every.matching(p) == [k for k, g in enumerate(globs) if re.fullmatch(segment_glob(g).removeprefix("^").removesuffix("$"), p)]
+    scopes = ["**", "src/**", "src/*", "src/utils.ts", "**/services/**", "nothing/**"]
+    rules = [analytics.Rule("deny-dependency", r.choice(scopes), r.choice(scopes), severity=r.choice(["error", "warn"])) for _ in range(40)]
+    rules += [analytics.Rule("max-fan-out", most=r.choice([0, 1, None]), scope=r.choice(scopes)) for _ in range(10)] + [analytics.Rule("max-file-symbols", most=r.choice([1, 2, None]), scope=r.choice(scopes)) for _ in range(10)]
+    r.shuffle(rules)
+    got = sorted(map(tuple, analytics.lint(service, rules).collect()))
+    nodes = {x.id: x for x in service.nodes.collect()}
+    edges = [(nodes[e.source_id], nodes[e.target_id]) for e in service.edges.collect()]
+    fits = lambda glob, path: re.search(segment_glob(glob), path) is not None
+    want = []
+    for k, rule in enumerate(rules):
+        if rule.type == "deny-dependency":
+            want += [(k, rule.severity, s.qualified_name, t.qualified_name) for s, t in edges if fits(rule.source, s.path) and fits(rule.target, t.path)]
+        elif rule.type == "max-fan-out":
+            fan = {n.qualified_name: (n.path, sum(s.id == n.id for s, _ in edges)) for n in nodes.values()}
+            want += [(k, "error", q, str(n)) for q, (p, n) in fan.items() if fits(rule.scope, p) and n > (10 if rule.most is None else rule.most)]
+        else:
+            files = {p: sum(n.path == p for n in nodes.values()) for p in {n.path for n in nodes.values()}}
+            want += [(k, "error", p, str(n)) for p, n in files.items() if fits(rule.scope, p) and n > (30 if rule.most is None else rule.most)]
+    assert got == sorted(want) and len({w[0] for w in want}) > 15
+    plan = analytics.lint(service, rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") < 12 and analytics.lint(service, []).count() == 0
+    with pytest.raises(ValueError, match="rule type"):
+        analytics.lint(service, [analytics.Rule("odd")])
+
+
+def test_ranges_by_bins_and_budgets_in_parts(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(k, r.choice(["a", "b", None]), s, s + r.choice([0, 3, 200, 5000])) for k, s in enumerate(r.randrange(900) for _ in range(60))]
+    hunks = [(r.choice(["a", "b", "c"]), s, s + r.choice([-1, 0, 7, 90])) for s in (r.randrange(1500) for _ in range(15))]
+    df, h = spark.createDataFrame(rows, "id long, path string, start_line int, end_line int"), spark.createDataFrame(hunks, "path string, start int, end int")
+    want = {i for i, p, a, b in rows if any(p == q and a <= e and b >= s and s <= e for q, s, e in hunks)}
+    for width in (64, 1):
+        monkeypatch.setattr(ranges, "BIN", width)
+        got = ranges.overlapping(df, h).collect()
+        assert {x.id for x in got} == want and len(got) == len(want) and got[0].asDict().keys() == {"id", "path", "start_line", "end_line"}
+    sizes = [(k, r.choice(["hot", "hot", "cold", None]), r.choice([0, 1, 7])) for k in range(400)]
+    df = spark.createDataFrame(sizes, "id long, source string, n long").repartition(6)
+    for most in (-1, 0, 50, 10_000):
+        total, want = {}, set()
+        for k, source, n in sizes:
+            total[source] = total.get(source, 0) + n
+            if total[source] <= most:
+                want.add((k, total[source]))
+        assert {(x.id, x.running) for x in ranges.within_budget(df, "source", ["id"], "n", most).collect()} == want

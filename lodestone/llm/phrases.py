@@ -10,7 +10,7 @@ mappers count a part's slots with bincount, and their arrays are summed in a tre
 Counts of a phrase's cuts are then read by number from the levels below.
 
 Blocks and levels are tables in the shared folder, so memory is bounded by a block
-or a part, whatever the number of phrases. There is one pass over a level's blocks
+or a part, whatever the number of phrases, and no block is shuffled. There is one pass over a level's blocks
 for each part of its candidates.
 
 Results for hard inputs: a null text is empty, a null language is `und`, together
@@ -27,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ UNDETERMINED = "und"
 BLOCK_BYTES = 4 << 20
 #: Candidates of a part (8 bytes each for the key, 8 for the count, some 4 bits for the hash), at most.
 PART_KEYS = 1 << 20
+#: Frequent words that are sent to the mappers at once.
+PART_WORDS = 1 << 18
 #: Hashed counters of a pass, and the windows that fall on one as a share of the least count; more windows take more passes.
 BUCKETS, LOAD = 1 << 22, 0.25
 #: Keys that a mapper holds before it hands them on, shares of a pass's keys, slots of a row of counts, rows that are joined at once.
@@ -93,21 +96,19 @@ def block_of(texts: pa.Array, langs: pa.Array) -> tuple[pa.Array, pa.Array, np.n
 
 
 def word_blocks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(block, langs, words, counts, stream), staged."""
+    """(langs, words, counts, stream), staged: a row a block."""
     source = tuned(docs).select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(F.col(lang_col), F.lit(UNDETERMINED)).alias("_lang"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_work("phrases")
-        block = TaskContext.get().partitionId() << 32
         for batch in slices(batches, BLOCK_BYTES):
             langs, words, counts, stream = block_of(batch.column(0), batch.column(1))
             if len(words):
                 one = pa.array([0, len(words)], pa.int32())
-                columns = [pa.array([block], pa.int64()), *(pa.ListArray.from_arrays(one, x) for x in (langs, words, pa.array(counts, pa.int64()))), pa.array([stream.tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "langs", "words", "counts", "stream"])
-                block += 1
+                columns = [*(pa.ListArray.from_arrays(one, x) for x in (langs, words, pa.array(counts, pa.int64()))), pa.array([stream.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["langs", "words", "counts", "stream"])
 
-    return staged(source.mapInArrow(cut, "block long, langs array<string>, words array<string>, counts array<long>, stream binary"), "phrases-blocks")
+    return staged(source.mapInArrow(cut, "langs array<string>, words array<string>, counts array<long>, stream binary"), "phrases-blocks")
 
 
 def _thin(stream: np.ndarray) -> np.ndarray:
@@ -115,22 +116,40 @@ def _thin(stream: np.ndarray) -> np.ndarray:
     return stream[(stream >= 0) | np.r_[True, stream[:-1] >= 0]] if len(stream) else stream
 
 
-def _renumbered(rows: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(stream), staged: the blocks by the numbers of the frequent words; what isn't frequent is a break."""
-    entries = rows.select("block", F.posexplode(F.arrays_zip("langs", "words")).alias("at", "w")).select("block", "at", F.col("w.langs").alias("lang"), F.col("w.words").alias("phrase"))
-    found = entries.join(frequent.select("id", "lang", "phrase"), ["lang", "phrase"]).groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("id").alias("id"))
-    both = rows.select("block", F.size("words").alias("n"), "stream").join(found, "block").select("n", "at", "id", "stream")
+def _row(*columns: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], ["stream", "found"][: len(columns)])
 
-    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_work("phrases")
-        for batch in batches:
-            for i in range(batch.num_rows):
-                number = np.full(batch.column(0)[i].as_py() + 1, -1, np.int32)  # the last is the break's
-                number[batch.column(1)[i].values.to_numpy()] = batch.column(2)[i].values.to_numpy()
-                stream = _thin(number[np.frombuffer(batch.column(3)[i].as_py(), np.int32)])
-                yield pa.RecordBatch.from_arrays([pa.array([stream.tobytes()], pa.binary())], ["stream"])
 
-    return staged(both.mapInArrow(put, "stream binary"), "phrases-level")
+def word_level(blocks: DataFrame, words: DataFrame, n: int) -> DataFrame:
+    """(stream), staged: the blocks by the numbers of the frequent words (id, lang, phrase); what isn't frequent is a break. One pass for each part of the words."""
+    streams = blocks.select("langs", "words", "stream", F.lit(None).cast("binary").alias("found"))
+    parts = -(-n // PART_WORDS)
+    for p in range(parts):
+        last = p == parts - 1
+        own = (words if parts == 1 else words.filter(F.pmod(F.xxhash64("lang", "phrase"), F.lit(parts)) == p)).select("lang", "phrase", "id").toArrow().combine_chunks()
+        # words have no newline, so a key is told from any other
+        keys = pc.binary_join_element_wise(own.column("lang").combine_chunks(), own.column("phrase").combine_chunks(), "\n")
+        sent = blocks.sparkSession.sparkContext.broadcast((keys, np.r_[own.column("id").to_numpy(), -1].astype(np.int32)))
+
+        def put(batches: Iterable[pa.RecordBatch], sent: Broadcast = sent, last: bool = last) -> Iterator[pa.RecordBatch]:
+            at_work("phrases")
+            keys, ids = sent.value
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    langs, own, stream, found = (batch.column(c)[i] for c in range(4))
+                    at = pc.fill_null(pc.index_in(pc.binary_join_element_wise(langs.values, own.values, "\n"), keys), len(ids) - 1)
+                    number = np.r_[ids[at.to_numpy()], -1].astype(np.int32)  # the last is the break's
+                    new = number[np.frombuffer(stream.as_py(), np.int32)]
+                    if found.as_py() is not None:
+                        new = np.maximum(new, np.frombuffer(found.as_py(), np.int32))
+                    if last:
+                        yield _row(_thin(new).tobytes())
+                    else:
+                        columns = [batch.column(c).slice(i, 1) for c in range(3)]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array([new.tobytes()], pa.binary())], batch.schema.names)
+
+        streams = staged(streams.mapInArrow(put, "stream binary" if last else streams.schema), "phrases-level")
+    return streams
 
 
 def _pairs(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -369,13 +388,15 @@ def slot_counts(level: DataFrame, hashed: Broadcast, least: int) -> DataFrame:
 def next_level(level: DataFrame, phrases: DataFrame, n: int) -> DataFrame:
     """(stream), staged: where phrases (key, id) of one word more begin, by their numbers; one pass for each part of them."""
     streams = level.select("stream", F.lit(None).cast("binary").alias("found"))
-    for part in phrase_parts(phrases, n):
+    parts = -(-n // PART_KEYS)
+    for p, part in enumerate(phrase_parts(phrases, n)):
+        last = p == parts - 1
         hashed = PerfectHash(part.column("key").to_numpy())
         ids = np.empty(len(hashed.keys), np.int32)
         ids[hashed.slots(part.column("key").to_numpy())] = part.column("id").to_numpy()
         sent = level.sparkSession.sparkContext.broadcast((hashed, ids))
 
-        def put(batches: Iterable[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+        def put(batches: Iterable[pa.RecordBatch], sent: Broadcast = sent, last: bool = last) -> Iterator[pa.RecordBatch]:
             at_work("phrases")
             hashed, ids = sent.value
             for batch in batches:
@@ -385,16 +406,13 @@ def next_level(level: DataFrame, phrases: DataFrame, n: int) -> DataFrame:
                     at, keys = _pairs(stream)
                     slots = hashed.slots(keys)
                     new[at[slots >= 0]] = ids[slots[slots >= 0]]
-                    yield pa.RecordBatch.from_arrays([pa.array([old.as_py()], pa.binary()), pa.array([new.tobytes()], pa.binary())], ["stream", "found"])
-
-        streams = staged(streams.mapInArrow(put, "stream binary, found binary"), "phrases-found")
-
-    def thin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [_thin(np.frombuffer(b, np.int32)) for b in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in out if (x >= 0).any()], pa.binary())], ["stream"])
+                    if not last:
+                        yield _row(old.as_py(), new.tobytes())
+                    elif (new >= 0).any():
+                        yield _row(_thin(new).tobytes())
 
-    return staged(streams.select("found").mapInArrow(thin, "stream binary"), "phrases-level")
+        streams = staged(streams.mapInArrow(put, "stream binary" if last else "stream binary, found binary"), "phrases-level")
+    return streams
 
 
 def levels(blocks: DataFrame, least: int, longest: int) -> list[DataFrame]:
@@ -415,7 +433,7 @@ def levels(blocks: DataFrame, least: int, longest: int) -> list[DataFrame]:
             raise ValueError(f"{n} phrases of {k - 1} words: numbers have 31 bits")
         if not n:
             break
-        level = _renumbered(blocks, words) if level is None else next_level(level, out[-1], n)
+        level = word_level(blocks, words, n) if level is None else next_level(level, out[-1], n)
         found = []
         for part in key_parts(candidate_keys(level, least)):
             hashed = level.sparkSession.sparkContext.broadcast(PerfectHash(part))

@@ -80,7 +80,7 @@ def test_against_plain_python(spark, rows, least):
 
 
 def test_parts_blocks_and_shares(spark, rows, monkeypatch):
-    for name, value in {"PART_KEYS": 50, "BLOCK_BYTES": 700, "HELD_KEYS": 20, "KEY_SHARES": 3, "CHUNK_SLOTS": 16, "BUCKETS": 128, "LOAD": 2.0, "FAN": 2, "SHARES": 3}.items():
+    for name, value in {"PART_KEYS": 50, "PART_WORDS": 5, "BLOCK_BYTES": 700, "HELD_KEYS": 20, "KEY_SHARES": 3, "CHUNK_SLOTS": 16, "BUCKETS": 128, "LOAD": 2.0, "FAN": 2, "SHARES": 3}.items():
         monkeypatch.setattr(phrases, name, value)
     check(phrases.collocations(made(spark, rows, 7), least=9, longest=4, top=6), rows, 9, longest=4, top=6)
 

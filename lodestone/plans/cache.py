@@ -6,11 +6,11 @@ import json
 import threading
 import time
 from collections import OrderedDict
-from collections.abc import Callable, Hashable
+from collections.abc import Callable
 from typing import Any
 
-#: Entries and seconds that answers are kept, and entries of file contents.
-ANSWERS, ANSWER_SECONDS, CONTENTS = 64, 30.0, 200
+#: Entries and seconds that answers are kept.
+ANSWERS, ANSWER_SECONDS = 64, 30.0
 
 
 class AnswerCache:
@@ -81,22 +81,6 @@ class AnswerCache:
                 self._held[key] = stamp, value
 
 
-class ContentCache:
-    """Contents by path, as long as the file's stamp (such as size and time) is the same; the oldest goes first."""
-
-    def __init__(self, read: Callable[[str], str], most: int = CONTENTS):
-        self.read, self.most = read, most
-        self._held: OrderedDict[str, tuple[Hashable, str]] = OrderedDict()
-
-    def of(self, path: str, stamp: Hashable) -> str:
-        if path not in self._held or self._held[path][0] != stamp:
-            self._held.pop(path, None)
-            while len(self._held) >= self.most:
-                self._held.popitem(last=False)
-            self._held[path] = stamp, self.read(path)
-        return self._held[path][1]
-
-
 class OneAtATime:
     """Work that never runs twice at once: being asked for again meanwhile makes it run once more afterwards."""
 

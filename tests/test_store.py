@@ -54,10 +54,6 @@ def test_answers_are_kept_for_a_while():
     fresh.load("no json")
     fresh.clear()
     assert len(fresh) == 0
-    reads = []
-    contents = cache.ContentCache(lambda p: reads.append(p) or p, 2)
-    assert [contents.of(p, s) for p, s in (("a", 1), ("a", 1), ("a", 2), ("b", 1), ("c", 1), ("a", 2))] == ["a", "a", "a", "b", "c", "a"]
-    assert reads == ["a", "a", "b", "c", "a"]
 
 
 def test_work_runs_one_at_a_time():

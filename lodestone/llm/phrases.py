@@ -32,11 +32,11 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import at_work, numbered, scratch, slices, staged, tuned
+from .common import at_work, give_back, numbered, scratch, slices, staged, tuned
 
 UNDETERMINED = "und"
-#: Bytes of text of a block.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text of a block: what a row holds is then below what a JVM's collector takes for humongous, or not far above.
+BLOCK_BYTES = 1 << 20
 #: Candidates of a part (8 bytes each for the key, 8 for the count, some 4 bits for the hash), at most.
 PART_KEYS = 1 << 20
 #: Frequent words that are sent to the mappers at once.
@@ -147,6 +147,7 @@ def word_level(blocks: DataFrame, words: DataFrame, n: int) -> DataFrame:
                     else:
                         columns = [batch.column(c).slice(i, 1) for c in range(3)]
                         yield pa.RecordBatch.from_arrays([*columns, pa.array([new.tobytes()], pa.binary())], batch.schema.names)
+                give_back()
 
         streams = staged(streams.mapInArrow(put, "stream binary" if last else streams.schema), "phrases-level")
     return streams
@@ -219,6 +220,7 @@ def _streams(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
         for stream in batch.column(0):
             yield np.frombuffer(stream.as_py(), np.int32)
+        give_back()
 
 
 _COUNTED = "chunk long, task long, width int, counts binary"
@@ -321,16 +323,18 @@ def candidate_keys(level: DataFrame, least: int) -> DataFrame:
         bits = frequent_buckets(level, least, passes, at)
 
         def find(batches: Iterable[pa.RecordBatch], at: int = at, bits: np.ndarray = bits) -> Iterator[pa.RecordBatch]:
-            held = np.empty(0, np.int64)
+            held, known = [np.empty(0, np.int64)], 0
             for stream in _streams(batches):
                 keys = _pairs(stream)[1]
                 own, bucket = _bucket(keys, passes, BUCKETS)
-                keys = keys[(own == at) & (bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1 == 1)]
-                held = np.unique(np.concatenate([held, keys]))
-                if len(held) > HELD_KEYS:
-                    yield from _shared(held, at, KEY_SHARES)
-                    held = held[:0]
-            yield from _shared(held, at, KEY_SHARES)
+                held.append(np.unique(keys[(own == at) & (bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1 == 1)]))
+                if sum(map(len, held)) > known + HELD_KEYS:
+                    held = [np.unique(np.concatenate(held))]
+                    known = len(held[0])
+                    if known > HELD_KEYS:
+                        yield from _shared(held[0], at, KEY_SHARES)
+                        held, known = [held[0][:0]], 0
+            yield from _shared(np.unique(np.concatenate(held)), at, KEY_SHARES)
 
         def join(share: int, task: int, table: pa.Table) -> pa.Table:
             return pa.table(_keys_row(share, task, np.unique(np.concatenate([np.frombuffer(b, np.int64) for b in table.column("keys").to_pylist()]))))
@@ -410,6 +414,7 @@ def next_level(level: DataFrame, phrases: DataFrame, n: int) -> DataFrame:
                         yield _row(old.as_py(), new.tobytes())
                     elif (new >= 0).any():
                         yield _row(_thin(new).tobytes())
+                give_back()
 
         streams = staged(streams.mapInArrow(put, "stream binary" if last else "stream binary, found binary"), "phrases-level")
     return streams

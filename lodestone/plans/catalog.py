@@ -12,7 +12,7 @@ from lodestone.functions.vector import dot, rotated
 from lodestone.operators import analytics, classify, components, context, export, ranges, reports, resolve, retrieval, search, traversal
 from lodestone.operators.text_index import TextIndex
 from lodestone.plans import engine
-from lodestone.sources import sample_graph, storage
+from lodestone.sources import code_files, sample_graph, storage
 from lodestone.sources.adjacency import Adjacency
 from lodestone.streaming import changes
 
@@ -1053,3 +1053,78 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+# lookups, listings and changes that no other query reaches
+
+
+@query(BASE + DEGREES + f" SELECT 'out' AS side, id, kind FROM edges WHERE source_id = {MOST_OUT} UNION ALL SELECT 'in', id, kind FROM edges WHERE target_id = {MOST_OUT}")
+def edges_of_node(spark, d):
+    """All edges of a node, from the edges stored by node."""
+    g = stored(spark, d)
+    start = spark.createDataFrame([(seed(g, "fan_out"),)], "node long")
+    near = g.adjacency.of(start, "both", None)
+    return near.select(F.when(F.col("dir_rank") == 0, "out").otherwise("in").alias("side"), F.col("edge").alias("id"), "kind")
+
+
+@query(BASE + " SELECT file_id, language FROM files WHERE path = 'src/mod1/brand_1.py'")
+def file_by_path(spark, d):
+    return graph(spark, d).files.filter("path = 'src/mod1/brand_1.py'").select("file_id", "language")
+
+
+@query(BASE + " SELECT id, 0.0::DOUBLE AS rank FROM nodes WHERE kind = 'class' AND contains(path, 'mod1') AND exported = 1 ORDER BY id LIMIT 20")
+def filter_only_search(spark, d):
+    """A query of filters alone: the first by id."""
+    rows = graph(spark, d).nodes.withColumn("role", F.lit(None).cast("string"))
+    return search.symbol_search(rows, "kind:class path:mod1 exported:true", 20).select("id", "rank")
+
+
+@query(BASE + " SELECT id FROM edges WHERE source_id NOT IN (SELECT id FROM nodes WHERE file_id % 5 = 0) AND target_id NOT IN (SELECT id FROM nodes WHERE file_id % 5 = 0)")
+def clear_edges(spark, d):
+    g = graph(spark, d)
+    return g.clear_edges(g.files.filter("file_id % 5 = 0")).edges.select("id")
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS lines FROM documents")
+def line_slices(spark, d):
+    """Lines two to four of each whole text."""
+    docs = read(spark, d, "documents")
+    return docs.select("doc_id", T.lines_between(F.col("text"), F.lit(2), F.lit(4), 100).alias("lines"))
+
+
+@query("SELECT 'src/' || o_orderkey || '.py' AS path, CASE o_orderkey % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' WHEN 2 THEN 'renamed' ELSE 'modified' END AS status FROM orders")
+def diff_names(spark, d):
+    """Lines of `git diff --name-status`, made from the orders, read again."""
+    key, way = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 4
+    path = F.concat(F.lit("src/"), key, F.lit(".py"))
+    line = F.when(way == 0, F.concat(F.lit("A\t"), path)).when(way == 1, F.concat(F.lit("D\t"), path)).when(way == 2, F.concat(F.lit("R100\told/"), key, F.lit("\t"), path)).otherwise(F.concat(F.lit("M\t"), path))
+    return code_files.name_status(read(spark, d, "orders").select(line.alias("value")))
+
+
+@query("SELECT 'f' || l_orderkey AS path, l_partkey::INT AS start, (l_partkey + l_linenumber - 1)::INT AS \"end\" FROM lineitem WHERE l_linenumber > 1 UNION ALL SELECT 'f' || l_orderkey, l_partkey::INT, l_partkey::INT FROM lineitem WHERE l_linenumber = 1")
+def diff_hunks(spark, d):
+    """Unified diffs, made from the line items (a hunk each, with or without a count), read again."""
+    n = F.col("l_linenumber")
+    head = F.concat(F.lit("@@ -1,2 +"), F.col("l_partkey").cast("string"), F.when(n > 1, F.concat(F.lit(","), n.cast("string"))).otherwise(""), F.lit(" @@ f\n+x\n"))
+    diffs = read(spark, d, "lineitem").groupBy(F.concat(F.lit("f"), F.col("l_orderkey").cast("string")).alias("path")).agg(F.array_join(F.array_sort(F.collect_list(head)), "").alias("diff"))
+    return code_files.hunks(diffs)
+
+
+RULES = [analytics.Rule("deny-dependency", f"src/mod{k % 5}/**", f"**/brand_{k}.{x}", severity="warn" if k % 2 else "error") for k in range(1, 26) for x in ("py", "ts")]
+
+
+@query(
+    BASE
+    + ", rules AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({k}, '{r.severity}', '{r.source.removesuffix('**')}', '{r.target.removeprefix('**')}')" for k, r in enumerate(RULES))
+    + ") r(rule, severity, a, b)) SELECT rule, severity, count(*) AS n FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id JOIN rules ON starts_with(s.path, a) AND (ends_with(t.path, b) OR '/' || t.path = b) GROUP BY 1, 2"
+)
+def lint_many(spark, d):
+    """Violations of fifty rules, each path and edge looked at once."""
+    return analytics.lint(stored(spark, d), RULES).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
+@query(BASE + " SELECT name, count(*) AS n, min(id) AS first FROM nodes GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, name LIMIT 25")
+def shared_names(spark, d):
+    """The names that most symbols share, with the one that a reference by name alone would mean."""
+    return graph(spark, d).nodes.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").orderBy(F.desc("n"), "name").limit(25)

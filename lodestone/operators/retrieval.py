@@ -19,6 +19,8 @@ from lodestone.sources.storage import kept, read_text, shared_folder, write_text
 
 #: Queries, and bytes of their vectors, that are sent to every task at once; more of them go in blocks, each with a pass over the documents.
 QUERY_BLOCK, QUERY_BYTES = 4_096, 32 << 20
+#: Scores, or numbers of vectors, that a task has at once, whatever the number of queries.
+TILE = 1 << 20
 #: Vectors of a stored index's block, and the name of its manifest.
 BLOCK_ROWS, MANIFEST = 4_096, "_manifest.json"
 
@@ -59,18 +61,40 @@ def _sent(queries: DataFrame) -> Iterator[dict]:
         yield {"id": block.column(0).to_numpy(), "v": matrix(block.column(1).combine_chunks())}
 
 
+def _tiles(rows: int, queries: int, width: int) -> Iterator[slice]:
+    """Runs of vectors whose scores with all queries, and whose numbers, are TILE at most."""
+    step = max(1, TILE // max(1, queries, width))
+    return (slice(at, min(at + step, rows)) for at in range(0, rows, step))
+
+
+def _vectors(batches: Iterable[pa.RecordBatch], queries: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of batches (id, vector), a tile at a time."""
+    for batch in batches:
+        if batch.num_rows and queries:
+            for part in _tiles(batch.num_rows, queries, len(batch.column(1)[0])):
+                some = batch.slice(part.start, part.stop - part.start)
+                yield some.column(0).to_numpy(), matrix(some.column(1))
+
+
 def _kept_best(scored: Iterable[tuple[np.ndarray, np.ndarray]], query_ids: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     """Of (ids, scores of all queries with them) the k best of each query."""
     held = None
+    least = np.full(len(query_ids), -np.inf)  # what a score has to reach, once k are held
     for ids, scores in scored:
-        row, ids, s = _best(scores, ids, k)
-        if held is not None:
-            row, ids, s = (np.r_[a, x] for a, x in zip(held, (row, ids, s), strict=True))
+        if held is None:
+            row, ids, s = _best(scores, ids, k)
+        else:
+            row, at = np.nonzero(scores >= least[:, None])
+            if not len(row):
+                continue
+            row, ids, s = (np.r_[a, x] for a, x in zip(held, (row, ids[at], scores[row, at]), strict=True))
             order = np.lexsort((ids, -s, row))
             row, ids, s = row[order], ids[order], s[order]
             top = np.arange(len(row)) - np.searchsorted(row, row) < k
             row, ids, s = row[top], ids[top], s[top]
         held = row, ids, s
+        last = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
+        least[row[last]] = s[last]
     if held is not None:
         row, ids, s = held
         yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(ids), pa.array(s)], ["query_id", "doc_id", "score"])
@@ -87,8 +111,7 @@ def search_exact(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     for sent in _sent(queries.select("vec_id", "embedding")):
 
         def best(batches: Iterable[pa.RecordBatch], sent: dict = sent) -> Iterator[pa.RecordBatch]:
-            some = (b for b in batches if b.num_rows and len(sent["id"]))
-            yield from _kept_best(((b.column(0).to_numpy(), np.round(sent["v"] @ matrix(b.column(1)).T, 6)) for b in some), sent["id"], k)
+            yield from _kept_best(((ids, np.round(sent["v"] @ x.T, 6)) for ids, x in _vectors(batches, len(sent["id"]))), sent["id"], k)
 
         found.append(docs.mapInArrow(best, f"query_id {kind}, doc_id {kind}, score double"))
     return top_k(reduce(DataFrame.unionByName, found), k)
@@ -185,8 +208,10 @@ class VectorIndex:
                     for i in range(batch.num_rows if len(mine["id"]) else 0):
                         ids = batch.column(0)[i].values.to_numpy()
                         own, scale, sums = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in ((1, np.int8), (2, np.float64), (3, np.int64)))
-                        plain = mine["q"] @ own.reshape(len(ids), -1).T.astype(np.float64) - sums * 128.0  # whole numbers far below 2^53
-                        yield ids, np.round(plain * mine["scale"][:, None] * scale, 6)
+                        own = own.reshape(len(ids), -1)
+                        for t in _tiles(len(ids), len(mine["id"]), own.shape[1]):
+                            plain = mine["q"] @ own[t].T.astype(np.float64) - sums[t] * 128.0  # whole numbers far below 2^53
+                            yield ids[t], np.round(plain * mine["scale"][:, None] * scale[t], 6)
 
             def best(batches: Iterable[pa.RecordBatch], mine: dict = mine) -> Iterator[pa.RecordBatch]:
                 yield from _kept_best(scores(batches, mine), mine["id"], k)
@@ -229,12 +254,10 @@ def score_noise(vectors: DataFrame, queries: DataFrame) -> DataFrame:
         mine = {"v": sent["v"], "q": q.astype(np.float64), "scale": scale}
 
         def errors(batches: Iterable[pa.RecordBatch], mine: dict = mine) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    x = matrix(batch.column(1))
-                    own, scale, _ = quantised_rows(x)
-                    e = (mine["q"] @ own.T.astype(np.float64)) * mine["scale"][:, None] * scale - mine["v"] @ x.T
-                    yield pa.RecordBatch.from_arrays([pa.array([e.size]), pa.array([e.sum()]), pa.array([(e * e).sum()])], ["n", "s", "s2"])
+            for _, x in _vectors(batches, len(mine["v"])):
+                own, scale, _ = quantised_rows(x)
+                e = (mine["q"] @ own.T.astype(np.float64)) * mine["scale"][:, None] * scale - mine["v"] @ x.T
+                yield pa.RecordBatch.from_arrays([pa.array([e.size]), pa.array([e.sum()]), pa.array([(e * e).sum()])], ["n", "s", "s2"])
 
         found.append(docs.mapInArrow(errors, moments))
     sums = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], moments)

@@ -22,6 +22,8 @@ K1, B = 1.2, 0.75
 SHORT_TERM = 4
 #: Folders of a segment's postings (a token's is told by its first two letters), postings of a block, and segments of about one size (within TIER times) that are merged.
 BUCKETS, BLOCK, TIER, MERGE = 64, 1_024, 4, 4
+#: Tokens that a task counts at once.
+SLICE = 1 << 20
 _BLOCKS = "bucket int, token string, ids array<long>, tfs array<int>, sizes array<int>, n int, most_tf int, least_size int"
 
 
@@ -29,67 +31,129 @@ def _bucket(token: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(token, 1, 2)), F.lit(BUCKETS)).cast("int")
 
 
+#: What a task hands on: the postings of a token in some rows (data: ids as 8 bytes each, then counts and sizes as 4); or without a token the rows themselves (counts are not used).
+_RUNS = "token string, first long, data binary"
+_POSTING = np.dtype([("id", "<i8"), ("tf", "<i4"), ("size", "<i4")])
+
+
+def _runs(code: np.ndarray, tokens: pa.Array, ids: np.ndarray, tfs: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """A row (token, first, data) for each token of postings, whose tokens are given by their number."""
+    order = np.lexsort((ids, code))
+    code = code[order]
+    data = np.empty(len(code), _POSTING)
+    data["id"], data["tf"], data["size"] = ids[order], tfs[order], sizes[order]
+    begin = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, np.int64)
+    offsets = (np.r_[begin, len(code)] * _POSTING.itemsize).astype(np.int32)
+    binary = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    return pa.RecordBatch.from_arrays([tokens.take(pa.array(code[begin])), pa.array(data["id"][begin]), binary], ["token", "first", "data"])
+
+
 def _counted(rows: DataFrame) -> DataFrame:
-    """(token, id, tf, size) of rows (id, tokens): how often each has a token, and its number of tokens."""
+    """_RUNS of rows (id, tokens): how often each has a token, and its number of tokens; SLICE tokens at a time, or one row's."""
+    most = SLICE
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten().dictionary_encode()
-            sizes = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            pair, tf = np.unique(row * max(1, len(flat.dictionary)) + flat.indices.to_numpy(), return_counts=True)
-            row, token = np.divmod(pair, max(1, len(flat.dictionary)))
-            yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(token)), batch.column(0).take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(sizes[row].astype(np.int32))], ["token", "id", "tf", "size"])
+            ends = batch.column(1).offsets.to_numpy().astype(np.int64)
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+                yield from counted(batch.slice(at, to - at))
+                at = to
+
+    def counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lists, ids = batch.column(1), batch.column(0).to_numpy()
+        flat = lists.flatten().dictionary_encode()
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int32)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        pair, tf = np.unique(flat.indices.to_numpy().astype(np.int64) * len(sizes) + row, return_counts=True)
+        code, row = np.divmod(pair, len(sizes))
+        if len(code):
+            yield _runs(code, flat.dictionary, ids[row], tf, sizes[row])
+        yield _runs(np.zeros(len(ids), np.int64), pa.array([None], pa.string()), ids, np.zeros(len(ids)), sizes)
 
     filled = rows.select(F.col("id").cast("long").alias("id"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
-    return filled.mapInArrow(count, "token string, id long, tf int, size int")
+    return filled.mapInArrow(count, _RUNS)
+
+
+def _regrouped(postings: DataFrame) -> DataFrame:
+    """_RUNS of postings (token, id, tf, size)."""
+
+    def group(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token = batch.column(0).dictionary_encode()
+            yield _runs(token.indices.to_numpy(), token.dictionary, *(batch.column(c).to_numpy() for c in (1, 2, 3)))
 
+    return postings.select("token", "id", "tf", "size").mapInArrow(group, _RUNS)
 
-def _blocks(postings: DataFrame) -> DataFrame:
-    """postings (token, id, tf, size) as rows of at most BLOCK of them, by token and id. They are dealt out by ranges of token and id, so a token that most rows have is split."""
+
+def _opened_rows(runs: DataFrame) -> DataFrame:
+    """(id, size) of the rows that runs without a token tell of."""
+
+    def open_(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                own = np.frombuffer(data.as_py(), _POSTING)
+                yield pa.RecordBatch.from_arrays([pa.array(own["id"]), pa.array(own["size"])], ["id", "size"])
+
+    return runs.filter("token IS NULL").select("data").mapInArrow(open_, "id long, size int")
+
+
+def _blocks(runs: DataFrame) -> DataFrame:
+    """_RUNS as rows of at most BLOCK postings, by token, and in a block by id. They are dealt out by ranges of token and first id, so a token that most rows have is split."""
     most = BLOCK
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        last: tuple | None = None
+        held: list[bytes] = []
+        size = 0
+        done: list[tuple] = []
+        waiting = 0
+
+        def cut(whole: bool) -> None:
+            """Blocks of the held postings of a token; a rest below a block's length stays unless the token has ended."""
+            nonlocal held, size, waiting
+            own = np.frombuffer(b"".join(held), _POSTING)
+            own = own[np.argsort(own["id"], kind="stable")]
+            to = len(own) if whole else len(own) // most * most
+            for at in range(0, to, most):
+                part = own[at : min(at + most, to)]
+                done.append((*last, part["id"], part["tf"], part["size"]))
+                waiting += len(part)
+            held, size = [own[to:].tobytes()] if to < len(own) else [], len(own) - to
+
+        def handed() -> pa.RecordBatch:
+            nonlocal waiting
+            buckets, tokens, *lists = zip(*done, strict=True)
+            lengths = np.array([len(x) for x in lists[0]])
+            offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
+            begin = np.r_[0, np.cumsum(lengths)[:-1]]
+            ids, tfs, sizes = (np.concatenate(x) for x in lists)
+            columns = [pa.array(buckets, pa.int32()), pa.array(tokens, pa.string()), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids, tfs, sizes)), pa.array(lengths.astype(np.int32)), pa.array(np.maximum.reduceat(tfs, begin)), pa.array(np.minimum.reduceat(sizes, begin))]
+            done.clear()
+            waiting = 0
+            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _BLOCKS.split(", ")])
+
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            if held.num_rows >= 16 * most:
-                whole, held = packed(held, last=False)
-                yield from whole
-        if held is not None:
-            yield from packed(held, last=True)[0]
-
-    def packed(table: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
-        """Blocks of all tokens, but for the last one's if more of it may follow."""
-        token = table.column("token").combine_chunks().dictionary_encode()
-        code = token.indices.to_numpy()
-        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, np.int64)
-        ends = np.r_[starts[1:], len(code)]
-        if not last and len(starts):
-            cut = starts[-1] + (len(code) - starts[-1]) // most * most  # whole blocks of it can go
-            ends[-1] = cut
-        bounds = [np.arange(s, e, most) for s, e in zip(starts, ends, strict=True) if e > s]
-        begin = np.concatenate(bounds) if bounds else np.empty(0, np.int64)
-        done = int(ends[-1]) if len(ends) else 0
-        rest = table.slice(done)
-        if not len(begin):
-            return [], rest
-        offsets = pa.array(np.r_[begin, done].astype(np.int32))
-        ids, tfs, sizes = (table.column(c).combine_chunks().slice(0, done) for c in ("id", "tf", "size"))
-        columns = [
-            table.column("bucket").combine_chunks().take(pa.array(begin)),
-            token.dictionary.take(pa.array(code[begin])),
-            *(pa.ListArray.from_arrays(offsets, x) for x in (ids, tfs, sizes)),
-            pa.array(np.diff(np.r_[begin, done]).astype(np.int32)),
-            pa.array(np.maximum.reduceat(tfs.to_numpy(), begin)),
-            pa.array(np.minimum.reduceat(sizes.to_numpy(), begin)),
-        ]
-        return [pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _BLOCKS.split(", ")])], rest
-
-    dealt = postings.withColumn("bucket", _bucket(F.col("token"))).repartitionByRange("bucket", "token", "id").sortWithinPartitions("bucket", "token", "id")
-    return dealt.mapInArrow(pack, _BLOCKS)
+            for bucket, token, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if last != (bucket, token):
+                    if held:
+                        cut(True)
+                    last = bucket, token
+                held.append(data)
+                size += len(data) // _POSTING.itemsize
+                if size >= 16 * most:
+                    cut(False)
+                if waiting >= 64 * most or len(done) >= 10_000:
+                    yield handed()
+        if held:
+            cut(True)
+        if done:
+            yield handed()
+
+    named = runs.filter("token IS NOT NULL").withColumn("bucket", _bucket(F.col("token")))
+    dealt = named.repartitionByRange("bucket", "token", "first").sortWithinPartitions("bucket", "token", "first")
+    return dealt.select("bucket", "token", "data").mapInArrow(pack, _BLOCKS)
 
 
 @dataclass(frozen=True)
@@ -135,9 +199,9 @@ class TextIndex:
         create_text(self.spark, f"{self.path}/v{new.version:09}.json", text)
         return new
 
-    def _write(self, postings: DataFrame, docs: DataFrame, number: int) -> Segment:
+    def _write(self, runs: DataFrame, docs: DataFrame, number: int) -> Segment:
         name = f"seg-{number:09}-{uuid.uuid4().hex}"
-        _blocks(postings).write.partitionBy("bucket").parquet(f"{self.path}/{name}/postings")
+        _blocks(runs).write.partitionBy("bucket").parquet(f"{self.path}/{name}/postings")
         docs.write.parquet(f"{self.path}/{name}/docs")
         counts = self.spark.read.parquet(f"{self.path}/{name}/docs").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()
         return Segment(name, number, counts.n, counts.t)
@@ -151,9 +215,8 @@ class TextIndex:
             reduce(DataFrame.unionByName, ids).distinct().write.parquet(f"{self.path}/del-{number:09}")
             deletions += (number,)
         if rows is not None:
-            staged = kept(rows.select("id", "tokens"))
-            docs = staged.select(F.col("id").cast("long").alias("id"), F.coalesce(F.size("tokens"), F.lit(0)).alias("size"))
-            segments += (self._write(_counted(staged), docs, number),)
+            runs = kept(_counted(rows.select("id", "tokens")))
+            segments += (self._write(runs, _opened_rows(runs), number),)
         return self._commit(segments, deletions, note)
 
     def _alive(self, rows: DataFrame, segment: Segment) -> DataFrame:
@@ -185,7 +248,7 @@ class TextIndex:
                 postings = reduce(DataFrame.unionByName, [self._postings(s) for s in group])
                 docs = reduce(DataFrame.unionByName, [self._docs(s) for s in group])
                 # as old as the youngest: what was deleted later still holds for it
-                new = self._write(postings, docs, max(s.number for s in group))
+                new = self._write(_regrouped(postings), docs, max(s.number for s in group))
                 segments = [s for s in segments if s not in group] + [new]
         oldest = min((s.number for s in segments), default=0)
         return self._commit(segments, [d for d in self.deletions if d > oldest]) if segments != list(self.segments) else self

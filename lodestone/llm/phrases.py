@@ -37,6 +37,8 @@ from .common import at_work, give_back, numbered, scratch, slices, staged, tuned
 UNDETERMINED = "und"
 #: Bytes of text of a block: what a row holds is then below what a JVM's collector takes for humongous, or not far above.
 BLOCK_BYTES = 1 << 20
+#: Blocks, levels' rows and arrays of keys that are written and read at once.
+GROUP = 8
 #: Candidates of a part (8 bytes each for the key, 8 for the count, some 4 bits for the hash), at most.
 PART_KEYS = 1 << 20
 #: Frequent words that are sent to the mappers at once.
@@ -108,7 +110,7 @@ def word_blocks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 columns = [*(pa.ListArray.from_arrays(one, x) for x in (langs, words, pa.array(counts, pa.int64()))), pa.array([stream.tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["langs", "words", "counts", "stream"])
 
-    return staged(source.mapInArrow(cut, "langs array<string>, words array<string>, counts array<long>, stream binary"), "phrases-blocks")
+    return staged(source.mapInArrow(cut, "langs array<string>, words array<string>, counts array<long>, stream binary"), "phrases-blocks", group=GROUP)
 
 
 def _thin(stream: np.ndarray) -> np.ndarray:
@@ -149,7 +151,7 @@ def word_level(blocks: DataFrame, words: DataFrame, n: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([*columns, pa.array([new.tobytes()], pa.binary())], batch.schema.names)
                 give_back()
 
-        streams = staged(streams.mapInArrow(put, "stream binary" if last else streams.schema), "phrases-level")
+        streams = staged(streams.mapInArrow(put, "stream binary" if last else streams.schema), "phrases-level", group=GROUP)
     return streams
 
 
@@ -339,7 +341,7 @@ def candidate_keys(level: DataFrame, least: int) -> DataFrame:
         def join(share: int, task: int, table: pa.Table) -> pa.Table:
             return pa.table(_keys_row(share, task, np.unique(np.concatenate([np.frombuffer(b, np.int64) for b in table.column("keys").to_pylist()]))))
 
-        found.append(staged(_in_tree(level.mapInArrow(find, _KEYS), level.rdd.getNumPartitions(), "share", _KEYS, join), "phrases-candidates"))
+        found.append(staged(_in_tree(level.mapInArrow(find, _KEYS), level.rdd.getNumPartitions(), "share", _KEYS, join), "phrases-candidates", group=GROUP))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -416,7 +418,7 @@ def next_level(level: DataFrame, phrases: DataFrame, n: int) -> DataFrame:
                         yield _row(_thin(new).tobytes())
                 give_back()
 
-        streams = staged(streams.mapInArrow(put, "stream binary" if last else "stream binary, found binary"), "phrases-level")
+        streams = staged(streams.mapInArrow(put, "stream binary" if last else "stream binary, found binary"), "phrases-level", group=GROUP)
     return streams
 
 

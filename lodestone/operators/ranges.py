@@ -11,8 +11,8 @@ ISLAND_GAP = 10
 
 
 def islands(rows: DataFrame, key: str, first: str, last: str, gap: int = ISLAND_GAP) -> DataFrame:
-    """(key, first, last, n): ranges of a key that overlap or lie within the gap, as one."""
-    order = Window.partitionBy(key).orderBy(first, last)
+    """(key, first, last, n): ranges of a key that overlap or lie within the gap, as one; an end that is null comes last and reaches nothing."""
+    order = Window.partitionBy(key).orderBy(F.asc_nulls_last(first), F.asc_nulls_last(last))
     reached = F.max(last).over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = rows.withColumn("_new", F.when(F.col(first) <= reached + gap, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return opened.groupBy(key, "_island").agg(F.min(first).alias(first), F.max(last).alias(last), F.count("*").alias("n")).drop("_island")

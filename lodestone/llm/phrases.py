@@ -225,17 +225,18 @@ def _streams(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         give_back()
 
 
-_COUNTED = "chunk long, task long, width int, counts binary"
+_COUNTED = "chunk long, task long, width int, slots int, counts binary"
 
 
 def _counts_row(chunk: int, task: int, counts: np.ndarray) -> dict[str, pa.Array]:
-    """Counters of a chunk, in as few bytes as its largest needs."""
+    """Counters of a chunk, in as few bytes as its largest needs, compressed: with many passes most of them are 0, and what is shuffled goes by the windows, not by tasks times counters."""
     width = next(w for w in (1, 2, 4, 8) if int(counts.max()) < 1 << 8 * w)
-    return {"chunk": pa.array([chunk], pa.int64()), "task": pa.array([task], pa.int64()), "width": pa.array([width], pa.int32()), "counts": pa.array([counts.astype(f"<u{width}").tobytes()], pa.binary())}
+    packed = pa.compress(counts.astype(f"<u{width}").tobytes(), "zstd", asbytes=True)
+    return {"chunk": pa.array([chunk], pa.int64()), "task": pa.array([task], pa.int64()), "width": pa.array([width], pa.int32()), "slots": pa.array([len(counts)], pa.int32()), "counts": pa.array([packed], pa.binary())}
 
 
-def _counts_of(width: int, counts: bytes) -> np.ndarray:
-    return np.frombuffer(counts, f"<u{width}").astype(np.int64)
+def _counts_of(width: int, slots: int, counts: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(counts, width * slots, "zstd"), f"<u{width}").astype(np.int64)
 
 
 def _counted(total: np.ndarray, chunk_slots: int) -> Iterator[pa.RecordBatch]:
@@ -261,10 +262,10 @@ def _in_tree(rows: DataFrame, tasks: int, key: str, schema: str, join: Callable[
 
 
 def tree_summed(counts: DataFrame, tasks: int) -> DataFrame:
-    """(chunk, width, counts): the arrays of each chunk, summed."""
+    """(chunk, width, slots, counts): the arrays of each chunk, summed."""
 
     def join(chunk: int, task: int, table: pa.Table) -> pa.Table:
-        total = sum(_counts_of(w, b) for w, b in zip(table.column("width").to_pylist(), table.column("counts").to_pylist(), strict=True))
+        total = sum(_counts_of(*row) for row in zip(*(table.column(c).to_pylist() for c in ("width", "slots", "counts")), strict=True))
         return pa.table(_counts_row(chunk, task, total))
 
     return _in_tree(counts, tasks, "chunk", _COUNTED, join)
@@ -285,13 +286,13 @@ def frequent_buckets(level: DataFrame, least: int, passes: int, at: int) -> np.n
             own, bucket = _bucket(_pairs(stream)[1], passes, BUCKETS)
             which, n = np.unique(bucket[own == at], return_counts=True)
             total[which] += n.astype(np.int32)
-        yield from _counted(total, CHUNK_SLOTS)
+        yield from _counted(np.minimum(total, least), CHUNK_SLOTS)  # more than the least count tells nothing
 
     counts = tree_summed(level.mapInArrow(count, _COUNTED), level.rdd.getNumPartitions())
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.packbits(_counts_of(w, b) >= least).tobytes() for w, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            bits = [np.packbits(_counts_of(*row) >= least).tobytes() for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["chunk", "bits"])
 
     out = np.zeros(BUCKETS // 8, np.uint8)
@@ -382,8 +383,8 @@ def slot_counts(level: DataFrame, hashed: Broadcast, least: int) -> DataFrame:
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: PerfectHash = hashed.value
         for batch in batches:
-            for chunk, width, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                f = _counts_of(width, counts)
+            for chunk, *counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                f = _counts_of(*counts)
                 some = np.flatnonzero(f >= least)
                 yield pa.RecordBatch.from_arrays([pa.array(part.keys[some + chunk * CHUNK_SLOTS]), pa.array(f[some])], ["key", "f"])
 

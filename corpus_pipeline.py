@@ -2,7 +2,8 @@
 
 STAGES are (name, function) pairs. A function takes (spark, docs, sf_dir) and
 returns a DataFrame that is written as Parquet and read again as the next one's
-docs. All but the last return the columns of documents.
+docs. All but the last return the columns of documents. Each begins by having the
+JVMs give back what the stage before has left.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, jaccard_groups, language_id, mixing
-from lodestone.llm.common import staged, table, tuned
+from lodestone.llm.common import relieve, staged, table, tuned
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The column by which rows go here; the documents' own are numbered meanwhile.
@@ -21,6 +22,7 @@ KEY = "_row"
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; lang is the predicted one."""
+    relieve(spark)
     return language_id.accepted(docs)
 
 
@@ -35,6 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A row goes by the 128-bit hash of all its columns, so no text is written or
     shuffled here; only of rows that are repeated one copy a task is.
     """
+    relieve(spark)
     number = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
     plain = tuned(docs).toDF(*number.values())
     row = lambda seed: F.xxhash64(F.lit(seed), *(F.col(c) for c in plain.columns))
@@ -49,11 +52,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The passages that the mix takes; a document that it takes twice is there twice, one that it doesn't take is gone."""
+    relieve(spark)
     return mixing.mixed_texts(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each passage's token count and the digests of its ids and of the text that they decode to."""
+    relieve(spark)
     return bpe.round_trip_digests(docs, public_tokenizers.path(VOCABULARY))
 
 

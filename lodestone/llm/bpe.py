@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -33,6 +34,8 @@ from .word_codes import ChunkCodes, CodeCache, cuts_hold
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of texts that are encoded together, and bytes of chunks and of words whose codes a worker keeps (twice as much of chunks, in two generations).
 SLICE_BYTES, CHUNK_BYTES, WORD_BYTES = 6 << 20, 12 << 20, 8 << 20
+#: Positions that enter the index together.
+ENTERED = 1 << 15
 
 
 def byte_alphabet() -> list[str]:
@@ -99,33 +102,36 @@ class PairIndexBpe:
         if not words:
             return []
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        symbol = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        n = len(symbol)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        n = int(ends[-1])
+        kind = np.dtype(np.int32 if n < 1 << 31 else np.int64)
+        symbol = self.byte_id.astype(kind)[np.frombuffer(b"".join(words), np.uint8)]
+        after, before = np.arange(1, n + 1, dtype=kind), np.arange(-1, n - 1, dtype=kind)
         after[ends - 1] = -1
         before[np.r_[0, ends[:-1]]] = -1
         alive = np.ones(n, bool)
-        index: dict[int, list[int]] = {}
+        index: dict[int, array] = {}
         active: list[int] = []
 
         def enter(at: np.ndarray) -> None:
             """Enters the pairs whose left parts stand there."""
-            key = symbol[at] << 32 | symbol[after[at]]
-            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            is_pair = self.keys[found] == key
-            for rank, position in zip(self.ranks[found[is_pair]].tolist(), at[is_pair].tolist(), strict=True):
-                if (positions := index.get(rank)) is None:
-                    index[rank] = [position]
-                    heappush(active, rank)
-                else:
-                    positions.append(position)
+            for first in range(0, len(at), ENTERED):
+                some = at[first : first + ENTERED]
+                key = symbol[some].astype(np.int64) << 32 | symbol[after[some]]
+                found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                is_pair = self.keys[found] == key
+                for rank, position in zip(self.ranks[found[is_pair]].tolist(), some[is_pair].tolist(), strict=True):
+                    if (positions := index.get(rank)) is None:
+                        index[rank] = array(kind.char, (position,))
+                        heappush(active, rank)
+                    else:
+                        positions.append(position)
 
         enter(np.flatnonzero(after >= 0))
         heapify(active)
         while active:
             rank = heappop(active)
             a, b = self.left[rank], self.right[rank]
-            at = np.unique(np.array(index.pop(rank), np.int64))
+            at = np.unique(np.frombuffer(index.pop(rank), kind))
             then = after[at]
             stands = alive[at] & (symbol[at] == a) & (then >= 0) & (symbol[then] == b)
             at, then = at[stands], then[stands]

@@ -22,6 +22,8 @@ _MARK = r"[^\s\p{L}\p{N}\p{Z}\x{85}\x{1c}-\x{1f}]"
 _UNEVEN = rf"[ \n]{_SPACE}|{_SPACE}[ \n]|[ \n]\z|\x01"
 #: Texts that are not cut before each full stop and comma as well: those above, and others with a mark or white space before one.
 _UNEVEN_STOPS = rf"{_UNEVEN}|{_MARK}[.,]|{_SPACE}[.,]"
+#: Pieces that are gathered together.
+GATHERED = 1 << 16
 
 
 def cuts_hold(tokenizer: dict) -> bool:
@@ -41,10 +43,17 @@ def chunks(text: str) -> list[str]:
 def gather(pool: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entries of a pool of pieces of these lengths, in the order of index; and where each ends."""
     starts = np.cumsum(lengths) - lengths
-    count = lengths[index]
-    ends = np.cumsum(count)
-    total = int(ends[-1]) if len(ends) else 0
-    return pool[np.repeat(starts[index] - (ends - count), count) + np.arange(total)], ends
+    ends = np.cumsum(lengths[index])
+    out = np.empty(int(ends[-1]) if len(ends) else 0, pool.dtype)
+    at = 0
+    for first in range(0, len(index), GATHERED):
+        some = index[first : first + GATHERED]
+        count = lengths[some]
+        own = np.cumsum(count)
+        to = at + int(own[-1])
+        out[at:to] = pool[np.repeat(starts[some] - (own - count), count) + np.arange(to - at)]
+        at = to
+    return out, ends
 
 
 class CodeCache:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import public_tokenizers as P
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from lodestone.llm import bpe, token_files
+from lodestone.llm import bpe, token_files, word_codes
 from lodestone.llm.word_codes import chunks
 
 PATH = P.path("byte_bpe_50k.json")
@@ -113,3 +114,30 @@ def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     token_files.write_token_files(docs, f"file://{tmp_path}/t", PATH, 2)
     assert token_files.token_digests(spark, f"file://{tmp_path}/t").count() == 0
+
+
+def test_a_merge_takes_few_bytes_for_each_byte_of_its_words():
+    r = random.Random(3)
+    words = list({"".join(r.choices("etaoinshrdlu", k=r.randint(3, 14))).encode() for _ in range(40_000)})
+    model = bpe.vocabulary(PATH)
+    tracemalloc.start()
+    try:
+        model.merge(words)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 * sum(map(len, words))
+
+
+def test_gathering_in_blocks_is_gathering_at_once(monkeypatch):
+    r = np.random.default_rng(5)
+    lengths = r.integers(0, 4, 50)
+    pool, index = np.arange(lengths.sum(), dtype="<u4"), r.integers(0, 50, 1000)
+    ends = np.cumsum(lengths)
+    pieces = [pool[ends[k] - lengths[k] : ends[k]] for k in index]
+    for block in (1, 7, 1000, 5000):
+        monkeypatch.setattr(word_codes, "GATHERED", block)
+        flat, to = word_codes.gather(pool, lengths, index)
+        assert flat.tolist() == np.concatenate(pieces).tolist()
+        assert to.tolist() == np.cumsum([len(p) for p in pieces]).tolist()
+    assert [len(x) for x in word_codes.gather(pool, lengths, index[:0])] == [0, 0]

@@ -4,9 +4,13 @@ import hashlib
 import os
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import public_tokenizers as P
 import pyarrow as pa
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -106,3 +110,26 @@ def test_the_driver_gives_memory_back_between_many_small_tables(spark):
 def test_relief_works_on_any_jvm(spark):
     common.relieve(spark)
     assert spark.range(3).count() == 3
+
+
+def test_relief_reaches_executors(tmp_path):
+    """In a session of its own, whose executors work in tmp_path: each of the two collects its heap."""
+    (tmp_path / "home/work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (tmp_path / "home" / p.name).symlink_to(p)
+    code = f"""
+from pyspark.sql import SparkSession
+from lodestone.llm import common
+
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "600m").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.executor.extraJavaOptions", "-Xlog:gc:file={tmp_path}/gc-%p.log").getOrCreate()
+spark.range(0, 1000, 1, 4).selectExpr("sum(id)").collect()
+common.relieve(spark)
+"""
+    env = os.environ | {"SPARK_HOME": f"{tmp_path}/home", "SPARK_LOCAL_DIRS": f"{tmp_path}/local", "SPARK_SCALA_VERSION": "2.13", "PYTHONPATH": str(Path(common.__file__).parents[2])}
+    for name in ("SPARK_CONF_DIR", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET", "PYSPARK_SUBMIT_ARGS"):
+        env.pop(name, None)
+    subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, check=True, capture_output=True, timeout=120)
+    logs = [p.read_text() for p in tmp_path.glob("gc-*.log")]
+    assert len(logs) == 2
+    assert all("System.gc()" in log for log in logs)
